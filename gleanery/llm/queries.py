@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, simhash
+from . import packing, quality, simhash, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_simhash": simhash.op2_simhash,
+    "op3_packing": packing.op3_packing,
+    "op6_token_counts": tokens.op6_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
