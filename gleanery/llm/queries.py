@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, simhash, tokens
+from . import licenses, packing, quality, secret_scan, simhash, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_simhash": simhash.op2_simhash,
     "op3_packing": packing.op3_packing,
     "op6_token_counts": tokens.op6_token_counts,
+    "op7_license_scan": licenses.op7_license_scan,
+    "op8_secret_scan": secret_scan.op8_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
