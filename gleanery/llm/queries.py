@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, packing, quality, secret_scan, simhash, tokens
+from . import licenses, packing, quality, raking, secret_scan, simhash, tiff, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -15,6 +15,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": tokens.op6_token_counts,
     "op7_license_scan": licenses.op7_license_scan,
     "op8_secret_scan": secret_scan.op8_secret_scan,
+    "op9_source_mixing": raking.op9_source_mixing,
+    "op10_tiff": tiff.op10_tiff,
 }
 
 ORACLE_SQL: dict[str, str] = {
