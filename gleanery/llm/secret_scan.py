@@ -17,7 +17,7 @@ from functools import lru_cache
 from math import log2
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
@@ -139,15 +139,18 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]", least_bi
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_spans(read(spark, sf_dir, "documents"))
 
-    def joined(spans):  # noqa: ANN001, ANN202
+    def joined(spans: Column | str) -> Column:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     return found.select(
         "doc_id",
-        *(F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS[:3]),
+        *(count(k) for k in KINDS[:3]),
         F.sha2(joined(F.filter("spans", lambda s: s["kind"] != "guess")), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
-        F.size(F.filter("spans", lambda s: s["kind"] == "guess")).cast("long").alias("n_guess"),
+        count("guess"),
     )
 
 
