@@ -8,6 +8,7 @@ blank at its end is encoded whole.
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import read, written
 
 VOCABULARY = "byte_bpe_50k.json"
+#: A piece of words, each with a stop or comma at most, on one or two lines: the pre-tokenizer cuts it between these groups.
+SIMPLE = re.compile(r"([^\W\d_]+)([.,]?)(?:(\n)([^\W\d_]+)([.,]?))?")
 #: Distinct pieces that a worker remembers before it starts anew.
 REMEMBERED = 1_000_000
 
@@ -40,22 +43,43 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
+        self.marks = {"": b"", **dict(zip(".,\n", self._encode(list(".,\n")), strict=True))}
         self.remembered = remembered
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, known: dict[str, bytes], new: list[str], before: str) -> None:
+        for at in range(0, len(new), 2000):
+            part = new[at : at + 2000]
+            known.update(zip(part, self._encode([before + x for x in part]), strict=True))
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        """known: the ids of " " + piece by piece; a text's first piece, which no blank precedes, is encoded with the misses."""
-        if len(self.known) > self.remembered:
+        """known: the ids of " " + piece by piece; bare: of words that begin a line; a text's first piece, which no blank precedes, is
+        encoded each time."""
+        if len(self.known) + len(self.bare) > self.remembered:
             self.known.clear()
+            self.bare.clear()
         known = self.known
         cut = [(text or "").split(" ") for text in texts]
         whole = [not all(pieces[1:]) for pieces in cut]
         new = list(set().union(*(pieces[1:] for pieces, w in zip(cut, whole, strict=True) if not w)).difference(known))
-        for at in range(0, len(new), 2000):
-            part = new[at : at + 2000]
-            known.update(zip(part, self._encode([" " + x for x in part]), strict=True))
+        # a new piece mostly is a known word with a stop or comma, or the end of a line and a word: only new words are encoded
+        simple, hard, words, heads_of = [], [], set(), set()
+        for piece in new:
+            if m := SIMPLE.fullmatch(piece):
+                simple.append((piece, m.groups("")))
+                words.add(m[1])
+                heads_of.add(m[4] or "")
+            else:
+                hard.append(piece)
+        marks = self.marks
+        self._learn(known, [*words.difference(known), *hard], " ")
+        self._learn(self.bare, list(heads_of.difference(self.bare)), "")
+        for piece, (first, mark, line, second, mark_2) in simple:
+            if mark or line:
+                known[piece] = b"".join((known[first], marks[mark], marks[line], self.bare[second], marks[mark_2]))
         heads = self._encode([(text or "") if w else pieces[0] for text, pieces, w in zip(texts, cut, whole, strict=True)])
         return [head if w else b"".join([head, *map(known.__getitem__, pieces[1:])]) for head, pieces, w in zip(heads, cut, whole, strict=True)]
 
