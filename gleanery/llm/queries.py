@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, packing, quality, raking, secret_scan, simhash, tiff, tokens, warc
+from . import langid, licenses, packing, quality, raking, secret_scan, simhash, tiff, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_simhash": simhash.op2_simhash,
     "op3_packing": packing.op3_packing,
     "op4_warc": warc.op4_warc,
+    "op5_language_id": langid.op5_language_id,
     "op6_token_counts": tokens.op6_token_counts,
     "op7_license_scan": licenses.op7_license_scan,
     "op8_secret_scan": secret_scan.op8_secret_scan,
