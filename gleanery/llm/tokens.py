@@ -23,8 +23,8 @@ from .common import read, written
 VOCABULARY = "byte_bpe_50k.json"
 #: A piece of words, each with a stop or comma at most, on one or two lines: the pre-tokenizer cuts it between these groups.
 SIMPLE = re.compile(r"([^\W\d_]+)([.,]?)(?:(\n)([^\W\d_]+)([.,]?))?")
-#: Distinct pieces that a worker remembers before it starts anew.
-REMEMBERED = 1_000_000
+#: Distinct pieces that a worker remembers before it starts anew; those met again since the last start stay.
+REMEMBERED = 700_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -44,42 +44,61 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
+        self.old: dict[str, dict[str, bytes]] = {"known": {}, "bare": {}}
         self.marks = {"": b"", **dict(zip(".,\n", self._encode(list(".,\n")), strict=True))}
+        self.feed = int(np.frombuffer(self.marks["\n"], "<u4")[0])
         self.remembered = remembered
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, known: dict[str, bytes], new: list[str], before: str) -> None:
+    def _learn(self, table: str, new: list[str], before: str) -> None:
+        """Encodes words side by side, a line feed between two: it parts them for any byte-level BPE, and none of them has one."""
+        known, old = getattr(self, table), self.old[table]
+        for word in old.keys() & new:
+            known[word] = old[word]
+        new = [x for x in new if x not in known]
         for at in range(0, len(new), 2000):
             part = new[at : at + 2000]
-            known.update(zip(part, self._encode([before + x for x in part]), strict=True))
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(before + x for x in part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == self.feed), len(ids))
+            if len(ends) == len(part):
+                raw, edges = ids.tobytes(), (4 * ends).tolist()
+                known.update(zip(part, [raw[a:b] for a, b in zip([0, *(x + 4 for x in edges[:-1])], edges, strict=True)], strict=True))
+            else:
+                known.update(zip(part, self._encode([before + x for x in part]), strict=True))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """known: the ids of " " + piece by piece; bare: of words that begin a line; a text's first piece, which no blank precedes, is
-        encoded each time."""
+        encoded each time. When they grow too large they become old, from which pieces that are met again return."""
         if len(self.known) + len(self.bare) > self.remembered:
-            self.known.clear()
-            self.bare.clear()
-        known = self.known
+            self.old = {"known": self.known, "bare": self.bare}
+            self.known, self.bare = {}, {}
+        known, old = self.known, self.old["known"]
         cut = [(text or "").split(" ") for text in texts]
         whole = [not all(pieces[1:]) for pieces in cut]
-        new = list(set().union(*(pieces[1:] for pieces, w in zip(cut, whole, strict=True) if not w)).difference(known))
+        new = set().union(*(pieces[1:] for pieces, w in zip(cut, whole, strict=True) if not w)).difference(known)
+        again = new.intersection(old)
+        known.update((x, old[x]) for x in again)
         # a new piece mostly is a known word with a stop or comma, or the end of a line and a word: only new words are encoded
         simple, hard, words, heads_of = [], [], set(), set()
-        for piece in new:
+        for piece in new.difference(again):
             if m := SIMPLE.fullmatch(piece):
                 simple.append((piece, m.groups("")))
                 words.add(m[1])
-                heads_of.add(m[4] or "")
+                if m[4]:
+                    heads_of.add(m[4])
             else:
                 hard.append(piece)
-        marks = self.marks
-        self._learn(known, [*words.difference(known), *hard], " ")
-        self._learn(self.bare, list(heads_of.difference(self.bare)), "")
+        known.update(zip(hard, self._encode([" " + x for x in hard]), strict=True))
+        self._learn("known", list(words.difference(known)), " ")
+        self._learn("bare", list(heads_of.difference(self.bare)), "")
+        marks, bare = self.marks, self.bare
         for piece, (first, mark, line, second, mark_2) in simple:
-            if mark or line:
-                known[piece] = b"".join((known[first], marks[mark], marks[line], self.bare[second], marks[mark_2]))
+            if line:
+                known[piece] = b"".join((known[first], marks[mark], marks[line], bare[second], marks[mark_2]))
+            elif mark:
+                known[piece] = known[first] + marks[mark]
         heads = self._encode([(text or "") if w else pieces[0] for text, pieces, w in zip(texts, cut, whole, strict=True)])
         return [head if w else b"".join([head, *map(known.__getitem__, pieces[1:])]) for head, pieces, w in zip(heads, cut, whole, strict=True)]
 
