@@ -11,6 +11,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +22,10 @@ from pyspark.sql import functions as F
 from .common import read, written
 
 VOCABULARY = "byte_bpe_50k.json"
-#: A piece of words, each with a stop or comma at most, on one or two lines: the pre-tokenizer cuts it between these groups.
-SIMPLE = re.compile(r"([^\W\d_]+)([.,]?)(?:(\n)([^\W\d_]+)([.,]?))?")
+#: The end of a line and the word that begins the next, each with a stop or comma at most: the pre-tokenizer cuts between the groups.
+LINED = re.compile(r"([^\W\d_]+)([.,]?)\n([^\W\d_]+)([.,]?)")
 #: Distinct pieces that a worker remembers before it starts anew; those met again since the last start stay.
-REMEMBERED = 700_000
+REMEMBERED = 400_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -38,10 +39,13 @@ class Encoder:
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # the same model for words of letters alone, one a line: these need no pattern to be cut
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.known: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
         self.old: dict[str, dict[str, bytes]] = {"known": {}, "bare": {}}
@@ -53,20 +57,16 @@ class Encoder:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, table: str, new: list[str], before: str) -> None:
-        """Encodes words side by side, a line feed between two: it parts them for any byte-level BPE, and none of them has one."""
+        """Encodes words of letters side by side, a line feed between two."""
         known, old = getattr(self, table), self.old[table]
         for word in old.keys() & new:
             known[word] = old[word]
         new = [x for x in new if x not in known]
         for at in range(0, len(new), 2000):
             part = new[at : at + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(before + x for x in part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == self.feed), len(ids))
-            if len(ends) == len(part):
-                raw, edges = ids.tobytes(), (4 * ends).tolist()
-                known.update(zip(part, [raw[a:b] for a, b in zip([0, *(x + 4 for x in edges[:-1])], edges, strict=True)], strict=True))
-            else:
-                known.update(zip(part, self._encode([before + x for x in part]), strict=True))
+            ids = np.array(self.words.encode_batch_fast(["\n".join(before + x for x in part)], add_special_tokens=False)[0].ids, "<u4")
+            raw, edges = ids.tobytes(), [-4, *(4 * np.flatnonzero(ids == self.feed)).tolist(), 4 * len(ids)]
+            known.update(zip(part, [raw[a + 4 : b] for a, b in zip(edges, edges[1:], strict=False)], strict=True))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """known: the ids of " " + piece by piece; bare: of words that begin a line; a text's first piece, which no blank precedes, is
@@ -80,27 +80,29 @@ class Encoder:
         new = set().union(*(pieces[1:] for pieces, w in zip(cut, whole, strict=True) if not w)).difference(known)
         again = new.intersection(old)
         known.update((x, old[x]) for x in again)
+        known[""] = b""  # itemgetter gives a tuple of two or more only
         # a new piece mostly is a known word with a stop or comma, or the end of a line and a word: only new words are encoded
-        simple, hard, words, heads_of = [], [], set(), set()
-        for piece in new.difference(again):
-            if m := SIMPLE.fullmatch(piece):
-                simple.append((piece, m.groups("")))
+        marked, lined, hard, words, heads_of = [], [], [], set(), set()
+        for piece in new.difference(again) if again else new:
+            if piece.isalpha():
+                words.add(piece)
+            elif piece[-1] in ".," and piece[:-1].isalpha():
+                words.add(piece[:-1])
+                marked.append(piece)
+            elif m := LINED.fullmatch(piece):
+                lined.append((piece, *m.groups()))
                 words.add(m[1])
-                if m[4]:
-                    heads_of.add(m[4])
+                heads_of.add(m[3])
             else:
                 hard.append(piece)
         known.update(zip(hard, self._encode([" " + x for x in hard]), strict=True))
         self._learn("known", list(words.difference(known)), " ")
         self._learn("bare", list(heads_of.difference(self.bare)), "")
         marks, bare = self.marks, self.bare
-        for piece, (first, mark, line, second, mark_2) in simple:
-            if line:
-                known[piece] = b"".join((known[first], marks[mark], marks[line], bare[second], marks[mark_2]))
-            elif mark:
-                known[piece] = known[first] + marks[mark]
+        known.update([(x, known[x[:-1]] + marks[x[-1]]) for x in marked])
+        known.update([(x, b"".join((known[first], marks[mark], marks["\n"], bare[second], marks[mark_2]))) for x, first, mark, second, mark_2 in lined])
         heads = self._encode([(text or "") if w else pieces[0] for text, pieces, w in zip(texts, cut, whole, strict=True)])
-        return [head if w else b"".join([head, *map(known.__getitem__, pieces[1:])]) for head, pieces, w in zip(heads, cut, whole, strict=True)]
+        return [head if w or len(pieces) == 1 else b"".join((head, *itemgetter(*pieces[1:], "")(known))) for head, pieces, w in zip(heads, cut, whole, strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
