@@ -171,11 +171,13 @@ class Predictor:
     def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
         if len(self.place) > REMEMBERED:
             self._forget()
+        if not self.network.languages:
+            return [(UNKNOWN, 0.0)] * len(texts)
         cut = [words_of(t) for t in texts]
         self._learn(sorted(set().union(*cut).difference(self.place)))
         out = []
         for text, words in zip(texts, cut, strict=True):
-            if not words or not self.network.languages or not any(c.isalpha() for c in text):
+            if not words or not any(c.isalpha() for c in text):
                 out.append((UNKNOWN, 0.0))
                 continue
             sums = self.sums[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))].sum(0, dtype=np.float64)

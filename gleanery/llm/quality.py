@@ -5,8 +5,8 @@ executors. A rule is a row (name, part, whole, least, most): the document passes
 whole numbers as ``1000 * part`` against ``least * whole``, so that any engine gives the same verdict.
 
 Defined results: a null or wordless text has zero counts and fails the base rule (fewer than 10 words); repeated rows are judged
-alike, one result each; an empty table gives an empty result. Columns of the input other than the id and the text are ignored,
-whatever their names.
+alike, one result each; an empty table gives an empty result. Other columns of the input are carried in a struct
+and clash with nothing, whatever their names.
 """
 
 from __future__ import annotations
@@ -112,17 +112,28 @@ def compile_rules(rules: tuple[Rule, ...]) -> Column:
     return passed
 
 
-def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per row of docs: the columns in keep, the figures, base_failed and kept. keep may name the text column too."""
+def _judged(docs: DataFrame, rules: tuple[Rule, ...], text: str, keep: tuple[str, ...]) -> DataFrame:
+    """The columns in keep as one struct (so that none clashes with a figure), the figures, base_failed and kept."""
     words = F.coalesce(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
-    with_words = docs.select(*keep, F.col(text).alias("__text"), words.alias("__words"))
-    figures = measures(F.col("__text"), F.col("__words"))
-    rows = with_words.select(*keep, *(c.alias(f"__{k}" if k == "lines" else k) for k, c in figures.items()))
-    rows = rows.select(*keep, *(k for k in figures if k != "lines"), "__lines.*")
+    with_words = docs.select(F.struct(*keep).alias("row"), F.col(text).alias("text"), words.alias("words"))
+    figures = measures(F.col("text"), F.col("words"))
+    rows = with_words.select("row", *(c.alias(k) for k, c in figures.items()))
+    rows = rows.select("row", *(k for k in figures if k != "lines"), "lines.*")
     rows = rows.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     return rows.withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
 
 
+def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """One row per row of docs: the columns in keep, the figures, base_failed and kept."""
+    judged = _judged(docs, rules, text, keep)
+    return judged.select("row.*", *judged.columns[1:])
+
+
+def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """The rows of docs that the rules keep, with docs' own columns, whatever their names."""
+    return _judged(docs, rules, text, tuple(docs.columns)).where("kept").select("row.*")
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents"))
 

@@ -8,8 +8,8 @@ chance of the cell's documents to stay; where it is above, all stay and carry th
 the target margins in expectation. A document's fate is a hash of its id: a lost task draws the same sample again.
 
 Defined results: a null source or language counts under ``REST``; a null text has no token and its cell's chance; repeated rows share
-one fate; targets of values that no document has are spread over the others in proportion; an empty table gives an empty result. All
-columns of the input stay, and added ones have names of their own (``mix_...``).
+one fate; targets of values that no document has are spread over the others in proportion; an empty table gives an empty result. Other
+columns of the input are carried in a struct and clash with nothing, whatever their names.
 """
 
 from __future__ import annotations
@@ -80,29 +80,24 @@ def fit(found: np.ndarray, targets: list[np.ndarray], rounds: int = 200, close:
     return fitted
 
 
-def with_cells(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], text: str, tokens: Column | None) -> DataFrame:
+def _cells(targets: Mapping[str, Mapping[str, float]], text: str, tokens: Column | None) -> list[Column]:
+    """mix_source, mix_lang, mix_topic (as far as targets have them) and mix_tokens."""
     values = {"source": F.col("source"), "lang": F.col("lang"), "topic": topic(F.coalesce(F.col(text), F.lit("")))}
     count = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long") if tokens is None else tokens
-    cells = {f"mix_{k}": F.when(values[k].isin([x for x in t if x != REST]), values[k]).otherwise(F.lit(REST)) for k, t in targets.items()}
-    return docs.withColumns(cells | {"mix_tokens": count})
+    cells = [F.when(values[k].isin([x for x in t if x != REST]), values[k]).otherwise(F.lit(REST)).alias(f"mix_{k}") for k, t in targets.items()]
+    return [*cells, count.alias("mix_tokens")]
 
 
-def calibrated(
-    docs: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGETS, text: str = "text", fraction: float = FRACTION,
-    tokens: Column | None = None, id_col: str = "doc_id", seed: int = SEED, keep: tuple[str, ...] | None = None,
+def _drawn(
+    docs: DataFrame, targets: Mapping[str, Mapping[str, float]], text: str, fraction: float, tokens: Column | None, id_col: str, seed: int, keep: tuple[str, ...],
 ) -> DataFrame:
-    """The columns in keep (all of docs, if None) with mix_source, mix_lang, mix_topic, mix_tokens, mix_probability, mix_kept and
-    mix_weight, the weight that a kept document carries: what its cell needs over the chance to stay.
-
-    Each row's cell is found once and written with the columns to keep; sums and draws read that table.
-    """
+    """row (the columns in keep, as one struct), the cell, mix_tokens, mix_weight, mix_probability and mix_kept."""
     names = list(targets)
     if prod(len({*t, REST}) for t in targets.values()) > CELLS:
         raise ValueError(f"targets span more than {CELLS} cells")
-    keep = tuple(docs.columns) if keep is None else keep
     keys = [f"mix_{k}" for k in names]
-    drawn = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    marked = written(with_cells(docs, targets, text, tokens).select(*keep, *keys, "mix_tokens", drawn.alias("mix_drawn")), "cells")
+    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    marked = written(docs.select(F.struct(*keep).alias("row"), *_cells(targets, text, tokens), draw.alias("mix_draw")), "cells")
     axes = [list(dict.fromkeys([*t, REST])) for t in targets.values()]
     found = np.zeros([len(a) for a in axes])
     for *cell, n in marked.groupBy(*keys).agg(F.sum("mix_tokens")).collect():  # at most CELLS rows
@@ -113,9 +108,27 @@ def calibrated(
     schema = ", ".join([f"{k} string" for k in keys] + ["mix_weight double", "mix_probability double"])
     table = docs.sparkSession.createDataFrame(rows, schema)
     joined = marked.join(F.broadcast(table), keys, "left").fillna({"mix_weight": max(1.0, fraction), "mix_probability": min(1.0, fraction)})
-    return joined.withColumn("mix_kept", F.col("mix_drawn") < F.col("mix_probability")).select(*keep, *keys, "mix_tokens", "mix_weight", "mix_probability", "mix_kept")
+    return joined.select("row", *keys, "mix_tokens", "mix_weight", "mix_probability", (F.col("mix_draw") < F.col("mix_probability")).alias("mix_kept"))
+
+
+def calibrated(
+    docs: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGETS, text: str = "text", fraction: float = FRACTION,
+    tokens: Column | None = None, id_col: str = "doc_id", seed: int = SEED, keep: tuple[str, ...] = ("doc_id",),
+) -> DataFrame:
+    """The columns in keep with mix_source, mix_lang, mix_topic, mix_tokens, mix_probability, mix_kept and mix_weight, the weight that a
+    kept document carries: what its cell needs over the chance to stay.
+
+    Each row's cell is found once and written with the columns to keep; sums and draws read that table.
+    """
+    drawn = _drawn(docs, targets, text, fraction, tokens, id_col, seed, keep)
+    return drawn.select("row.*", *drawn.columns[1:])
+
+
+def sampled(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGETS, text: str = "text", fraction: float = FRACTION, id_col: str = "doc_id", seed: int = SEED) -> DataFrame:
+    """The drawn rows of docs, with docs' own columns, whatever their names."""
+    return _drawn(docs, targets, text, fraction, None, id_col, seed, tuple(docs.columns)).where("mix_kept").select("row.*")
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = calibrated(read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), keep=("doc_id",))
+    mixed = calibrated(read(spark, sf_dir, "documents"))
     return mixed.withColumns({c: F.round(c, 9) for c in ("mix_weight", "mix_probability")})

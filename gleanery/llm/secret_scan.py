@@ -24,6 +24,8 @@ from .common import read
 
 KINDS = ("assign", "access", "hex", "guess")
 GUESS_BITS = 36.0
+#: What stands in a redacted text for each secret.
+MARK = "[secret]"
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -113,7 +115,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", le
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
-def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]", least_bits: float = GUESS_BITS) -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", mark: str = MARK, least_bits: float = GUESS_BITS) -> DataFrame:
     """docs with every span of its text, overlapping ones together, replaced by mark; all columns stay."""
     place = docs.columns.index(text)
 

@@ -9,7 +9,7 @@ Index: each task's captures, sorted by URL key and timestamp, are a run. Key ran
 keys, and the segments of a range meet in one task, which merges them through a tree of losers. Ranges are in order and so is each
 range: the result is the capture history of all keys. Equal keys and times go by page id.
 
-Defined results: a null html is an empty payload; a null URL is the key "" and an empty target; equal URLs stay separate captures;
+Defined results: a null html is an empty payload; a null page id makes a record without one, a response; a null URL is the key "" and an empty target; equal URLs stay separate captures;
 rows with one page id and one payload are separate records, both of them responses if no larger id has the payload; an empty table
 gives no archive and no row.
 """
@@ -60,7 +60,7 @@ def record(kind: str, page_id: int, url: str | None, when: str, digest: str, pay
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if kind == "response" else b"")
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {when}", f"WARC-Target-URI: {re.sub(r'[\x00-\x20]', '', url or '')}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {when}", f"WARC-Target-URI: {re.sub(r'[\x00-\x20]', '', url or '')}",
         f"WARC-Payload-Digest: sha1:{digest}", f"Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     if kind == "revisit":
@@ -77,7 +77,7 @@ def parse(raw: bytes) -> dict:
     fields = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
     block = rest[: int(fields["content-length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
-    number = lambda x: int(x.removeprefix("<urn:page:").removesuffix(">")) if x else None
+    number = lambda x: int(n) if (n := x.removeprefix("<urn:page:").removesuffix(">")) else None
     named = fields["warc-payload-digest"].removeprefix("sha1:")
     if fields["warc-type"] == "response" and payload_digest(payload) != named:
         raise ValueError(f"record {fields['warc-record-id']} has another payload than its digest says")
@@ -138,6 +138,11 @@ def loser_tree_merge(runs: Sequence[Iterator[T]], key: Callable[[T], object]) ->
             node //= 2
 
 
+def order_of(capture: tuple) -> tuple:
+    """URL key, time, page id; a missing id comes first."""
+    return capture[0], capture[1], -(1 << 63) if capture[2] is None else capture[2]
+
+
 def _with_roles(pages: DataFrame, least_bytes: int) -> DataFrame:
     """(page_id, url, captured_at, html, answer): answer is the page whose record carries the payload, null if it is this one.
 
@@ -186,7 +191,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, file_byt
                     out = None
         if out is not None:
             out.close()
-        captures.sort(key=lambda x: x[:3])
+        captures.sort(key=order_of)
         if captures:
             run = uuid.uuid4().hex
             fields = list(zip(*captures, strict=True))
@@ -214,9 +219,9 @@ def merged_index(runs: DataFrame, ranges: int | None = None) -> DataFrame:
             columns = [c.to_pylist() for c in batch.columns]
             for run, *capture in zip(*columns, strict=True):
                 segments.setdefault(run, []).append(tuple(capture))
-        order = [x if all(a[:3] <= b[:3] for a, b in zip(x, x[1:], strict=False)) else sorted(x, key=lambda y: y[:3]) for x in segments.values()]
+        order = [x if all(order_of(a) <= order_of(b) for a, b in zip(x, x[1:], strict=False)) else sorted(x, key=order_of) for x in segments.values()]
         held, nth = [], 0
-        for capture in loser_tree_merge(order, lambda x: x[:3]):
+        for capture in loser_tree_merge(order, order_of):
             held.append((here, nth, *capture))
             nth += 1
             if len(held) == 10_000:
