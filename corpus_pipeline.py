@@ -15,24 +15,25 @@ from gleanery.llm.common import written
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality.quality_rules(docs, keep=tuple(docs.columns)).where("kept").select(*docs.columns)
+    return quality.passing(docs)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that with the least doc_id."""
-    groups = simhash.near_duplicates(docs)
-    return docs.join(groups.where("doc_id = component_id").select("doc_id").distinct(), "doc_id").select(*docs.columns)
+    """One document of each near-duplicate group: that with the least doc_id, one row of it. Rows without an id stay as they are."""
+    first = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id IS NULL"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets replaced by a mark; n_chars follows the text."""
-    clean = secret_scan.redact(docs)
-    return clean.withColumn("n_chars", F.when(F.contains("text", F.lit("[secret]")), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    marked = F.contains("text", F.lit(secret_scan.MARK))
+    return secret_scan.redact(docs).withColumn("n_chars", F.when(marked, F.length("text").cast("long")).otherwise(F.col("n_chars")))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn by their cell's calibrated probability."""
-    return raking.calibrated(docs).where("mix_kept").select(*docs.columns)
+    return raking.sampled(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
