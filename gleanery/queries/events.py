@@ -1 +1,105 @@
+"""Windows over events, in batch and as streams that must give the same rows."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import code as C
+from ..operators import limits as L
+from ..streaming import events as S
+from .registry import query, table
+
+SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", "user_id", "event_type", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t"))
+
+
+SECONDS = "e AS (SELECT event_id, user_id, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events)"
+ROLLING = "count(*) OVER (PARTITION BY user_id, event_type ORDER BY t RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS n, min(t) OVER (PARTITION BY user_id, event_type ORDER BY t RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS oldest"
+
+
+@query(f"WITH {SECONDS} SELECT event_id, {ROLLING} FROM e")
+def rolling_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.rolling(_events(spark, sf_dir), ["user_id", "event_type"], 86400).select("event_id", "n", "oldest")
+
+
+@query(f"WITH {SECONDS}, r AS (SELECT event_id, {ROLLING} FROM e) SELECT event_id, CASE WHEN n >= 3 THEN oldest + 86400 END AS free_at FROM r")
+def next_available(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.next_available(_events(spark, sf_dir), ["user_id", "event_type"], 86400, 3).select("event_id", "free_at")
+
+
+@query(f"WITH {SECONDS}, s AS (SELECT *, CASE WHEN event_id % 5 = 0 THEN 'running' ELSE 'done' END AS status FROM e) SELECT event_id, CASE WHEN status = 'running' AND t < 1705000000 - 900 THEN 'failed' ELSE status END AS status FROM s")
+def stale_running(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("event_id") % 5 == 0, "running").otherwise("done")
+    return _events(spark, sf_dir).select("event_id", L.shown_status(status, F.col("t"), F.lit(1705000000)).alias("status"))
+
+
+@query("SELECT epoch(time_bucket(INTERVAL 1 DAY, ts))::BIGINT AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
+def daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return e.groupBy(F.unix_timestamp(F.window("ts", "1 day").start).alias("day"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream: a stream reads folders, so the table's parent with a filter for its name."""
+    rows = spark.readStream.schema(SCHEMA).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/event[s].parquet")
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _run(stream: DataFrame, mode: str) -> DataFrame:
+    name = f"stream_{uuid.uuid4().hex}"
+    spark = stream.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or f"/tmp/gleanery-{uuid.uuid4().hex}"
+    return S.finished(stream, name, f"{base.rstrip('/')}/streams/{name}", mode)
+
+
+@query("SELECT epoch(time_bucket(INTERVAL 6 HOUR, ts))::BIGINT AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(S.tumbling(_stream(spark, sf_dir), ["event_type"], "6 hours"), "complete").select(F.unix_timestamp("start").alias("start"), "event_type", "n")
+
+
+@query(
+    """WITH o AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 3 HOUR THEN 0 ELSE 1 END AS new FROM events),
+    s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nth FROM o)
+    SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, CAST(floor(epoch(max(ts) + INTERVAL 3 HOUR)) AS BIGINT) AS "end", count(*) AS n FROM s GROUP BY user_id, nth"""
+)
+def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(S.sessions(_stream(spark, sf_dir), ["user_id"], "3 hours"), "complete").select("user_id", F.unix_timestamp("start").alias("start"), F.unix_timestamp("end").alias("end"), "n")
+
+
+@query("SELECT count(DISTINCT (user_id, event_type)) AS n FROM events")
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct (user, type) of a stream whose state covers it whole: the first of each passes."""
+    first = _run(S.deduplicated(_stream(spark, sf_dir), ["user_id", "event_type"], late="365 days"), "append")
+    return first.agg(F.count("*").alias("n"))
+
+
+@query()
+def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three allowed events of a user in a day; tested against plain Python."""
+    return _run(S.rate_limited(_stream(spark, sf_dir), "user_id", 3, 86400), "append")
+
+
+@query()
+def python_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as if they were source files, by the generic tokenizer; tested against plain Python."""
+    return C.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query(C.sql("pages", "page_id", "html"))
+def generic_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folded code tokens of pages, as counts and a digest of their order."""
+    t = table(spark, sf_dir, "pages").select("page_id", C.generic_tokens(F.col("html")).alias("t"))
+    return t.select("page_id", F.size("t").alias("n_tokens"), F.md5(F.array_join("t", "\x1f")).alias("digest"))
+
+
+@query()
+def sentence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences packed greedily into chunks of at most 120 words; tested against plain Python."""
+    return C.sentence_chunks(table(spark, sf_dir, "documents"), "doc_id", "text")

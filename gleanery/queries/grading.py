@@ -9,7 +9,6 @@ from ..functions import marks as M
 from ..functions import text as T
 from .registry import query, table
 
-DEADLINE = "1998-06-01"
 DEADLINE_SQL = "date_trunc('month', o_orderdate) + INTERVAL 10 DAY"
 
 
@@ -21,8 +20,8 @@ def _submitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.withColumn("deadline", F.date_trunc("month", "at") + F.expr("INTERVAL 10 DAYS"))
 
 
-LATE_SQL = f"""WITH o AS (SELECT o_orderkey, o_totalprice, o_orderdate AS at, CAST(substr(o_orderpriority, 1, 1) AS INT) AS rank, {DEADLINE_SQL} AS deadline FROM orders),
-    s AS (SELECT *, CAST(epoch(at) - epoch(deadline) AS BIGINT) AS a, CAST(epoch(at) - epoch(deadline) AS BIGINT) - 60 * 720 * rank AS over FROM o),
+LATE_SQL = f"""WITH o AS (SELECT o_orderkey, o_totalprice, o_orderdate AS handed, CAST(substr(o_orderpriority, 1, 1) AS INT) AS rank, {DEADLINE_SQL} AS deadline FROM orders),
+    s AS (SELECT *, CAST(epoch(handed) - epoch(deadline) AS BIGINT) AS a, CAST(epoch(handed) - epoch(deadline) AS BIGINT) - 60 * 720 * rank AS over FROM o),
     l AS (SELECT *, CASE WHEN over > 0 THEN a END AS late_seconds,
       CASE WHEN over > 0 AND rank % 2 = 0 THEN least(100.0, round(greatest(0.0, least(ceil(over / 86400.0) * 7.5, 60.0)), 2)) ELSE 0.0 END AS percent,
       CASE WHEN over > 0 AND rank % 2 = 1 THEN round(greatest(0.0, least(ceil(over / 86400.0) * 1000.0, 15000.0)), 2) ELSE 0.0 END AS marks FROM s)"""
@@ -40,16 +39,16 @@ def lateness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _late(spark, sf_dir).select("o_orderkey", "late_seconds", "percent", "marks")
 
 
-@query(LATE_SQL + " SELECT o_orderkey, CASE WHEN percent = 0 AND marks = 0 THEN o_totalprice ELSE round(greatest(o_totalprice * (1 - percent::DOUBLE / 100) - marks::DOUBLE, 0), 2) END AS final_mark FROM l")
+@query(LATE_SQL + " SELECT o_orderkey, CASE WHEN percent = 0 AND marks = 0 THEN o_totalprice ELSE floor(greatest(o_totalprice * (1 - percent::DOUBLE / 100) - marks::DOUBLE, 0) * 100 + 0.5) / 100 END AS final_mark FROM l")
 def final_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _late(spark, sf_dir).select("o_orderkey", M.final_mark(F.col("o_totalprice"), F.col("percent"), F.col("marks")).alias("final_mark"))
 
 
 @query(
-    f"""WITH o AS (SELECT o_orderkey, o_orderdate AS at, CAST(substr(o_orderpriority, 1, 1) AS INT) AS rank, {DEADLINE_SQL} AS deadline FROM orders),
+    f"""WITH o AS (SELECT o_orderkey, o_orderdate AS handed, CAST(substr(o_orderpriority, 1, 1) AS INT) AS rank, {DEADLINE_SQL} AS deadline FROM orders),
     u AS (SELECT *, greatest(deadline + to_minutes(720 * rank), CASE WHEN rank > 3 THEN deadline + INTERVAL 5 DAY END) AS until FROM o)
-    SELECT o_orderkey, CASE WHEN at < deadline - INTERVAL 7 DAY THEN 'upcoming' WHEN at > deadline THEN 'closed' ELSE 'open' END AS status,
-      at >= deadline - INTERVAL 7 DAY AND at <= until AS accepted FROM u"""
+    SELECT o_orderkey, CASE WHEN handed < deadline - INTERVAL 7 DAY THEN 'upcoming' WHEN handed > deadline THEN 'closed' ELSE 'open' END AS status,
+      handed >= deadline - INTERVAL 7 DAY AND handed <= until AS accepted FROM u"""
 )
 def accept_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether work was taken when it came: from a week before the deadline to the end of the grace period or the late date."""
@@ -156,9 +155,9 @@ def term_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("*", F.round(100.0 * F.col("mentioned") / F.col("n")).cast("long").alias("score"), (10 * F.col("mentioned") < 3 * F.col("n")).alias("flagged"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag, l_shipdate, l_linenumber, l_partkey, l_suppkey) = 1""")
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag, l_shipdate, l_linenumber, l_partkey, l_suppkey) = 1""")
 def file_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One file of a submission: by priority, then age, then number."""
     order = Window.partitionBy("l_orderkey").orderBy("l_returnflag", "l_shipdate", "l_linenumber", "l_partkey", "l_suppkey")
     rows = table(spark, sf_dir, "lineitem").withColumn("nth", F.row_number().over(order)).where("nth = 1")
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
