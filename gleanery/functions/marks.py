@@ -40,7 +40,7 @@ def lateness(at: Column, deadline: Column, grace_minutes: Column, unit: Column,
 def final_mark(raw: Column, percent: Column, marks: Column) -> Column:
     """The raw mark less the penalty, at least 0, two digits; untouched without a penalty, null without a mark."""
     taken = F.floor(F.greatest(raw * (1 - percent / 100) - marks, F.lit(0.0)) * 100 + 0.5) / 100
-    return F.when((percent == 0) & (marks == 0), raw).otherwise(taken)
+    return F.when(raw.isNull() | ((percent == 0) & (marks == 0)), raw).otherwise(taken)
 
 
 def exit_status(code: Column) -> Column:
