@@ -23,4 +23,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality.ORACLE_SQL,
+    "op4_warc": warc.ORACLE_SQL,
 }

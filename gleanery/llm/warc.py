@@ -265,10 +265,20 @@ def with_capture_time(pages: DataFrame) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The merged capture history, each capture with its record as read back from the archives at the index's file and offset."""
+    """Each capture of the merged history with its record as read back from the archives at the index's file and offset."""
     folder = fresh_path(spark, "archives")
     index = merged_index(write_archives(with_capture_time(read(spark, sf_dir, "pages").select("page_id", "url", "html")), folder))
     records = read_archives(spark, folder, payloads=False).select("file", "offset", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-    place = index.select("file", "offset", "url_key", "captured_at", "range", "nth")
-    return place.join(records, ["file", "offset"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at", "range", "nth")
-
+    return index.select("file", "offset").join(records, ["file", "offset"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Base32 of a digest: each five hex digits are four characters.
+ORACLE_SQL = """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+    m AS (SELECT html, max(page_id) AS answer FROM p GROUP BY html)
+    SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
+      array_to_string(flatten(list_transform(range(0, 8), lambda g: list_transform([15, 10, 5, 0], lambda s:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((('0x' || substr(h, CAST(5 * g + 1 AS BIGINT), 5))::BIGINT >> s) & 31) + 1 AS BIGINT), 1)))), '') AS payload_digest,
+      CASE WHEN page_id < answer THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < answer THEN answer END AS refers_to
+    FROM p JOIN m USING (html)
+    """
