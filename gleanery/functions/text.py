@@ -36,8 +36,8 @@ def words(text: Column) -> Column:
 def gram_hashes(tokens: Column, k: int = GRAM_WORDS) -> Column:
     """A 64-bit hash, as hex, of each run of k tokens; empty below k tokens."""
 
-    def run(t: Column) -> Column:
-        grams = F.transform(F.sequence(F.lit(1), F.size(t) - k + 1), lambda i: F.substring(F.md5(F.array_join(F.slice(t, i, k), "\x1f")), 1, 16))
+    def run(t: Column) -> Column:  # elements one by one: a slice would copy the whole array for each gram
+        grams = F.transform(F.sequence(F.lit(0), F.size(t) - k), lambda i: F.substring(F.md5(F.concat_ws("\x1f", *(F.get(t, i + j) for j in range(k)))), 1, 16))
         return F.when(F.size(t) < k, F.array().cast("array<string>")).otherwise(grams)
 
     return let(tokens, run)
@@ -47,8 +47,8 @@ def winnow(hashes: Column, window: int = WINNOW_WINDOW, short: bool = True) -> C
     """The distinct least hashes of each window. With fewer hashes than a window: the least one if short, else none."""
 
     def run(h: Column) -> Column:
-        last = F.greatest(F.lit(1), F.size(h) - window + 1)
-        minima = F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.array_min(F.slice(h, i, window))))
+        last = F.greatest(F.lit(0), F.size(h) - window)
+        minima = F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.least(*(F.get(h, i + j) for j in range(window)))))
         too_few = F.size(h) < (1 if short else window)
         return F.when(too_few, F.array().cast("array<string>")).otherwise(minima)
 

@@ -1,7 +1,8 @@
 """Winnowed fingerprints, what a whole cohort shares, and pairs of submissions by what two share.
 
 Submissions of a cohort with the same fingerprint set form a class. Classes are compared, not submissions: a set that thousands hand in
-costs one row per fingerprint, and ``members`` tells who belongs to which class.
+costs one row per fingerprint, and ``members`` tells who belongs to which class. Joins whose sides grow with the corpus ask for a merge, since
+sizes guessed before an explode are far too small for a broadcast.
 """
 
 from __future__ import annotations
@@ -49,17 +50,17 @@ def own(prints: DataFrame) -> DataFrame:
     grouped = classes(prints)
     exploded = grouped.select("cohort", "rep", "copies", F.explode("fps").alias("h"))
     sizes = grouped.groupBy("cohort").agg(F.sum("copies").alias("n"))
-    return exploded.join(common(exploded, sizes), ["cohort", "h"], "left_anti")
+    return exploded.join(common(exploded, sizes).hint("merge"), ["cohort", "h"], "left_anti")
 
 
 def pairs(own_prints: DataFrame) -> DataFrame:
     """(cohort, a, b, copies_a, copies_b, n_a, n_b, shared, jaccard, containment) of the class pairs a < b that share a fingerprint."""
     left = own_prints.select("cohort", "h", F.col("rep").alias("a"))
     right = own_prints.select("cohort", "h", F.col("rep").alias("b"))
-    shared = left.join(right, ["cohort", "h"]).where("a < b").groupBy("cohort", "a", "b").agg(F.count("*").alias("shared"))
+    shared = left.join(right.hint("merge"), ["cohort", "h"]).where("a < b").groupBy("cohort", "a", "b").agg(F.count("*").alias("shared"))
     sizes = own_prints.groupBy("cohort", "rep").agg(F.count("*").alias("n"), F.first("copies").alias("copies"))
     for side in "ab":
-        shared = shared.join(sizes.select("cohort", F.col("rep").alias(side), F.col("n").alias(f"n_{side}"), F.col("copies").alias(f"copies_{side}")), ["cohort", side])
+        shared = shared.join(sizes.select("cohort", F.col("rep").alias(side), F.col("n").alias(f"n_{side}"), F.col("copies").alias(f"copies_{side}")).hint("merge"), ["cohort", side])
     return shared.select(
         "cohort", "a", "b", "copies_a", "copies_b", "n_a", "n_b", "shared",
         share(F.col("shared"), F.col("n_a") + F.col("n_b") - F.col("shared")).alias("jaccard"),

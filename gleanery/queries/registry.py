@@ -22,4 +22,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet")) if name in TEXTS else spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Tables whose rows take long.
+TEXTS = ("documents", "pages")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table that is one small file would be one task: its rows are dealt out to all cores. Tables of more files stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) == 1 and df.rdd.getNumPartitions() < cores else df
