@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,3 +45,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once for each row, however often body uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that operators have written into the shared folder: for when their results have been taken."""
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(shared_dir(spark))
+    if store.get_file_info(f"{path}/gleanery").type == fs.FileType.Directory:
+        store.delete_dir(f"{path}/gleanery")
+
+
+def in_slices(batches: Iterator[pa.RecordBatch], column: int, size: int = 1 << 22) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Batches cut so that a slice's texts have about ``size`` bytes, with the texts as a list: long texts never add up to a batch's
+    ten thousand rows."""
+    for batch in batches:
+        upto = np.cumsum([x or 0 for x in pc.binary_length(batch.column(column)).to_pylist()])
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + size, "right")))
+            part = batch.slice(at, end - at)
+            yield part, part.column(column).to_pylist()
+            at = end

@@ -20,8 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
-from .tokens import in_slices
+from .common import in_slices, read
 
 HIDDEN, WINDOW = 16, 24
 #: Bounds of the training sample.

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import in_slices, read
 
 #: A-Z become lower case; all but letters, digits and what isn't ASCII becomes a blank. Works on UTF-8 bytes.
 FOLD = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)).lower()
@@ -177,9 +177,9 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates)
-        for batch in batches:
+        for batch, texts in in_slices(batches, 1):
             n, base, found = [], [], []
-            for value in batch.column(1).to_pylist():
+            for value in texts:
                 folded = (value or "").encode("utf-8", "surrogatepass").translate(FOLD)
                 words = folded.split()
                 n.append(len(words))

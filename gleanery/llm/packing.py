@@ -21,8 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, written
-from .tokens import encoder, in_slices, vocabulary_path
+from .common import in_slices, read, written
+from .tokens import encoder, vocabulary_path
 
 CONTEXT, CLOSING = 1024, 2
 

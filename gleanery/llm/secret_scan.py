@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import in_slices, read
 
 KINDS = ("assign", "access", "hex", "guess")
 GUESS_BITS = 36.0
@@ -107,8 +107,8 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", le
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
-            found = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in find_spans(t, least_bits)] for t in batch.column(1).to_pylist()]
+        for batch, texts in in_slices(batches, 1):
+            found = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in find_spans(t, least_bits)] for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], ["doc_id", "spans"])
 
     schema = "doc_id long, spans array<struct<kind:string,start:long,end:long>>"
@@ -131,8 +131,8 @@ def redact(docs: DataFrame, text: str = "text", mark: str = MARK, least_bits: fl
         return "".join([*out, value[done:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cleaned = pa.array([clean(t) for t in batch.column(place).to_pylist()], batch.schema.field(place).type)
+        for batch, texts in in_slices(batches, place):
+            cleaned = pa.array(map(clean, texts), batch.schema.field(place).type)
             yield pa.RecordBatch.from_arrays([cleaned if i == place else c for i, c in enumerate(batch.columns)], schema=batch.schema)
 
     return docs.mapInArrow(run, docs.schema)

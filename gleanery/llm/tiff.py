@@ -21,8 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
-from .tokens import in_slices
+from .common import in_slices, read
 
 WIDTH, PAGE_ROWS, TILE_ROWS = 64, 1024, 256
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773

@@ -15,11 +15,10 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, written
+from .common import in_slices, read, written
 
 VOCABULARY = "byte_bpe_50k.json"
 #: The end of a line and the word that begins the next, each with a stop or comma at most: the pre-tokenizer cuts between the groups.
@@ -115,18 +114,6 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def in_slices(batches: Iterator[pa.RecordBatch], column: int, chars: int = 1 << 22) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Batches cut so that a slice's texts have about ``chars`` bytes, with the text column as a list."""
-    for batch in batches:
-        sizes = np.cumsum([0 if x is None else x for x in pc.binary_length(batch.column(column)).to_pylist()] or [0])
-        at = 0
-        while at < batch.num_rows:
-            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + chars, "right")))
-            part = batch.slice(at, end - at)
-            yield part, part.column(column).to_pylist()
-            at = end
-
-
 def token_lengths(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """(n_tokens) for each row."""
 
