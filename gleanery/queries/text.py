@@ -94,7 +94,7 @@ def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page-number lines go, words hyphenated across lines are rejoined, white space collapses."""
     number = r"(?i)^((page\s*)?[0-9]{1,4}(\s*(of|/)\s*[0-9]{1,4})?|[-–—]\s*[0-9]{1,4}\s*[-–—]|[ivxlcdm]{1,6})$"
-    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: F.length(x) > 0)
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
     kept = table(spark, sf_dir, "documents").select("doc_id", let(lines, lambda x: F.struct(F.size(x).alias("n"), F.filter(x, lambda y: ~y.rlike(number)).alias("k"))).alias("l"))
     joined = F.regexp_replace(F.array_join("l.k", "\n"), r"([\p{L}\p{N}_])-\n([\p{L}\p{N}_])", "$1$2")
     return kept.select("doc_id", (F.col("l.n") - F.size("l.k")).alias("n_removed"), F.regexp_replace(joined, r"\s+", " ").alias("cleaned"))

@@ -72,9 +72,9 @@ def semantic_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("a", "b", level.alias("level"))
 
 
-@query(f"""WITH {SQL_CHUNKS}, x AS (SELECT owner, w, unnest(range(0, 64)) AS dim, unnest(embedding) AS x FROM e JOIN embeddings USING (vec_id)) SELECT owner, dim::INT AS dim, round(sum(w * x::DOUBLE) / sum(w), 6) AS mean FROM x GROUP BY owner, dim""")
+@query(f"""WITH {SQL_CHUNKS}, x AS (SELECT owner, w, unnest(range(0, 64)) AS dim, unnest(embedding) AS x FROM e JOIN embeddings USING (vec_id)) SELECT owner, dim::INT AS dim, round(sum(w * x::DOUBLE) / sum(w), 6) + 0.0 AS mean FROM x GROUP BY owner, dim""")
 def doc_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.document_vector(_chunks(spark, sf_dir), "owner", "embedding", "w").withColumn("mean", F.round("mean", DIGITS))
+    return C.document_vector(_chunks(spark, sf_dir), "owner", "embedding", "w").withColumn("mean", F.round("mean", DIGITS) + 0.0)
 
 
 @query("""SELECT vec_id, len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64 AND list_sum(list_transform(embedding, lambda x: x * x)) > 0 AS valid FROM embeddings""")
@@ -82,8 +82,8 @@ def vector_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", V.valid(F.col("embedding"), 64).alias("valid"))
 
 
-@query(f"WITH {SQL_CHUNKS} SELECT x.vec_id AS a, y.vec_id AS b, round(list_sum(list_transform(list_zip(x.v, y.v), lambda z: z[1] * z[2])), 6) AS cosine FROM u x JOIN u y ON x.owner = y.owner AND x.vec_id < y.vec_id")
+@query(f"WITH {SQL_CHUNKS} SELECT x.vec_id AS a, y.vec_id AS b, round(list_sum(list_transform(list_zip(x.v, y.v), lambda z: z[1] * z[2])), 6) + 0.0 AS cosine FROM u x JOIN u y ON x.owner = y.owner AND x.vec_id < y.vec_id")
 def chunk_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = _chunks(spark, sf_dir).select("owner", "vec_id", V.unit(F.col("embedding")).alias("v"))
     left, right = u.select("owner", F.col("vec_id").alias("a"), F.col("v").alias("va")), u.select("owner", F.col("vec_id").alias("b"), F.col("v").alias("vb"))
-    return left.join(right, "owner").where("a < b").select("a", "b", F.round(V.dot(F.col("va"), F.col("vb")), DIGITS).alias("cosine"))
+    return left.join(right, "owner").where("a < b").select("a", "b", (F.round(V.dot(F.col("va"), F.col("vb")), DIGITS) + 0.0).alias("cosine"))
