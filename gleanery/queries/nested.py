@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import total
 from ..sources import files
 from .registry import query, table
 
@@ -32,7 +33,7 @@ def criteria_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH r AS (SELECT vec_id // 20 AS report, vec_id % 20 AS i, CAST(round(embedding[1] * 1000000) AS BIGINT) AS v FROM embeddings), n AS (SELECT report, count(*) AS n, sum(v) AS full_sum FROM r GROUP BY 1),
     s AS (SELECT report, n, full_sum, m, unnest(range(0, least(n, m))) AS j FROM n, (VALUES (2), (4), (8)) t(m)), p AS (SELECT s.report, s.n, full_sum, m, CASE WHEN s.n <= m THEN j ELSE j * s.n // m END AS i FROM s),
-    d AS (SELECT p.report, m, CAST(floor(abs(sum(v) / count(*) - any_value(full_sum) / any_value(n))) AS BIGINT) AS delta FROM p JOIN r USING (report, i) GROUP BY p.report, m)
+    d AS (SELECT p.report, m, CAST(floor(abs(sum(v) * any_value(p.n) - any_value(full_sum) * count(*)) / (count(*) * any_value(p.n))) AS BIGINT) AS delta FROM p JOIN r USING (report, i) GROUP BY p.report, m)
     SELECT m::INT AS max_chunks, sum(delta)::BIGINT AS total_delta, max(delta) AS max_delta, count(*) AS reports FROM d GROUP BY m""")
 def chunk_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far a report's mean over 2, 4 or 8 spread chunks lies from the mean over all, in millionths."""
@@ -42,8 +43,8 @@ def chunk_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = packed.select("report", "v", F.size("v").alias("n"), F.explode(F.array(*map(F.lit, (2, 4, 8)))).alias("max_chunks"))
     places = F.transform(F.sequence(F.lit(0), F.least("n", "max_chunks") - 1), lambda j: F.when(F.col("n") <= F.col("max_chunks"), j).otherwise(F.floor(j * F.col("n") / F.col("max_chunks")).cast("int")))
     picked = F.transform(places, lambda i: F.get("v", i))
-    mean = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x) / F.size(a)
-    d = each.select("max_chunks", F.floor(F.abs(mean(picked) - mean(F.col("v")))).alias("delta"))
+    gap = total(picked) * F.size("v") - total(F.col("v")) * F.size(picked)  # of whole numbers, so the quotient's floor is exact
+    d = each.select("max_chunks", F.floor(F.abs(gap) / (F.size("v") * F.size(picked))).alias("delta"))
     return d.groupBy("max_chunks").agg(F.sum("delta").alias("total_delta"), F.max("delta").alias("max_delta"), F.count("*").alias("reports"))
 
 
