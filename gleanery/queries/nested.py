@@ -31,13 +31,13 @@ def criteria_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("l_orderkey", F.array_join(named, ",").alias("criteria"), F.aggregate("c", F.lit(0).cast("long"), lambda s, x: s + points(x)).alias("total"))
 
 
-@query("""WITH r AS (SELECT vec_id // 20 AS report, vec_id % 20 AS i, CAST(round(embedding[1] * 1000000) AS BIGINT) AS v FROM embeddings), n AS (SELECT report, count(*) AS n, sum(v) AS full_sum FROM r GROUP BY 1),
+@query("""WITH r AS (SELECT vec_id // 20 AS report, vec_id % 20 AS i, CAST(floor(CAST(embedding[1] AS DOUBLE) * 1000000) AS BIGINT) AS v FROM embeddings), n AS (SELECT report, count(*) AS n, sum(v) AS full_sum FROM r GROUP BY 1),
     s AS (SELECT report, n, full_sum, m, unnest(range(0, least(n, m))) AS j FROM n, (VALUES (2), (4), (8)) t(m)), p AS (SELECT s.report, s.n, full_sum, m, CASE WHEN s.n <= m THEN j ELSE j * s.n // m END AS i FROM s),
     d AS (SELECT p.report, m, CAST(floor(abs(sum(v) * any_value(p.n) - any_value(full_sum) * count(*)) / (count(*) * any_value(p.n))) AS BIGINT) AS delta FROM p JOIN r USING (report, i) GROUP BY p.report, m)
     SELECT m::INT AS max_chunks, sum(delta)::BIGINT AS total_delta, max(delta) AS max_delta, count(*) AS reports FROM d GROUP BY m""")
 def chunk_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far a report's mean over 2, 4 or 8 spread chunks lies from the mean over all, in millionths."""
-    v = F.round(F.get("embedding", F.lit(0)).cast("double") * 1_000_000).cast("long")
+    v = F.floor(F.get("embedding", F.lit(0)).cast("double") * 1_000_000)
     r = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 20).alias("report"), (F.col("vec_id") % 20).alias("i"), v.alias("v"))
     packed = r.groupBy("report").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("v"))
     each = packed.select("report", "v", F.size("v").alias("n"), F.explode(F.array(*map(F.lit, (2, 4, 8)))).alias("max_chunks"))
