@@ -175,7 +175,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     found = connected_components(links(nodes.select("fp"), refs, cell), "simhash")
     named = nodes.join(found, nodes["fp"] == found["node"]).select("fp", "root", "first_id")
     least = named.groupBy("root").agg(F.min("first_id").alias("least_id"))
-    linked = named.join(least, "root").select("fp", "least_id")
+    # written, as all rows of a root come from one task: from a table they are dealt out evenly again
+    linked = written(named.join(least, "root").select("fp", "least_id"), "simhash-linked")
     # written, so that the join below deals both sides anew and Spark can split a fingerprint that a third of all rows share
     ids = written(nodes.join(linked, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id")), "simhash-ids")
     return marked.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
