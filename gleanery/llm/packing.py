@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import in_slices, read, written
-from .tokens import encoder, vocabulary_path
+from .tokens import SLICE, encoder, vocabulary_path
 
 CONTEXT, CLOSING = 1024, 2
 
@@ -42,9 +42,9 @@ def pieces(docs: DataFrame, path: str, context: int = CONTEXT, id_col: str = "do
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = np.zeros(context + 1, np.int64)
         run = TaskContext.get().partitionId()
-        for batch, texts in in_slices(batches, 1):
+        for batch, _ in in_slices(batches, 1, SLICE):
             out: list[tuple] = []
-            for i, ids in enumerate(encoder(path)(texts)):
+            for i, ids in enumerate(encoder(path)(batch.column(1))):
                 ids += closing
                 for k, (start, length) in enumerate(cut_points(len(ids) // 4, context)):
                     out.append((i, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), made[length]))

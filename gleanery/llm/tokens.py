@@ -1,8 +1,8 @@
 """Token ids of whole texts, and the exact length histogram that answers token counts for every context limit.
 
-A byte-level BPE never joins what a single blank parts from the next word, so a text is cut before each blank and every distinct
-piece is encoded once by each Python worker; the pieces' ids side by side are the text's ids. A text with two blanks in a row or a
-blank at its end is encoded whole.
+A byte-level BPE never joins what a single blank parts from the next word, so texts are cut before each blank (by Arrow), every distinct
+piece is encoded once by each Python worker, and the pieces' ids side by side (laid out by numpy) are the text's ids. A text with two
+blanks in a row or a blank at its end is encoded whole.
 """
 
 from __future__ import annotations
@@ -11,10 +11,10 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +23,8 @@ from .common import in_slices, read, written
 VOCABULARY = "byte_bpe_50k.json"
 #: The end of a line and the word that begins the next, each with a stop or comma at most: the pre-tokenizer cuts between the groups.
 LINED = re.compile(r"([^\W\d_]+)([.,]?)\n([^\W\d_]+)([.,]?)")
+#: Bytes of text that are encoded together: the more, the fewer distinct pieces come to Python.
+SLICE = 1 << 23
 #: Distinct pieces that a worker remembers before it starts anew; those met again since the last start stay.
 REMEMBERED = 400_000
 
@@ -67,41 +69,85 @@ class Encoder:
             raw, edges = ids.tobytes(), [-4, *(4 * np.flatnonzero(ids == self.feed)).tolist(), 4 * len(ids)]
             known.update(zip(part, [raw[a + 4 : b] for a, b in zip(edges, edges[1:], strict=False)], strict=True))
 
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        """known: the ids of " " + piece by piece; bare: of words that begin a line; a text's first piece, which no blank precedes, is
-        encoded each time. When they grow too large they become old, from which pieces that are met again return."""
+    def _known_ids(self, pieces: list[str]) -> list[bytes]:
+        """The ids of " " + piece, for distinct pieces. When known and bare grow too large they become old, from which pieces that are
+        met again return."""
         if len(self.known) + len(self.bare) > self.remembered:
             self.old = {"known": self.known, "bare": self.bare}
             self.known, self.bare = {}, {}
         known, old = self.known, self.old["known"]
-        cut = [(text or "").split(" ") for text in texts]
-        whole = [not all(pieces[1:]) for pieces in cut]
-        new = set().union(*(pieces[1:] for pieces, w in zip(cut, whole, strict=True) if not w)).difference(known)
-        again = new.intersection(old)
-        known.update((x, old[x]) for x in again)
-        known[""] = b""  # itemgetter gives a tuple of two or more only
-        # a new piece mostly is a known word with a stop or comma, or the end of a line and a word: only new words are encoded
-        marked, lined, hard, words, heads_of = [], [], [], set(), set()
-        for piece in new.difference(again) if again else new:
+        new = [x for x in pieces if x not in known]
+        if old:
+            known.update([(x, old[x]) for x in new if x in old])
+            new = [x for x in new if x not in known]
+        # most new pieces are words; many others are the end of a line and a word, whose parts are known or encoded as words
+        lined, hard, words, heads = [], [], set(), set()
+        for piece in new:
             if piece.isalpha():
                 words.add(piece)
-            elif piece[-1] in ".," and piece[:-1].isalpha():
-                words.add(piece[:-1])
-                marked.append(piece)
             elif m := LINED.fullmatch(piece):
                 lined.append((piece, *m.groups()))
                 words.add(m[1])
-                heads_of.add(m[3])
+                heads.add(m[3])
             else:
                 hard.append(piece)
         known.update(zip(hard, self._encode([" " + x for x in hard]), strict=True))
         self._learn("known", list(words.difference(known)), " ")
-        self._learn("bare", list(heads_of.difference(self.bare)), "")
+        self._learn("bare", list(heads.difference(self.bare)), "")
         marks, bare = self.marks, self.bare
-        known.update([(x, known[x[:-1]] + marks[x[-1]]) for x in marked])
         known.update([(x, b"".join((known[first], marks[mark], marks["\n"], bare[second], marks[mark_2]))) for x, first, mark, second, mark_2 in lined])
-        heads = self._encode([(text or "") if w else pieces[0] for text, pieces, w in zip(texts, cut, whole, strict=True)])
-        return [head if w or len(pieces) == 1 else b"".join((head, *itemgetter(*pieces[1:], "")(known))) for head, pieces, w in zip(heads, cut, whole, strict=True)]
+        return [known[x] for x in pieces]
+
+    def arrays(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends): the ids of all texts side by side, and where each text's end.
+
+        Arrow cuts the texts at blanks, numbers the distinct pieces and takes a stop or comma off words, so Python sees each word once;
+        numpy lays the ids of words and marks out. The first piece of a text, which no blank precedes, is encoded by itself; a text
+        with two blanks in a row or one at its end is encoded whole in place of its first piece.
+        """
+        texts = texts.cast(pa.large_string()).fill_null("")
+        cut = pc.split_pattern(texts, " ")
+        edges = cut.offsets.to_numpy()
+        edges, pieces = edges - edges[0], cut.flatten()
+        first = edges[:-1]
+        empty = np.flatnonzero(pc.equal(pc.binary_length(pieces), 0).to_numpy(zero_copy_only=False))
+        whole = np.unique(np.searchsorted(edges, np.setdiff1d(empty, first), "right") - 1)
+        heads = pieces.take(pa.array(first)).to_pylist()
+        for i in whole.tolist():
+            heads[i] = texts[i].as_py()
+        coded = pc.dictionary_encode(pieces)
+        distinct = coded.dictionary
+        bare = pc.utf8_rtrim(distinct, characters=".,")
+        off = pc.subtract(pc.binary_length(distinct), pc.binary_length(bare))
+        marked = pc.and_(pc.equal(off, 1), pc.utf8_is_alpha(bare))
+        stems = pc.dictionary_encode(pc.if_else(marked, bare, distinct))
+        # parts: the stems, nothing, a stop, a comma, the heads; each distinct piece is two of them
+        words, nothing = self._known_ids(stems.dictionary.to_pylist()), len(stems.dictionary)
+        parts = [*words, b"", self.marks["."], self.marks[","], *self._encode(heads)]
+        pair = np.full((len(distinct) + 1, 2), nothing)
+        pair[:-1, 0] = stems.indices.to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(marked.to_numpy(zero_copy_only=False))
+        pair[at, 1] = nothing + np.where(pc.ends_with(distinct, ".").to_numpy(zero_copy_only=False)[at], 1, 2)
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        for i in whole.tolist():
+            codes[edges[i] : edges[i + 1]] = len(distinct)
+        codes = pair[codes]
+        codes[first, 0], codes[first, 1] = nothing + 3 + np.arange(len(first)), nothing
+        codes = codes.ravel()
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        starts = np.cumsum(lengths) - lengths
+        table, n = np.frombuffer(b"".join(parts), "<u4"), lengths[codes]
+        upto = np.cumsum(n)
+        ids = table[np.repeat(starts[codes] - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)]
+        return ids, upto[2 * edges[1:] - 1] if len(upto) else np.zeros(0, np.int64)
+
+    def __call__(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        ids, ends = self.arrays(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts)
+        raw, edges = ids.tobytes(), [0, *(4 * ends).tolist()]
+        return [raw[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+
+    def lengths(self, texts: pa.Array) -> np.ndarray:
+        return np.diff(self.arrays(texts)[1], prepend=0)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -118,8 +164,8 @@ def token_lengths(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """(n_tokens) for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in in_slices(batches, 0):
-            yield pa.RecordBatch.from_arrays([pa.array([len(x) // 4 for x in encoder(path)(texts)], pa.int64())], ["n_tokens"])
+        for part, _ in in_slices(batches, 0, SLICE):
+            yield pa.RecordBatch.from_arrays([pa.array(encoder(path).lengths(part.column(0)), pa.int64())], ["n_tokens"])
 
     return docs.select(F.col(text).alias("text")).mapInArrow(run, "n_tokens long")
 
