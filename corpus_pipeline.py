@@ -32,7 +32,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn by their cell's calibrated probability."""
+    """Documents as often as their cell needs them to meet the target margins: some not at all, those of sparse cells several times."""
     return raking.sampled(docs)
 
 

@@ -5,7 +5,8 @@ values they give a share to, and all others of a margin fall under ``REST``, so
 (languages + 1) * (topics + 1) entries, set by the targets and not by the corpus (CELLS bounds the product). Fitting scales that table
 to each margin in turn until all margins hold. A cell's weight is its fitted tokens over its found ones. Where that is below 1 it is the
 chance of the cell's documents to stay; where it is above, all stay and carry the weight on. So kept tokens times their weights have
-the target margins in expectation. A document's fate is a hash of its id: a lost task draws the same sample again.
+the target margins in expectation. A document's fate is a hash of its id: a lost task draws the same sample again. ``sampled`` has no
+weight to carry: there a row comes as often as its cell needs it, so a sparse cell's documents come several times.
 
 Defined results: a null source or language counts under ``REST``; a null text has no token and its cell's chance; repeated rows share
 one fate; targets of values that no document has are spread over the others in proportion; an empty table gives an empty result. Other
@@ -91,7 +92,7 @@ def _cells(targets: Mapping[str, Mapping[str, float]], text: str, tokens: Column
 def _drawn(
     docs: DataFrame, targets: Mapping[str, Mapping[str, float]], text: str, fraction: float, tokens: Column | None, id_col: str, seed: int, keep: tuple[str, ...],
 ) -> DataFrame:
-    """row (the columns in keep, as one struct), the cell, mix_tokens, mix_weight, mix_probability and mix_kept."""
+    """row (the columns in keep, as one struct), the cell, mix_tokens, mix_weight, mix_probability, mix_draw and mix_kept."""
     names = list(targets)
     if prod(len({*t, REST}) for t in targets.values()) > CELLS:
         raise ValueError(f"targets span more than {CELLS} cells")
@@ -108,7 +109,7 @@ def _drawn(
     schema = ", ".join([f"{k} string" for k in keys] + ["mix_weight double", "mix_probability double"])
     table = docs.sparkSession.createDataFrame(rows, schema)
     joined = marked.join(F.broadcast(table), keys, "left").fillna({"mix_weight": max(1.0, fraction), "mix_probability": min(1.0, fraction)})
-    return joined.select("row", *keys, "mix_tokens", "mix_weight", "mix_probability", (F.col("mix_draw") < F.col("mix_probability")).alias("mix_kept"))
+    return joined.select("row", *keys, "mix_tokens", "mix_weight", "mix_probability", "mix_draw", (F.col("mix_draw") < F.col("mix_probability")).alias("mix_kept"))
 
 
 def calibrated(
@@ -121,12 +122,16 @@ def calibrated(
     Each row's cell is found once and written with the columns to keep; sums and draws read that table.
     """
     drawn = _drawn(docs, targets, text, fraction, tokens, id_col, seed, keep)
-    return drawn.select("row.*", *drawn.columns[1:])
+    return drawn.drop("mix_draw").select("row.*", *[c for c in drawn.columns[1:] if c != "mix_draw"])
 
 
 def sampled(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGETS, text: str = "text", fraction: float = FRACTION, id_col: str = "doc_id", seed: int = SEED) -> DataFrame:
-    """The drawn rows of docs, with docs' own columns, whatever their names."""
-    return _drawn(docs, targets, text, fraction, None, id_col, seed, tuple(docs.columns)).where("mix_kept").select("row.*")
+    """The rows of docs as often as their cell needs them, with docs' own columns, whatever their names: the whole part of the need
+    for each row, and once more by the row's draw on the rest. So the rows' own tokens meet the margins, without a weight."""
+    drawn = _drawn(docs, targets, text, fraction, None, id_col, seed, tuple(docs.columns))
+    need = F.col("mix_weight") * F.col("mix_probability")
+    times = (F.floor(need) + (F.col("mix_draw") < need - F.floor(need)).cast("int")).cast("int")
+    return drawn.select("row", F.explode(F.array_repeat(F.lit(0), times))).select("row.*")
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

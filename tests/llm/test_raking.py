@@ -63,6 +63,23 @@ def test_sampled_margins(spark):
     assert again == {r["doc_id"]: r["mix_kept"] for r in got}  # a lost task draws the same
 
 
+def test_sampled_rows_meet_margins_unweighted(spark):
+    """A hot source with two thirds of the rows, and a topic that needs more than it has."""
+    rows = [(i, "word " * (i % 7 + 1) + ("license" if i % 11 == 0 else ""), ["en", "de"][i % 2], "hot" if i // 2 % 3 else "cold") for i in range(12000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    targets = {"source": {"hot": 0.2, "cold": 0.8}, "lang": {"en": 0.6, "de": 0.4}, "topic": {"prose": 0.7, "legal": 0.3}}
+    got = raking.sampled(docs, targets).collect()
+    tokens = {"source": {}, "lang": {}, "topic": {}}
+    for r in got:
+        n = len(r.text.split())
+        for name, x in (("source", r.source), ("lang", r.lang), ("topic", "legal" if "license" in r.text else "prose")):
+            tokens[name][x] = tokens[name].get(x, 0) + n
+    all_in, all_out = sum(len(r[1].split()) for r in rows), sum(tokens["source"].values())
+    assert abs(all_out / all_in - 1) < 0.05
+    assert all(abs(tokens[name][x] / all_out - share) < 0.02 for name, goal in targets.items() for x, share in goal.items())
+    assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in raking.sampled(docs.repartition(7), targets).collect())
+
+
 def test_edges(edges, nothing):
     got = raking.calibrated(edges).collect()
     assert len(got) == edges.count()
