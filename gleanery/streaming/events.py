@@ -5,13 +5,22 @@ Times are event time; ``late`` is how long state waits for rows that come out of
 
 from __future__ import annotations
 
+import heapq
+import tempfile
 from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+#: Events of a key that a task sorts at once, and that it gives back at once.
+RUN, GIVEN = 1 << 20, 10_000
+#: Stands for a null id where rows are numbers.
+NO_ID = (1 << 63) - 1
+
+
 def event_stream(spark: SparkSession, folder: str, schema: str, ts: str = "ts") -> DataFrame:
     """Parquet files that arrive in a folder, the time column as a timestamp."""
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 100).parquet(folder)
@@ -37,10 +46,38 @@ def sessions(events: DataFrame, keys: list[str], gap: str, ts: str = "ts", late:
     return events.withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "n")
 
 
+def in_order(batches: Iterator, columns: list[str], size: int = RUN) -> Iterator[tuple[int, ...]]:
+    """The rows of a key's batches as whole numbers, sorted: runs of about ``size`` rows are sorted and laid into the task's temp folder, then
+    merged, so a key of any size takes the memory of one run."""
+    import numpy as np
+
+    def sort(parts: list) -> np.ndarray:
+        rows = np.concatenate(parts)
+        return rows[np.lexsort(rows.T[::-1])]
+
+    def read(path: str, n: int) -> Iterator[tuple[int, ...]]:
+        for at in range(0, n, GIVEN):  # a read of its own each time: no run keeps a file open
+            yield from map(tuple, np.fromfile(path, np.int64, min(GIVEN, n - at) * len(columns), offset=at * 8 * len(columns)).reshape(-1, len(columns)).tolist())
+
+    with tempfile.TemporaryDirectory() as folder:
+        runs, parts, held = [], [], 0
+        for batch in batches:
+            parts.append(batch[columns].to_numpy(np.int64))
+            held += len(batch)
+            if held >= size:
+                path = f"{folder}/{len(runs)}"
+                sort(parts).tofile(path)
+                runs.append(read(path, held))
+                parts, held = [], 0
+        last = map(tuple, sort(parts).tolist()) if parts else iter(())
+        yield from heapq.merge(*runs, last)
+
+
 def rate_limited(events: DataFrame, key: str, most: int, seconds: int, event_id: str = "event_id", ts: str = "ts", late: str = "1 hour") -> DataFrame:
     """(event_id, key, allowed): whether the key had fewer than ``most`` allowed events in the ``seconds`` before, as events come.
 
-    State: the times of the allowed events that still count, at most ``most`` numbers a key; it is dropped when they have expired.
+    State: the times of the allowed events that still count, at most ``most`` numbers a key; it is dropped when they have expired. A key's
+    events are walked in order of time and id, never held at once; one key is one task, since each decision needs those before.
     """
     import pandas as pd
 
@@ -49,28 +86,49 @@ def rate_limited(events: DataFrame, key: str, most: int, seconds: int, event_id:
             state.remove()
             return
         times = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["t", event_id])
-        allowed = []
-        for t in rows["t"]:
-            times = [x for x in times if t - x < seconds]
-            allowed.append(len(times) < most)
-            if allowed[-1]:
-                times.append(int(t))
+        rows = in_order(batches, ["t", event_id])
+        while part := list(islice(rows, GIVEN)):
+            allowed = []
+            for t, _ in part:
+                times = [x for x in times if t - x < seconds]
+                allowed.append(len(times) < most)
+                if allowed[-1]:
+                    times.append(t)
+            yield pd.DataFrame({event_id: [i for _, i in part], key: k[0], "allowed": allowed})
         state.update((times,))
         if times:
             state.setTimeoutTimestamp(max((times[-1] + seconds) * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({event_id: rows[event_id], key: k[0], "allowed": allowed})
 
-    marked = events.withWatermark(ts, late).select(key, event_id, ts, F.unix_timestamp(ts).alias("t"))
-    return marked.groupBy(key).applyInPandasWithState(decide, f"{event_id} long, {key} long, allowed boolean", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    marked = events.withWatermark(ts, late).select(key, F.coalesce(F.col(event_id), F.lit(NO_ID)).alias(event_id), ts, F.unix_timestamp(ts).alias("t"))
+    decided = marked.groupBy(key).applyInPandasWithState(decide, f"{event_id} long, {key} long, allowed boolean", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    return decided.withColumn(event_id, F.nullif(F.col(event_id), F.lit(NO_ID)))
 
 
 def finished(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there now and returns what it gave; the checkpoint makes a second run go on from there."""
-    spark = stream.sparkSession
-    done = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Runs a stream over what is there now and returns what it has given; the checkpoint makes a second run go on from there.
+
+    Executors write the rows as Parquet beside the checkpoint, so none pass through the driver. In complete mode each batch is written
+    with its number over the last but one, and the rows of the greatest number count: a batch that fails leaves the one before.
+    """
+    spark, path = stream.sparkSession, f"{checkpoint}-rows"
+    schema, number = stream.schema, "batch_number"
+    writer = stream.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+    def version(batch: DataFrame, n: int) -> None:
+        batch.withColumn(number, F.lit(n).cast("long")).write.mode("overwrite").parquet(f"{path}/v{n % 2}")
+
+    done = writer.foreachBatch(version).start() if mode == "complete" else writer.format("parquet").option("path", path).start()
     done.awaitTermination()
-    return spark.table(name)
+    try:
+        if mode != "complete":
+            return spark.read.schema(schema).parquet(path)
+        rows = spark.read.option("recursiveFileLookup", "true").parquet(path)
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)  # no batch has run
+    last = rows.agg(F.max(number)).first()[0]
+    return rows.where(F.col(number) == F.lit(last)).drop(number)
 
 
 def upsert(stream: DataFrame, path: str, keys: list[str], order: str, checkpoint: str) -> None:

@@ -221,6 +221,27 @@ def test_rate_limit_equals_plain_python(spark, sf):
     assert got == want
 
 
+def test_rate_limit_holds_one_run_of_a_key():
+    import pandas as pd
+
+    rows = [(i * 7919 % 1000, i) for i in range(2500)]
+    batches = (pd.DataFrame(rows[at : at + 40], columns=["t", "event_id"]) for at in range(0, 2500, 40))
+    assert list(S.in_order(batches, ["t", "event_id"], 100)) == sorted(rows)
+    assert list(S.in_order(iter(()), ["t", "event_id"])) == []
+
+
+def test_stream_rows_are_written_not_gathered(spark, tmp_path):
+    src, schema = str(tmp_path / "in"), "event_id long, ts timestamp"
+    for part in range(2):
+        spark.createDataFrame([(i, dt.datetime(2024, 1, 1, i % 5)) for i in range(part * 10, part * 10 + 10)], schema).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).parquet(src)
+        plain = S.finished(stream, "plain_rows", str(tmp_path / "cp1"))
+        counts = S.finished(S.tumbling(stream, [], "1 hour"), "counted", str(tmp_path / "cp2"), "complete")
+        assert plain.inputFiles() and counts.inputFiles()
+        assert sorted(r.event_id for r in plain.collect()) == list(range(part * 10 + 10))
+        assert sorted(r.n for r in counts.collect()) == [2 * part + 2] * 5
+
+
 def test_stream_upsert(spark, tmp_path):
     src = str(tmp_path / "in")
     schema = "k long, t long, v string"
