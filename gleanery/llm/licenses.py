@@ -27,7 +27,50 @@ FOLD = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)).lowe
 #: Phrases whose places are counted, and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Wording of public licenses and of the notices that name them, by label.
+#: Wording that licenses share.
+MIT_GRANT = (
+    "permission is hereby granted free of charge to any person obtaining a copy of this <<var:6>> and associated documentation files "
+    "<<optional>>the <<var:3>><</optional>> to deal in <<var:4>> without restriction including without limitation the rights to use "
+    "copy modify merge publish distribute sublicense and or sell copies of"
+)
+MIT_PERSONS = "the <<var:3>> and to permit persons to whom the <<var:3>> is furnished to do so"
+MIT_NOTICE = (
+    "subject to the following conditions the above copyright notice and this permission notice <<optional>>including the next "
+    "paragraph<</optional>> shall be included in all copies or substantial portions of the <<var:3>>"
+)
+AS_IS = (
+    "the <<var:3>> is provided as is without warranty of any kind express or implied including but not limited to the warranties of "
+    "merchantability fitness for a particular purpose and noninfringement in no event shall <<var:12>> be liable for any claim damages or "
+    "other liability whether in an action of contract tort or otherwise arising from out of or in connection with the <<var:3>> or the use "
+    "or other dealings in the <<var:3>>"
+)
+ISC_GRANT = "permission to use copy modify and <<optional>>or<</optional>> distribute this software for any purpose with or without fee is hereby granted"
+ISC_AS_IS = (
+    "the software is provided as is and <<var:8>> disclaims all warranties with regard "
+    " to this software including all implied warranties of merchantability and fitness in no event shall <<var:8>> be liable for any "
+    "special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an "
+    "action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"
+)
+ISC_AS_IS_FORMS = (ISC_AS_IS, ISC_AS_IS.replace("disclaims", "disclaim"))
+BSD_CONDITIONS = (
+    "redistribution and use <<var:3>> in source and binary forms with or without modification are permitted provided that the following "
+    "conditions are met <<var:1>> redistributions of source code must retain the above copyright notice this list of conditions and the "
+    "following disclaimer <<var:1>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the "
+    "following disclaimer in the documentation and or other materials provided with the distribution"
+)
+BSD_NAMES = (
+    "neither the name of <<var:12>> nor the names of its contributors may be used to endorse or promote products derived from this software "
+    "without specific prior written permission"
+)
+BSD_AS_IS = (
+    "this software is provided by <<var:12>> as is and any express or implied warranties including but not limited to the implied warranties "
+    "of merchantability and fitness for a particular purpose are disclaimed in no event shall <<var:12>> be liable for any direct indirect "
+    "incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of "
+    "use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort "
+    "including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+)
+
+#: Whole wording of public licenses, and the notices that name them, by label.
 TEMPLATES = {
     "apache-2.0": ["licensed under the apache license version 2 0", "apache license <<optional>>version<</optional>> 2 0"],
     "gpl-2.0": ["gnu general public license <<optional>>as published by the free software foundation either<</optional>> version 2"],
@@ -35,14 +78,19 @@ TEMPLATES = {
     "lgpl": ["gnu <<optional>>lesser<</optional>><<optional>>library<</optional>> general public license version 2 1", "gnu lesser general public license"],
     "agpl-3.0": ["gnu affero general public license <<optional>>as published by the free software foundation either<</optional>> version 3"],
     "mit-notice": ["<<optional>>released<</optional>><<optional>>licensed<</optional>> under the <<optional>>terms of the<</optional>> mit license"],
-    "mit-text": [
-        "permission is hereby granted free of charge to any person obtaining a copy of this <<var:6>> and associated documentation files "
-        "<<optional>>the <<var:3>><</optional>> to deal in <<var:4>> without restriction including without limitation the rights to use "
-        "copy modify merge publish distribute sublicense and or sell copies of"
+    "mit-text": [MIT_GRANT],
+    "mit": [f"{MIT_GRANT} {MIT_PERSONS} {MIT_NOTICE} {AS_IS}"],
+    "mit-0": [f"{MIT_GRANT} {MIT_PERSONS} {AS_IS}"],
+    "json": [f"{MIT_GRANT} {MIT_PERSONS} {MIT_NOTICE} the software shall be used for good not evil {AS_IS}"],
+    "isc": [f"{ISC_GRANT} provided that the above copyright notice and this permission notice appear in all copies {x}" for x in ISC_AS_IS_FORMS],
+    "0bsd": [f"{ISC_GRANT} {x}" for x in ISC_AS_IS_FORMS],
+    "bsd-2-clause": [f"{BSD_CONDITIONS} {BSD_AS_IS}"],
+    "bsd-3-clause": [f"{BSD_CONDITIONS} <<var:1>> {BSD_NAMES} {BSD_AS_IS}"],
+    "bsd-4-clause": [
+        f"{BSD_CONDITIONS} <<var:1>> all advertising materials mentioning features or use of this software must display the following "
+        f"acknowledgement this product includes software developed by <<var:20>> {BSD_NAMES} {BSD_AS_IS}"
     ],
-    "isc": ["permission to use copy modify and <<optional>>or<</optional>> distribute this software for any purpose with or without fee is hereby granted"],
     "bsd": [
-        "redistribution and use <<var:3>> in source and binary forms with or without modification are permitted provided that the following conditions are met",
         "<<optional>>2<</optional>><<optional>>3<</optional>> clause bsd license",
         "bsd <<optional>>2<</optional>><<optional>>3<</optional>> <<optional>>clause<</optional>> license",
     ],
@@ -52,10 +100,31 @@ TEMPLATES = {
     "cc-by-nc": ["cc by nc <<optional>>4 0<</optional>>", "creative commons attribution noncommercial"],
     "cc-by-sa": ["cc by sa <<optional>>4 0<</optional>>", "creative commons attribution sharealike"],
     "cc-by-nd": ["cc by nd <<optional>>4 0<</optional>>", "creative commons attribution noderivatives"],
-    "unlicense": ["this is free and unencumbered software released into the public domain"],
-    "zlib": ["permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"],
+    "unlicense": [
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or "
+        "distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any "
+        "means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in "
+        "the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and "
+        "successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this "
+        f"software under copyright law {AS_IS}"
+    ],
+    "zlib": [
+        "this software is provided as is without any express or implied warranty in no event will <<var:6>> be held liable for any damages "
+        "arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial "
+        "applications and to alter it and redistribute it freely subject to the following restrictions <<var:1>> the origin of this software "
+        "must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an "
+        f"{x} in the product documentation would be appreciated but "
+        "is not required <<var:1>> altered source versions must be plainly marked as such and must not be misrepresented as being the original "
+        "software <<var:1>> this notice may not be removed or altered from any source distribution"
+        for x in ("acknowledgment", "acknowledgement")
+    ],
     "all-rights-reserved": ["copyright <<optional>>c<</optional>> <<var:8>> all rights reserved"],
 }
+#: Labels of openings that several licenses share: alone they are no accepted license.
+OPENINGS = ("mit-text",)
+#: Labels of which a longer place hides a shorter one inside it, as a label does its own.
+FAMILIES = (("mit-text", "mit", "mit-0", "json"), ("cc-by", "cc-by-nc", "cc-by-sa", "cc-by-nd"))
+FAMILY = {label: family[0] for family in FAMILIES for label in family}
 
 
 @dataclass
@@ -165,9 +234,10 @@ def base_places(words: list[bytes], folded: bytes) -> list[tuple[int, str]]:
     return out
 
 
-#: Longest places first: a longer license name is not also one of its beginnings.
 def _innermost(found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    return [x for x in found if not any(y[1] <= x[1] and x[2] <= y[2] and y[2] - y[1] > x[2] - x[1] for y in found)]
+    """Without places inside a longer one of their family: a longer license name is not also one of its beginnings."""
+    kin = [FAMILY.get(x[0], x[0]) for x in found]
+    return [x for x, k in zip(found, kin, strict=True) if not any(k == o and y[1] <= x[1] and x[2] <= y[2] and y[2] - y[1] > x[2] - x[1] for y, o in zip(found, kin, strict=True))]
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
@@ -192,7 +262,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", te
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """score: 1 for an accepted template, half for base phrases alone, 0 for neither."""
+    """score: 1 for an accepted template, half for base phrases or a shared opening alone, 0 for neither."""
     base, own = F.transform("places", lambda p: p["label"]), F.transform("matches", lambda m: m["label"])
     where = F.transform("places", lambda p: p["word"])
     return license_scan(read(spark, sf_dir, "documents")).select(
@@ -203,5 +273,5 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_max(where).alias("last_word"),
         F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_distinct(F.concat(base, own))), ",").alias("labels"),
-        F.when(F.size("matches") > 0, 1.0).when(F.size("places") > 0, 0.5).otherwise(0.0).alias("score"),
+        F.when(F.exists("matches", lambda m: ~m["label"].isin(*OPENINGS)), 1.0).when((F.size("matches") > 0) | (F.size("places") > 0), 0.5).otherwise(0.0).alias("score"),
     )

@@ -41,6 +41,43 @@ def test_templates(text, want):
     assert labels(text) == want
 
 
+def plain_text(form):
+    """A template as a text: without optional regions, a name in each place."""
+    while "<<optional>>" in form:
+        form = re.sub(r"<<optional>>(?:(?!<<optional>>).)*?<</optional>>", "", form)
+    return re.sub(r"<<var:\d+>>", "Thing", form)
+
+
+MIT_WHOLE = MIT + """, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR
+ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH
+THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+
+def test_whole_wording(spark, tmp_path):
+    head, tail = MIT_WHOLE.split(", subject to")
+    warranty = tail[tail.index("THE SOFTWARE IS") :]
+    cases = {
+        MIT_WHOLE: "mit",
+        head + ". " + warranty: "mit-0",
+        MIT_WHOLE.replace("THE SOFTWARE IS", "The Software shall be used for Good, not Evil. THE SOFTWARE IS"): "json",
+        MIT_WHOLE.replace("LIABLE FOR", "GLAD OF"): "mit-text",
+    }
+    for text, want in cases.items():
+        assert labels(text) == [want]
+    for name in ("isc", "0bsd", "bsd-2-clause", "bsd-3-clause", "bsd-4-clause", "unlicense", "zlib"):
+        words = plain_text(licenses.TEMPLATES[name][0]).split()
+        assert labels(" ".join(words)) == [name]
+        assert labels(" ".join(words[:-2])) == []
+    assert labels("Copyright (c) 2015 Acme, BSD 3-Clause License. All rights reserved.") == ["all-rights-reserved", "bsd"]
+    spark.createDataFrame([row(i, t) for i, t in enumerate(cases)], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    assert [r.score for r in licenses.op7_license_scan(spark, str(tmp_path)).orderBy("doc_id").collect()] == [1, 1, 1, 0.5]
+
+
 def test_automaton():
     a = licenses.compile_template("a <<optional>>b c<</optional>> d <<var:2>> e")
     run = lambda t: a.run(t.encode().split(), 0)
