@@ -7,6 +7,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import keywords
+
 EDGE = 3
 
 
@@ -20,28 +22,43 @@ def running_lines(pages: DataFrame, report: list[str], page: str, text: str, lea
     return counted.join(sizes, report).where(F.col("n") >= F.greatest(F.lit(2), F.ceil(F.col("pages") * least_share))).select(*report, "key", "n")
 
 
-def choose(passages: list[str], words: list[str], budget: int) -> list[int]:
-    """Passages by matched words, most first, taken while they fit (a longer one is passed over), back in text order."""
-    scored = sorted(((-sum(w in p.lower() for w in words), i) for i, p in enumerate(passages)))
-    taken, left = [], budget
-    for score, i in scored:
-        if score and len(passages[i]) <= left:
+#: What a passage costs beside its length: the blank line that parts it from the next.
+BETWEEN = 2
+
+
+def choose(passages: list[str], scores: list[int], budget: int) -> list[int]:
+    """Passages by score, most first and earlier ones before later ones, taken while they fit (a longer one is passed over), back in text
+    order. Those of score 0 come last."""
+    taken, used = [], 0
+    for i in sorted(range(len(passages)), key=lambda i: (-scores[i], i)):
+        cost = len(passages[i]) + BETWEEN
+        if used + cost <= budget:
             taken.append(i)
-            left -= len(passages[i])
+            used += cost
     return sorted(taken)
 
 
-def greedy_passages(docs: DataFrame, key: str, text: str, words: list[str], budget: int) -> DataFrame:
-    """(key, n_passages, chosen, n_chars) for each document; a passage is a line."""
+def greedy_passages(docs: DataFrame, key: str, text: str, terms: DataFrame, budget: int) -> DataFrame:
+    """(key, n_passages, chosen, n_chars) for each document; a passage is a line, and its score the distinct terms (column w) among its
+    words. A text that fits the budget is kept whole. Terms meet the distinct words of the longer texts in a join, so they may be many."""
+    import re
+
     import pandas as pd
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for k, t in zip(batch["k"], batch["t"], strict=True):
+            for k, t, hits in zip(batch["k"], batch["t"], batch["hits"], strict=True):
                 lines = [x for x in (t or "").split("\n") if x.strip()]
-                taken = choose(lines, words, budget)
+                if len(t or "") <= budget:
+                    taken = list(range(len(lines)))
+                else:
+                    named = set() if hits is None else set(hits)
+                    taken = choose(lines, [len(named & {w.lower() for w in re.findall(r"[A-Za-z][A-Za-z0-9_]*", x)}) for x in lines], budget)
                 rows.append((k, len(lines), ",".join(map(str, taken)), sum(len(lines[i]) for i in taken)))
             yield pd.DataFrame(rows, columns=[key, "n_passages", "chosen", "n_chars"])
 
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"{key} long, n_passages int, chosen string, n_chars int")
+    marked = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.when(F.length(text) > budget, F.md5(text)).alias("m"))
+    words = marked.where("m IS NOT NULL").select("m", F.explode(keywords(F.col("t"))).alias("w")).distinct()
+    hits = words.join(terms.select("w").distinct(), "w", "left_semi").groupBy("m").agg(F.collect_list("w").alias("hits"))
+    return marked.join(hits, "m", "left").select("k", "t", "hits").mapInPandas(run, f"{key} long, n_passages int, chosen string, n_chars int")

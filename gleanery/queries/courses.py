@@ -134,9 +134,8 @@ def method_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def greedy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages of a document by how many benchmark keywords they name, taken greedily into 1,500 characters; against plain Python in tests."""
+    """Texts of at most 1,500 characters whole, else passages by how many benchmark keywords they name; against plain Python in tests."""
     from ..functions.text import keywords
 
-    terms = table(spark, sf_dir, "benchmark").select(F.explode(keywords(F.col("text"))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(40)
-    words = [r.w for r in terms.collect()]  # forty at most
-    return P.greedy_passages(table(spark, sf_dir, "documents"), "doc_id", "text", words, 1500)
+    terms = table(spark, sf_dir, "benchmark").select(F.explode(keywords(F.col("text"))).alias("w"))
+    return P.greedy_passages(table(spark, sf_dir, "documents"), "doc_id", "text", terms, 1500)

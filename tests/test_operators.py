@@ -204,6 +204,16 @@ def test_manifest_and_sinks(spark, tmp_path):
     assert sorted((r.k, r.v) for r in spark.read.parquet(str(tmp_path / "p")).collect()) == [(1, "a"), (2, "c")]
 
 
+def test_greedy_passages_fill_the_budget(spark):
+    from gleanery.operators import pages
+
+    docs = spark.createDataFrame([(1, "no term\nat all"), (2, "\n".join(["aaaa " * 4, "bbbb " * 4, "Rare word", "x" * 99])), (2, "short"), (None, None)], "doc_id long, text string")
+    terms = spark.createDataFrame([("rare",), ("bbbb",), ("bbb",), ("rare",)], "w string")
+    got = sorted((str(r.doc_id), r.n_passages, r.chosen, r.n_chars) for r in pages.greedy_passages(docs, "doc_id", "text", terms, 60).collect())
+    assert got == [("1", 2, "0,1", 13), ("2", 1, "0", 5), ("2", 4, "0,1,2", 49), ("None", 0, "", 0)]
+    assert pages.choose(["aa", "bb"], [0, 1], 7) == [1] and pages.choose(["aa", "bb"], [0, 1], 8) == [0, 1]
+
+
 def test_pruned_cache(spark):
     rows = [(f"k{i}", 10, dt.datetime(2024, 1, 1) + dt.timedelta(hours=7 * i)) for i in range(20)]
     got = tables.pruned(spark.createDataFrame(rows, "key string, bytes long, used_at timestamp"), 75).collect()
