@@ -2,7 +2,7 @@
 
 A byte-level BPE never joins what a single blank parts from the next word, so texts are cut before each blank (by Arrow), every distinct
 piece is encoded once by each Python worker, and the pieces' ids side by side (laid out by numpy) are the text's ids. A text with two
-blanks in a row or a blank at its end is encoded whole.
+blanks in a row or a blank at its end is encoded whole, and so is one that holds an added token of the vocabulary, which gets its own id.
 """
 
 from __future__ import annotations
@@ -36,14 +36,16 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class Encoder:
-    """Texts to ids, each text's as bytes of little-endian unsigned 32-bit numbers."""
+    """Texts to ids, each text's as bytes of little-endian unsigned 32-bit numbers. added: whether added tokens in a text get their own id,
+    as the tokenizer does unless told otherwise."""
 
-    def __init__(self, path: str, remembered: int = REMEMBERED):
+    def __init__(self, path: str, remembered: int = REMEMBERED, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         # the same model for words of letters alone, one a line: these need no pattern to be cut
         self.words = Tokenizer(self.tokenizer.model)
         self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
@@ -112,6 +114,8 @@ class Encoder:
         first = edges[:-1]
         empty = np.flatnonzero(pc.equal(pc.binary_length(pieces), 0).to_numpy(zero_copy_only=False))
         whole = np.unique(np.searchsorted(edges, np.setdiff1d(empty, first), "right") - 1)
+        for token in self.added:
+            whole = np.union1d(whole, np.flatnonzero(pc.match_substring(texts, token).to_numpy(zero_copy_only=False)))
         heads = pieces.take(pa.array(first)).to_pylist()
         for i in whole.tolist():
             heads[i] = texts[i].as_py()
@@ -156,7 +160,7 @@ _encoders: dict[str, Encoder] = {}
 def encoder(path: str) -> Encoder:
     """One for each worker process and vocabulary."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, added=True)
     return _encoders[path]
 
 

@@ -30,6 +30,14 @@ def test_encoder_equals_the_library(whole):
         assert [np.frombuffer(x, "<u4").tolist() for x in encoder(texts)] == [whole(t) for t in texts]
 
 
+def test_added_token_has_its_id():
+    untouched = Tokenizer.from_file(PATH)
+    texts = ["one <|endoftext|> two", "<|endoftext|>", "a<|endoftext|>b  c", "plain words here", "", "x <|endoftext|>"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in tokens.encoder(PATH)(texts)]
+    assert got == [untouched.encode(t, add_special_tokens=False).ids for t in texts]
+    assert got[0] == [505, 220, 50256, 734]
+
+
 def test_cut_points():
     assert packing.cut_points(1) == [(0, 1)]
     assert packing.cut_points(1024) == [(0, 1024)]
