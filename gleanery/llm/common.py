@@ -19,13 +19,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table; if it is one small file, which would be one task, its rows are dealt out to all cores."""
     df, cores = spark.read.parquet(f"{sf_dir}/{table}.parquet"), spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) == 1 and df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 8) and len(df.inputFiles()) == 1 else df
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one of our own on a single machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="gleanery-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -56,14 +58,12 @@ def clear(spark: SparkSession) -> None:
         store.delete_dir(f"{path}/gleanery")
 
 
-def in_slices(batches: Iterator[pa.RecordBatch], column: int, size: int = 1 << 22) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Batches cut so that a slice's texts have about ``size`` bytes, with the texts as a list: long texts never add up to a batch's
-    ten thousand rows."""
+def in_slices(batches: Iterator[pa.RecordBatch], column: int, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that a slice's texts have about ``size`` bytes: long texts never add up to a batch's ten thousand rows."""
     for batch in batches:
-        upto = np.cumsum([x or 0 for x in pc.binary_length(batch.column(column)).to_pylist()])
+        upto = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
         at = 0
         while at < batch.num_rows:
             end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + size, "right")))
-            part = batch.slice(at, end - at)
-            yield part, part.column(column).to_pylist()
+            yield batch.slice(at, end - at)
             at = end

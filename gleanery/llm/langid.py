@@ -220,8 +220,8 @@ def predict(docs: DataFrame, network: Network, id_col: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predictor = Predictor(network)
-        for batch, texts in in_slices(batches, 2):
-            found = predictor(texts)
+        for batch in in_slices(batches, 2):
+            found = predictor(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.coalesce(fold_of(id_col), F.lit(0)) == 2).alias("held_out"), F.col(text).alias("text"))

@@ -247,7 +247,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates)
-        for batch, texts in in_slices(batches, 1):
+        for batch in in_slices(batches, 1):
+            texts = batch.column(1).to_pylist()
             n, base, found = [], [], []
             for value in texts:
                 folded = (value or "").encode("utf-8", "surrogatepass").translate(FOLD)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import in_slices, read, written
-from .tokens import SLICE, encoder, vocabulary_path
+from .tokens import encoder, vocabulary_path
 
 CONTEXT, CLOSING = 1024, 2
 
@@ -38,14 +38,13 @@ def cut_points(n: int, context: int = CONTEXT) -> list[tuple[int, int]]:
 def pieces(docs: DataFrame, path: str, context: int = CONTEXT, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece; run and nth: the task that made it, and how many of this length the task had made before."""
     closing = np.array([CLOSING], "<u4").tobytes()
-
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = np.zeros(context + 1, np.int64)
-        run = TaskContext.get().partitionId()
-        for batch, _ in in_slices(batches, 1, SLICE):
+        made = [0] * (context + 1)
+        run, encode = TaskContext.get().partitionId(), encoder(path)
+        for batch in in_slices(batches, 1):
             out: list[tuple] = []
-            for i, ids in enumerate(encoder(path)(batch.column(1))):
-                ids += closing
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                ids = encode(text).tobytes() + closing
                 for k, (start, length) in enumerate(cut_points(len(ids) // 4, context)):
                     out.append((i, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), made[length]))
                     made[length] += 1

@@ -107,7 +107,8 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", le
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        for batch, texts in in_slices(batches, 1):
+        for batch in in_slices(batches, 1):
+            texts = batch.column(1).to_pylist()
             found = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in find_spans(t, least_bits)] for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], ["doc_id", "spans"])
 
@@ -131,7 +132,8 @@ def redact(docs: DataFrame, text: str = "text", mark: str = MARK, least_bits: fl
         return "".join([*out, value[done:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in in_slices(batches, place):
+        for batch in in_slices(batches, place):
+            texts = batch.column(place).to_pylist()
             cleaned = pa.array(map(clean, texts), batch.schema.field(place).type)
             yield pa.RecordBatch.from_arrays([cleaned if i == place else c for i, c in enumerate(batch.columns)], schema=batch.schema)
 

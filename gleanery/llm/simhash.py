@@ -72,7 +72,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     """(doc_id, fp): the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in in_slices(batches, 1):
+        for batch in in_slices(batches, 1):
+            texts = batch.column(1).to_pylist()
             fps = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 

@@ -272,7 +272,8 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     """(doc_id, n_bytes, media): each text as a TIFF file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in in_slices(batches, 1):
+        for batch in in_slices(batches, 1):
+            texts = batch.column(1).to_pylist()
             raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
             files = [store(x.ljust(max(64, -(-len(x) // 64) * 64), b"\0")) for x in raw]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array(files, pa.binary())], ["doc_id", "n_bytes", "media"])

@@ -16,26 +16,41 @@ PATH = tokens.vocabulary_path()
 
 @pytest.fixture(scope="module")
 def whole():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return lambda text: t.encode(text or "", add_special_tokens=False).ids
+    untouched = Tokenizer.from_file(PATH)
+    return lambda text: untouched.encode(text or "", add_special_tokens=False).ids
 
 
 def test_encoder_equals_the_library(whole):
     rng = random.Random(5)
-    parts = ["foo", "Bar", ".", ",", "é", "日本", "x1", "_", '"q"', "it's", "a.\nThe", "b,\nc.", "²", "end.\n", "\n", "--", "Ⅷ", "\t", "\x85", "　", "w..", "<|endoftext|>", "'s", "\r\n"]
-    encoder = tokens.Encoder(PATH, 60)  # starts anew all the time
-    for _ in range(400):
-        texts = ["".join(rng.choice(parts) + rng.choice([" ", " ", "", "  "]) for _ in range(rng.randint(0, 12))) for _ in range(4)] + [None]
-        assert [np.frombuffer(x, "<u4").tolist() for x in encoder(texts)] == [whole(t) for t in texts]
-
-
-def test_added_token_has_its_id():
-    untouched = Tokenizer.from_file(PATH)
-    texts = ["one <|endoftext|> two", "<|endoftext|>", "a<|endoftext|>b  c", "plain words here", "", "x <|endoftext|>"]
-    got = [np.frombuffer(x, "<u4").tolist() for x in tokens.encoder(PATH)(texts)]
-    assert got == [untouched.encode(t, add_special_tokens=False).ids for t in texts]
-    assert got[0] == [505, 220, 50256, 734]
+    parts = ["foo", "Bar", ".", ",", "é", "日本", "x1", "_", '"q"', "it's", "a.\nThe", "b,\nc.", "²", "end.\n", "\n", "--", "Ⅷ", "\t", "\x85", "　", "w..", "<|endoftext|>", "<|endof", "'s", "\r\n", "\x1c", "\u200b", "e\u0301"]
+    encoder = tokens.Encoder(PATH)
+    assert encoder.fast is not None
+    for _ in range(1500):
+        text = "".join(rng.choice(parts) + rng.choice([" ", " ", "", "  "]) for _ in range(rng.randint(0, 14)))
+        assert encoder(text).tolist() == whole(text)
+    assert encoder(None).tolist() == [] and encoder("").dtype == np.dtype("<u4")
+    every = "".join(f"a{chr(c)}b {chr(c)}1 " for c in range(0x20000) if not 0xD800 <= c < 0xE000)
+    assert encoder(every).tolist() == whole(every)
+
+
+def test_added_token_has_its_id(whole):
+    for text in ["one <|endoftext|> two", "<|endoftext|>", "a<|endoftext|>b  c", "plain words here", "x <|endoftext|>"]:
+        assert tokens.encoder(PATH)(text).tolist() == whole(text)
+    assert whole("one <|endoftext|> two") == [505, 220, 50256, 734]
+
+
+@pytest.mark.parametrize("part", [" ", "\n", "a", "^", "1", "ab ", "\u3000", "é", " \t"])
+def test_long_runs(whole, part):
+    for n in (1500, 1999, 2000, 20_000, 300_000):
+        text = "x" + part * (n // len(part)) + "y"
+        assert tokens.encoder(PATH)(text).tolist() == whole(text)
+
+
+def test_other_vocabularies_go_to_the_library():
+    path = tokens.vocabulary_path("word_bpe_49k.json")
+    encoder = tokens.Encoder(path)
+    assert encoder.fast is None
+    assert encoder("Two words").tolist() == Tokenizer.from_file(path).encode("Two words", add_special_tokens=False).ids
 
 
 def test_cut_points():
