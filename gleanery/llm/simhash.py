@@ -69,15 +69,20 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+    """(doc_id, digest, fp): a 64-bit hash of the text, null for a null one, and the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_slices(batches, 1):
-            texts = batch.column(1).to_pylist()
+        for batch in in_slices(batches, 2):
+            texts = batch.column(2).to_pylist()
             fps = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], ["doc_id", "digest", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _digest(text).alias("digest"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, digest long, fp long")
+
+
+def _digest(text: str) -> Column:
+    return F.when(F.col(text).isNotNull(), F.xxhash64(text))
 
 
 def _cells(fp: Column) -> Column:
@@ -169,18 +174,35 @@ def links(nodes: DataFrame, refs: np.ndarray | None = None, cell: int = CELL) ->
     return found.distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", refs: np.ndarray | None = None, cell: int = CELL) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for each row of docs."""
+def _linked(docs: DataFrame, id_col: str, text: str, refs: np.ndarray | None, cell: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprinted rows, and (fp, first): the least (doc_id, digest) of all rows whose fingerprint can be reached from fp."""
     marked = written(fingerprints(docs, id_col, text), "fingerprints")
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "digest")))
+    nodes = marked.groupBy("fp").agg(least.alias("first"))
     found = connected_components(links(nodes.select("fp"), refs, cell), "simhash")
-    named = nodes.join(found, nodes["fp"] == found["node"]).select("fp", "root", "first_id")
-    least = named.groupBy("root").agg(F.min("first_id").alias("least_id"))
+    named = nodes.join(found, nodes["fp"] == found["node"]).select("fp", "root", "first")
+    least = named.groupBy("root").agg(F.min("first").alias("least"))
     # written, as all rows of a root come from one task: from a table they are dealt out evenly again
-    linked = written(named.join(least, "root").select("fp", "least_id"), "simhash-linked")
-    # written, so that the join below deals both sides anew and Spark can split a fingerprint that a third of all rows share
-    ids = written(nodes.join(linked, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id")), "simhash-ids")
-    return marked.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    linked = written(named.join(least, "root").select("fp", "least"), "simhash-linked")
+    # written, so that a join with all rows deals both sides anew and Spark can split a fingerprint that a third of all rows share
+    return marked, written(nodes.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("first")), "simhash-ids")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", refs: np.ndarray | None = None, cell: int = CELL) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for each row of docs."""
+    marked, ids = _linked(docs, id_col, text, refs, cell)
+    return marked.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
+
+
+def unique_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of docs for each group of near copies, with docs' own columns: that with the least id, and of several texts under that
+    id the one with the least digest. Rows without an id can't be named and all stay; repeated rows are one."""
+    _, ids = _linked(docs, id_col, text, None, CELL)
+    first = ids.where("first IS NOT NULL").select("first.doc_id", "first.digest").distinct()
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"), _digest(text).alias("digest"))
+    same = F.col("k.doc_id").eqNullSafe(F.col("f.doc_id")) & F.col("k.digest").eqNullSafe(F.col("f.digest"))
+    kept = keyed.alias("k").join(first.alias("f"), same, "left_semi").dropDuplicates(["doc_id", "digest"])
+    return kept.unionByName(keyed.where("doc_id IS NULL")).select("row.*")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

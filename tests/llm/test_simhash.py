@@ -67,6 +67,18 @@ def test_edges(spark, edges, nothing):
     assert simhash.near_duplicates(nothing).count() == 0
 
 
+def test_one_row_of_each_group(spark, edges, nothing):
+    """Different texts under one id are different documents; equal rows are one; rows without an id stay."""
+    other, third = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    rows = [(1, other, "a"), (1, third, "b"), (1, third, "c"), (2, other, "d"), (3, other, "e"), (4, None, "f"), (5, "", "g"), (None, other, "h"), (0, third, "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest string")
+    got = simhash.unique_rows(docs.repartition(4))
+    assert got.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text) for r in got.collect()) == sorted([("0", third), ("1", other), ("4", None), ("None", other)], key=str)
+    assert simhash.unique_rows(nothing).count() == 0
+    assert simhash.unique_rows(edges).columns == edges.columns
+
+
 def test_forest_spans_what_all_pairs_span():
     rng = np.random.default_rng(1)
     centre = rng.integers(0, 2**64, 6, dtype=np.uint64)
