@@ -1,40 +1,46 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
-Documents fall into cells (source, language, topic). Their tokens are summed per cell in one partial aggregate; the targets name the
-values they give a share to, and all others of a margin fall under ``REST``, so the table of cells has at most (sources + 1) *
-(languages + 1) * (topics + 1) entries, set by the targets and not by the corpus (CELLS bounds the product). Fitting scales that table
-to each margin in turn until all margins hold. A cell's weight is its fitted tokens over its found ones. Where that is below 1 it is the
-chance of the cell's documents to stay; where it is above, all stay and carry the weight on. So kept tokens times their weights have
-the target margins in expectation. A document's fate is a hash of its id: a lost task draws the same sample again. ``sampled`` has no
-weight to carry: there a row comes as often as its cell needs it, so a sparse cell's documents come several times.
-
-Defined results: a null source or language counts under ``REST``; a null text has no token and its cell's chance; repeated rows share
-one fate; targets of values that no document has are spread over the others in proportion; an empty table gives an empty result. Other
-columns of the input are carried in a struct and clash with nothing, whatever their names.
+Documents fall into cells (source, language, topic). Their tokens (ids of the byte-level vocabulary) are counted in the pass that finds
+the cell and summed per cell in one partial aggregate; the targets name the values they give a share to, and all others of a margin fall
+under ``REST``, so the table of cells has at most (sources + 1) * (languages + 1) * (topics + 1) entries, set by the targets and not by
+the corpus (CELLS bounds the product). Fitting scales that table to each margin in turn until all margins hold; ``mix_gap`` tells by
+which share of all tokens the worst margin is missed where no weights meet all of them. A cell's weight is its fitted tokens over its
+found ones. Where that is below 1 it is the chance of the cell's documents to stay; where it is above, all stay and carry the weight on.
+So kept tokens times their weights have the target margins in expectation. A document's fate is a hash of its id: a lost task draws the
+same sample again. ``sampled`` has no weight to carry: there a row comes as often as its cell needs it, so a sparse cell's documents
+come several times, and the rows' own tokens have the target margins.
+
+Defined results: a null source or language counts under ``REST``; a null or empty text has no token and its cell's chance; very long
+texts count whole; repeated rows share one fate; ties can't arise, as a draw is compared with one chance; targets of values that no
+document has are spread over the others in proportion; an empty table gives an empty result. Other columns of the input are carried in
+a struct and clash with nothing, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from functools import reduce
 from math import prod
 from operator import or_
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, let, read, written
+from .common import in_slices, let, read, written
+from .tokens import encoder, vocabulary_path
 
 REST = "*"
 CELLS = 100_000
 
-#: Topic by the first rule of which a cue is in the lower-cased text; a text without any is prose.
+#: Topic by the first rule of which a cue is in the lower-cased text; a text without any is prose. ADDRESS must hold beside an "@".
 TOPICS = (
     ("legal", ("license", "licence", "copyright", "warrant")),
     ("technical", ("http://", "https://", "password", "secret", "token =", "token=", "api_key", "apikey")),
     ("contact", ("@",)),
 )
+ADDRESS = r"[a-z0-9]@[a-z0-9]"
 
 #: Production targets, as weights: the sources alike, but one that may be hot at four times the others; languages and topics near what
 #: a web crawl holds.
@@ -51,73 +57,92 @@ def topic(text: Column) -> Column:
     def by_cue(low: Column) -> Column:
         out = F.lit("prose")
         for name, cues in reversed(TOPICS):
-            out = F.when(reduce(or_, (F.contains(low, F.lit(c)) for c in cues)), name).otherwise(out)
+            found = reduce(or_, (F.contains(low, F.lit(c)) for c in cues))
+            out = F.when(found & low.rlike(ADDRESS) if "@" in cues else found, name).otherwise(out)
         return out
 
     return let(F.lower(text), by_cue)
 
 
-def fit(found: np.ndarray, targets: list[np.ndarray], rounds: int = 200, close: float = 1e-9) -> np.ndarray:
-    """Weights with found's zeros and interactions, and the margins of targets (each summing to found's total). A target of a slice
-    with no tokens is shared out over the other slices."""
+def fit(found: np.ndarray, targets: list[np.ndarray], rounds: int = 2000, close: float = 1e-9) -> tuple[np.ndarray, float]:
+    """Weights with found's zeros and interactions, and the margins of targets (each summing to found's total); and by which share of
+    the total the worst margin is missed. A target of a slice with no tokens is shared out over the other slices."""
     fitted = found.astype(float)
     total = fitted.sum()
     if not total:
-        return fitted
+        return fitted, 0.0
     goals = []
     for axis, goal in enumerate(targets):
         has = fitted.sum(tuple(i for i in range(fitted.ndim) if i != axis)) > 0
         goal = np.where(has, goal, 0.0)
         goals.append(goal / goal.sum() * total if goal.sum() else np.where(has, total / has.sum(), 0.0))
+    def margin(axis: int) -> np.ndarray:
+        return fitted.sum(tuple(i for i in range(fitted.ndim) if i != axis))
+
+    worst = 1.0
     for _ in range(rounds):
-        worst = 0.0
         for axis, goal in enumerate(goals):
-            now = fitted.sum(tuple(i for i in range(fitted.ndim) if i != axis))
+            now = margin(axis)
             factor = np.divide(goal, now, out=np.zeros_like(goal), where=now > 0)
-            worst = max(worst, float(np.abs(now - goal).max()) / total)
             fitted = fitted * factor.reshape([-1 if i == axis else 1 for i in range(fitted.ndim)])
+        worst = max(float(np.abs(margin(axis) - goal).max()) / total for axis, goal in enumerate(goals))
         if worst < close:
             break
-    return fitted
+    return fitted, worst
 
 
-def _cells(targets: Mapping[str, Mapping[str, float]], text: str, tokens: Column | None) -> list[Column]:
-    """mix_source, mix_lang, mix_topic (as far as targets have them) and mix_tokens."""
+def _cells(targets: Mapping[str, Mapping[str, float]], text: str) -> list[Column]:
+    """mix_source, mix_lang, mix_topic, as far as targets have them."""
     values = {"source": F.col("source"), "lang": F.col("lang"), "topic": topic(F.coalesce(F.col(text), F.lit("")))}
-    count = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long") if tokens is None else tokens
-    cells = [F.when(values[k].isin([x for x in t if x != REST]), values[k]).otherwise(F.lit(REST)).alias(f"mix_{k}") for k, t in targets.items()]
-    return [*cells, count.alias("mix_tokens")]
+    return [F.when(values[k].isin([x for x in t if x != REST]), values[k]).otherwise(F.lit(REST)).alias(f"mix_{k}") for k, t in targets.items()]
+
+
+def _counted(rows: DataFrame, path: str) -> DataFrame:
+    """rows with mix_tokens in place of their last column, a text."""
+    last = len(rows.columns) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(path)
+        for batch in in_slices(batches, last):
+            count = pa.array((len(encode(t)) for t in batch.columns[-1].to_pylist()), pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], count], [*batch.schema.names[:-1], "mix_tokens"])
+
+    kept = rows.drop(rows.columns[-1])
+    return rows.mapInArrow(run, kept.withColumn("mix_tokens", F.lit(0).cast("long")).schema)
 
 
 def _drawn(
     docs: DataFrame, targets: Mapping[str, Mapping[str, float]], text: str, fraction: float, tokens: Column | None, id_col: str, seed: int, keep: tuple[str, ...],
 ) -> DataFrame:
-    """row (the columns in keep, as one struct), the cell, mix_tokens, mix_weight, mix_probability, mix_draw and mix_kept."""
+    """row (the columns in keep, as one struct), the cell, mix_tokens, mix_weight, mix_probability, mix_draw, mix_kept and mix_gap.
+    tokens: a count to use in place of the vocabulary's ids."""
     names = list(targets)
     if prod(len({*t, REST}) for t in targets.values()) > CELLS:
         raise ValueError(f"targets span more than {CELLS} cells")
     keys = [f"mix_{k}" for k in names]
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    marked = written(docs.select(F.struct(*keep).alias("row"), *_cells(targets, text, tokens), draw.alias("mix_draw")), "cells")
+    rows = docs.select(F.struct(*keep).alias("row"), *_cells(targets, text), draw.alias("mix_draw"), (F.col(text) if tokens is None else tokens).alias("mix_tokens"))
+    marked = written(rows if tokens is not None else _counted(rows, vocabulary_path()), "cells")
     axes = [list(dict.fromkeys([*t, REST])) for t in targets.values()]
     found = np.zeros([len(a) for a in axes])
     for *cell, n in marked.groupBy(*keys).agg(F.sum("mix_tokens")).collect():  # at most CELLS rows
         found[tuple(a.index(x) for a, x in zip(axes, cell, strict=True))] = n or 0
-    fitted = fit(found, [np.array([t.get(x, 0.0) for x in a]) for a, t in zip(axes, targets.values(), strict=True)])
+    fitted, gap = fit(found, [np.array([t.get(x, 0.0) for x in a]) for a, t in zip(axes, targets.values(), strict=True)])
     need = fraction * np.divide(fitted, found, out=np.ones_like(found), where=found > 0)
     rows = [(*(a[i] for a, i in zip(axes, at, strict=True)), max(1.0, float(need[at])), min(1.0, float(need[at]))) for at in np.ndindex(found.shape) if found[at]]
     schema = ", ".join([f"{k} string" for k in keys] + ["mix_weight double", "mix_probability double"])
     table = docs.sparkSession.createDataFrame(rows, schema)
     joined = marked.join(F.broadcast(table), keys, "left").fillna({"mix_weight": max(1.0, fraction), "mix_probability": min(1.0, fraction)})
-    return joined.select("row", *keys, "mix_tokens", "mix_weight", "mix_probability", "mix_draw", (F.col("mix_draw") < F.col("mix_probability")).alias("mix_kept"))
+    kept = (F.col("mix_draw") < F.col("mix_probability")).alias("mix_kept")
+    return joined.select("row", *keys, "mix_tokens", "mix_weight", "mix_probability", "mix_draw", kept, F.lit(gap).alias("mix_gap"))
 
 
 def calibrated(
     docs: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGETS, text: str = "text", fraction: float = FRACTION,
     tokens: Column | None = None, id_col: str = "doc_id", seed: int = SEED, keep: tuple[str, ...] = ("doc_id",),
 ) -> DataFrame:
-    """The columns in keep with mix_source, mix_lang, mix_topic, mix_tokens, mix_probability, mix_kept and mix_weight, the weight that a
-    kept document carries: what its cell needs over the chance to stay.
+    """The columns in keep with mix_source, mix_lang, mix_topic, mix_tokens, mix_probability, mix_kept, mix_gap and mix_weight, the weight
+    that a kept document carries: what its cell needs over the chance to stay.
 
     Each row's cell is found once and written with the columns to keep; sums and draws read that table.
     """
@@ -136,4 +161,4 @@ def sampled(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGET
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = calibrated(read(spark, sf_dir, "documents"))
-    return mixed.withColumns({c: F.round(c, 9) for c in ("mix_weight", "mix_probability")})
+    return mixed.withColumns({c: F.round(c, 9) for c in ("mix_weight", "mix_probability", "mix_gap")})

@@ -3,7 +3,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from gleanery.llm import raking
+from gleanery.llm import raking, tokens
 
 
 def plain_fit(table, goals, rounds=500):
@@ -24,7 +24,8 @@ def test_fit_meets_margins():
     rng = np.random.default_rng(1)
     found = rng.integers(1, 100, (3, 4, 2)).astype(float)
     goals = [np.array([1, 2, 1.0]), np.array([1, 1, 1, 3.0]), np.array([0.3, 0.7])]
-    fitted = raking.fit(found, goals)
+    fitted, gap = raking.fit(found, goals)
+    assert gap < 1e-9
     for axis, g in enumerate(goals):
         got = fitted.sum(tuple(i for i in range(3) if i != axis))
         assert np.allclose(got, g / g.sum() * found.sum(), rtol=1e-6)
@@ -33,9 +34,14 @@ def test_fit_meets_margins():
 
 
 def test_fit_without_data():
-    assert raking.fit(np.zeros((2, 2)), [np.ones(2), np.ones(2)]).sum() == 0
+    assert raking.fit(np.zeros((2, 2)), [np.ones(2), np.ones(2)])[0].sum() == 0
     found = np.array([[5.0, 5], [0, 0]])  # a target for a slice that has nothing
-    assert np.allclose(raking.fit(found, [np.array([1.0, 1]), np.array([1.0, 3])]), [[2.5, 7.5], [0, 0]])
+    assert np.allclose(raking.fit(found, [np.array([1.0, 1]), np.array([1.0, 3])])[0], [[2.5, 7.5], [0, 0]])
+
+
+def test_fit_tells_of_margins_that_no_weights_meet():
+    _, gap = raking.fit(np.array([[5.0, 0], [0, 5]]), [np.array([1.0, 3]), np.array([1.0, 1])])
+    assert gap > 0.1
 
 
 def test_sampled_margins(spark):
@@ -53,12 +59,16 @@ def test_sampled_margins(spark):
         assert all(abs(weighted[k] / total - v) < 0.05 for k, v in goal.items())
     assert all(r["mix_kept"] for r in got if r["mix_probability"] == 1)
     cells = {tuple(r[f"mix_{k}"] for k in targets): (r["mix_weight"], r["mix_probability"]) for r in got}
-    tokens = {}
+    spent = {}
     for r in got:
         key = tuple(r[f"mix_{k}"] for k in targets)
-        tokens[key] = tokens.get(key, 0) + r["mix_tokens"]
-    want = plain_fit(tokens, list(targets.values()))
-    assert all(abs(max(w, 1) - cells[k][0]) < 1e-4 and abs(min(w, 1) - cells[k][1]) < 1e-4 for k, v in want.items() for w in [v / tokens[k]])
+        spent[key] = spent.get(key, 0) + r["mix_tokens"]
+    want = plain_fit(spent, list(targets.values()))
+    assert all(abs(max(w, 1) - cells[k][0]) < 1e-4 and abs(min(w, 1) - cells[k][1]) < 1e-4 for k, v in want.items() for w in [v / spent[k]])
+    assert all(r["mix_gap"] < 1e-9 for r in got)
+    encode = tokens.encoder(tokens.vocabulary_path())
+    texts = {r[0]: r[1] for r in rows}
+    assert all(r["mix_tokens"] == len(encode(texts[r["doc_id"]])) for r in got[:200])
     again = {r.doc_id: r.mix_kept for r in raking.calibrated(docs.repartition(7), targets).collect()}
     assert again == {r["doc_id"]: r["mix_kept"] for r in got}  # a lost task draws the same
 
@@ -68,28 +78,34 @@ def test_sampled_rows_meet_margins_unweighted(spark):
     rows = [(i, "word " * (i % 7 + 1) + ("license" if i % 11 == 0 else ""), ["en", "de"][i % 2], "hot" if i // 2 % 3 else "cold") for i in range(12000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     targets = {"source": {"hot": 0.2, "cold": 0.8}, "lang": {"en": 0.6, "de": 0.4}, "topic": {"prose": 0.7, "legal": 0.3}}
-    got = raking.sampled(docs, targets).collect()
-    tokens = {"source": {}, "lang": {}, "topic": {}}
+    got, encode, spent = raking.sampled(docs, targets).collect(), tokens.encoder(tokens.vocabulary_path()), {"source": {}, "lang": {}, "topic": {}}
     for r in got:
-        n = len(r.text.split())
+        n = len(encode(r.text))
         for name, x in (("source", r.source), ("lang", r.lang), ("topic", "legal" if "license" in r.text else "prose")):
-            tokens[name][x] = tokens[name].get(x, 0) + n
-    all_in, all_out = sum(len(r[1].split()) for r in rows), sum(tokens["source"].values())
+            spent[name][x] = spent[name].get(x, 0) + n
+    all_in, all_out = sum(len(encode(r[1])) for r in rows), sum(spent["source"].values())
     assert abs(all_out / all_in - 1) < 0.05
-    assert all(abs(tokens[name][x] / all_out - share) < 0.02 for name, goal in targets.items() for x, share in goal.items())
+    assert all(abs(spent[name][x] / all_out - share) < 0.02 for name, goal in targets.items() for x, share in goal.items())
     assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in raking.sampled(docs.repartition(7), targets).collect())
 
 
 def test_edges(edges, nothing):
     got = raking.calibrated(edges).collect()
     assert len(got) == edges.count()
+    need = {(r.doc_id, r.mix_source, r.mix_lang, r.mix_topic): r.mix_weight * r.mix_probability for r in got}
     kept = raking.sampled(edges)
-    assert kept.columns == edges.columns and 0 < kept.count() <= edges.count()
+    assert kept.columns == edges.columns
+    rows = [(r.doc_id, r.text, r.source, r.lang) for r in edges.collect()]
+    times = [(r.doc_id, r.text, r.source, r.lang) for r in kept.collect()]
+    assert times and set(times) <= set(rows)
+    for r in set(rows):  # each row as often as its cell needs it, and once more or not by the draw
+        cell = [n for k, n in need.items() if k[0] == r[0]]
+        assert any(int(n) * rows.count(r) <= times.count(r) <= (int(n) + 1) * rows.count(r) for n in cell)
     assert raking.sampled(nothing).count() == 0 and raking.calibrated(nothing).count() == 0
 
 
 def test_topics(spark):
-    rows = [("Copyright 2020",), ("see https://x.org",), ("a@b.c",), ("plain",), (None,)]
+    rows = [("Copyright 2020",), ("see https://x.org",), ("a@b.c",), ("plain @ home",), (None,)]
     docs = spark.createDataFrame(rows, "text string").select(F.coalesce("text", F.lit("")).alias("text"))
     got = [r[0] for r in docs.select(raking.topic(F.col("text"))).collect()]
     assert got == ["legal", "technical", "contact", "prose", "prose"]
