@@ -5,13 +5,16 @@ folder that all executors share. A task names its files by a fresh id, so a task
 and only those named in the committed run table are ever read. A record whose payload equals that of a page with a larger id is a
 revisit and carries no payload.
 
-Index: each task's captures, sorted by URL key and timestamp, are a run. Key ranges are cut at quantiles, each run is cut at the same
-keys, and the segments of a range meet in one task, which merges them through a tree of losers. Ranges are in order and so is each
-range: the result is the capture history of all keys. Equal keys and times go by page id.
-
-Defined results: a null html is an empty payload; a null page id makes a record without one, a response; a null URL is the key "" and an empty target; equal URLs stay separate captures;
-rows with one page id and one payload are separate records, both of them responses if no larger id has the payload; an empty table
-gives no archive and no row.
+Index: a task's captures, sorted by URL key and timestamp, are runs of at most RUN_ROWS. Key ranges are cut at quantiles, as many as
+keep a range near RANGE_ROWS, and the runs' segments of a range meet in one task, which merges them through a tree of losers; nothing is
+sorted again. Ranges are in order and so is each range, so the places of the ranges' first captures number the capture history of all
+keys. Equal keys and times go by page id, then by place in the archives.
+
+Defined results: a null html is an empty payload; a null page id makes a record without one, a response; a null URL is the key "" and an
+empty target; equal URLs stay separate captures; rows with one page id and one payload are separate records, both of them responses if no
+larger id has the payload; one page id with several payloads is several records, each with its own payload's role; very long pages are
+whole records, a few MB of pages in a task's memory at a time; an empty table gives no archive and no row. Only page_id, url, html and
+captured_at are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -21,17 +24,18 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import TypeVar
-from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, read, written
+from .common import fresh_path, in_slices, read, written
 
 FILE_BYTES = 16 << 20
+#: Captures of a run, which is sorted in a task's memory, and about as many as a range has.
+RUN_ROWS, RANGE_ROWS = 50_000, 50_000
 LEVEL = 1
 #: Fixed value: the time from which page ids count seconds where a table has no capture time.
 EPOCH = "2024-01-01T00:00:00Z"
@@ -43,16 +47,17 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()  # noqa: S324  the digest that the format names
 
 
+#: Host, path and query of a URL with a scheme; user, www, port and fragment stay out.
+URL = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(?:[wW]{3}\.)?([^/:?#]*)(?::[0-9]*)?([^?#]*)(\?[^#]*)?"
+_URL = re.compile(URL)
+
+
 def url_key(url: str | None) -> str:
     """Host labels from last to first, then path and query: captures of a site lie together, whatever the scheme, port or www."""
-    if not url:
-        return ""
-    try:
-        parts = urlsplit(url)
-        host = (parts.hostname or "").removeprefix("www.")
-    except ValueError:
-        return url.lower()
-    return ",".join(reversed(host.split("."))) + ")" + (parts.path or "/").lower() + (f"?{parts.query.lower()}" if parts.query else "")
+    m = _URL.match(url or "")
+    if not m:
+        return (url or "").lower()
+    return (",".join(reversed(m[1].split("."))) + ")" + (m[2] or "/") + (m[3] or "")).lower()
 
 
 def record(kind: str, page_id: int, url: str | None, when: str, digest: str, payload: bytes, refers_to: int | None) -> bytes:
@@ -139,41 +144,62 @@ def loser_tree_merge(runs: Sequence[Iterator[T]], key: Callable[[T], object]) ->
 
 
 def order_of(capture: tuple) -> tuple:
-    """URL key, time, page id; a missing id comes first."""
-    return capture[0], capture[1], -(1 << 63) if capture[2] is None else capture[2]
+    """URL key, time, page id (a missing one comes first), then file and offset."""
+    return capture[0], capture[1], -(1 << 63) if capture[2] is None else capture[2], capture[5], capture[6]
+
+
+def streams(captures: Iterable[tuple[str, tuple]]) -> list[list[tuple]]:
+    """The sorted segments in (run, capture) rows: a run's captures as long as they ascend, a new segment where they don't."""
+    latest: dict[str, list[tuple]] = {}
+    found: list[list[tuple]] = []
+    for run, capture in captures:
+        segment = latest.get(run)
+        if segment is None or order_of(capture) < order_of(segment[-1]):
+            latest[run] = segment = []
+            found.append(segment)
+        segment.append(capture)
+    return found
 
 
 def _with_roles(pages: DataFrame, least_bytes: int) -> DataFrame:
     """(page_id, url, captured_at, html, answer): answer is the page whose record carries the payload, null if it is this one.
 
-    Digests are folded to (digest, largest id) in a partial aggregate first; only digests of two or more pages meet the pages again, and
-    Spark can split that join where one digest has many pages.
+    Digests are folded to (digest, largest id) in a partial aggregate first; only digests of two or more pages meet the pages' ids again,
+    in a join that Spark can split where one digest has many pages, and a page finds its role by its id and digest.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
-    keyed = written(pages.where(F.octet_length(payload) >= least_bytes).select("page_id", F.sha2(payload, 256).alias("digest")), "digests")
+    rows = pages.select("page_id", "url", "captured_at", "html", F.sha2(payload, 256).alias("digest"))
+    keyed = written(rows.where(F.octet_length(payload) >= least_bytes).select("page_id", "digest"), "digests")
     groups = keyed.groupBy("digest").agg(F.max("page_id").alias("answer"), F.count("*").alias("n")).where("n > 1").select("digest", "answer")
-    repeated = keyed.join(written(groups, "repeated"), "digest").where("page_id < answer").groupBy("page_id").agg(F.max("answer").alias("answer"))
-    return pages.join(written(repeated, "revisits"), "page_id", "left")
+    repeated = keyed.join(written(groups, "repeated"), "digest").where("page_id < answer").distinct()
+    return rows.join(written(repeated, "revisits"), ["page_id", "digest"], "left").select("page_id", "url", "captured_at", "html", "answer")
 
 
 RUN = "url_key string, captured_at string, page_id long, record_type string, payload_digest string, file string, offset long, length long"
+_NAMES = [c.split()[0] for c in RUN.split(", ")]
 
 
-def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Writes pages (page_id, url, html, captured_at) as archives under folder; returns the runs: one row per task, its captures sorted."""
+def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, file_bytes: int = FILE_BYTES, run_rows: int = RUN_ROWS) -> DataFrame:
+    """Writes pages (page_id, url, html, captured_at) as archives under folder; returns the runs: one row per capture, with its run."""
     from pyarrow import fs
 
     store, path = fs.FileSystem.from_uri(folder)
     store.create_dir(path, recursive=True)
-    dealt = _with_roles(pages.select("page_id", "url", "html", "captured_at"), least_bytes)
+    dealt = _with_roles(pages, least_bytes)
+
+    def as_run(captures: list[tuple]) -> Iterator[pa.RecordBatch]:
+        run, fields = uuid.uuid4().hex, list(zip(*sorted(captures, key=order_of), strict=True))
+        for start in range(0, len(captures), 10_000):
+            part = [f[start : start + 10_000] for f in fields]
+            yield pa.RecordBatch.from_arrays([pa.array([run] * len(part[0])), *(pa.array(x) for x in part)], ["run", *_NAMES])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         captures: list[tuple] = []
         out, name, at = None, "", 0
-        for batch in batches:
-            for r in (r for at_row in range(0, batch.num_rows, 500) for r in batch.slice(at_row, 500).to_pylist()):
+        for part in in_slices(batches, 3):
+            for r in part.to_pylist():
                 payload = (r["html"] or "").encode("utf-8", "surrogatepass")
                 digest = payload_digest(payload)
                 kind = "response" if r["answer"] is None else "revisit"
@@ -189,48 +215,41 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, file_byt
                 if at >= file_bytes:
                     out.close()
                     out = None
+            if len(captures) >= run_rows:
+                yield from as_run(captures)
+                captures = []
         if out is not None:
             out.close()
-        captures.sort(key=order_of)
         if captures:
-            run = uuid.uuid4().hex
-            fields = list(zip(*captures, strict=True))
-            for start in range(0, len(captures), 10_000):
-                part = [f[start : start + 10_000] for f in fields]
-                yield pa.RecordBatch.from_arrays([pa.array([run] * len(part[0])), *(pa.array(x) for x in part)], ["run", *(c.split()[0] for c in RUN.split(", "))])
+            yield from as_run(captures)
 
     return written(dealt.mapInArrow(write, f"run string, {RUN}"), "runs")
 
 
-def merged_index(runs: DataFrame, ranges: int | None = None) -> DataFrame:
-    """All captures in the order of url_key, captured_at, page_id, with range and nth (the place inside the range); range numbers go up
-    with the keys, so (range, nth) is the global order."""
-    spark = runs.sparkSession
-    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = runs.repartitionByRange(n, "url_key", "captured_at", "page_id")
-    names = [c.split()[0] for c in RUN.split(", ")]
+def merged_index(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """All captures with capture_no, their place (from 0) in the order of url_key, captured_at, page_id, file and offset."""
+    n = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // range_rows))
+    dealt = runs.repartitionByRange(n, "url_key", "captured_at", "page_id", "file", "offset")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         here = TaskContext.get().partitionId()
-        segments: dict[str, list[tuple]] = {}
-        for batch in batches:  # rows of a run keep their order inside each block that the run's task wrote
-            columns = [c.to_pylist() for c in batch.columns]
-            for run, *capture in zip(*columns, strict=True):
-                segments.setdefault(run, []).append(tuple(capture))
-        order = [x if all(order_of(a) <= order_of(b) for a, b in zip(x, x[1:], strict=False)) else sorted(x, key=order_of) for x in segments.values()]
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
         held, nth = [], 0
-        for capture in loser_tree_merge(order, order_of):
+        for capture in loser_tree_merge([iter(s) for s in streams((run, tuple(capture)) for run, *capture in rows)], order_of):
             held.append((here, nth, *capture))
             nth += 1
             if len(held) == 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*held, strict=True)], ["range", "nth", *names])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*held, strict=True)], ["range", "nth", *_NAMES])
                 held = []
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*held, strict=True)], ["range", "nth", *names])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*held, strict=True)], ["range", "nth", *_NAMES])
 
-    return dealt.mapInArrow(merge, f"range long, nth long, {RUN}")
+    merged = written(dealt.mapInArrow(merge, f"range long, nth long, {RUN}"), "index")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    first = merged.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    return merged.join(first, "range").select((F.col("first") + F.col("nth")).alias("capture_no"), *_NAMES)
 
 
 def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
@@ -265,20 +284,27 @@ def with_capture_time(pages: DataFrame) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each capture of the merged history with its record as read back from the archives at the index's file and offset."""
+    """The capture history of all pages: each capture's place in it, and its record as read back at the index's file and offset."""
     folder = fresh_path(spark, "archives")
     index = merged_index(write_archives(with_capture_time(read(spark, sf_dir, "pages").select("page_id", "url", "html")), folder))
     records = read_archives(spark, folder, payloads=False).select("file", "offset", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-    return index.select("file", "offset").join(records, ["file", "offset"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-
-
-#: Base32 of a digest: each five hex digits are four characters.
-ORACLE_SQL = """
-    WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
-    m AS (SELECT html, max(page_id) AS answer FROM p GROUP BY html)
+    found = index.select("file", "offset", "url_key", "captured_at", "capture_no").join(records, ["file", "offset"])
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at", "capture_no")
+
+
+#: Base32 of a digest: each five hex digits are four characters. Fixed: the digits of base32.
+ORACLE_SQL = rf"""
+    WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+    m AS (SELECT html, max(page_id) AS answer FROM p GROUP BY html),
+    k AS (SELECT p.*, answer, strftime(TIMESTAMP '{EPOCH[:19]}' + to_seconds(coalesce(page_id, 0)), '%Y-%m-%dT%H:%M:%SZ') AS captured_at,
+      lower(CASE WHEN regexp_matches(url, '{URL}') THEN
+        array_to_string(list_reverse(string_split(regexp_extract(url, '{URL}', 1), '.')), ',') || ')'
+        || coalesce(nullif(regexp_extract(url, '{URL}', 2), ''), '/') || regexp_extract(url, '{URL}', 3) ELSE url END) AS url_key
+      FROM p JOIN m USING (html))
     SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
       array_to_string(flatten(list_transform(range(0, 8), lambda g: list_transform([15, 10, 5, 0], lambda s:
         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((('0x' || substr(h, CAST(5 * g + 1 AS BIGINT), 5))::BIGINT >> s) & 31) + 1 AS BIGINT), 1)))), '') AS payload_digest,
-      CASE WHEN page_id < answer THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < answer THEN answer END AS refers_to
-    FROM p JOIN m USING (html)
+      CASE WHEN page_id < answer THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < answer THEN answer END AS refers_to,
+      url_key, captured_at, row_number() OVER (ORDER BY url_key COLLATE "binary", captured_at, page_id NULLS FIRST) - 1 AS capture_no
+    FROM k
     """
