@@ -4,18 +4,20 @@ Work in four steps, each of them a distributed job:
 
 1. Each text gets a 64-bit fingerprint of its word shingles; the result is written once.
 2. Equal fingerprints fold into one (a partial aggregate, so thousands of copies cost nothing).
-3. Pairs of fingerprints at MAX_BITS or fewer differing bits. The bits are cut into six blocks. Four flipped bits leave two blocks
-   untouched, so each such pair agrees in one of the 15 pairs of blocks, and these values deal the fingerprints into small cells.
-   Inside a cell every fingerprint has its row of Hamming distances to the reference fingerprints PIVOTS. By the triangle
-   inequality two fingerprints differ in no more coordinates' distance than in bits, so a pair whose greatest coordinate
-   difference exceeds MAX_BITS is discarded; the survivors are compared bit by bit. A cell with over CELL fingerprints is dealt
-   into chunks, and each pair of chunks goes to a group of its own, so that no group has more than a bounded number of rows. A
-   group returns a spanning forest of its links, never all its pairs: what is reachable stays reachable.
+3. Pairs of fingerprints at MAX_BITS or fewer differing bits. Distances to random references alone cannot deal fingerprints out: a
+   coordinate differs by at most MAX_BITS for more than half of all pairs. So fingerprints first go to cells. The bits are cut into six
+   blocks; four flipped bits leave two blocks untouched, so each linked pair agrees in one of the 15 pairs of blocks. A cell with over
+   CELL fingerprints is cut again: its other bits are cut into five parts, of which a linked pair agrees in one, so cells stay small as
+   the corpus grows; what is still too large (a crowd of near copies) is dealt into chunks, each pair of chunks a group of its own.
+   Inside a group every fingerprint has its row of Hamming distances to the reference fingerprints PIVOTS, and the group is sorted by
+   the first. By the triangle inequality two fingerprints differ in no coordinate by more than in bits, so a row's candidates are those
+   that follow it within MAX_BITS of the first distance; a candidate whose greatest coordinate difference exceeds MAX_BITS is discarded,
+   and the survivors are compared bit by bit. A group returns a spanning forest of its links, never all its pairs.
 4. Components of these links, again as a distributed job; the least doc_id of each is joined back to every row.
 
 Defined results: a null, empty or wordless text has fingerprint zero and is linked like any other; texts of one to three words have
-one shingle; repeated rows fall into one component and each is returned; an empty table gives an empty result. Only the two named
-columns are read, whatever else the input holds. A null id is left out of the minimum and its row returned.
+one shingle; very long texts are hashed whole; repeated rows fall into one component and each is returned; an empty table gives an empty
+result. Only the two named columns are read, so others may have any name. A null id is left out of the minimum and its row returned.
 """
 
 from __future__ import annotations
@@ -85,23 +87,60 @@ def _digest(text: str) -> Column:
     return F.when(F.col(text).isNotNull(), F.xxhash64(text))
 
 
+def _bits(fp: Column, at: int, bits: int) -> Column:
+    return F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << bits) - 1))
+
+
+def _joined(fp: Column, ranges: list[tuple[int, int]]) -> Column:
+    """The bits of several ranges (first bit, bits) side by side."""
+    out = F.lit(0).cast("long")
+    for at, bits in ranges:
+        out = F.shiftleft(out, bits).bitwiseOR(_bits(fp, at, bits))
+    return out
+
+
+BLOCK_PAIRS = list(combinations(range(len(BLOCKS)), MAX_BITS // 2))
+
+
 def _cells(fp: Column) -> Column:
     """A fingerprint's 15 cell keys: the number of the pair of blocks, and what the two blocks hold."""
+    return F.array(*(F.shiftleft(F.lit(k).cast("long"), 22).bitwiseOR(_joined(fp, [BLOCKS[i] for i in pair])) for k, pair in enumerate(BLOCK_PAIRS)))
+
+
+def rest_parts(pair: tuple[int, ...]) -> list[list[tuple[int, int]]]:
+    """The bits outside a pair of blocks in MAX_BITS + 1 parts of about equal size, each as ranges."""
+    places = [x for i, (at, bits) in enumerate(BLOCKS) if i not in pair for x in range(at, at + bits)]
+    edges = [round(i * len(places) / (MAX_BITS + 1)) for i in range(MAX_BITS + 2)]
+    parts = []
+    for a, b in zip(edges, edges[1:], strict=False):
+        ranges: list[tuple[int, int]] = []
+        for x in places[a:b]:
+            if ranges and sum(ranges[-1]) == x:
+                ranges[-1] = (ranges[-1][0], ranges[-1][1] + 1)
+            else:
+                ranges.append((x, 1))
+        parts.append(ranges)
+    return parts
 
-    def block(at: int, bits: int) -> Column:
-        return F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << bits) - 1))
 
-    return F.array(*(F.shiftleft(F.shiftleft(F.lit(k).cast("long"), 11).bitwiseOR(block(*a)), 11).bitwiseOR(block(*b)) for k, (a, b) in enumerate(combinations(BLOCKS, 2))))
+def _finer(key: Column, fp: Column) -> Column:
+    """The five keys that a fingerprint of a crowded cell has there: the part's number and what it holds."""
+    by_pair = [F.array(*(F.shiftleft(F.lit(i).cast("long"), 10).bitwiseOR(_joined(fp, r)) for i, r in enumerate(rest_parts(pair)))) for pair in BLOCK_PAIRS]
+    return F.get(F.array(*by_pair), F.shiftrightunsigned(key, 22).cast("int"))
 
 
 def forest(group: np.ndarray, fps: np.ndarray, refs: np.ndarray, max_bits: int = MAX_BITS, cross: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links that span what is within max_bits inside each group. group: sorted group numbers; fps: unsigned; returns index pairs.
 
-    All groups advance together: step s compares each row with the one s places on, while both are in one group. cross: chunk
-    numbers; where given, rows of the same chunk aren't compared unless the group has only one chunk (-1).
+    Rows are sorted by group and first distance. All groups advance together: step s looks at the row s places on, as long as it is in the
+    group and its first distance within max_bits; then no row after it can be a candidate. cross: chunk numbers; where given, rows of the
+    same chunk aren't compared unless the group has only one chunk (-1).
     """
     n = len(fps)
     table = np.bitwise_count(fps[:, None] ^ refs[None, :]).astype(np.int8)
+    order = np.lexsort((table[:, 0], group))
+    group, fps, table = group[order], fps[order], table[order]
+    cross = None if cross is None else cross[order]
     root = np.arange(n)
     left: list[int] = []
     right: list[int] = []
@@ -116,12 +155,12 @@ def forest(group: np.ndarray, fps: np.ndarray, refs: np.ndarray, max_bits: int =
     while len(live):
         step += 1
         live = live[live + step < n]
-        live = live[group[live] == group[live + step]]
+        live = live[(group[live] == group[live + step]) & (table[live + step, 0] - table[live, 0] <= max_bits)]
         pair = live
         if cross is not None and len(pair):
             pair = pair[(cross[pair] != cross[pair + step]) | (cross[pair] < 0)]
         pair = pair[root[pair] != root[pair + step]]  # already joined ones need no second link
-        for k in range(table.shape[1]):
+        for k in range(1, table.shape[1]):
             if not len(pair):
                 break
             pair = pair[np.abs(table[pair, k] - table[pair + step, k]) <= max_bits]
@@ -136,34 +175,38 @@ def forest(group: np.ndarray, fps: np.ndarray, refs: np.ndarray, max_bits: int =
                 joined = True
         while joined and not np.array_equal(up := root[root], root):
             root[:] = up
-    return np.array(left, np.int64), np.array(right, np.int64)
+    return order[np.array(left, np.int64)], order[np.array(right, np.int64)]
 
 
 def links(nodes: DataFrame, refs: np.ndarray | None = None, cell: int = CELL) -> DataFrame:
     """Links (v, u) between the distinct fingerprints of nodes (fp) whose components are those of all pairs within MAX_BITS."""
     refs = pivots() if refs is None else refs
     keyed = nodes.select(F.explode(_cells(F.col("fp"))).alias("key"), "fp")
-    crowd = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    placed = keyed.join(crowd, "key").withColumn("chunks", F.ceil(F.col("n") / cell).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
+    met = keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+    crowded = met.where(F.col("n") > cell).select("key", F.explode(_finer(F.col("key"), F.col("fp"))).alias("part"), "fp")
+    finer = crowded.join(crowded.groupBy("key", "part").agg(F.count("*").alias("n")).where("n > 1"), ["key", "part"])
+    placed = met.where(F.col("n") <= cell).select("key", F.lit(-1).cast("long").alias("part"), "fp", "n").unionByName(finer)
+    placed = placed.withColumn("chunks", F.ceil(F.col("n") / cell).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    dealt = placed.select("key", "fp", "chunk", "chunks", other.alias("other")).select("key", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "fp")
-    keys = ["key", "lo", "hi"]
+    pairs = placed.select("key", "part", "fp", "chunk", other.alias("other"))
+    keys = ["key", "part", "lo", "hi"]
+    dealt = pairs.select("key", "part", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted; a group may span batches, so the last group of a batch waits for the next."""
 
         def solve(part: np.ndarray) -> pa.RecordBatch:
-            new = np.any(part[1:, :3] != part[:-1, :3], axis=1)
+            new = np.any(part[1:, :4] != part[:-1, :4], axis=1)
             group = np.concatenate(([0], np.cumsum(new)))
-            cross = np.where(part[:, 1] == part[:, 2], -1, part[:, 3])
-            fps = np.ascontiguousarray(part[:, 4])
+            cross = np.where(part[:, 2] == part[:, 3], -1, part[:, 4])
+            fps = np.ascontiguousarray(part[:, 5])
             a, b = forest(group, fps.view(np.uint64), refs, cross=cross)
             return pa.RecordBatch.from_arrays([pa.array(np.maximum(fps[a], fps[b])), pa.array(np.minimum(fps[a], fps[b]))], ["v", "u"])
 
-        held = np.zeros((0, 5), np.int64)
+        held = np.zeros((0, 6), np.int64)
         for batch in batches:
             part = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], 1)])
-            cut = int(np.argmax(np.all(part[:, :3] == part[-1:, :3], axis=1))) if len(part) else 0
+            cut = int(np.argmax(np.all(part[:, :4] == part[-1:, :4], axis=1))) if len(part) else 0
             if cut:
                 yield solve(part[:cut])
             held = part[cut:]

@@ -57,7 +57,17 @@ def test_near_copies_and_hot_copies(spark):
     rows += [(n := n + 1, " ".join(f"w{rng.randrange(10**6)}" for _ in range(50))) for _ in range(60)]
     rng.shuffle(rows)
     check(spark, rows)
-    check(spark, rows, cell=4)  # cells dealt into chunks give the same
+    for cell in (4, 16, 40):  # cells cut again and dealt into chunks give the same
+        check(spark, rows, cell=cell)
+
+
+def test_parts_cover_the_rest_of_the_bits():
+    for pair in simhash.BLOCK_PAIRS:
+        parts = simhash.rest_parts(pair)
+        bits = [x for ranges in parts for at, n in ranges for x in range(at, at + n)]
+        agreed = [x for i in pair for x in range(simhash.BLOCKS[i][0], sum(simhash.BLOCKS[i]))]
+        assert sorted(bits + agreed) == list(range(64)) and len(parts) == 5
+        assert all(8 <= sum(n for _, n in ranges) <= 9 for ranges in parts)
 
 
 def test_edges(spark, edges, nothing):
