@@ -106,9 +106,9 @@ def comments_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.md5(code.without_comments(F.col("html"))).alias("digest"))
 
 
-@query()
+@query(cited.sql("documents", "doc_id", "text"))
 def cited_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reference lists and cited quotations cut out; tested on examples."""
+    """Reference lists and cited quotations cut out."""
     return cited.removed(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
