@@ -1,13 +1,16 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads the lower-cased UTF-8 bytes of a word from both ends, labels every byte position with language probabilities, and a
-document's probabilities are the mean over all its positions. State starts anew at each word, so a word's positions need computing
-once per worker however often it occurs. Longer stretches without a blank are read in windows of WINDOW bytes. Training is plain numpy:
-backpropagation through time with Adam, on a bounded sample of labelled documents (at most DOCS_PER_LANGUAGE of each language, WORDS
-spread over each whole text), chosen by a hash of the id, so a re-run learns the same weights.
-
-Defined results: a null text or one without a letter is ``und`` with score 0, and so is every text where nothing can be learned; equal
-texts get equal predictions; repeated rows are predicted each. Labels of fewer than LEAST_DOCS documents aren't learned.
+The network reads the UTF-8 bytes of the lower-cased text from both ends, labels every byte position with language probabilities, and a
+document's probabilities are the mean over all its positions. Texts are read in windows of CORE bytes that reach MARGIN bytes into their
+neighbours on either side, cut at characters: a state starts anew only at a window's edge, so each counted position has seen at least
+MARGIN bytes (or the text's edge) on both sides, across blanks and marks. Windows of a few MB of texts advance together, position by
+position. Training is plain numpy: backpropagation through time with Adam, on the whole texts of a bounded sample of labelled documents
+(about DOCS_PER_LANGUAGE of each language), chosen by a hash of the id, so a re-run learns the same weights.
+
+Defined results: a null text or one without a letter is ``und`` with score 0, and so is every text where nothing can be learned; every
+label of a usable document is learned, and more than LABELS of them are an error; equal probabilities go to the first label in order; very
+long texts are read whole, in windows; equal texts get equal predictions, and repeated rows are predicted each; an empty table gives no
+row. Only the id, the text and, for learning, the label are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -22,33 +25,41 @@ from pyspark.sql import functions as F
 
 from .common import in_slices, read
 
-HIDDEN, WINDOW = 16, 24
-#: Bounds of the training sample.
-DOCS_PER_LANGUAGE, WORDS, LANGUAGES, LEAST_DOCS = 300, 40, 64, 5
-EPOCHS, BATCH, RATE, SEED = 4, 256, 0.01, 5
-#: Words a worker remembers.
-REMEMBERED = 400_000
+HIDDEN, CORE, MARGIN = 16, 448, 32
+#: Windows that advance together.
+TOGETHER = 1024
+#: Bound of the training sample, in documents of a language, and of what may be a label.
+DOCS_PER_LANGUAGE, LABELS = 50, 1000
+#: Training reads shorter windows.
+TRAIN_CORE, EPOCHS, BATCH, RATE, SEED = 96, 4, 64, 0.01, 5
 UNKNOWN = "und"
 
-#: All but letters and what isn't ASCII becomes a blank.
-FOLD = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
+def bytes_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)
 
-def words_of(text: str | None) -> list[bytes]:
-    """The words of a text as bytes; stretches over WINDOW bytes in windows."""
-    found = (text or "").lower().encode("utf-8", "surrogatepass").translate(FOLD).split()
-    if max(map(len, found), default=0) <= WINDOW:
-        return found
-    return [w[at : at + WINDOW] for w in found for at in range(0, len(w), WINDOW)]
 
+def windows(raw: np.ndarray, core: int = CORE, margin: int = MARGIN) -> np.ndarray:
+    """Rows (from, first counted, end of the counted, to) that cut bytes at characters; each byte is counted once."""
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    def at_characters(places: np.ndarray) -> np.ndarray:
+        places = np.clip(places, 0, len(raw))
+        for _ in range(3):  # a character has at most three bytes after its first
+            inside = (places > 0) & (places < len(raw))
+            places = places - (inside & ((raw[np.minimum(places, len(raw) - 1)] & 0xC0) == 0x80))
+        return places
+
+    first = at_characters(np.arange(0, len(raw), core)) if len(raw) else np.zeros(0, np.int64)
+    last = np.append(first[1:], len(raw)) if len(raw) else first
+    return np.stack([at_characters(first - margin), first, last, at_characters(last + margin)], axis=1) if len(raw) else np.zeros((0, 4), np.int64)
 
 
 @dataclass
 class Network:
-    """Two gated recurrent layers, one for each direction, and a softmax over both states at each position."""
+    """Two gated recurrent layers, one for each direction, and a softmax over both states at each position.
+
+    Weights of a side: x (byte, 3 * hidden) and h (hidden, 3 * hidden), for the update gate, the reset gate and the new state.
+    """
 
     languages: list[str]
     weights: dict[str, np.ndarray]
@@ -64,125 +75,153 @@ class Network:
         weights["bias"] = np.zeros(len(languages))
         return Network(languages, {k: v.astype(np.float32) for k, v in weights.items()})
 
-    def _side(self, x: np.ndarray, side: str, keep: list | None = None) -> np.ndarray:
-        """States (positions, words, hidden) of one direction; x: bytes (words, positions)."""
-        wx, wh = self.weights[f"{side}x"], self.weights[f"{side}h"]
-        n = wh.shape[0]
-        h = np.zeros((len(x), n), np.float32)
-        out = np.empty((x.shape[1], len(x), n), np.float32)
-        for t in range(x.shape[1]) if side == "f" else range(x.shape[1] - 1, -1, -1):
-            given, held = wx[x[:, t]], h @ wh
-            gates = _sigmoid(given[:, : 2 * n] + held[:, : 2 * n])
-            z, r = gates[:, :n], gates[:, n:]
-            new = np.tanh(given[:, 2 * n :] + r * held[:, 2 * n :])
+    def states(self, x: np.ndarray, there: np.ndarray, side: str, keep: list | None = None) -> np.ndarray:
+        """States (positions, windows, hidden) of one direction. x: bytes (positions, windows); there: which of these a window has, from
+        its first on; where it has none the state is zero. keep takes what backpropagation needs of each step."""
+        n = self.weights["fh"].shape[0]
+        # sigmoid(a) is (1 + tanh(a / 2)) / 2, so the gates' weights are halved once
+        halved = np.repeat(np.array([0.5, 0.5, 1], np.float32), n)
+        parts = [[np.ascontiguousarray(w[:, k * n : (k + 1) * n]) for k in range(3)] for w in (self.weights[f"{side}x"] * halved, self.weights[f"{side}h"] * halved)]
+        (xz, xr, xn), (hz, hr, hn) = parts
+        out = np.empty((*x.shape, n), np.float32)
+        h = np.zeros((x.shape[1], n), np.float32)
+        full = there.all(axis=1)
+        for t in range(len(x)) if side == "f" else range(len(x) - 1, -1, -1):
+            z = xz.take(x[t], axis=0)
+            z += h @ hz
+            np.tanh(z, out=z)
+            z += 1
+            z *= 0.5
+            r = xr.take(x[t], axis=0)
+            r += h @ hr
+            np.tanh(r, out=r)
+            r += 1
+            r *= 0.5
+            held = h @ hn
+            new = r * held
+            new += xn.take(x[t], axis=0)
+            np.tanh(new, out=new)
             if keep is not None:
-                keep.append((t, h, z, r, new, held[:, 2 * n :]))
-            h = new + z * (h - new)
+                keep.append((t, h, z, r, new, held))
+            h = h - new
+            h *= z
+            h += new
+            if not full[t]:
+                h *= there[t][:, None]
             out[t] = h
         return out
 
-    def positions(self, x: np.ndarray, keep: dict | None = None) -> np.ndarray:
-        """Probabilities (positions, words, languages) of equally long words."""
-        steps: dict[str, list | None] = {"f": [] if keep is not None else None, "b": [] if keep is not None else None}
-        states = np.concatenate([self._side(x, side, steps[side]) for side in "fb"], axis=2)
-        scores = states @ self.weights["out"] + self.weights["bias"]
-        scores = np.exp(scores - scores.max(axis=2, keepdims=True))
+    def positions(self, x: np.ndarray, there: np.ndarray, keep: dict | None = None) -> np.ndarray:
+        """Probabilities (positions, windows, languages)."""
+        steps: dict[str, list | None] = {side: [] if keep is not None else None for side in "fb"}
+        states = [self.states(x, there, side, steps[side]) for side in "fb"]
+        n = self.weights["fh"].shape[0]
+        scores = states[0] @ self.weights["out"][:n]
+        scores += states[1] @ self.weights["out"][n:]
+        scores += self.weights["bias"]
+        scores -= scores.max(axis=2, keepdims=True)
+        np.exp(scores, out=scores)
+        scores /= scores.sum(axis=2, keepdims=True)
         if keep is not None:
-            keep |= {"steps": steps, "states": states}
-        return scores / scores.sum(axis=2, keepdims=True)
+            keep |= {"steps": steps, "states": np.concatenate(states, axis=2)}
+        return scores
 
-    def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean cross-entropy over all positions and its gradients, by backpropagation through time."""
+    def gradients(self, x: np.ndarray, there: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean cross-entropy over all positions and its gradients, by backpropagation through time. y: a label for each window."""
         keep: dict = {}
-        p = self.positions(x, keep)
-        count = p.shape[0] * p.shape[1]
-        at = (slice(None), np.arange(len(y)), y)
-        loss = float(-np.log(p[at] + 1e-9).mean())
-        d = p / count
-        d[at] -= 1 / count
+        p = self.positions(x, there, keep)
+        right = np.take_along_axis(p, np.broadcast_to(y[None, :, None], (*x.shape, 1)), axis=2)[:, :, 0]
+        count = there.sum()
+        loss = float(-(np.log(right + 1e-9) * there).sum() / count)
+        d = p * there[:, :, None]
+        d[:, np.arange(len(y)), y] -= there
+        d /= count
+        d = d.astype(np.float32)
         states, n = keep["states"], self.weights["fh"].shape[0]
         grads = {"out": np.tensordot(states, d, ((0, 1), (0, 1))), "bias": d.sum((0, 1))}
         d_states = d @ self.weights["out"].T
+        hot = np.zeros((x.size, 256), np.float32)
+        hot[np.arange(x.size), x.ravel()] = 1
         for k, side in enumerate("fb"):
             wh = self.weights[f"{side}h"]
-            gx, gh, dh = np.zeros_like(self.weights[f"{side}x"]), np.zeros_like(wh), np.zeros((len(x), n), np.float32)
+            gh, dh, given = np.zeros_like(wh), np.zeros((x.shape[1], n), np.float32), np.zeros((*x.shape, 3 * n), np.float32)
             for t, h, z, r, new, held in reversed(keep["steps"][side]):
-                dh = dh + d_states[t, :, k * n : (k + 1) * n]
+                dh = (dh + d_states[t, :, k * n : (k + 1) * n]) * there[t][:, None]
                 d_new = dh * (1 - z) * (1 - new * new)
                 d_z = dh * (h - new) * z * (1 - z)
                 d_r = d_new * held * r * (1 - r)
-                np.add.at(gx, x[:, t], np.concatenate([d_z, d_r, d_new], axis=1))
+                given[t] = np.concatenate([d_z, d_r, d_new], axis=1)
                 d_held = np.concatenate([d_z, d_r, d_new * r], axis=1)
                 gh += h.T @ d_held
                 dh = dh * z + d_held @ wh.T
-            grads[f"{side}x"], grads[f"{side}h"] = gx, gh
+            grads[f"{side}x"], grads[f"{side}h"] = hot.T @ given.reshape(-1, 3 * n), gh
         return loss, grads
 
-    def train(self, words: list[bytes], labels: list[int], epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE, seed: int = SEED) -> Network:
-        """Adam over batches of equally long words, in random order."""
+    def train(self, texts: list[str], labels: list[int], epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE, seed: int = SEED) -> Network:
+        """Adam over batches of windows of like length, in random order; every window of every text is read in each epoch."""
         rng = np.random.default_rng(seed)
-        by_length: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            by_length.setdefault(len(w), []).append(i)
+        raws = [bytes_of(t) for t in texts]
+        cut = [(i, a, b) for i, raw in enumerate(raws) for a, _, _, b in windows(raw, TRAIN_CORE, MARGIN // 2).tolist()]
+        cut.sort(key=lambda w: w[2] - w[1])
         first = {k: np.zeros_like(v) for k, v in self.weights.items()}
         second = {k: np.zeros_like(v) for k, v in self.weights.items()}
         step = 0
         for epoch in range(epochs):
-            batches = [order[at : at + batch] for group in by_length.values() for order in [rng.permutation(group)] for at in range(0, len(group), batch)]
-            for i in rng.permutation(len(batches)):
-                x = np.frombuffer(b"".join(words[j] for j in batches[i]), np.uint8).reshape(len(batches[i]), -1)
-                _, grads = self.gradients(x, np.array([labels[j] for j in batches[i]]))
+            order = sorted(range(len(cut)), key=lambda i, noise=rng.random(len(cut)): ((cut[i][2] - cut[i][1]) // 8, noise[i]))
+            batches = [order[at : at + batch] for at in range(0, len(order), batch)]
+            for k in rng.permutation(len(batches)):
+                part = [cut[i] for i in batches[k]]
+                x, there = laid_out([raws[i][a:b] for i, a, b in part])
+                _, grads = self.gradients(x, there, np.array([labels[i] for i, _, _ in part]))
                 step += 1
-                for k, g in grads.items():
+                for name, g in grads.items():
                     g = np.clip(g, -1, 1)
-                    first[k] = 0.9 * first[k] + 0.1 * g
-                    second[k] = 0.999 * second[k] + 0.001 * g * g
+                    first[name] = 0.9 * first[name] + 0.1 * g
+                    second[name] = 0.999 * second[name] + 0.001 * g * g
                     pace = rate * 0.5**epoch / (1 - 0.9**step)
-                    self.weights[k] = (self.weights[k] - pace * first[k] / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                    self.weights[name] = (self.weights[name] - pace * first[name] / (np.sqrt(second[name] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
         return self
 
 
+def laid_out(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Windows side by side as (positions, windows), and which positions a window has."""
+    lengths = np.array([len(p) for p in parts])
+    x = np.zeros((len(parts), int(lengths.max())), np.intp)
+    for row, p in zip(x, parts, strict=True):
+        row[: len(p)] = p
+    return np.ascontiguousarray(x.T), np.arange(x.shape[1])[:, None] < lengths
+
+
 class Predictor:
-    """Documents' probabilities, with the position sums of words already read."""
+    """Documents' languages by their positions' mean probabilities."""
 
     def __init__(self, network: Network):
         self.network = network
-        self._forget()
-
-    def _forget(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.sums = np.zeros((1024, len(self.network.languages)), np.float32)
-
-    def _learn(self, new: list[bytes]) -> None:
-        by_length: dict[int, list[bytes]] = {}
-        for w in new:
-            by_length.setdefault(len(w), []).append(w)
-        while len(self.sums) < len(self.place) + len(new):
-            self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
-        for length, group in by_length.items():
-            for at in range(0, len(group), 4096):
-                part = group[at : at + 4096]
-                start = len(self.place)
-                x = np.frombuffer(b"".join(part), np.uint8).reshape(-1, length)
-                self.sums[start : start + len(part)] = self.network.positions(x).sum(0)
-                self.place.update(zip(part, range(start, start + len(part)), strict=True))
+
+    def sums(self, texts: list[str]) -> np.ndarray:
+        """(texts, languages): probabilities summed over each text's bytes."""
+        raws = [bytes_of(t) for t in texts]
+        places = [windows(raw) for raw in raws]
+        doc = np.repeat(np.arange(len(texts)), [len(p) for p in places])
+        cut = np.concatenate([np.zeros((0, 4), np.int64), *places])
+        out = np.zeros((len(texts), len(self.network.languages)))
+        order = np.argsort(cut[:, 3] - cut[:, 0], kind="stable")
+        for at in range(0, len(order), TOGETHER):
+            mine = order[at : at + TOGETHER]
+            x, there = laid_out([raws[doc[i]][cut[i, 0] : cut[i, 3]] for i in mine])
+            step = np.arange(len(x))[:, None]
+            counted = (step >= cut[mine, 1] - cut[mine, 0]) & (step < cut[mine, 2] - cut[mine, 0])
+            np.add.at(out, doc[mine], np.einsum("twl,tw->wl", self.network.positions(x, there), counted.astype(np.float32)))
+        return out
 
     def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        if len(self.place) > REMEMBERED:
-            self._forget()
-        if not self.network.languages:
-            return [(UNKNOWN, 0.0)] * len(texts)
-        cut = [words_of(t) for t in texts]
-        self._learn(sorted(set().union(*cut).difference(self.place)))
-        out = []
-        for text, words in zip(texts, cut, strict=True):
-            if not words or not any(c.isalpha() for c in text):
-                out.append((UNKNOWN, 0.0))
-                continue
-            sums = self.sums[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))].sum(0, dtype=np.float64)
-            share = sums / sums.sum()
-            best = int(share.argmax())
-            out.append((self.network.languages[best], min(1.0, float(share[best]))))
+        out = [(UNKNOWN, 0.0)] * len(texts)
+        told = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
+        if not self.network.languages or not told:
+            return out
+        for i, sums in zip(told, self.sums([texts[i] for i in told]), strict=True):
+            best = int(sums.argmax())
+            out[i] = (self.network.languages[best], min(1.0, float(sums[best] / sums.sum())))
         return out
 
 
@@ -193,26 +232,18 @@ def fold_of(id_col: str) -> Column:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE) -> Network:
     """Learns from labelled documents outside the held-out fold."""
-    known = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull() & (fold_of(id_col) != 2))
-    counts = known.groupBy(label).agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), label).limit(LANGUAGES).collect()
-    languages = sorted(r[label] for r in counts)
-    if not languages:
+    known = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull() & (fold_of(id_col) != 2)).select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(label).alias("label"))
+    counts = known.groupBy("label").agg(F.count("*").alias("n")).orderBy("label").limit(LABELS + 1).collect()
+    if len(counts) > LABELS:
+        raise ValueError(f"more than {LABELS} labels")
+    if not counts:
         return Network([], {})
     span = 1 << 40
-    share = F.coalesce(*(F.when(F.col(label) == r[label], F.lit(min(span, int(docs_per_language / r["n"] * span)))) for r in counts))
-    chosen = known.where(F.col(label).isin(languages)).where(F.pmod(F.xxhash64(F.lit(SEED), F.col(id_col)), F.lit(span)) < share)
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for lang, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = words_of(value)
-                rows += [(lang, words[i * len(words) // WORDS]) for i in range(WORDS)] if len(words) > WORDS else [(lang, w) for w in words]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["lang", "word"])
-
-    # about docs_per_language * WORDS rows of each language
-    sample = sorted((r["lang"], bytes(r["word"])) for r in chosen.select(F.col(label), F.col(text)).mapInArrow(spread, "lang string, word binary").collect())
-    return Network.fresh(languages).train([w for _, w in sample], [languages.index(x) for x, _ in sample])
+    share = F.coalesce(*(F.when(F.col("label") == r["label"], F.lit(min(span, int(docs_per_language / r["n"] * span)))) for r in counts))
+    chosen = known.where(F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(span)) < share)
+    sample = sorted((r["label"], r["text"]) for r in chosen.select("label", "text").collect())  # about docs_per_language rows of each label
+    languages = [r["label"] for r in counts]
+    return Network.fresh(languages).train([t for _, t in sample], [languages.index(x) for x, _ in sample])
 
 
 def predict(docs: DataFrame, network: Network, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -222,7 +253,8 @@ def predict(docs: DataFrame, network: Network, id_col: str = "doc_id", text: str
         predictor = Predictor(network)
         for batch in in_slices(batches, 2):
             found = predictor(batch.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+            columns = [batch.column(0), batch.column(1), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.coalesce(fold_of(id_col), F.lit(0)) == 2).alias("held_out"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -11,24 +12,74 @@ def test_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(0)
     net = langid.Network.fresh(["a", "b", "c"], 4)
     net.weights = {k: v.astype(np.float64) for k, v in net.weights.items()}
-    x, y = rng.integers(97, 100, (3, 4)).astype(np.uint8), np.array([0, 1, 2])
-    _, grads = net.gradients(x, y)
+    x, there = langid.laid_out([rng.integers(97, 100, n).astype(np.uint8) for n in (4, 2, 3)])
+    y = np.array([0, 1, 2])
+    _, grads = net.gradients(x, there, y)
     for k, w in net.weights.items():
-        for _ in range(4):
+        for _ in range(6):
             at = (int(rng.integers(97, 100)), int(rng.integers(w.shape[1]))) if k in ("fx", "bx") else tuple(rng.integers(n) for n in w.shape)
             was, step = w[at], 1e-2
             w[at] = was + step
-            more = net.gradients(x, y)[0]
+            more = net.gradients(x, there, y)[0]
             w[at] = was - step
-            less = net.gradients(x, y)[0]
+            less = net.gradients(x, there, y)[0]
             w[at] = was
             assert abs((more - less) / (2 * step) - grads[k][at]) < 1e-3
 
 
-def test_words():
-    assert langid.words_of("Ab1cd, É!") == [b"ab", b"cd", "é".encode()]
-    assert langid.words_of("a" * 50) == [b"a" * 24, b"a" * 24, b"aa"]
-    assert langid.words_of(None) == []
+def test_windows_count_each_byte_once_and_keep_characters():
+    text = "aé日\U0001f600 b" * 300
+    raw = langid.bytes_of(text)
+    for core, margin in ((7, 3), (10, 4), (256, 32), (10_000, 5)):
+        cut = langid.windows(raw, core, margin)
+        assert cut[0, 1] == 0 and cut[-1, 2] == len(raw) and all(a[2] == b[1] for a, b in zip(cut, cut[1:], strict=False))
+        for a, first, last, b in cut.tolist():
+            assert a <= first <= last <= b
+            bytes(raw[a:b]).decode()
+            bytes(raw[first:last]).decode()
+            assert (a == 0 or first - a >= margin) and (b == len(raw) or b - last >= margin - 3)
+    assert len(langid.windows(langid.bytes_of(""))) == 0
+
+
+def plain_shares(net, text):
+    """Position by position, one number at a time, over the windows of one text."""
+    def sigmoid(a):
+        return 1 / (1 + math.exp(-a))
+
+    raw, w = text.lower().encode(), {k: v.astype(float) for k, v in net.weights.items()}
+    n = len(w["fh"])
+    total = np.zeros(len(net.languages))
+    for a, first, last, b in langid.windows(langid.bytes_of(text)).tolist():
+        seen = {}
+        for side, order in (("f", range(a, b)), ("b", range(b - 1, a - 1, -1))):
+            h = [0.0] * n
+            for t in order:
+                given = w[f"{side}x"][raw[t]]
+                held = [sum(h[i] * w[f"{side}h"][i, j] for i in range(n)) for j in range(3 * n)]
+                new = []
+                for i in range(n):
+                    z, r = sigmoid(given[i] + held[i]), sigmoid(given[n + i] + held[n + i])
+                    new.append((1 - z) * math.tanh(given[2 * n + i] + r * held[2 * n + i]) + z * h[i])
+                h = new
+                seen[side, t] = h
+        for t in range(first, last):
+            scores = [sum(x * y for x, y in zip(seen["f", t] + seen["b", t], w["out"][:, k], strict=True)) + w["bias"][k] for k in range(len(net.languages))]
+            e = [math.exp(x - max(scores)) for x in scores]
+            total += np.array(e) / sum(e)
+    return total / total.sum()
+
+
+def test_predictions_are_those_of_the_plain_network():
+    net = langid.Network.fresh(["x", "y", "z"], 5, seed=3)
+    texts = ["One short text", "é", "1 2 3 Wort", "über die Straße und noch viel weiter " * 20, "abc " * 75]
+    for text, sums in zip(texts, langid.Predictor(net).sums(texts), strict=True):
+        assert np.allclose(sums / sums.sum(), plain_shares(net, text), atol=1e-5)
+    assert abs(langid.Predictor(net).sums(texts).sum() - sum(len(t.lower().encode()) for t in texts)) < 1e-2
+
+
+def test_a_state_goes_on_over_blanks():
+    p = langid.Predictor(langid.Network.fresh(["x", "y"], 5, seed=3))
+    assert abs(p.sums(["one two"])[0] - p.sums(["two one"])[0]).max() > 1e-6
 
 
 def test_held_out_accuracy(spark):
