@@ -1,11 +1,14 @@
 """TIFF as a column: a writer of pages, and a reader that walks image directories and emits one row per page.
 
-The reader takes either byte order, strips or tiles, no compression, PackBits, LZW or deflate, and undoes horizontal differencing.
-Pages are grey, one 8-bit sample a pixel. The query stores each text's UTF-8 bytes, zero-padded to a positive multiple of 64, as pages
-of 64 pixels a row and up to PAGE_ROWS rows; small payloads use PackBits or LZW, others deflate, large pages tiles with differencing.
-
-Defined results: a null or empty text is one row of 64 zero samples; equal texts give equal files; a file that isn't TIFF, or one with
-a broken page, gives one row with ``page`` -1 and the reason in ``error``; a null file gives a row with ``error`` "null".
+The reader takes either byte order, strips or tiles, no compression, PackBits, LZW or deflate, one or more 8-bit samples a pixel, and
+undoes horizontal differencing. The query stores each text's UTF-8 bytes, zero-padded to a positive multiple of 64, as grey pages of 64
+pixels a row and up to PAGE_ROWS rows in strips of STRIP_ROWS, packed by CODEC, whatever their size; ``text_media`` takes any other.
+
+Defined results: a null or empty text is one row of 64 zero samples; very long texts are several pages, a few MB of texts in a task's
+memory at a time; equal texts give equal files, and repeated rows each their own; a file that isn't TIFF, or one with a broken page (a
+size of zero or beyond what the file can hold, missing strips, unknown codes), gives one row with ``page`` -1 and the reason in
+``error``; a null file gives a row with ``error`` "null"; an empty table gives no row. Only the named columns are read, so others may have
+any name; ``carry`` may not name a column of PAGES.
 """
 
 from __future__ import annotations
@@ -23,8 +26,12 @@ from pyspark.sql import functions as F
 
 from .common import in_slices, read
 
-WIDTH, PAGE_ROWS, TILE_ROWS = 64, 1024, 256
+WIDTH, PAGE_ROWS, STRIP_ROWS = 64, 1024, 256
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
+#: What the query packs its pages by.
+CODEC = LZW
+#: Bytes that a packed byte can stand for at most, in any of the codecs.
+MOST = 4096
 VALUES = {1: "B", 2: "B", 3: "H", 4: "I", 16: "Q"}  # struct codes of a directory entry's values, by its type
 
 
@@ -46,9 +53,10 @@ def packbits_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def packbits_decode(data: bytes) -> bytes:
-    out, at = [], 0
-    while at < len(data):
+def packbits_decode(data: bytes, most: int) -> bytes:
+    """Up to ``most`` bytes."""
+    out, at, size = [], 0, 0
+    while at < len(data) and size < most:
         n = data[at]
         if n < 128:
             out.append(data[at + 1 : at + 2 + n])
@@ -57,101 +65,124 @@ def packbits_decode(data: bytes) -> bytes:
             if n > 128:
                 out.append(data[at + 1 : at + 2] * (257 - n))
             at += 2 if n > 128 else 1
+            if n == 128:
+                continue
+        size += len(out[-1])
     return b"".join(out)
 
 
+CLEAR, END, FIRST, FULL = 256, 257, 258, 4094
+#: Bits of the k-th code since a clear (9 to 12, one more once entry 511, 1023 or 2047 is made), where it begins and ends, and its mask.
+WIDTHS = np.repeat([9, 10, 11, 12], [512 - FIRST, 512, 1024, 4096])
+ENDS = np.cumsum(WIDTHS)
+PLACES = ENDS - WIDTHS
+MASKS = ((1 << WIDTHS) - 1).astype(np.uint32)
+_SINGLE = [bytes((i,)) for i in range(256)] + [b"", b""]
+_SHOWN = np.arange(16) >= 16 - np.arange(13)[:, None]  # by width: which of 16 bits a code has
+
+
 def lzw_encode(data: bytes) -> bytes:
-    """TIFF's LZW: codes of 9 to 12 bits, high bit first, 256 clears, 257 ends, widths grow once entry 511, 1023 or 2047 is made."""
-    bits = filled = 0
-    out = bytearray()
-
-    def put(code: int, width: int) -> None:
-        nonlocal bits, filled
-        bits, filled = bits << width | code, filled + width
-        while filled >= 8:
-            filled -= 8
-            out.append(bits >> filled & 255)
-        bits &= (1 << filled) - 1
-
-    codes, free, width, word = {bytes((i,)): i for i in range(256)}, 258, 9, b""
-    put(256, width)
-    for i in range(len(data)):
-        longer = word + data[i : i + 1]
-        if longer in codes:
+    """TIFF's LZW, high bit first: codes are found byte by byte, then laid out as bits all together."""
+    codes, widths = [CLEAR], [[9]]
+    table: dict[int, int] = {}
+    known, put = table.get, codes.append
+    free, word, begun = FIRST, data[0] if data else -1, 1  # begun: where the codes since the last clear begin
+    for c in data[1:]:
+        key = word << 8 | c
+        longer = known(key)
+        if longer is not None:
             word = longer
             continue
-        put(codes[word], width)
-        codes[longer] = free
+        put(word)
+        table[key] = free
         free += 1
-        if free == 4094:
-            put(256, width)
-            codes, free, width = {bytes((i,)): i for i in range(256)}, 258, 9
-        elif free > (1 << width) - 1:
-            width += 1
-        word = data[i : i + 1]
-    if word:
-        put(codes[word], width)
-        free += 1
-        width += free > (1 << width) - 1 and width < 12
-    put(257, width)
-    if filled:
-        put(0, 8 - filled)
-    return bytes(out)
-
-
-def lzw_decode(data: bytes) -> bytes:
-    number, left = int.from_bytes(data, "big") if len(data) <= 4096 else 0, 8 * len(data)
+        word = c
+        if free == FULL:
+            widths += [WIDTHS[: len(codes) - begun], [12]]
+            put(CLEAR)
+            table.clear()
+            free, begun = FIRST, len(codes)
+    if word >= 0:
+        put(word)
+    put(END)
+    widths.append(WIDTHS[: len(codes) - begun])
+    bits = np.unpackbits(np.array(codes, ">u2").view(np.uint8)).reshape(-1, 16)
+    return np.packbits(bits[_SHOWN[np.concatenate(widths)]]).tobytes()
+
+
+def lzw_decode(data: bytes, most: int) -> bytes:
+    """Up to about ``most`` bytes. Codes up to the next clear are cut out together, as their widths go by their number; words are then
+    built one by one."""
+    raw = np.frombuffer(data + bytes(4), np.uint8).astype(np.uint32)
+    threes = raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]
     out: list[bytes] = []
     table: list[bytes] = []
-    width, last, at = 9, b"", 0
-    while at + width <= left:
-        if len(data) <= 4096:
-            code = number >> (left - at - width) & ((1 << width) - 1)
-        else:
-            three = int.from_bytes(data[at >> 3 : (at >> 3) + 3].ljust(3, b"\0"), "big")
-            code = three >> (24 - (at & 7) - width) & ((1 << width) - 1)
-        at += width
-        if code == 257:
+    last, at, k, size = b"", 0, 0, 0  # at: where the codes since the last clear begin; k: how many of them are read
+    while size < most:
+        upto = int(np.searchsorted(ENDS, 8 * len(data) - at, "right"))
+        if upto <= k:
             break
-        if code == 256:
-            table, width, last = [bytes((i,)) for i in range(256)] + [b"", b""], 9, b""
-            continue
-        if not table:
+        places = at + PLACES[k:upto]
+        codes = threes[places >> 3] >> (24 - (places & 7) - WIDTHS[k:upto]).astype(np.uint32) & MASKS[k:upto]
+        marks = np.flatnonzero((codes == CLEAR) | (codes == END))
+        stop = int(marks[0]) if len(marks) else len(codes)
+        if stop and not table:
             raise ValueError("LZW data without a clear code")
-        if code > len(table) or (code == len(table) and not last):
-            raise ValueError("LZW code out of range")
-        word = table[code] if code < len(table) else last + last[:1]
-        out.append(word)
-        if last:
+        if stop == len(codes) and upto == len(WIDTHS):
+            raise ValueError("LZW data without a clear code for too long")
+        before = len(out)
+        todo = iter(codes[:stop].tolist())
+        for code in todo:  # the first since a clear
+            if code > 255:
+                raise ValueError("LZW code out of range")
+            last = table[code]
+            out.append(last)
+            break
+        for code in todo:
+            if code < len(table):
+                word = table[code]
+            elif code == len(table):
+                word = last + last[:1]
+            else:
+                raise ValueError("LZW code out of range")
+            out.append(word)
             table.append(last + word[:1])
-        last = word
-        width = 12 if len(table) >= 2047 else 11 if len(table) >= 1023 else 10 if len(table) >= 511 else 9
+            last = word
+        size += sum(map(len, out[before:]))
+        if stop == len(codes) or codes[stop] == END:
+            break
+        at, k, table = int(places[stop]) + int(WIDTHS[k + stop]), 0, _SINGLE[:]
     return b"".join(out)
 
 
+def _inflate(data: bytes, most: int) -> bytes:
+    return zlib.decompressobj().decompress(data, most)
+
+
 def _pack(data: bytes, compression: int) -> bytes:
     return {NONE: bytes, PACKBITS: packbits_encode, LZW: lzw_encode, DEFLATE: lambda x: zlib.compress(x, 4)}[compression](data)
 
 
-def _unpack(data: bytes, compression: int) -> bytes:
-    kinds = {NONE: bytes, PACKBITS: packbits_decode, LZW: lzw_decode, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress}
+def _unpack(data: bytes, compression: int, most: int) -> bytes:
+    kinds = {NONE: lambda x, n: x[:n], PACKBITS: packbits_decode, LZW: lzw_decode, DEFLATE: _inflate, OLD_DEFLATE: _inflate}
     if compression not in kinds:
         raise ValueError(f"compression {compression}")
-    return kinds[compression](data)
+    return kinds[compression](data, most)
 
 
 def write_tiff(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int = 1, tile_rows: int = 0, order: str = "<") -> bytes:
-    """Grey 8-bit pages, each as one directory; tile_rows: tiles of the page's width (a multiple of 16) and so many rows, else strips."""
+    """Pages of 8-bit samples (height, width) or (height, width, samples), each as one directory; tile_rows: tiles of the page's width (a
+    multiple of 16) and so many rows, else strips."""
     out = bytearray((b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 0))
     link = 4
     for page in pages:
-        height, width = page.shape
-        rows = tile_rows or min(TILE_ROWS, height)
-        parts = [page[at : at + rows] for at in range(0, height, rows)]
+        height, width, samples = (*page.shape, 1)[:3]
+        rows = tile_rows or min(STRIP_ROWS, height)
+        parts = [page[at : at + rows].reshape(-1, width, samples) for at in range(0, height, rows)]
         if tile_rows:
-            parts[-1] = np.pad(parts[-1], ((0, rows - len(parts[-1])), (0, 0)))
+            parts[-1] = np.pad(parts[-1], ((0, rows - len(parts[-1])), (0, 0), (0, 0)))
         if predictor == 2:
-            parts = [np.diff(p, axis=1, prepend=np.zeros((len(p), 1), np.uint8)) for p in parts]
+            parts = [np.diff(p, axis=1, prepend=np.zeros((len(p), 1, samples), np.uint8)) for p in parts]
         places, lengths = [], []
         for part in parts:
             packed = _pack(part.tobytes(), compression)
@@ -159,10 +190,13 @@ def write_tiff(pages: list[np.ndarray], compression: int = DEFLATE, predictor: i
             lengths.append(len(packed))
             out += packed
         out += b"\0" * (len(out) % 2)
-        at, entries = [], [(256, 4, [width]), (257, 4, [height]), (258, 3, [8]), (259, 3, [compression]), (262, 3, [1]), (277, 3, [1]), (317, 3, [predictor])]
-        entries += [(322, 4, [width]), (323, 4, [rows]), (324, 4, places), (325, 4, lengths)] if tile_rows else [(273, 4, places), (278, 4, [rows]), (279, 4, lengths)]
-        for tag, kind, values in sorted(entries):
-            raw = b"".join(struct.pack(order + {3: "H", 4: "I"}[kind], v) for v in values)
+        entries = [(256, 4, [width]), (257, 4, [height]), (258, 3, [8] * samples), (259, 3, [compression]), (262, 3, [2 if samples > 2 else 1])]
+        entries += [] if tile_rows else [(273, 4, places)]
+        entries += [(277, 3, [samples])] + ([] if tile_rows else [(278, 4, [rows]), (279, 4, lengths)]) + [(317, 3, [predictor])]
+        entries += [(322, 4, [width]), (323, 4, [rows]), (324, 4, places), (325, 4, lengths)] if tile_rows else []
+        at = []
+        for tag, kind, values in entries:
+            raw = struct.pack(f"{order}{len(values)}{'H' if kind == 3 else 'I'}", *values)
             if len(raw) > 4:
                 where = len(out)
                 out += raw
@@ -197,26 +231,31 @@ def directories(data: bytes) -> Iterator[dict[int, list[int]]]:
 
 
 def read_page(data: bytes, tags: dict[int, list[int]]) -> np.ndarray:
-    """The samples of one directory's page."""
-    width, height, compression, predictor = tags[256][0], tags[257][0], tags.get(259, [NONE])[0], tags.get(317, [1])[0]
-    if tags.get(258, [8])[0] != 8 or tags.get(277, [1])[0] != 1:
-        raise ValueError("only grey pages of 8-bit samples")
-    tiled = 324 in tags
+    """The samples of one directory's page: (height, width, samples)."""
+    width, height, samples = tags[256][0], tags[257][0], tags.get(277, [1])[0]
+    compression, predictor, tiled = tags.get(259, [NONE])[0], tags.get(317, [1])[0], 324 in tags
+    if set(tags.get(258, [1])) != {8} or tags.get(284, [1])[0] != 1 or predictor not in (1, 2):
+        raise ValueError("only 8-bit samples, pixel by pixel, plain or differenced")
     part_width, rows = (tags[322][0], tags[323][0]) if tiled else (width, min(tags.get(278, [height])[0], height))
-    across = -(-width // part_width)
-    page = np.zeros((-(-height // rows) * rows, across * part_width), np.uint8)
-    for i, (at, length) in enumerate(zip(tags[324 if tiled else 273], tags[325 if tiled else 279], strict=True)):
-        raw = np.frombuffer(_unpack(data[at : at + length], compression), np.uint8)
-        top = i // across * rows
+    if min(width, height, samples, part_width, rows) < 1:
+        raise ValueError("a size of zero")
+    across, down = -(-width // part_width), -(-height // rows)
+    if across * part_width * down * rows * samples > MOST * len(data):
+        raise ValueError("a page beyond what the file can hold")
+    places, lengths = tags[324 if tiled else 273], tags[325 if tiled else 279]
+    if not len(places) == len(lengths) == across * down:
+        raise ValueError("missing strips or tiles")
+    page = np.zeros((down * rows, across * part_width, samples), np.uint8)
+    for i, (at, length) in enumerate(zip(places, lengths, strict=True)):
+        top, left = i // across * rows, i % across * part_width
         n = rows if tiled else min(rows, height - top)
-        part = raw[: n * part_width].reshape(n, part_width)
-        if predictor == 2:
-            part = np.cumsum(part, axis=1, dtype=np.uint8)
-        page[top : top + n, i % across * part_width : (i % across + 1) * part_width] = part
+        size = n * part_width * samples
+        part = np.frombuffer(_unpack(data[at : at + length], compression, size)[:size], np.uint8).reshape(n, part_width, samples)
+        page[top : top + n, left : left + part_width] = np.cumsum(part, axis=1, dtype=np.uint8) if predictor == 2 else part
     return page[:height, :width]
 
 
-PAGES = "doc_id long, page int, pages int, width int, height int, pixels binary, error string"
+PAGES = "doc_id long, page int, pages int, width int, height int, samples int, pixels binary, error string"
 
 
 def tiff_pages(media: DataFrame, id_col: str = "doc_id", content: str = "media", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -232,12 +271,14 @@ def tiff_pages(media: DataFrame, id_col: str = "doc_id", content: str = "media",
                     if data is None:
                         raise ValueError("null")
                     found = [read_page(data, tags) for tags in directories(data)]
-                    rows = [(k, len(found), p.shape[1], p.shape[0], p.tobytes(), None) for k, p in enumerate(found)]
-                except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
-                    rows = [(-1, 0, None, None, None, str(e))]
+                    rows = [(k, len(found), p.shape[1], p.shape[0], p.shape[2], p.tobytes(), None) for k, p in enumerate(found)]
+                    if not rows:
+                        raise ValueError("no page")
+                except (ValueError, KeyError, IndexError, OverflowError, struct.error, zlib.error) as e:
+                    rows = [(-1, 0, None, None, None, None, f"{type(e).__name__}: {e}" if isinstance(e, KeyError) else str(e))]
                 ids = batch.slice(i, 1)
                 many = pa.array(np.zeros(len(rows), np.int64))
-                kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
+                kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
                 columns = [ids.column(0).take(many), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)), *(ids.column(2 + k).take(many) for k in range(len(carry)))]
                 yield pa.RecordBatch.from_arrays(columns, [*names, *carry])
 
@@ -256,26 +297,20 @@ def tiff_pages(media: DataFrame, id_col: str = "doc_id", content: str = "media",
     return rows.mapInArrow(packed, ", ".join([PAGES, *types]))
 
 
-def store(payload: bytes) -> bytes:
+def store(payload: bytes, codec: int = CODEC, predictor: int = 1, tile_rows: int = 0) -> bytes:
     """A payload (a positive multiple of 64 bytes) as TIFF."""
     samples = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
-    pages = [samples[at : at + PAGE_ROWS] for at in range(0, len(samples), PAGE_ROWS)]
-    if len(payload) <= 256:
-        return write_tiff(pages, PACKBITS)
-    if len(payload) <= 768:
-        return write_tiff(pages, LZW)
-    large = len(samples) >= TILE_ROWS
-    return write_tiff(pages, DEFLATE, 2 if large else 1, TILE_ROWS if large else 0)
+    return write_tiff([samples[at : at + PAGE_ROWS] for at in range(0, len(samples), PAGE_ROWS)], codec, predictor, tile_rows)
 
 
-def text_media(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def text_media(docs: DataFrame, id_col: str = "doc_id", text: str = "text", codec: int = CODEC, predictor: int = 1, tile_rows: int = 0) -> DataFrame:
     """(doc_id, n_bytes, media): each text as a TIFF file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, 1):
             texts = batch.column(1).to_pylist()
             raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-            files = [store(x.ljust(max(64, -(-len(x) // 64) * 64), b"\0")) for x in raw]
+            files = [store(x.ljust(max(64, -(-len(x) // 64) * 64), b"\0"), codec, predictor, tile_rows) for x in raw]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array(files, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
@@ -306,3 +341,15 @@ def page_features(pages: DataFrame) -> DataFrame:
 def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = text_media(read(spark, sf_dir, "documents")).select("*", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
     return page_features(tiff_pages(media, carry=("n_bytes", "media_bytes", "media_sha256")))
+
+
+def tiff_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op10_tiff that don't depend on the stored form and that SQL has functions for."""
+    return op10_tiff(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+PAYLOADS_SQL = f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes FROM documents),
+    p AS (SELECT *, greatest({WIDTH}, (n_bytes + {WIDTH - 1}) // {WIDTH} * {WIDTH})::BIGINT AS payload_bytes FROM d)
+    SELECT doc_id, n_bytes, payload_bytes, sha256(t || repeat(chr(0), payload_bytes - n_bytes)) AS payload_sha256 FROM p
+    """
