@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import random
 import re
+import time
+from math import log2
 
 import pytest
 
@@ -38,11 +41,62 @@ def test_guess_bits():
     assert max(map(S.guess_bits, weak)) < S.GUESS_BITS < min(map(S.guess_bits, strong))
 
 
+def part_bits(value, low, i, j):
+    """Bits of one part value[i:j], by trying every kind; infinite if it is none."""
+    part, found = value[i:j], [float("inf")]
+    if j - i == 1:
+        found.append(log2(10 if part.isdigit() else 26 if part.isascii() and part.isalpha() else 33 if part.isascii() else 100))
+    for form, extra in ((low[i:j], 0), (low[i:j].translate(S.LEET), 1)):
+        if j - i > 1 and form in RANKS:
+            found.append(1 + log2(RANKS[form] + 1) + extra + (part != low[i:j]))
+    if S.DATE.fullmatch(part):
+        found.append(1 + log2(365 * 130))
+    if S.YEAR.fullmatch(part):
+        found.append(1 + log2(130))
+    if j - i >= 3 and len(set(part)) == 1:
+        a, b = i, j
+        while a and value[a - 1] == part[0]:
+            a -= 1
+        while b < len(value) and value[b] == part[0]:
+            b += 1
+        found.append(1 + part_bits(part[0], part[0].lower(), 0, 1) + log2(b - a))
+    if j - i >= 3 and all(x in S.NEXT for x in zip(low[i:j], low[i + 1 : j], strict=False)):
+        found.append(1 + log2(47) + 0.5 * (j - i))
+    return min(found)
+
+
+def every_cut(value):
+    """The cheapest of all segmentations, by trying each way to cut."""
+    low, best = value.lower(), float("inf")
+    n = len(value)
+    for cuts in range(1 << max(0, n - 1)):
+        edges = [0, *(i + 1 for i in range(n - 1) if cuts >> i & 1), n]
+        best = min(best, sum(part_bits(value, low, a, b) for a, b in zip(edges, edges[1:], strict=False)))
+    return best
+
+
+RANKS = S.word_ranks(S.vocabulary_path())
+
+
 def test_guess_bits_is_the_cheapest_cut():
-    """Adding a character never makes a value cheaper by more than rounding, and a value is at most the sum of its halves."""
-    for v in ("password2024", "x9f8K2mQ", "aaa111qwe", "Tr0ub4dor&3"):
-        for i in range(len(v) + 1):
-            assert S.guess_bits(v) <= S.guess_bits(v[:i]) + S.guess_bits(v[i:]) + 1e-9
+    rng = random.Random(4)
+    parts = ["aaa", "11", "qwe", "poi", "123", "pass", "P4ss", "the", "20", "2024", "0131", "xX", "é", "-", "love", "7", "Zz", "zzzz"]
+    values = ["".join(rng.choice(parts) for _ in range(4))[:11] for _ in range(60)] + ["a", "aaaapple", "qwertyui", "20240131", "trewq12", "19991231x"]
+    for v in values:
+        assert abs(S.guess_bits(v) - every_cut(v)) < 1e-9, v
+        assert (S.guess_cost(S.vocabulary_path())(v, 20.0) >= 20) == (every_cut(v) >= 20)
+
+
+def test_long_values_take_linear_time():
+    begin = time.process_time()
+    for v in ("a" * 100_000, "qwertyuiop" * 10_000, "asdfdsa" * 15_000, "aB3" * 30_000):
+        S.guess_bits(v)
+    assert time.process_time() - begin < 60
+    assert S.find_spans("password=" + "x9Kq" * 50_000)[-1] == (9, 3, 200_009)
+
+
+def test_word_ranks():
+    assert RANKS["password"] == 1 and 30 < RANKS["water"] < len(RANKS) and len(RANKS) > 10_000 and all(w.isalpha() and w.islower() for w in RANKS)
 
 
 def test_guess_spans():
