@@ -5,15 +5,22 @@ take up to N words of any kind (a name, a year, a title). Compiled, it is an aut
 word, empty moves around optional regions, and counted loops for replaceable ones. A text is accepted from a word on if the automaton
 reaches its end, so each mandatory word must be there, exactly and in order; punctuation, case and line breaks don't count.
 
-Defined results: a null or empty text has no words and no label; first_word and last_word are null without a base place; repeated
-rows are scanned each. Only the id and the text column are read.
+TEMPLATES holds short licenses and the standard notices of long ones in full, and names of licenses with their versions, which are labels
+of their own worth. ``from_folder`` compiles license texts of any length that lie in a folder.
+
+Defined results: a null or empty text has no words and no label; very long texts are scanned whole, a few MB of texts at a time;
+first_word and last_word are null without a base place; of accepted places inside a longer one of their family only the longer counts,
+and equal ones count each; repeated rows are scanned each; an empty table gives no row. Only the id and the text column are read, so
+other columns may have any name.
 """
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -70,15 +77,17 @@ BSD_AS_IS = (
     "including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
 )
 
-#: Whole wording of public licenses, and the notices that name them, by label.
-TEMPLATES = {
-    "apache-2.0": ["licensed under the apache license version 2 0", "apache license <<optional>>version<</optional>> 2 0"],
-    "gpl-2.0": ["gnu general public license <<optional>>as published by the free software foundation either<</optional>> version 2"],
-    "gpl-3.0": ["gnu general public license <<optional>>as published by the free software foundation either<</optional>> version 3"],
-    "lgpl": ["gnu <<optional>>lesser<</optional>><<optional>>library<</optional>> general public license version 2 1", "gnu lesser general public license"],
-    "agpl-3.0": ["gnu affero general public license <<optional>>as published by the free software foundation either<</optional>> version 3"],
-    "mit-notice": ["<<optional>>released<</optional>><<optional>>licensed<</optional>> under the <<optional>>terms of the<</optional>> mit license"],
-    "mit-text": [MIT_GRANT],
+#: Texts begin where a word stands that isn't in every sentence.
+GNU_NOTICE = (
+    "free software you can redistribute it and or modify it under the terms of the gnu {name} as published by the free software foundation "
+    "<<var:1>> version {version} of the license <<optional>>or at your option any later version<</optional>> <<var:6>> is distributed in the "
+    "hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular "
+    "purpose see the gnu {name} for more details <<optional>>you should have received a copy of the gnu {name} along with <<var:6>><<optional>>if "
+    "not see <<var:8>><</optional>><<optional>>if not write to the free software foundation inc <<var:14>><</optional>><</optional>>"
+)
+
+#: Whole wording of public licenses, by label.
+WHOLE = {
     "mit": [f"{MIT_GRANT} {MIT_PERSONS} {MIT_NOTICE} {AS_IS}"],
     "mit-0": [f"{MIT_GRANT} {MIT_PERSONS} {AS_IS}"],
     "json": [f"{MIT_GRANT} {MIT_PERSONS} {MIT_NOTICE} the software shall be used for good not evil {AS_IS}"],
@@ -90,18 +99,8 @@ TEMPLATES = {
         f"{BSD_CONDITIONS} <<var:1>> all advertising materials mentioning features or use of this software must display the following "
         f"acknowledgement this product includes software developed by <<var:20>> {BSD_NAMES} {BSD_AS_IS}"
     ],
-    "bsd": [
-        "<<optional>>2<</optional>><<optional>>3<</optional>> clause bsd license",
-        "bsd <<optional>>2<</optional>><<optional>>3<</optional>> <<optional>>clause<</optional>> license",
-    ],
-    "mpl-2.0": ["subject to the terms of the mozilla public license v 2 0", "mozilla public license <<optional>>version<</optional>> 2 0"],
-    "cc0-1.0": ["cc0 1 0", "creative commons zero"],
-    "cc-by": ["cc by <<optional>>4 0<</optional>><<optional>>3 0<</optional>>", "creative commons attribution <<optional>>4 0<</optional>> <<optional>>international<</optional>> license"],
-    "cc-by-nc": ["cc by nc <<optional>>4 0<</optional>>", "creative commons attribution noncommercial"],
-    "cc-by-sa": ["cc by sa <<optional>>4 0<</optional>>", "creative commons attribution sharealike"],
-    "cc-by-nd": ["cc by nd <<optional>>4 0<</optional>>", "creative commons attribution noderivatives"],
     "unlicense": [
-        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or "
+        "free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or "
         "distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any "
         "means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in "
         "the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and "
@@ -109,7 +108,7 @@ TEMPLATES = {
         f"software under copyright law {AS_IS}"
     ],
     "zlib": [
-        "this software is provided as is without any express or implied warranty in no event will <<var:6>> be held liable for any damages "
+        "software is provided as is without any express or implied warranty in no event will <<var:6>> be held liable for any damages "
         "arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial "
         "applications and to alter it and redistribute it freely subject to the following restrictions <<var:1>> the origin of this software "
         "must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an "
@@ -118,15 +117,70 @@ TEMPLATES = {
         "software <<var:1>> this notice may not be removed or altered from any source distribution"
         for x in ("acknowledgment", "acknowledgement")
     ],
+    "wtfpl": [
+        "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long "
+        "as the name is changed <<optional>>do what the fuck you want to public license<</optional>> terms and conditions for copying "
+        "distribution and modification <<var:1>> you just do what the fuck you want to"
+    ],
+    "apache-2.0-notice": [
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may "
+        "obtain a copy of the license at <<var:8>> unless required by applicable law or agreed to in writing software distributed under the "
+        "license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for "
+        "the specific language governing permissions and limitations under the license"
+    ],
+    "gpl-2.0-notice": [GNU_NOTICE.format(name="general public license", version="2")],
+    "gpl-3.0-notice": [GNU_NOTICE.format(name="general public license", version="3")],
+    "lgpl-2.1-notice": [GNU_NOTICE.format(name="lesser general public license", version="2 1")],
+    "lgpl-3.0-notice": [GNU_NOTICE.format(name="lesser general public license", version="3")],
+    "agpl-3.0-notice": [GNU_NOTICE.format(name="affero general public license", version="3")],
+    "mpl-2.0-notice": [
+        "source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this "
+        "file you can obtain one at <<var:8>>"
+    ],
+}
+FSF = "<<optional>>as published by the free software foundation either<</optional>>"
+#: Names of licenses with what tells their version, by label: they mention a license and aren't one.
+NAMES = {
+    "apache-2.0": ["licensed under the apache license version 2 0", "apache license <<optional>>version<</optional>> 2 0"],
+    "gpl-2.0": [f"gnu general public license {FSF} version 2"],
+    "gpl-3.0": [f"gnu general public license {FSF} version 3"],
+    "lgpl": ["gnu lesser general public license", "gnu library general public license"],
+    "agpl-3.0": [f"gnu affero general public license {FSF} version 3"],
+    "mit-notice": ["<<optional>>released<</optional>><<optional>>licensed<</optional>> under the <<optional>>terms of the<</optional>> mit license"],
+    "bsd": [f"{n} clause bsd license" for n in "234"] + [f"bsd {n} clause license" for n in "234"] + ["bsd license"],
+    "mpl-2.0": ["mozilla public license <<optional>>version<</optional><<optional>>v<</optional>> 2 0"],
+    "cc0-1.0": ["cc0 1 0", "creative commons <<optional>>cc0<</optional>><<optional>>zero<</optional>> <<optional>>v1 0<</optional>><<optional>>1 0<</optional>> universal"],
+    "cc-by": [f"cc by {v} 0" for v in "234"] + ["creative commons attribution <<optional>>4 0<</optional>> <<optional>>international<</optional>> license"],
+    "cc-by-nc": [f"cc by nc {v} 0" for v in "234"] + ["creative commons attribution noncommercial <<optional>>4 0<</optional>> <<optional>>international<</optional>> license"],
+    "cc-by-sa": [f"cc by sa {v} 0" for v in "234"] + ["creative commons attribution sharealike <<optional>>4 0<</optional>> <<optional>>international<</optional>> license"],
+    "cc-by-nd": [f"cc by nd {v} 0" for v in "234"] + ["creative commons attribution noderivatives <<optional>>4 0<</optional>> <<optional>>international<</optional>> license"],
     "all-rights-reserved": ["copyright <<optional>>c<</optional>> <<var:8>> all rights reserved"],
 }
-#: Labels of openings that several licenses share: alone they are no accepted license.
-OPENINGS = ("mit-text",)
+#: Openings that several licenses share: alone they are no accepted license.
+OPENINGS = {"mit-text": [MIT_GRANT]}
+TEMPLATES = WHOLE | NAMES | OPENINGS
 #: Labels of which a longer place hides a shorter one inside it, as a label does its own.
-FAMILIES = (("mit-text", "mit", "mit-0", "json"), ("cc-by", "cc-by-nc", "cc-by-sa", "cc-by-nd"))
+FAMILIES = (
+    ("mit-text", "mit", "mit-0", "json"), ("cc-by", "cc-by-nc", "cc-by-sa", "cc-by-nd"), ("apache-2.0", "apache-2.0-notice"),
+    ("gpl-2.0", "gpl-2.0-notice"), ("gpl-3.0", "gpl-3.0-notice"), ("lgpl", "lgpl-2.1-notice", "lgpl-3.0-notice"),
+    ("agpl-3.0", "agpl-3.0-notice"), ("mpl-2.0", "mpl-2.0-notice"),
+)
 FAMILY = {label: family[0] for family in FAMILIES for label in family}
 
 
+def from_folder(folder: str) -> dict[str, list[str]]:
+    """Templates of the plain texts in a folder, each of them mandatory wording from its first word to its last; the label is the lower-case
+    file name without ``.txt``. Marked-up regions in a text are kept."""
+    found = {}
+    for name in sorted(os.listdir(folder)):
+        with open(os.path.join(folder, name), "rb") as f:
+            parts = re.split(rb"(<</?(?:optional|var:\d+)>>)", f.read())
+        words = b" ".join(p if i % 2 else p.translate(FOLD) for i, p in enumerate(parts))
+        if words.strip():
+            found[name.lower().removesuffix(".txt")] = [words.decode("utf-8", "replace")]
+    return found
+
+
 @dataclass
 class Automaton:
     """States 0..size: ``words[s]`` is the word that leads from s to s + 1, None a replaceable place; ``skips[s]`` where s may move
@@ -234,10 +288,17 @@ def base_places(words: list[bytes], folded: bytes) -> list[tuple[int, str]]:
     return out
 
 
-def _innermost(found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Without places inside a longer one of their family: a longer license name is not also one of its beginnings."""
-    kin = [FAMILY.get(x[0], x[0]) for x in found]
-    return [x for x, k in zip(found, kin, strict=True) if not any(k == o and y[1] <= x[1] and x[2] <= y[2] and y[2] - y[1] > x[2] - x[1] for y, o in zip(found, kin, strict=True))]
+def outermost(found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Without places inside a longer one of their family: a longer license name is not also one of its beginnings. One pass over the
+    places from left to right, longer ones first."""
+    reach: dict[str, int] = {}  # by family: the furthest end so far
+    out = []
+    for (start, end), equal in groupby(sorted(found, key=lambda x: (x[1], -x[2], x[0])), key=lambda x: x[1:]):
+        here = [(label, FAMILY.get(label, label)) for label, _, _ in equal]
+        out += [(label, start, end) for label, kin in here if reach.get(kin, -1) < end]
+        for _, kin in here:
+            reach[kin] = max(reach.get(kin, -1), end)
+    return sorted(out, key=lambda x: (x[1], x[2], x[0]))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
@@ -255,7 +316,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", te
                 words = folded.split()
                 n.append(len(words))
                 base.append([{"word": w, "label": label} for w, label in base_places(words, folded)])
-                found.append([{"label": label, "start": a, "end": b} for label, a, b in _innermost(scanner.accepted(words))])
+                found.append([{"label": label, "start": a, "end": b} for label, a, b in outermost(scanner.accepted(words))])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(base, places), pa.array(found, matches)], ["doc_id", "n_words", "places", "matches"])
 
     schema = "doc_id long, n_words long, places array<struct<word:long,label:string>>, matches array<struct<label:string,start:long,end:long>>"
@@ -263,7 +324,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", te
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """score: 1 for an accepted template, half for base phrases or a shared opening alone, 0 for neither."""
+    """score: 1 for the whole wording of a license or its notice, 3/4 for a name with its version, half for base phrases or a shared
+    opening alone, 0 for none of these."""
     base, own = F.transform("places", lambda p: p["label"]), F.transform("matches", lambda m: m["label"])
     where = F.transform("places", lambda p: p["word"])
     return license_scan(read(spark, sf_dir, "documents")).select(
@@ -274,5 +336,35 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_max(where).alias("last_word"),
         F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_distinct(F.concat(base, own))), ",").alias("labels"),
-        F.when(F.exists("matches", lambda m: ~m["label"].isin(*OPENINGS)), 1.0).when((F.size("matches") > 0) | (F.size("places") > 0), 0.5).otherwise(0.0).alias("score"),
+        F.when(F.exists(own, lambda x: x.isin(*WHOLE)), 1.0)
+        .when(F.exists(own, lambda x: x.isin(*NAMES)), 0.75)
+        .when((F.size("matches") > 0) | (F.size("places") > 0), 0.5)
+        .otherwise(0.0)
+        .alias("score"),
     )
+
+
+def license_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op7_license_scan that don't depend on templates."""
+    return op7_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def _sql() -> str:
+    def places(phrase: str) -> str:
+        words = phrase.split()
+        here = " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(words, 1))
+        return f"list_filter(range(0, len(w) - {len(words) - 1}), lambda i: {here})"
+
+    found = ", ".join(f"{places(phrase)} AS {label}" for phrase, label in BASE.items())
+    label_list = ", ".join(f"CASE WHEN len({x}) > 0 THEN '{x}' END" for x in sorted(BASE.values()))
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    p AS (SELECT doc_id, w, {found} FROM d),
+    q AS (SELECT *, list_concat(list_concat({", ".join(list(BASE.values())[:2])}), {list(BASE.values())[2]}) AS places FROM p)
+    SELECT doc_id, len(w)::BIGINT AS n_words, len(places)::BIGINT AS n_base, list_min(places) AS first_word, list_max(places) AS last_word,
+      array_to_string(list_filter([{label_list}], lambda x: x IS NOT NULL), ',') AS base_labels FROM q
+    """
+
+
+PLACES_SQL = _sql()

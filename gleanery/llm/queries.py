@@ -19,9 +19,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": secret_scan.op8_secret_scan,
     "op9_source_mixing": raking.op9_source_mixing,
     "op10_tiff": tiff.op10_tiff,
+    # what of three of them SQL can express
+    "license_places": licenses.license_places,
+    "secret_counts": secret_scan.secret_counts,
+    "tiff_payloads": tiff.tiff_payloads,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality.ORACLE_SQL,
     "op4_warc": warc.ORACLE_SQL,
+    "license_places": licenses.PLACES_SQL,
+    "secret_counts": secret_scan.COUNTS_SQL,
+    "tiff_payloads": tiff.PAYLOADS_SQL,
 }

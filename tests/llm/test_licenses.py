@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
@@ -16,7 +17,7 @@ distribute, sublicense, and/or sell copies of the Software"""
 
 def labels(text):
     words = text.encode().translate(licenses.FOLD).split()
-    return sorted({x[0] for x in licenses._innermost(licenses.Scanner().accepted(words))})
+    return sorted({x[0] for x in licenses.outermost(licenses.Scanner().accepted(words))})
 
 
 @pytest.mark.parametrize(
@@ -35,6 +36,13 @@ def labels(text):
         ("Released under the MIT License.", ["mit-notice"]),
         ("Copyright (c) 2020 by A B. All rights reserved.", ["all-rights-reserved"]),
         ("nothing of the kind", []),
+        ("please send it to me, cc by friday", []),
+        ("the clause bsd of it", []),
+        ("creative commons zero day exploit", []),
+        ("GNU General Public License version 2, 1 June 1991", ["gpl-2.0"]),
+        ("GNU Lesser General Public License version 2.1", ["lgpl"]),
+        ("CC0 1.0", ["cc0-1.0"]),
+        ("Creative Commons Zero v1.0 Universal", ["cc0-1.0"]),
     ],
 )
 def test_templates(text, want):
@@ -69,15 +77,54 @@ def test_whole_wording(spark, tmp_path):
     }
     for text, want in cases.items():
         assert labels(text) == [want]
-    for name in ("isc", "0bsd", "bsd-2-clause", "bsd-3-clause", "bsd-4-clause", "unlicense", "zlib"):
-        words = plain_text(licenses.TEMPLATES[name][0]).split()
-        assert labels(" ".join(words)) == [name]
-        assert labels(" ".join(words[:-2])) == []
+    for name, forms in licenses.WHOLE.items():
+        for form in forms:
+            words = plain_text(form).split()
+            assert labels(" ".join(words)) == [name]
+            assert name not in labels(" ".join(words[:-2]))
+            for at in range(3, len(words), 11):  # a word more or another word inside: not this license
+                if words[at] != "Thing" and "Thing" not in words[at - 1 : at + 2]:
+                    assert name not in labels(" ".join([*words[:at], "changed", *words[at + 1 :]]))
     assert labels("Copyright (c) 2015 Acme, BSD 3-Clause License. All rights reserved.") == ["all-rights-reserved", "bsd"]
     spark.createDataFrame([row(i, t) for i, t in enumerate(cases)], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     assert [r.score for r in licenses.op7_license_scan(spark, str(tmp_path)).orderBy("doc_id").collect()] == [1, 1, 1, 0.5]
 
 
+GPL_3 = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as
+published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."""
+
+
+def test_notices():
+    assert labels(GPL_3) == ["gpl-3.0-notice"]
+    assert labels(GPL_3.replace("either version 3 of the License, or (at your option) any later version", "version 2 of the License")) == ["gpl-2.0-notice"]
+    assert labels(GPL_3.replace("WITHOUT ANY WARRANTY", "WITH A WARRANTY")) == ["gpl-3.0"]
+
+
+def test_outermost_is_what_no_longer_place_holds():
+    rng = random.Random(3)
+    for _ in range(200):
+        found = list({(rng.choice(["cc-by", "cc-by-nc", "bsd", "mit"]), a, a + rng.randint(1, 6)) for a in (rng.randrange(9) for _ in range(8))})
+        kin = lambda x: licenses.FAMILY.get(x[0], x[0])
+        want = [x for x in found if not any(kin(x) == kin(y) and y[1] <= x[1] and x[2] <= y[2] and y[1:] != x[1:] for y in found)]
+        assert sorted(licenses.outermost(found)) == sorted(want)
+
+
+def test_folder_of_whole_texts(tmp_path):
+    long = " ".join(f"word{i % 991}" for i in range(6000))
+    (tmp_path / "Long-1.0.txt").write_text(f"{long}; by <<var:2>>.\nEnd of terms")
+    (tmp_path / "empty").write_text("")
+    templates = licenses.from_folder(str(tmp_path))
+    assert list(templates) == ["long-1.0"]
+    scanner = licenses.Scanner(templates)
+    words = f"before {long} by some one end of terms after".split()
+    assert scanner.accepted([w.encode() for w in words]) == [("long-1.0", 1, 6007)]
+    words[3000] = "other"
+    assert scanner.accepted([w.encode() for w in words]) == []
+
+
 def test_automaton():
     a = licenses.compile_template("a <<optional>>b c<</optional>> d <<var:2>> e")
     run = lambda t: a.run(t.encode().split(), 0)
