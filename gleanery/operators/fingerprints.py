@@ -1,8 +1,12 @@
 """Winnowed fingerprints, what a whole cohort shares, and pairs of submissions by what two share.
 
 Submissions of a cohort with the same fingerprint set form a class. Classes are compared, not submissions: a set that thousands hand in
-costs one row per fingerprint, and ``members`` tells who belongs to which class. Joins whose sides grow with the corpus ask for a merge, since
-sizes guessed before an explode are far too small for a broadcast.
+costs one row per fingerprint, and ``members`` tells who belongs to which class.
+
+``near_pairs`` finds the pairs over a line without meeting the others: a set's fingerprints are ordered from the cohort's rarest to its
+most frequent, and two sets that share enough must meet in their rare prefixes, so what many hold in common is hardly ever joined on.
+``pairs`` makes every pair that shares anything, which only cohorts need that mostly do. Joins whose sides grow with the corpus ask for a
+merge, since sizes guessed before an explode are far too small for a broadcast, and Spark splits their large keys.
 """
 
 from __future__ import annotations
@@ -61,6 +65,10 @@ def pairs(own_prints: DataFrame) -> DataFrame:
     sizes = own_prints.groupBy("cohort", "rep").agg(F.count("*").alias("n"), F.first("copies").alias("copies"))
     for side in "ab":
         shared = shared.join(sizes.select("cohort", F.col("rep").alias(side), F.col("n").alias(f"n_{side}"), F.col("copies").alias(f"copies_{side}")).hint("merge"), ["cohort", side])
+    return _measured(shared)
+
+
+def _measured(shared: DataFrame) -> DataFrame:
     return shared.select(
         "cohort", "a", "b", "copies_a", "copies_b", "n_a", "n_b", "shared",
         share(F.col("shared"), F.col("n_a") + F.col("n_b") - F.col("shared")).alias("jaccard"),
@@ -68,6 +76,53 @@ def pairs(own_prints: DataFrame) -> DataFrame:
     )
 
 
+def line(jaccard: float, containment: float) -> float:
+    """The least containment of a pair over either line: a Jaccard of j means a containment of 2j / (1 + j) at least."""
+    return min(containment, 2 * jaccard / (1 + jaccard))
+
+
+def ranked(own_prints: DataFrame) -> DataFrame:
+    """(cohort, rep, copies, n, hs): each class's fingerprints in one array, the cohort's rarest first."""
+    often = own_prints.groupBy("cohort", "h").agg(F.count("*").alias("often"))
+    with_often = own_prints.join(often.hint("merge"), ["cohort", "h"])
+    packed = with_often.groupBy("cohort", "rep").agg(F.first("copies").alias("copies"), F.array_sort(F.collect_list(F.struct("often", "h"))).alias("s"))
+    return packed.select("cohort", "rep", "copies", F.size("s").cast("long").alias("n"), F.transform("s", lambda x: x["h"]).alias("hs"))
+
+
+def near_pairs(rows: DataFrame, jaccard: float = TEXT_JACCARD, containment: float = TEXT_CONTAINMENT) -> DataFrame:
+    """What ``pairs`` gives of the pairs over either line. rows: of ``ranked``.
+
+    A pair whose smaller set has n fingerprints shares at least k = ceil(line * n), rounding of the measures allowed for. Then its first
+    common fingerprint, in the shared order, stands no later than n_a - k and n_b - k (from 0) in both sets. The smaller set's prefix is
+    joined with the other's fingerprints, pairs too late in either are dropped, and what is left is counted in full.
+    """
+    least = line(jaccard - 5e-5, containment - 5e-5)
+    need = lambda n: F.ceil(F.lit(least) * n)
+    placed = rows.select("cohort", "rep", "n", F.posexplode("hs").alias("at", "h"))
+    small = placed.where(F.col("at") <= F.col("n") - need(F.col("n"))).select("cohort", "h", F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("at").alias("at_x"))
+    large = placed.select("cohort", "h", F.col("rep").alias("y"), F.col("n").alias("n_y"), F.col("at").alias("at_y"))
+    order = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("x") < F.col("y")))
+    met = small.join(large.hint("merge"), ["cohort", "h"]).where(order & (F.col("at_y") <= F.col("n_y") - need(F.col("n_x"))))
+    candidates = met.select("cohort", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    for side in "ab":
+        mine = rows.select("cohort", F.col("rep").alias(side), F.col("n").alias(f"n_{side}"), F.col("copies").alias(f"copies_{side}"), F.col("hs").alias(f"hs_{side}"))
+        candidates = candidates.join(mine.hint("merge"), ["cohort", side])
+    counted = candidates.withColumn("shared", F.size(F.array_intersect("hs_a", "hs_b")).cast("long")).drop("hs_a", "hs_b")
+    return flagged(_measured(counted), jaccard, containment).where("flagged").drop("flagged")
+
+
+def mostly_apart(own_prints: DataFrame, prints: DataFrame) -> DataFrame:
+    """(cohort, all, apart): all submission pairs of each cohort, and whether it is sure that more than half of them share nothing: the
+    pairs that share are at most those inside classes plus, for each fingerprint, those between its classes."""
+    pairs_of = lambda c: c * (c - 1) / 2
+    every = prints.groupBy("cohort").agg(F.count("*").alias("m")).select("cohort", F.floor(pairs_of(F.col("m"))).alias("all"))
+    inside = own_prints.select("cohort", "rep", "copies").distinct().groupBy("cohort").agg(F.sum(pairs_of(F.col("copies"))).alias("inside"))
+    by_hash = own_prints.groupBy("cohort", "h").agg((pairs_of(F.sum("copies")) - F.sum(pairs_of(F.col("copies")))).alias("across"))
+    between = by_hash.groupBy("cohort").agg(F.sum("across").alias("across"))
+    bound = every.join(inside, "cohort", "left").join(between, "cohort", "left").fillna(0, ["inside", "across"])
+    return bound.select("cohort", "all", (2 * (F.col("inside") + F.col("across")) + 2 < F.col("all")).alias("apart"))
+
+
 def flagged(pair_rows: DataFrame, jaccard: float = TEXT_JACCARD, containment: float = TEXT_CONTAINMENT) -> DataFrame:
     return pair_rows.withColumn("flagged", (F.col("jaccard") >= jaccard) | (F.col("containment") >= containment))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import code as C
 from ..operators import limits as L
+from ..sources.shared import shared_dir
 from ..streaming import events as S
 from .registry import query, table
 
@@ -54,9 +55,7 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _run(stream: DataFrame, mode: str) -> DataFrame:
     name = f"stream_{uuid.uuid4().hex}"
-    spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or f"/tmp/gleanery-{uuid.uuid4().hex}"
-    return S.finished(stream, name, f"{base.rstrip('/')}/streams/{name}", mode)
+    return S.finished(stream, name, f"{shared_dir(stream.sparkSession)}/streams/{name}", mode)
 
 
 @query("SELECT epoch(time_bucket(INTERVAL 6 HOUR, ts))::BIGINT AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")

@@ -138,11 +138,8 @@ def upsert(stream: DataFrame, path: str, keys: list[str], order: str, checkpoint
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rest = [c for c in batch.columns if c not in keys]
-        try:
-            batch = batch.unionByName(spark.read.parquet(f"{path}/v{number - 1}")) if number else batch
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        if number:  # the version before must be there: without it rows would be lost unseen
+            batch = batch.unionByName(spark.read.parquet(f"{path}/v{number - 1}"))
         best = batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r"))
         best.select(*keys, "r.*").write.mode("overwrite").parquet(f"{path}/v{number}")
 
