@@ -28,6 +28,46 @@ def best_match(chunks: DataFrame, pairs: DataFrame, owner: str, vector: str, wei
     return joined.select("a", "b", F.least(F.lit(1.0), F.greatest(F.lit(0.0), both)).alias("score"))
 
 
+BLOCK = 64
+
+
+def class_scores(chunks: DataFrame, owner: str, klass: str, vector: str, weight: str, block: int = BLOCK) -> DataFrame:
+    """(class, a, b, score) of all pairs a < b of a class, as ``best_match`` scores them.
+
+    A class's submissions are dealt into blocks of about ``block``; each pair of blocks is one group, whose scores are two products of
+    matrices, so a class of any size is groups of bounded size. Vectors that aren't valid directions are left out.
+    """
+    import numpy as np
+    import pandas as pd
+
+    unit = chunks.select(F.col(klass).cast("long").alias("class"), F.col(owner).alias("id"), F.struct(V.unit(F.col(vector)).alias("v"), F.col(weight).cast("double").alias("w")).alias("c")).where("c.v IS NOT NULL")
+    packed = unit.groupBy("class", "id").agg(F.collect_list("c").alias("c")).select("class", "id", F.col("c.v").alias("v"), F.col("c.w").alias("w"))
+    sizes = packed.groupBy("class").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = packed.join(sizes, "class").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("class", "id", "v", "w", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("class", "id", "v", "w", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+
+    def score(rows: pd.DataFrame) -> pd.DataFrame:
+        left, right = rows[rows["mine"] == rows["lo"]], rows[rows["mine"] == rows["hi"]]
+        if left.empty or right.empty:
+            return pd.DataFrame({"class": [], "a": [], "b": [], "score": []})
+        sides = [(np.array([x for v in side["v"] for x in v]), np.concatenate(list(side["w"])), np.cumsum([0, *map(len, side["w"])])[:-1]) for side in (left, right)]
+        (x, wx, at_x), (y, wy, at_y) = sides
+        close = x @ y.T
+
+        def one_way(s: np.ndarray, w: np.ndarray, at: np.ndarray, other: np.ndarray) -> np.ndarray:
+            best = np.maximum.reduceat(s, other, axis=1)
+            return np.add.reduceat(best * w[:, None], at, axis=0) / np.add.reduceat(w, at)[:, None]
+
+        both = np.clip((one_way(close, wx, at_x, at_y) + one_way(close.T, wy, at_y, at_x).T) / 2, 0, 1)
+        a, b = (side["id"].to_numpy() for side in (left, right))
+        same = rows["lo"].iloc[0] == rows["hi"].iloc[0]
+        i, j = np.nonzero(a[:, None] < b[None, :] if same else a[:, None] != b[None, :])
+        return pd.DataFrame({"class": rows["class"].iloc[0], "a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j]), "score": both[i, j]})
+
+    return dealt.groupBy("class", "lo", "hi").applyInPandas(score, "class long, a long, b long, score double")
+
+
 def document_vector(chunks: DataFrame, owner: str, vector: str, weight: str) -> DataFrame:
     """(owner, dim, mean): the weighted mean of each dimension, folded map-side."""
     dims = chunks.select(owner, F.col(weight).cast("double").alias("w"), F.posexplode(vector).alias("dim", "x"))

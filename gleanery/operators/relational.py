@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 
 def latest(df: DataFrame, keys: list[str], order: str, tie: str) -> DataFrame:
     """The row of each key with the greatest order, then tie: a partial aggregate over structs, no sort of a key's rows."""
@@ -47,3 +49,17 @@ def endpoints(pairs: DataFrame, a: str, b: str, keep: list[str]) -> DataFrame:
     """Each pair twice: (id, other)."""
     both = F.array(F.struct(F.col(a).alias("id"), F.col(b).alias("other")), F.struct(F.col(b).alias("id"), F.col(a).alias("other")))
     return pairs.select(F.explode(both).alias("e"), *keep).select("e.id", "e.other", *keep)
+
+
+def placed(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with each row's place (from 1) in an order of all rows.
+
+    Rows are dealt out by ranges and numbered inside each; a range's first place comes from the numbers of rows in the ranges before it,
+    one row a range. So no task sees all rows, as one window over everything would.
+    """
+    dealt = written(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "places")
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    counts = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = counts.select("__part", before.alias("__before"))
+    return dealt.withColumn("__nth", inside).join(first, "__part").withColumn(name, (F.col("__before") + F.col("__nth")).cast("long")).select(*df.columns, name)

@@ -48,18 +48,20 @@ def chunk_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("max_chunks").agg(F.sum("delta").alias("total_delta"), F.max("delta").alias("max_delta"), F.count("*").alias("reports"))
 
 
-@query("""WITH a AS (SELECT user_id, event_type, max(event_id) AS e FROM events WHERE event_id % 2 = 0 GROUP BY ALL), b AS (SELECT user_id, event_type, max(event_id) AS e FROM events WHERE event_id % 3 = 0 GROUP BY ALL),
+@query("""WITH a AS (SELECT user_id, event_type, max(event_id) AS e FROM events WHERE ts < TIMESTAMP '2024-01-20' GROUP BY ALL), b AS (SELECT user_id, event_type, max(event_id) AS e FROM events WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY ALL),
     m AS (SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.event_type, b.event_type) AS k, coalesce(b.e, a.e) AS e FROM a FULL OUTER JOIN b ON a.user_id = b.user_id AND a.event_type = b.event_type)
     SELECT user_id, string_agg(k || '=' || e, ',' ORDER BY k) AS merged FROM m GROUP BY user_id""")
 def merged_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A store of scores by key, updated by newer ones: two maps a user, the newer wins."""
-    e = table(spark, sf_dir, "events")
+    """A store of scores by key, updated by newer ones: two maps a user, the newer wins. Every event is in the store up to a day, in the
+    update from an earlier day on, or in both."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
     def scores(rows: DataFrame, name: str) -> DataFrame:
         last = rows.groupBy("user_id", "event_type").agg(F.max("event_id").alias("e"))
         return last.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "e"))).alias(name))
 
-    both = scores(e.where("event_id % 2 = 0"), "old").join(scores(e.where("event_id % 3 = 0"), "new"), "user_id", "full_outer")
+    old, new = (e.where(F.expr(f"ts {bound}")) for bound in ("< TIMESTAMP_NTZ '2024-01-20'", ">= TIMESTAMP_NTZ '2024-01-10'"))
+    both = scores(old, "old").join(scores(new, "new"), "user_id", "full_outer")
     empty = F.create_map().cast("map<string,bigint>")
     kept = F.map_filter(F.coalesce("old", empty), lambda k, _: ~F.coalesce(F.map_contains_key("new", k), F.lit(False)))
     merged = F.array_sort(F.map_entries(F.map_concat(kept, F.coalesce("new", empty))))

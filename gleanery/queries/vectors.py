@@ -12,15 +12,15 @@ from .registry import query, table
 
 #: Sums of 64 products, rounded so that the order of summation doesn't show.
 DIGITS = 6
-SQL_CHUNKS = """e AS (SELECT vec_id, vec_id // 5 AS owner, vec_id % 3 + 1 AS w, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
-    u AS (SELECT vec_id, owner, w, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM e)"""
+SQL_CHUNKS = """e AS (SELECT vec_id, label, vec_id // 5 AS owner, vec_id % 3 + 1 AS w, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+    u AS (SELECT vec_id, label, owner, w, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM e)"""
 SQL_PAIRS = (
     SQL_CHUNKS
-    + """, k AS (SELECT owner, owner // 10 AS class FROM u GROUP BY ALL), q AS (SELECT x.owner AS a, y.owner AS b, x.class FROM k x JOIN k y ON x.class = y.class AND x.owner < y.owner),
+    + """, k AS (SELECT owner, arg_min(label, vec_id)::BIGINT AS class FROM u GROUP BY owner), q AS (SELECT x.owner AS a, y.owner AS b, x.class FROM k x JOIN k y ON x.class = y.class AND x.owner < y.owner),
     d AS (SELECT q.a, q.b, q.class, x.vec_id AS i, y.vec_id AS j, x.w AS wi, y.w AS wj, list_sum(list_transform(list_zip(x.v, y.v), lambda z: z[1] * z[2])) AS s FROM q JOIN u x ON x.owner = q.a JOIN u y ON y.owner = q.b),
     l AS (SELECT a, b, sum(w * m) / sum(w) AS s FROM (SELECT a, b, i, any_value(wi) AS w, max(s) AS m FROM d GROUP BY a, b, i) GROUP BY a, b),
     r AS (SELECT a, b, sum(w * m) / sum(w) AS s FROM (SELECT a, b, j, any_value(wj) AS w, max(s) AS m FROM d GROUP BY a, b, j) GROUP BY a, b),
-    p AS (SELECT a, b, a // 10 AS class, round(least(1.0, greatest(0.0, (l.s + r.s) / 2)), 4) AS score FROM l JOIN r USING (a, b))"""
+    p AS (SELECT a, b, class, round(least(1.0, greatest(0.0, (l.s + r.s) / 2)), 4) AS score FROM l JOIN r USING (a, b) JOIN k ON k.owner = a)"""
 )
 
 
@@ -29,11 +29,10 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs inside classes of ten submissions."""
+    """All pairs of submissions of a class, which is the label of a submission's first vector."""
     c = _chunks(spark, sf_dir)
-    owners = c.select("owner").distinct().withColumn("class", F.floor(F.col("owner") / 10))
-    pairs = owners.withColumnRenamed("owner", "a").join(owners.withColumnRenamed("owner", "b"), "class").where("a < b")
-    return C.best_match(c, pairs.select("a", "b"), "owner", "embedding", "w").select("a", "b", F.floor(F.col("a") / 10).alias("class"), F.round("score", 4).alias("score"))
+    classes = c.groupBy("owner").agg(F.min_by("label", "vec_id").alias("class"))
+    return C.class_scores(c.drop("label").join(classes, "owner"), "owner", "class", "embedding", "w").withColumn("score", F.round("score", 4))
 
 
 @query(f"WITH {SQL_PAIRS} SELECT a, b, class, score FROM p")
