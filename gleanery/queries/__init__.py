@@ -1,6 +1,6 @@
 """Queries over the driver's tables, by name, with SQL that must give the same rows."""
 
-from . import courses, events, grading, metrics, nested, pairs, relational, summaries, text, vectors
+from . import courses, events, grading, metrics, nested, pairs, relational, rules, summaries, text, vectors
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "courses", "events", "grading", "metrics", "nested", "pairs", "relational", "summaries", "text", "vectors"]
+__all__ = ["QUERIES", "SQL", "courses", "events", "grading", "metrics", "nested", "pairs", "relational", "rules", "summaries", "text", "vectors"]

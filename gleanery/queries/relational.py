@@ -101,23 +101,23 @@ def nulls_last_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.placed(rows, [F.col("last").desc_nulls_last(), F.col("c_custkey")], "place").select("place", "c_custkey")
 
 
-SUBMITTED_SQL = """s AS (SELECT o_orderkey, o_custkey AS student, o_orderdate AS at, CASE WHEN o_orderstatus <> 'O' THEN o_totalprice / 600000 END AS share FROM orders)"""
+SUBMITTED_SQL = """s AS (SELECT o_orderkey, o_custkey AS student, o_orderdate AS handed, CASE WHEN o_orderstatus <> 'O' THEN o_totalprice / 600000 END AS share FROM orders)"""
 
 
 def _submitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as submissions: open ones have no mark."""
     o = table(spark, sf_dir, "orders")
-    return o.select("o_orderkey", F.col("o_custkey").alias("student"), F.col("o_orderdate").alias("at"), F.when(F.col("o_orderstatus") != "O", F.col("o_totalprice") / 600000).alias("share"))
+    return o.select("o_orderkey", F.col("o_custkey").alias("student"), F.col("o_orderdate").alias("handed"), F.when(F.col("o_orderstatus") != "O", F.col("o_totalprice") / 600000).alias("share"))
 
 
-@query(f"""WITH {SUBMITTED_SQL} SELECT o_orderkey, row_number() OVER (ORDER BY at DESC, o_orderkey) AS newest, row_number() OVER (ORDER BY at, o_orderkey) AS oldest,
-    row_number() OVER (ORDER BY student, at DESC, o_orderkey) AS by_student, row_number() OVER (ORDER BY coalesce(share, -1) DESC, at DESC, o_orderkey) AS by_mark FROM s""")
+@query(f"""WITH {SUBMITTED_SQL} SELECT o_orderkey, row_number() OVER (ORDER BY handed DESC, o_orderkey) AS newest, row_number() OVER (ORDER BY handed, o_orderkey) AS oldest,
+    row_number() OVER (ORDER BY student, handed DESC, o_orderkey) AS by_student, row_number() OVER (ORDER BY coalesce(share, -1) DESC, handed DESC, o_orderkey) AS by_mark FROM s""")
 def submission_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each submission's place in the four orders of a listing: newest, oldest, by student (theirs newest first), by share of the mark
     (unmarked ones last, then newest)."""
     rows = _submitted(spark, sf_dir)
-    newest = F.col("at").desc()
-    orders = {"newest": [newest], "oldest": [F.col("at").asc()], "by_student": [F.col("student"), newest], "by_mark": [F.coalesce("share", F.lit(-1.0)).desc(), newest]}
+    newest = F.col("handed").desc()
+    orders = {"newest": [newest], "oldest": [F.col("handed").asc()], "by_student": [F.col("student"), newest], "by_mark": [F.coalesce("share", F.lit(-1.0)).desc(), newest]}
     out = None
     for name, order in orders.items():
         one = R.placed(rows, [*order, F.col("o_orderkey")], name).select("o_orderkey", name)
