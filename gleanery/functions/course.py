@@ -153,3 +153,19 @@ def registration_open(opened: Column, has_password: Column, ends: Column, now: C
 
 def session_valid(expires: Column, now: Column) -> Column:
     return F.coalesce(expires >= now, F.lit(False))
+
+
+def chunk_curvature(log_probs: Column, means: Column, variances: Column) -> Column:
+    """How far a chunk's tokens lie above what the model expects: the sum of their log probabilities less that of the expected ones, over the
+    root of the summed variances (at least a millionth)."""
+    add = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    return (add(log_probs) - add(means)) / F.sqrt(F.greatest(add(variances), F.lit(1e-6)))
+
+
+#: Bounds of a frame difference (of 255): a scene changes above the first; still pictures lie below the second, calm ones below the third.
+SCENE, STILL, CALM = 20.0, 5.0, 12.0
+
+
+def recording_score(average: Column, seconds: Column) -> Column:
+    """How likely a video is a still screen recording, of 100."""
+    return F.when((average < STILL) & (seconds > 15), 80).when(average < CALM, 50).otherwise(20)

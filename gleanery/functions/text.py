@@ -76,10 +76,57 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
 
 
+#: Parts of names that tell nothing.
+COMMON_PARTS = (
+    "main", "test", "tests", "run", "init", "self", "data", "value", "item", "list", "temp", "helper", "util", "utils", "get", "set",
+    "print", "return", "input", "output", "args", "kwargs", "index",
+)
+
+
 def identifier_parts(name: Column, least: int = 4) -> Column:
-    """The parts of snake or camel case names of at least ``least`` letters, lower case."""
+    """The parts of snake or camel case names of at least ``least`` letters, lower case, without common ones."""
     cut = F.split(F.lower(F.regexp_replace(name, r"([a-z0-9])([A-Z])", "$1_$2")), r"[_\-0-9]+")
-    return F.array_distinct(F.filter(cut, lambda x: F.length(x) >= least))
+    return F.array_distinct(F.filter(cut, lambda x: (F.length(x) >= least) & ~x.isin(*COMMON_PARTS)))
+
+
+#: Endings that a stem loses, the first that fits, if four letters stay.
+ENDINGS = ("ing", "ed", "es", "s")
+
+
+def stem(word: Column) -> Column:
+    """A word without a common ending, then without a closing e if it has over four letters: test, tests, tested and testing are one."""
+    cut = F.when(F.lit(False), word)
+    for end in ENDINGS:
+        cut = cut.when(word.endswith(end) & (F.length(word) >= 4 + len(end)), F.substring(word, F.lit(1), F.length(word) - len(end)))
+    cut = cut.otherwise(word)
+    return F.when(cut.endswith("e") & (F.length(cut) > 4), F.substring(cut, F.lit(1), F.length(cut) - 1)).otherwise(cut)
+
+
+#: Markdown to plain text: what goes and what stays of it, in this order.
+MARKDOWN = (
+    (r"(?m)^[ \t]*(?:```|~~~)[^\n]*$", ""),  # fences; the code stays
+    (r"!\[([^\]\n]*)\]\([^)\n]*\)", "$1"),
+    (r"\[([^\]\n]*)\]\([^)\n]*\)", "$1"),
+    (r"(?m)^[ \t]{0,3}#{1,6}[ \t]+", ""),
+    (r"(?m)^[ \t]{0,3}>[ \t]?", ""),
+    (r"(?m)^[ \t]*(?:[-*+]|[0-9]{1,3}[.)])[ \t]+", ""),
+    (r"(?m)^[ \t]*\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$", ""),
+    (r"[*_`~]{1,3}", ""),
+    (r"[ \t]*\|[ \t]*", " "),
+    (r"\s+", " "),
+)
+
+
+def markdown_text(text: Column) -> Column:
+    for pattern, kept in MARKDOWN:
+        text = F.regexp_replace(text, pattern, kept)
+    return F.trim(text)
+
+
+def markdown_sql(text: str) -> str:
+    for pattern, kept in MARKDOWN:
+        text = f"regexp_replace({text}, '{pattern}', '{kept.replace('$', chr(92))}', 'g')"
+    return f"trim({text})"
 
 
 def keywords(text: Column) -> Column:

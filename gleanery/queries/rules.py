@@ -9,6 +9,7 @@ from ..functions import course as C
 from ..operators import consistency as K
 from ..operators import evaluation as E
 from ..operators import languages, rubric
+from ..operators import relational as R
 from .registry import query, table
 
 NAMES = list(languages.PATTERNS)
@@ -243,3 +244,34 @@ def report_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.lit("corpus").alias("part"), F.coalesce("source", F.lit("")).alias("grp"))
     pages = table(spark, sf_dir, "pages").select(F.lit("pages").alias("part"), F.split_part(F.split_part("url", F.lit("//"), F.lit(2)), F.lit("/"), F.lit(1)).alias("grp"))
     return docs.unionByName(pages).groupBy("part", "grp").agg(F.count("*").alias("n"))
+
+
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)
+    SELECT vec_id, round((list_sum(v[1:32]) - list_sum(v[33:64])) / sqrt(greatest(list_sum(list_transform(v[1:32], lambda x: x * x)), 1e-6)), 6) + 0.0 AS curvature FROM e""")
+def chunk_curvatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Curvature of chunks from a model's outputs, for which halves of vectors stand."""
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    half = F.slice(v, 1, 32)
+    c = C.chunk_curvature(half, F.slice(v, 33, 32), F.transform(half, lambda x: x * x))
+    return table(spark, sf_dir, "embeddings").select("vec_id", (F.round(c, 6) + 0.0).alias("curvature"))
+
+
+@query("""WITH f AS (SELECT user_id, abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id)) / 10 AS d FROM events),
+    a AS (SELECT user_id, count(*) AS frames, coalesce(avg(d), 0) AS m, count(*) FILTER (WHERE d > 20) AS scenes FROM f GROUP BY 1)
+    SELECT user_id, frames, round(m, 2) AS average, scenes, CASE WHEN m < 5 AND frames > 15 THEN 80 WHEN m < 12 THEN 50 ELSE 20 END AS score, scenes = 0 AND frames > 30 AS no_scene FROM a""")
+def recording_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events as a video of a frame a second: mean difference, scene changes, and how still it is."""
+    gap = F.abs(F.col("value") - F.lag("value").over(Window.partitionBy("user_id").orderBy("event_id"))) / 10
+    f = table(spark, sf_dir, "events").select("user_id", gap.alias("d"))
+    a = f.groupBy("user_id").agg(F.count("*").alias("frames"), F.coalesce(F.avg("d"), F.lit(0.0)).alias("m"), F.count_if(F.col("d") > C.SCENE).alias("scenes"))
+    return a.select("user_id", "frames", F.round("m", 2).alias("average"), "scenes", C.recording_score(F.col("m"), F.col("frames")).alias("score"), ((F.col("scenes") == 0) & (F.col("frames") > 30)).alias("no_scene"))
+
+
+@query("""WITH s AS (SELECT s_suppkey, CASE WHEN s_nationkey % 5 > 0 THEN 'batch ' || s_nationkey END AS batch FROM supplier)
+    SELECT s_suppkey, batch, row_number() OVER (ORDER BY batch IS NULL, CAST(regexp_extract(batch, '([0-9]+)$', 1) AS INT), batch, s_suppkey) AS place FROM s""")
+def batch_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everyone's place by batch in numeric-aware order, those without one last."""
+    batch = F.when(F.col("s_nationkey") % 5 > 0, F.concat(F.lit("batch "), F.col("s_nationkey").cast("string")))
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", batch.alias("batch"))
+    number = F.regexp_extract("batch", "([0-9]+)$", 1).try_cast("int")
+    return R.placed(s, [F.col("batch").isNull(), number, F.col("batch"), F.col("s_suppkey")], "place")

@@ -129,12 +129,14 @@ def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    rf"""WITH w AS (SELECT doc_id, CAST(ceil(len({WORDS_SQL}) / 128.0) AS BIGINT) AS n FROM documents)
+    rf"""WITH l AS (SELECT doc_id, len({WORDS_SQL}) AS m FROM documents), w AS (SELECT doc_id, CAST(ceil(m / 128.0) - CASE WHEN m > 128 AND m % 128 BETWEEN 1 AND 63 THEN 1 ELSE 0 END AS BIGINT) AS n FROM l)
     SELECT doc_id, n::INT AS n_chunks, array_to_string(list_transform(range(0, least(n, 8)), lambda i: CAST(CASE WHEN n <= 8 THEN i ELSE (i * n) // 8 END AS VARCHAR)), ',') AS sampled FROM w WHERE n > 0"""
 )
 def sampled_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At most eight chunks spread evenly over each document."""
-    w = table(spark, sf_dir, "documents").select("doc_id", F.ceil(F.size(T.words(F.col("text"))) / 128).cast("int").alias("n_chunks")).where("n_chunks > 0")
+    """At most eight chunks of 128 words spread evenly over each document; a tail of under half a chunk is none, unless it is all there is."""
+    m = F.size(T.words(F.col("text")))
+    short = F.when((F.col("m") > 128) & (F.col("m") % 128).between(1, 63), 1).otherwise(0)
+    w = table(spark, sf_dir, "documents").select("doc_id", m.alias("m")).select("doc_id", (F.ceil(F.col("m") / 128) - short).cast("int").alias("n_chunks")).where("n_chunks > 0")
     picked = F.transform(F.sequence(F.lit(0), F.least("n_chunks", F.lit(8)) - 1), lambda i: F.when(F.col("n_chunks") <= 8, i).otherwise(F.floor(i * F.col("n_chunks") / 8).cast("int")).cast("string"))
     return w.select("doc_id", "n_chunks", F.array_join(picked, ",").alias("sampled"))
 
@@ -164,7 +166,9 @@ def template_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""WITH c AS (SELECT p_partkey, lower(p_name) AS name, list_distinct(list_filter(string_split_regex(lower(regexp_replace(p_name || 'Type' || p_type, '([a-z0-9])([A-Z])', '\1_\2', 'g')), '[ _\-0-9]+'), lambda x: length(x) >= 4)) AS parts FROM part)
+    r"""WITH c AS (SELECT p_partkey, lower(p_name) AS name, list_distinct(list_filter(string_split_regex(lower(regexp_replace(p_name || 'Type' || p_type, '([a-z0-9])([A-Z])', '\1_\2', 'g')), '[ _\-0-9]+'), lambda x: length(x) >= 4 AND x NOT IN ("""
+    + _list(T.COMMON_PARTS)
+    + r"""))) AS parts FROM part)
     SELECT p_partkey, len(parts)::INT AS n_parts, array_to_string(list_sort(parts), ',') AS parts FROM c"""
 )
 def identifier_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,3 +216,25 @@ def bounded_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.length("text").cast("long")
     before = F.sum(n).over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)) - n
     return table(spark, sf_dir, "documents").select("doc_id", F.greatest(F.lit(0), F.least(n, F.lit(2000), 20000 - before)).cast("long").alias("taken"))
+
+
+@query(f"SELECT doc_id, md5({T.markdown_sql("'# ' || text || ' **bold** [a link](http://x.y) | cell'")}) AS digest FROM documents")
+def markdown_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as Markdown with a heading, marks, a link and a table cell, as plain text."""
+    text = F.concat(F.lit("# "), "text", F.lit(" **bold** [a link](http://x.y) | cell"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.markdown_text(text)).alias("digest"))
+
+
+STEM_SQL = (
+    "CASE " + " ".join(f"WHEN ends_with(w, '{e}') AND length(w) >= {4 + len(e)} THEN substr(w, 1, length(w) - {len(e)})" for e in T.ENDINGS) + " ELSE w END"
+)
+
+
+@query(
+    f"""WITH k AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w FROM benchmark), s AS (SELECT w, {STEM_SQL} AS s FROM k WHERE length(w) > 2)
+    SELECT w, CASE WHEN ends_with(s, 'e') AND length(s) > 4 THEN substr(s, 1, length(s) - 1) ELSE s END AS stem FROM s"""
+)
+def stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of the benchmark with the form in which they are matched."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0))).alias("w")).distinct()
+    return words.where(F.length("w") > 2).select("w", T.stem(F.col("w")).alias("stem"))

@@ -57,12 +57,29 @@ def notebook_markdown(text: Column) -> Column:
     return F.coalesce(F.trim(F.array_join(F.transform(F.filter(_cells(text), lambda c: c["kind"] == "markdown"), lambda c: c["text"]), "\n\n")), F.lit(""))
 
 
+#: Bounds of a class list: bytes, rows and columns. It is one person's file; more is a mistake.
+LIST_BYTES, LIST_ROWS, LIST_COLUMNS = 2 << 20, 300, 40
+
+
 def class_list(spark: SparkSession, path: str) -> DataFrame:
-    """(row, full_name, email, batch, number) of a CSV class list with a heading line; ``;`` or ``,`` by the heading, names by COLUMNS."""
-    head = spark.read.text(path).limit(1).collect()
-    first = head[0][0].lstrip("﻿") if head else ""
+    """(row, full_name, email, batch, number) of a CSV class list with a heading line; ``;`` or ``,`` by the heading, names by COLUMNS. UTF-8
+    with or without its mark, else Windows-1252. A list beyond LIST_BYTES, LIST_ROWS or LIST_COLUMNS is an error."""
+    sizes = spark.read.format("binaryFile").load(path)
+    if sizes.agg(F.sum("length")).first()[0] > LIST_BYTES:
+        raise ValueError(f"the class list has more than {LIST_BYTES} bytes")
+    raw = bytes(sizes.select("content").first()[0])
+    try:
+        text, encoding = raw.decode("utf-8"), "UTF-8"
+    except UnicodeDecodeError:
+        text, encoding = raw.decode("cp1252", "replace"), "ISO-8859-1"
+    first = text.lstrip("\ufeff").split("\n", 1)[0]
     mark = ";" if first.count(";") > first.count(",") else ","
-    rows = spark.read.option("header", True).option("sep", mark).option("quote", '"').option("multiLine", True).csv(path)
+    rows = spark.read.option("header", True).option("sep", mark).option("quote", '"').option("multiLine", True).option("encoding", encoding).csv(path)
+    if encoding != "UTF-8":  # the two differ in these characters alone
+        latin = "".join(map(chr, range(0x80, 0xA0)))
+        rows = rows.select(*(F.translate(F.col(f"`{c}`"), latin, latin.encode("latin-1").decode("cp1252", "replace")).alias(c) for c in rows.columns))
+    if len(rows.columns) > LIST_COLUMNS or len(rows.take(LIST_ROWS + 1)) > LIST_ROWS:
+        raise ValueError(f"the class list has more than {LIST_ROWS} rows or {LIST_COLUMNS} columns")
     bare = {"".join(ch for ch in c.lower() if ch.isascii() and ch.isalnum()): c for c in rows.columns}
     found = {k: next((bare[n] for n in names if n in bare), None) for k, names in COLUMNS.items()}
     if missing := [k for k in ("full_name", "email") if found[k] is None]:
