@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import course as C
+from ..functions.text import STOP_WORDS, keywords
 from ..operators import pages as P
 from .registry import query, table
 
@@ -132,10 +133,28 @@ def method_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", F.when(F.col("model").isNull(), "style").otherwise("model").alias("method"), (F.floor(F.coalesce("model", "style") * 10000 + 0.5) / 10000).alias("score"))
 
 
-@query()
+TERMS_SQL = (
+    "SELECT DISTINCT w FROM (SELECT unnest(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_]*'), lambda w: lower(w))) AS w FROM benchmark) WHERE length(w) > 2 AND w NOT IN ("
+    + ", ".join(f"'{w}'" for w in STOP_WORDS)
+    + ")"
+)
+BUDGET = 1500
+
+
+@query(
+    f"""WITH RECURSIVE k AS ({TERMS_SQL}),
+    s AS (SELECT doc_id, length(text) <= {BUDGET} AS fits, list_filter(string_split(text, chr(10)), lambda x: length(trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13))) > 0) AS ls FROM documents),
+    l AS (SELECT doc_id, fits, i, ls[i] AS line FROM (SELECT doc_id, fits, ls, unnest(range(1, len(ls) + 1)) AS i FROM s)),
+    h AS (SELECT doc_id, i, unnest(list_distinct(list_transform(regexp_extract_all(line, '[A-Za-z][A-Za-z0-9_]*'), lambda w: lower(w)))) AS w FROM l WHERE NOT fits),
+    g AS (SELECT doc_id, i, count(*) AS score FROM h SEMI JOIN k USING (w) GROUP BY ALL),
+    o AS (SELECT doc_id, l.i, length(line) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(score, 0) DESC, l.i) AS k FROM l LEFT JOIN g USING (doc_id, i) WHERE NOT fits),
+    r AS (SELECT doc_id, i, n, k, n + 2 <= {BUDGET} AS kept, CASE WHEN n + 2 <= {BUDGET} THEN n + 2 ELSE 0 END AS used FROM o WHERE k = 1
+      UNION ALL SELECT o.doc_id, o.i, o.n, o.k, r.used + o.n + 2 <= {BUDGET}, CASE WHEN r.used + o.n + 2 <= {BUDGET} THEN r.used + o.n + 2 ELSE r.used END FROM r JOIN o ON o.doc_id = r.doc_id AND o.k = r.k + 1),
+    t AS (SELECT doc_id, i, n FROM r WHERE kept UNION ALL SELECT doc_id, i, length(line) FROM l WHERE fits),
+    c AS (SELECT doc_id, string_agg((i - 1)::VARCHAR, ',' ORDER BY i) AS chosen, sum(n)::INT AS n_chars FROM t GROUP BY doc_id)
+    SELECT doc_id, coalesce(len(ls), 0)::INT AS n_passages, coalesce(chosen, '') AS chosen, coalesce(n_chars, 0) AS n_chars FROM s LEFT JOIN c USING (doc_id)"""
+)
 def greedy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of at most 1,500 characters whole, else passages by how many benchmark keywords they name; against plain Python in tests."""
-    from ..functions.text import keywords
-
+    """Texts within the budget whole, else passages by how many benchmark keywords they name."""
     terms = table(spark, sf_dir, "benchmark").select(F.explode(keywords(F.col("text"))).alias("w"))
-    return P.greedy_passages(table(spark, sf_dir, "documents"), "doc_id", "text", terms, 1500)
+    return P.greedy_passages(table(spark, sf_dir, "documents"), "doc_id", "text", terms, BUDGET)

@@ -112,7 +112,7 @@ def cited_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cited.removed(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query()
+@query(code.paragraphs_sql("documents", "doc_id", "text"))
 def paragraph_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paragraphs packed into passages of at most 800 characters; against plain properties in tests."""
+    """Paragraphs packed into passages of at most 800 characters."""
     return code.paragraphs(table(spark, sf_dir, "documents"), "doc_id", "text")
