@@ -64,9 +64,11 @@ def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH o AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 3 HOUR THEN 0 ELSE 1 END AS new FROM events),
+    """WITH o AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 3 HOUR THEN 0 ELSE 1 END AS new
+      FROM events),
     s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nth FROM o)
-    SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, CAST(floor(epoch(max(ts) + INTERVAL 3 HOUR)) AS BIGINT) AS "end", count(*) AS n FROM s GROUP BY user_id, nth"""
+    SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, CAST(floor(epoch(max(ts) + INTERVAL 3 HOUR)) AS BIGINT) AS "end",
+      count(*) AS n FROM s GROUP BY user_id, nth"""
 )
 def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(S.sessions(_stream(spark, sf_dir), ["user_id"], "3 hours"), "complete").select("user_id", F.unix_timestamp("start").alias("start"), F.unix_timestamp("end").alias("end"), "n")
@@ -80,10 +82,12 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH RECURSIVE e AS (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events), o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS k FROM e),
+    """WITH RECURSIVE e AS (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS t
+      FROM events), o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS k FROM e),
     r AS (SELECT event_id, user_id, k, true AS allowed, [t] AS times FROM o WHERE k = 1
       UNION ALL SELECT o.event_id, o.user_id, o.k, len(list_filter(times, lambda x: o.t - x < 86400)) < 3,
-        CASE WHEN len(list_filter(times, lambda x: o.t - x < 86400)) < 3 THEN list_append(list_filter(times, lambda x: o.t - x < 86400), o.t) ELSE list_filter(times, lambda x: o.t - x < 86400) END
+        CASE WHEN len(list_filter(times, lambda x: o.t - x < 86400)) < 3 THEN list_append(list_filter(times, lambda x: o.t - x < 86400),
+      o.t) ELSE list_filter(times, lambda x: o.t - x < 86400) END
       FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1)
     SELECT event_id, user_id, allowed FROM r"""
 )

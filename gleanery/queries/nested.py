@@ -11,16 +11,21 @@ from .registry import query, table
 
 
 @query(r"""WITH s AS (SELECT conv_id, turn, turn * 7.5 AS a, turn * 7.5 + length(text) / 16.0 AS b, text FROM conversations),
-    m AS (SELECT *, CAST(round(a * 1000) AS BIGINT) AS x, CAST(round(b * 1000) AS BIGINT) AS y, row_number() OVER (PARTITION BY conv_id ORDER BY a) AS n FROM s),
-    t AS (SELECT conv_id, n, n || chr(10) || printf('%02d:%02d:%02d,%03d', x // 3600000, x // 60000 % 60, x // 1000 % 60, x % 1000) || ' --> ' || printf('%02d:%02d:%02d,%03d', y // 3600000, y // 60000 % 60, y // 1000 % 60, y % 1000) || chr(10) || text || chr(10) AS block FROM m)
+    m AS (SELECT *, CAST(round(a * 1000) AS BIGINT) AS x, CAST(round(b * 1000) AS BIGINT) AS y, row_number() OVER (PARTITION BY conv_id
+      ORDER BY a) AS n FROM s),
+    t AS (SELECT conv_id, n, n || chr(10) || printf('%02d:%02d:%02d,%03d', x // 3600000, x // 60000 % 60, x // 1000 % 60,
+      x % 1000) || ' --> ' || printf('%02d:%02d:%02d,%03d', y // 3600000, y // 60000 % 60, y // 1000 % 60,
+      y % 1000) || chr(10) || text || chr(10) AS block FROM m)
     SELECT conv_id, string_agg(block, chr(10) ORDER BY n) AS srt FROM t GROUP BY conv_id""")
 def subtitles(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") * 7.5).alias("a"), (F.col("turn") * 7.5 + F.length("text") / 16.0).alias("b"), "text")
     return files.srt(c, ["conv_id"], "a", "b", "text")
 
 
-@query("""WITH l AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n, CAST(l_quantity AS INT) AS q FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_quantity) = 1)
-    SELECT k AS l_orderkey, string_agg((CASE WHEN n % 3 = 0 THEN 'c' || r ELSE 'id' || n END) || ':' || (CASE WHEN n = 2 THEN 99 ELSE q END), ',' ORDER BY n) AS criteria, sum(CASE WHEN n = 2 THEN 99 ELSE q END)::BIGINT AS total
+@query("""WITH l AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n, CAST(l_quantity AS INT) AS q FROM lineitem
+      QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_quantity) = 1)
+    SELECT k AS l_orderkey, string_agg((CASE WHEN n % 3 = 0 THEN 'c' || r ELSE 'id' || n END) || ':' || (CASE WHEN n = 2 THEN 99
+      ELSE q END), ',' ORDER BY n) AS criteria, sum(CASE WHEN n = 2 THEN 99 ELSE q END)::BIGINT AS total
     FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n) AS r FROM l) GROUP BY k""")
 def criteria_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Criteria in order, missing ids filled by position, element 2 replaced, points summed: all inside one array per submission."""
@@ -31,9 +36,13 @@ def criteria_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("l_orderkey", F.array_join(named, ",").alias("criteria"), F.aggregate("c", F.lit(0).cast("long"), lambda s, x: s + points(x)).alias("total"))
 
 
-@query("""WITH r AS (SELECT vec_id // 20 AS report, vec_id % 20 AS i, CAST(floor(CAST(embedding[1] AS DOUBLE) * 1000000) AS BIGINT) AS v FROM embeddings), n AS (SELECT report, count(*) AS n, sum(v) AS full_sum FROM r GROUP BY 1),
-    s AS (SELECT report, n, full_sum, m, unnest(range(0, least(n, m))) AS j FROM n, (VALUES (2), (4), (8)) t(m)), p AS (SELECT s.report, s.n, full_sum, m, CASE WHEN s.n <= m THEN j ELSE j * s.n // m END AS i FROM s),
-    d AS (SELECT p.report, m, CAST(floor(abs(sum(v) * any_value(p.n) - any_value(full_sum) * count(*)) / (count(*) * any_value(p.n))) AS BIGINT) AS delta FROM p JOIN r USING (report, i) GROUP BY p.report, m)
+@query("""WITH r AS (SELECT vec_id // 20 AS report, vec_id % 20 AS i, CAST(floor(CAST(embedding[1] AS DOUBLE) * 1000000) AS BIGINT) AS v
+      FROM embeddings), n AS (SELECT report, count(*) AS n, sum(v) AS full_sum FROM r GROUP BY 1),
+    s AS (SELECT report, n, full_sum, m, unnest(range(0, least(n, m))) AS j
+      FROM n, (VALUES (2), (4), (8)) t(m)), p AS (SELECT s.report, s.n, full_sum, m, CASE WHEN s.n <= m THEN j ELSE j * s.n // m END AS i
+      FROM s),
+    d AS (SELECT p.report, m, CAST(floor(abs(sum(v) * any_value(p.n) - any_value(full_sum) * count(*)) / (count(*) * any_value(p.n))) AS
+      BIGINT) AS delta FROM p JOIN r USING (report, i) GROUP BY p.report, m)
     SELECT m::INT AS max_chunks, sum(delta)::BIGINT AS total_delta, max(delta) AS max_delta, count(*) AS reports FROM d GROUP BY m""")
 def chunk_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far a report's mean over 2, 4 or 8 spread chunks lies from the mean over all, in millionths."""
@@ -48,8 +57,10 @@ def chunk_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("max_chunks").agg(F.sum("delta").alias("total_delta"), F.max("delta").alias("max_delta"), F.count("*").alias("reports"))
 
 
-@query("""WITH a AS (SELECT user_id, event_type, max(event_id) AS e FROM events WHERE ts < TIMESTAMP '2024-01-20' GROUP BY ALL), b AS (SELECT user_id, event_type, max(event_id) AS e FROM events WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY ALL),
-    m AS (SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.event_type, b.event_type) AS k, coalesce(b.e, a.e) AS e FROM a FULL OUTER JOIN b ON a.user_id = b.user_id AND a.event_type = b.event_type)
+@query("""WITH a AS (SELECT user_id, event_type, max(event_id) AS e FROM events WHERE ts < TIMESTAMP '2024-01-20'
+      GROUP BY ALL), b AS (SELECT user_id, event_type, max(event_id) AS e FROM events WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY ALL),
+    m AS (SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.event_type, b.event_type) AS k, coalesce(b.e, a.e) AS e
+      FROM a FULL OUTER JOIN b ON a.user_id = b.user_id AND a.event_type = b.event_type)
     SELECT user_id, string_agg(k || '=' || e, ',' ORDER BY k) AS merged FROM m GROUP BY user_id""")
 def merged_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A store of scores by key, updated by newer ones: two maps a user, the newer wins. Every event is in the store up to a day, in the
@@ -68,7 +79,8 @@ def merged_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("user_id", F.array_join(F.transform(merged, lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ",").alias("merged"))
 
 
-@query(r"""WITH g AS (SELECT page_id, len(regexp_extract_all(html, '(TODO|FIXME)\b')) AS todo, len(list_filter(string_split(html, chr(10)), lambda x: length(x) > 120)) AS long FROM pages)
+@query(r"""WITH g AS (SELECT page_id, len(regexp_extract_all(html, '(TODO|FIXME)\b')) AS todo, len(list_filter(string_split(html, chr(10)),
+      lambda x: length(x) > 120)) AS long FROM pages)
     SELECT page_id, greatest(0, 100 - 5 * todo - long)::INT AS quality FROM g""")
 def generic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of source text by reminders left in it and long lines."""
@@ -77,9 +89,11 @@ def generic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.greatest(F.lit(0), 100 - 5 * todo - long).alias("quality"))
 
 
-@query("""WITH e AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS pos, CASE WHEN l_linenumber % 4 = 0 THEN 'reworded' ELSE 'crit' || l_linenumber END AS name FROM lineitem), n AS (SELECT k, count(*) AS n FROM e GROUP BY k),
+@query("""WITH e AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS pos, CASE WHEN l_linenumber % 4 = 0 THEN 'reworded'
+      ELSE 'crit' || l_linenumber END AS name FROM lineitem), n AS (SELECT k, count(*) AS n FROM e GROUP BY k),
     c AS (SELECT i AS pos, 'crit' || i AS name FROM range(1, 8) t(i)), b AS (SELECT DISTINCT k, name FROM e)
-    SELECT n.k AS l_orderkey, c.name, CASE WHEN b.name IS NOT NULL THEN 'name' WHEN n.n = 7 THEN 'position' ELSE 'missing' END AS found_by FROM n CROSS JOIN c LEFT JOIN b ON b.k = n.k AND b.name = c.name""")
+    SELECT n.k AS l_orderkey, c.name, CASE WHEN b.name IS NOT NULL THEN 'name' WHEN n.n = 7 THEN 'position' ELSE 'missing' END AS found_by
+      FROM n CROSS JOIN c LEFT JOIN b ON b.k = n.k AND b.name = c.name""")
 def criterion_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A grader's entries to criteria by name; by position where all are there but one is reworded. Entries ride in one array."""
     pos = F.col("l_linenumber")

@@ -45,7 +45,8 @@ def rubric_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
 CLAIMS = ["No answer was provided.", "the report was never submitted", "does not include the key idea", "did not submit a report or transcript.", "No evidence for the style criterion was provided", "good work"]
 
 
-@query(f"""WITH j AS (SELECT conv_id, turn, text || ' ' || [{", ".join("'" + c.replace("'", "''") + "'" for c in CLAIMS)}][(conv_id % {len(CLAIMS)} + 1)::INT] AS said, turn % 2 = 0 AS report, turn % 3 = 0 AS code FROM conversations)
+@query(f"""WITH j AS (SELECT conv_id, turn, text || ' ' ||
+      [{", ".join("'" + c.replace("'", "''") + "'" for c in CLAIMS)}][(conv_id % {len(CLAIMS)} + 1)::INT] AS said, turn % 2 = 0 AS report, turn % 3 = 0 AS code FROM conversations)
     SELECT conv_id, turn, {rubric.claims_sql("said", {"report": "report", "code": "code"})} AS wrong FROM j""")
 def missing_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Justifications that say work is missing which was handed in."""
@@ -54,9 +55,11 @@ def missing_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", wrong.alias("wrong"))
 
 
-PARTS_SQL = """e AS (SELECT vec_id // 3 AS doc, ['code', 'report', 'transcript'][(vec_id % 3 + 1)::INT] AS part, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id % 7 <> 3),
+PARTS_SQL = """e AS (SELECT vec_id // 3 AS doc, ['code', 'report', 'transcript'][(vec_id % 3 + 1)::INT] AS part, list_transform(embedding,
+      lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id % 7 <> 3),
     u AS (SELECT doc, part, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM e),
-    p AS (SELECT doc, count(*) AS parts, any_value(v) FILTER (WHERE part = 'code') AS c, any_value(v) FILTER (WHERE part = 'report') AS r, any_value(v) FILTER (WHERE part = 'transcript') AS t FROM u GROUP BY doc)"""
+    p AS (SELECT doc, count(*) AS parts, any_value(v) FILTER (WHERE part = 'code') AS c, any_value(v) FILTER (WHERE part = 'report') AS r,
+      any_value(v) FILTER (WHERE part = 'transcript') AS t FROM u GROUP BY doc)"""
 
 
 def _cosine_sql(a: str, b: str) -> str:
@@ -64,11 +67,17 @@ def _cosine_sql(a: str, b: str) -> str:
 
 
 @query(
-    f"""WITH {PARTS_SQL}, s AS (SELECT doc, parts, {_cosine_sql("c", "r")} AS code_report, {_cosine_sql("c", "t")} AS code_transcript, {_cosine_sql("r", "t")} AS report_transcript FROM p),
-    o AS (SELECT *, round(list_avg(list_filter([code_report, code_transcript, report_transcript], lambda x: x IS NOT NULL)), 4) AS overall FROM s),
-    w AS (SELECT *, CASE WHEN overall IS NULL THEN 'limited_data' WHEN overall < 0.02 THEN 'review_recommended' WHEN parts = 3 THEN 'consistent' ELSE 'limited_data' END AS status FROM o)
-    SELECT doc, code_report, code_transcript, report_transcript, overall, CASE WHEN doc % 5 = 0 AND overall IS NOT NULL AND status <> 'review_recommended' THEN 'review_recommended' ELSE status END AS status,
-      CASE WHEN doc % 5 = 0 AND overall IS NOT NULL AND status <> 'review_recommended' THEN 'The topic matches (' || round(overall * 100)::INT || '% overall), but the report names Java while the submitted code is Go. This part may belong to a different submission. Review recommended.' END AS reason FROM w"""
+    f"""WITH {PARTS_SQL}, s AS (SELECT doc, parts, {_cosine_sql("c", "r")} AS code_report, {_cosine_sql("c", "t")} AS code_transcript,
+      {_cosine_sql("r", "t")} AS report_transcript FROM p),
+    o AS (SELECT *, round(list_avg(list_filter([code_report, code_transcript, report_transcript], lambda x: x IS NOT NULL)), 4) AS overall
+      FROM s),
+    w AS (SELECT *, CASE WHEN overall IS NULL THEN 'limited_data' WHEN overall < 0.02 THEN 'review_recommended'
+      WHEN parts = 3 THEN 'consistent' ELSE 'limited_data' END AS status FROM o)
+    SELECT doc, code_report, code_transcript, report_transcript, overall, CASE WHEN doc % 5 = 0 AND overall IS NOT NULL
+      AND status <> 'review_recommended' THEN 'review_recommended' ELSE status END AS status,
+      CASE WHEN doc % 5 = 0 AND overall IS NOT NULL AND status <> 'review_recommended' THEN 'The topic matches (' || round(overall *
+      100)::INT || '% overall), but the report names Java while the submitted code is Go. This part may belong to a different submission. Review recommended.'
+      END AS reason FROM w"""
 )
 def semantic_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors in threes as a submission's parts, some of them missing; every fifth report names another language than its code."""
@@ -89,8 +98,10 @@ _STDERR_SQL = "CASE lang " + " ".join(f"WHEN '{k}' THEN replace(replace('{v.repl
 
 
 @query(
-    f"""WITH e AS (SELECT event_id, [{", ".join(f"'{x}'" for x in _LANGS)}][(event_id % {len(_LANGS)} + 1)::INT] AS lang, (event_id % 90 + 1)::VARCHAR AS n, event_id FROM events),
-    s AS (SELECT event_id, lang, CASE WHEN event_id % 97 = 0 THEN 'Killed: out of memory' ELSE replace({_STDERR_SQL}, '\\t', chr(9)) END AS err FROM e) SELECT event_id, {C.error_message_sql("err", "lang")} AS message FROM s"""
+    f"""WITH e AS (SELECT event_id, [{", ".join(f"'{x}'" for x in _LANGS)}][(event_id % {len(_LANGS)} + 1)::INT] AS lang,
+      (event_id % 90 + 1)::VARCHAR AS n, event_id FROM events),
+    s AS (SELECT event_id, lang, CASE WHEN event_id % 97 = 0 THEN 'Killed: out of memory'
+      ELSE replace({_STDERR_SQL}, '\\t', chr(9)) END AS err FROM e) SELECT event_id, {C.error_message_sql("err", "lang")} AS message FROM s"""
 )
 def error_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a student is told of each failed run, by the language of their program."""
@@ -104,8 +115,10 @@ def error_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH a AS (SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_orderkey) AS n, (l_partkey % {len(C.ENDINGS)})::INT AS i, l_partkey, l_suppkey FROM lineitem),
-    f AS (SELECT l_orderkey, l_linenumber, i, CASE WHEN n = 1 THEN 'main' ELSE 'q' || l_linenumber END || [{", ".join(f"'{x}'" for x in C.ENDINGS.values())}][i + 1] AS file FROM a)
+    f"""WITH a AS (SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_orderkey) AS n, (l_partkey % {len(C.ENDINGS)})::INT AS i,
+      l_partkey, l_suppkey FROM lineitem),
+    f AS (SELECT l_orderkey, l_linenumber, i, CASE WHEN n = 1 THEN 'main'
+      ELSE 'q' || l_linenumber END || [{", ".join(f"'{x}'" for x in C.ENDINGS.values())}][i + 1] AS file FROM a)
     SELECT l_orderkey, l_linenumber, arg_min(file, i) AS file, count(*) AS copies FROM f GROUP BY 1, 2"""
 )
 def answer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,8 +131,10 @@ def answer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.groupBy("l_orderkey", "l_linenumber").agg(F.min_by("file", "i").alias("file"), F.count("*").alias("copies"))
 
 
-@query("""WITH e AS (SELECT event_id, CASE WHEN event_id % 4 > 0 THEN '[{"question":2,"file":"q2.py"},{"question":1,"file":"q1.rb"}]' END AS stored FROM events)
-    SELECT event_id, CASE WHEN stored IS NOT NULL THEN '1:q1.rb,2:q2.py' ELSE array_to_string(list_transform(range(1, event_id % 3 + 1), lambda q: q || ':q' || q || '.py'), ',') END AS answers,
+@query("""WITH e AS (SELECT event_id, CASE WHEN event_id % 4 > 0 THEN '[{"question":2,"file":"q2.py"},{"question":1,"file":"q1.rb"}]' END AS stored
+      FROM events)
+    SELECT event_id, CASE WHEN stored IS NOT NULL THEN '1:q1.rb,2:q2.py'
+      ELSE array_to_string(list_transform(range(1, event_id % 3 + 1), lambda q: q || ':q' || q || '.py'), ',') END AS answers,
       CASE WHEN stored IS NOT NULL THEN 2 ELSE event_id % 3 END::INT AS n FROM e""")
 def stored_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers as stored, in question order, or from the files that are there where nothing was stored; and how many."""
@@ -132,10 +147,15 @@ def stored_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH o AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN ['src/main.py', 'src/util.py'] WHEN 'O' THEN ['a.go'] ELSE ['app.py', 'main.py'] END AS files, CASE o_orderkey % 4 WHEN 1 THEN 'MAIN.py' WHEN 2 THEN 'src/util.py' WHEN 3 THEN 'none.c' ELSE '' END AS wanted FROM orders),
-    m AS (SELECT *, CASE WHEN wanted <> '' THEN coalesce(list_filter(files, lambda p: ends_with(lower(p), lower(wanted)) AND split_part(lower(p), '/', -1) = split_part(lower(wanted), '/', -1))[1], list_filter(files, lambda p: split_part(lower(p), '/', -1) = split_part(lower(wanted), '/', -1))[1])
+    """WITH o AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN ['src/main.py', 'src/util.py'] WHEN 'O' THEN ['a.go']
+      ELSE ['app.py', 'main.py'] END AS files, CASE o_orderkey % 4 WHEN 1 THEN 'MAIN.py' WHEN 2 THEN 'src/util.py' WHEN 3 THEN 'none.c'
+      ELSE '' END AS wanted FROM orders),
+    m AS (SELECT *, CASE WHEN wanted <> '' THEN coalesce(list_filter(files, lambda p: ends_with(lower(p), lower(wanted))
+      AND split_part(lower(p), '/', -1) = split_part(lower(wanted), '/', -1))[1], list_filter(files, lambda p: split_part(lower(p), '/',
+      -1) = split_part(lower(wanted), '/', -1))[1])
       WHEN len(files) = 1 THEN files[1] WHEN files[1] = 'src/main.py' THEN files[1] END AS file FROM o)
-    SELECT o_orderkey, file, CASE WHEN file IS NULL THEN CASE WHEN wanted <> '' THEN 'main file not found: ' || lower(wanted) ELSE 'several code files' END END AS error FROM m"""
+    SELECT o_orderkey, file, CASE WHEN file IS NULL THEN CASE WHEN wanted <> '' THEN 'main file not found: ' || lower(wanted)
+      ELSE 'several code files' END END AS error FROM m"""
 )
 def main_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The file to run of each submission, by the wanted name or by the usual ones."""
@@ -147,8 +167,12 @@ def main_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH r AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'ran without errors' WHEN 'O' THEN 'did not finish within the time limit' ELSE 'crashed (exit code 7)' END AS told, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE repeat(o_orderpriority || ' ', 90) END AS out FROM orders)
-    SELECT o_orderkey, md5('--- main.py: ' || told || ' ---' || CASE WHEN length(trim(out)) > 0 THEN chr(10) || 'stdout:' || chr(10) || CASE WHEN length(trim(out)) > 1000 THEN substr(trim(out), 1, 1000) || chr(10) || '... [truncated]' ELSE trim(out) END ELSE '' END) AS block FROM r"""
+    """WITH r AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'ran without errors' WHEN 'O' THEN 'did not finish within the time limit'
+      ELSE 'crashed (exit code 7)' END AS told, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE repeat(o_orderpriority || ' ', 90) END AS out
+      FROM orders)
+    SELECT o_orderkey, md5('--- main.py: ' || told || ' ---' || CASE WHEN length(trim(out)) > 0 THEN chr(10) || 'stdout:' || chr(10) || CASE
+      WHEN length(trim(out)) > 1000 THEN substr(trim(out), 1, 1000) || chr(10) || '... [truncated]' ELSE trim(out) END ELSE '' END) AS block
+      FROM r"""
 )
 def run_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs as blocks of text for a reader, long output clipped."""
@@ -157,14 +181,16 @@ def run_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", F.md5(C.run_output(F.lit("main.py"), status, F.lit(7), out, F.lit(""))).alias("block"))
 
 
-@query("""SELECT event_id, CAST(epoch(date_trunc('second', ts)) AS BIGINT) - CASE event_id % 3 WHEN 1 THEN 19800 WHEN 2 THEN -28800 ELSE 0 END AS utc_seconds FROM events""")
+@query("""SELECT event_id, CAST(epoch(date_trunc('second', ts)) AS BIGINT) - CASE event_id % 3 WHEN 1 THEN 19800 WHEN 2 THEN -28800
+      ELSE 0 END AS utc_seconds FROM events""")
 def utc_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Times as text, some with an offset, as UTC."""
     offset = F.element_at(F.array(*map(F.lit, ("", "+05:30", "-08:00"))), (F.col("event_id") % 3 + 1).cast("int"))
     return table(spark, sf_dir, "events").select("event_id", C.utc(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), offset)).alias("utc_seconds"))
 
 
-@query("""SELECT o_orderkey, o_orderstatus = 'O' AND o_orderkey % 5 > 0 AND (o_orderkey % 7 = 0 OR TIMESTAMP '1997-01-01' < o_orderdate) AS open, o_orderdate >= TIMESTAMP '1996-06-01' AS session_valid FROM orders""")
+@query("""SELECT o_orderkey, o_orderstatus = 'O' AND o_orderkey % 5 > 0 AND (o_orderkey % 7 = 0
+      OR TIMESTAMP '1997-01-01' < o_orderdate) AS open, o_orderdate >= TIMESTAMP '1996-06-01' AS session_valid FROM orders""")
 def open_registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether students may still register, and whether a session is still good; an end of null is never."""
     at, day = F.col("o_orderdate").cast("timestamp"), lambda d: F.lit(d).cast("timestamp")
@@ -175,8 +201,10 @@ def open_registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH e AS (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events WHERE event_type = 'error'),
-    w AS (SELECT event_id, t, count(*) OVER r - 1 AS misses, min(t) OVER r AS oldest FROM e WINDOW r AS (PARTITION BY user_id ORDER BY t RANGE BETWEEN 172799 PRECEDING AND CURRENT ROW))
-    SELECT event_id, misses, misses >= 2 AS locked, CASE WHEN misses >= 2 THEN greatest(1, ceil((172800 - (t - oldest)) / 60.0))::BIGINT END AS wait_minutes FROM w"""
+    w AS (SELECT event_id, t, count(*) OVER r - 1 AS misses, min(t) OVER r AS oldest FROM e WINDOW r AS (PARTITION BY user_id
+      ORDER BY t RANGE BETWEEN 172799 PRECEDING AND CURRENT ROW))
+    SELECT event_id, misses, misses >= 2 AS locked, CASE WHEN misses >= 2 THEN greatest(1,
+      ceil((172800 - (t - oldest)) / 60.0))::BIGINT END AS wait_minutes FROM w"""
 )
 def lockouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wrong tries: the misses of the two days before each, whether that locks, and the minutes until the oldest is forgotten."""
@@ -189,8 +217,10 @@ def lockouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH h AS (SELECT o_orderpriority AS k, o_custkey % 100 AS x, o_totalprice / 1000 AS y, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) * 2 <= count(*) OVER (PARTITION BY o_orderpriority) AS train FROM orders),
-    f AS (SELECT k, coalesce(regr_slope(y, x) FILTER (WHERE train), 1.0) AS a, avg(y) FILTER (WHERE train) AS my, avg(x) FILTER (WHERE train) AS mx FROM h GROUP BY k),
+    """WITH h AS (SELECT o_orderpriority AS k, o_custkey % 100 AS x, o_totalprice / 1000 AS y, row_number() OVER (PARTITION BY o_orderpriority
+      ORDER BY o_orderkey) * 2 <= count(*) OVER (PARTITION BY o_orderpriority) AS train FROM orders),
+    f AS (SELECT k, coalesce(regr_slope(y, x) FILTER (WHERE train), 1.0) AS a, avg(y) FILTER (WHERE train) AS my,
+      avg(x) FILTER (WHERE train) AS mx FROM h GROUP BY k),
     t AS (SELECT k, x, y, greatest(0.0, a * x + my - a * mx) AS fitted FROM h JOIN f USING (k) WHERE NOT train)
     SELECT k, count(*) AS n, round(avg(abs(x - y)), 4) AS mae_raw, round(avg(abs(fitted - y)), 4) AS mae_fitted FROM t GROUP BY k"""
 )
@@ -201,11 +231,15 @@ def fit_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH r AS (SELECT vec_id // 20 AS report, vec_id % 20 AS i, CAST(floor(CAST(embedding[1] AS DOUBLE) * 1000000) AS BIGINT) AS v FROM embeddings), n AS (SELECT report, count(*) AS n FROM r GROUP BY 1),
-    s AS (SELECT report, n, m, unnest(range(0, least(n, m))) AS j FROM n, (VALUES (2), (4), (8)) t(m)), p AS (SELECT report, m, CASE WHEN n <= m THEN j ELSE j * n // m END AS i FROM s),
+    """WITH r AS (SELECT vec_id // 20 AS report, vec_id % 20 AS i, CAST(floor(CAST(embedding[1] AS DOUBLE) * 1000000) AS BIGINT) AS v
+      FROM embeddings), n AS (SELECT report, count(*) AS n FROM r GROUP BY 1),
+    s AS (SELECT report, n, m, unnest(range(0, least(n, m))) AS j FROM n, (VALUES (2), (4), (8)) t(m)), p AS (SELECT report, m, CASE
+      WHEN n <= m THEN j ELSE j * n // m END AS i FROM s),
     d AS (SELECT p.report, m, floor(avg(v))::BIGINT AS score FROM p JOIN r USING (report, i) GROUP BY p.report, m),
-    c AS (SELECT a.m, avg(abs(a.score - b.score)) AS mean_delta, max(abs(a.score - b.score)) AS max_delta, count(*) FILTER (WHERE (a.score >= 0) <> (b.score >= 0)) AS changes FROM d a JOIN d b ON a.report = b.report AND b.m = 8 GROUP BY a.m)
-    SELECT m::INT AS max_chunks, round(mean_delta, 2) AS mean_delta, max_delta, changes, m = coalesce((SELECT min(m) FROM c WHERE changes = 0 AND mean_delta <= 50000), 8) AS suggested FROM c"""
+    c AS (SELECT a.m, avg(abs(a.score - b.score)) AS mean_delta, max(abs(a.score - b.score)) AS max_delta,
+      count(*) FILTER (WHERE (a.score >= 0) <> (b.score >= 0)) AS changes FROM d a JOIN d b ON a.report = b.report AND b.m = 8 GROUP BY a.m)
+    SELECT m::INT AS max_chunks, round(mean_delta, 2) AS mean_delta, max_delta, changes, m = coalesce((SELECT min(m) FROM c
+      WHERE changes = 0 AND mean_delta <= 50000), 8) AS suggested FROM c"""
 )
 def budget_suggestion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Against the reference of eight chunks: how far each smaller budget's score lies off, how many signals it changes, and the smallest
@@ -215,9 +249,13 @@ def budget_suggestion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.chunk_budgets(r, "report", "i", "v", (2, 4, 8), 50000.0)
 
 
-@query("""WITH i AS (SELECT o_custkey AS job, o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'waiting' WHEN '2-HIGH' THEN 'failed' WHEN '3-MEDIUM' THEN 'skipped' ELSE 'evaluated' END AS s, o_orderstatus FROM orders),
-    c AS (SELECT job, count(*) AS total, count(*) FILTER (WHERE s = 'evaluated') AS evaluated, count(*) FILTER (WHERE s = 'skipped') AS skipped, count(*) FILTER (WHERE s = 'failed') AS failed, bool_or(o_orderstatus = 'P') AS stopped FROM i GROUP BY 1)
-    SELECT *, CASE WHEN evaluated + skipped + failed = 0 THEN 'queued' WHEN evaluated + skipped + failed < total THEN CASE WHEN stopped THEN 'stopped' ELSE 'running' END WHEN failed = total THEN 'failed' ELSE 'done' END AS state FROM c""")
+@query("""WITH i AS (SELECT o_custkey AS job, o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'waiting' WHEN '2-HIGH' THEN 'failed'
+      WHEN '3-MEDIUM' THEN 'skipped' ELSE 'evaluated' END AS s, o_orderstatus FROM orders),
+    c AS (SELECT job, count(*) AS total, count(*) FILTER (WHERE s = 'evaluated') AS evaluated,
+      count(*) FILTER (WHERE s = 'skipped') AS skipped, count(*) FILTER (WHERE s = 'failed') AS failed,
+      bool_or(o_orderstatus = 'P') AS stopped FROM i GROUP BY 1)
+    SELECT *, CASE WHEN evaluated + skipped + failed = 0 THEN 'queued' WHEN evaluated + skipped + failed < total THEN CASE
+      WHEN stopped THEN 'stopped' ELSE 'running' END WHEN failed = total THEN 'failed' ELSE 'done' END AS state FROM c""")
 def job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch's counters and state from its items."""
     outcome = F.when(F.col("o_orderpriority") == "1-URGENT", "waiting").when(F.col("o_orderpriority") == "2-HIGH", "failed").when(F.col("o_orderpriority") == "3-MEDIUM", "skipped").otherwise("evaluated")
@@ -225,12 +263,17 @@ def job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.progress(items, "job", "outcome", F.col("stop"))
 
 
-@query("""WITH m AS (SELECT doc_id % 100 AS report, CASE WHEN toxic = 1 THEN 'ai' ELSE 'human' END AS label, doc_id, (doc_id * 7919 % 1000) / 100.0 AS c FROM labels),
-    p AS (SELECT avg(CASE WHEN a.c > h.c THEN 1.0 WHEN a.c = h.c THEN 0.5 ELSE 0 END) AS auc FROM (SELECT c FROM m WHERE label = 'ai') a, (SELECT c FROM m WHERE label = 'human') h),
-    g AS (SELECT DISTINCT floor(c * 100 + 1) AS t FROM m WHERE label = 'human'), r AS (SELECT t, avg(CASE WHEN floor(c * 100 + 1) > t THEN 1.0 ELSE 0 END) AS rate FROM g, m WHERE label = 'human' GROUP BY t),
+@query("""WITH m AS (SELECT doc_id % 100 AS report, CASE WHEN toxic = 1 THEN 'ai'
+      ELSE 'human' END AS label, doc_id, (doc_id * 7919 % 1000) / 100.0 AS c FROM labels),
+    p AS (SELECT avg(CASE WHEN a.c > h.c THEN 1.0 WHEN a.c = h.c THEN 0.5 ELSE 0 END) AS auc FROM (SELECT c FROM m
+      WHERE label = 'ai') a, (SELECT c FROM m WHERE label = 'human') h),
+    g AS (SELECT DISTINCT floor(c * 100 + 1) AS t FROM m WHERE label = 'human'), r AS (SELECT t, avg(CASE
+      WHEN floor(c * 100 + 1) > t THEN 1.0 ELSE 0 END) AS rate FROM g, m WHERE label = 'human' GROUP BY t),
     s AS (SELECT (SELECT min(t) / 100 FROM r WHERE rate <= 0.01) AS high, (SELECT min(t) / 100 FROM r WHERE rate <= 0.05) AS medium)
-    SELECT count(*) FILTER (WHERE label = 'human') AS human, count(*) FILTER (WHERE label = 'ai') AS ai, round(any_value(auc), 6) AS auc, any_value(high) AS high, least(any_value(medium), any_value(high)) AS medium,
-      round(avg(CASE WHEN c >= 2.0 THEN 1.0 ELSE 0 END) FILTER (WHERE label = 'human'), 6) AS human_flagged, round(avg(CASE WHEN c >= 2.0 THEN 1.0 ELSE 0 END) FILTER (WHERE label = 'ai'), 6) AS ai_flagged FROM m, p, s""")
+    SELECT count(*) FILTER (WHERE label = 'human') AS human, count(*) FILTER (WHERE label = 'ai') AS ai, round(any_value(auc), 6) AS auc,
+      any_value(high) AS high, least(any_value(medium), any_value(high)) AS medium,
+      round(avg(CASE WHEN c >= 2.0 THEN 1.0 ELSE 0 END) FILTER (WHERE label = 'human'), 6) AS human_flagged, round(avg(CASE
+      WHEN c >= 2.0 THEN 1.0 ELSE 0 END) FILTER (WHERE label = 'ai'), 6) AS ai_flagged FROM m, p, s""")
 def calibration_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, AUC, suggested thresholds (medium at most high) and the flag rates at the current one."""
     label = F.when(F.col("toxic") == 1, "ai").otherwise("human")
@@ -238,7 +281,8 @@ def calibration_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.calibration(rows, "c", F.col("label") == "ai", 2.0)
 
 
-@query("""SELECT 'corpus' AS part, coalesce(source, '') AS grp, count(*) AS n FROM documents GROUP BY ALL UNION ALL SELECT 'pages', split_part(split_part(url, '//', 2), '/', 1), count(*) FROM pages GROUP BY ALL""")
+@query("""SELECT 'corpus' AS part, coalesce(source, '') AS grp, count(*) AS n FROM documents GROUP BY ALL UNION ALL
+      SELECT 'pages', split_part(split_part(url, '//', 2), '/', 1), count(*) FROM pages GROUP BY ALL""")
 def report_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports of two sources, each with the label of its group."""
     docs = table(spark, sf_dir, "documents").select(F.lit("corpus").alias("part"), F.coalesce("source", F.lit("")).alias("grp"))
@@ -247,7 +291,8 @@ def report_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)
-    SELECT vec_id, round((list_sum(v[1:32]) - list_sum(v[33:64])) / sqrt(greatest(list_sum(list_transform(v[1:32], lambda x: x * x)), 1e-6)), 6) + 0.0 AS curvature FROM e""")
+    SELECT vec_id, round((list_sum(v[1:32]) - list_sum(v[33:64])) / sqrt(greatest(list_sum(list_transform(v[1:32], lambda x: x * x)),
+      1e-6)), 6) + 0.0 AS curvature FROM e""")
 def chunk_curvatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Curvature of chunks from a model's outputs, for which halves of vectors stand."""
     v = F.transform("embedding", lambda x: x.cast("double"))
@@ -258,7 +303,8 @@ def chunk_curvatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH f AS (SELECT user_id, abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id)) / 10 AS d FROM events),
     a AS (SELECT user_id, count(*) AS frames, coalesce(avg(d), 0) AS m, count(*) FILTER (WHERE d > 20) AS scenes FROM f GROUP BY 1)
-    SELECT user_id, frames, round(m, 2) AS average, scenes, CASE WHEN m < 5 AND frames > 15 THEN 80 WHEN m < 12 THEN 50 ELSE 20 END AS score, scenes = 0 AND frames > 30 AS no_scene FROM a""")
+    SELECT user_id, frames, round(m, 2) AS average, scenes, CASE WHEN m < 5 AND frames > 15 THEN 80 WHEN m < 12 THEN 50
+      ELSE 20 END AS score, scenes = 0 AND frames > 30 AS no_scene FROM a""")
 def recording_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's events as a video of a frame a second: mean difference, scene changes, and how still it is."""
     gap = F.abs(F.col("value") - F.lag("value").over(Window.partitionBy("user_id").orderBy("event_id"))) / 10
@@ -268,7 +314,8 @@ def recording_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH s AS (SELECT s_suppkey, CASE WHEN s_nationkey % 5 > 0 THEN 'batch ' || s_nationkey END AS batch FROM supplier)
-    SELECT s_suppkey, batch, row_number() OVER (ORDER BY batch IS NULL, CAST(regexp_extract(batch, '([0-9]+)$', 1) AS INT), batch, s_suppkey) AS place FROM s""")
+    SELECT s_suppkey, batch, row_number() OVER (ORDER BY batch IS NULL, CAST(regexp_extract(batch, '([0-9]+)$', 1) AS INT), batch,
+      s_suppkey) AS place FROM s""")
 def batch_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Everyone's place by batch in numeric-aware order, those without one last."""
     batch = F.when(F.col("s_nationkey") % 5 > 0, F.concat(F.lit("batch "), F.col("s_nationkey").cast("string")))

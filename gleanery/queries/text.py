@@ -25,15 +25,18 @@ def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     r"""WITH w AS (SELECT text, regexp_extract_all(lower(text), '[a-z'']+') AS w,
-      list_transform(list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: length(trim(s)) > 0), lambda s: len(regexp_extract_all(s, '[A-Za-z'']+'))) AS n, doc_id FROM documents),
+      list_transform(list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)),
+      lambda s: length(trim(s)) > 0), lambda s: len(regexp_extract_all(s, '[A-Za-z'']+'))) AS n, doc_id FROM documents),
     p AS (SELECT doc_id,
-      CASE WHEN len(n) >= 5 AND list_sum(n) > 0 AND 10000 * (len(n) * list_sum(list_transform(n, lambda x: x * x)) - list_sum(n) * list_sum(n)) < 1225 * list_sum(n) * list_sum(n) THEN 30 ELSE 0 END
+      CASE WHEN len(n) >= 5 AND list_sum(n) > 0 AND 10000 * (len(n) * list_sum(list_transform(n,
+      lambda x: x * x)) - list_sum(n) * list_sum(n)) < 1225 * list_sum(n) * list_sum(n) THEN 30 ELSE 0 END
       + CASE WHEN len(w) >= 50 AND 10 * len(list_distinct(w)) < 4 * len(w) THEN 25 ELSE 0 END
       + least(30, 10 * len(list_filter(["""
     + _list(T.STOCK_PHRASES)
     + """], lambda s: contains(lower(text), s))))
       + CASE WHEN len(w) > 0 AND 10 * length(array_to_string(w, '')) > 52 * len(w) THEN 15 ELSE 0 END AS points FROM w)
-    SELECT doc_id, least(100, points)::INT AS points, CASE WHEN points < 34 THEN 'low' WHEN points < 67 THEN 'medium' ELSE 'high' END AS signal FROM p"""
+    SELECT doc_id, least(100, points)::INT AS points, CASE WHEN points < 34 THEN 'low' WHEN points < 67 THEN 'medium'
+      ELSE 'high' END AS signal FROM p"""
 )
 def style_score_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = table(spark, sf_dir, "documents").select("doc_id", T.prose_points(F.col("text")).alias("points"))
@@ -41,10 +44,13 @@ def style_score_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""WITH w AS (SELECT page_id, html, string_split(html, chr(10)) AS l, list_transform(regexp_extract_all(html, '[A-Za-z_][A-Za-z0-9_]*'), lambda x: lower(x)) AS w FROM pages),
+    r"""WITH w AS (SELECT page_id, html, string_split(html, chr(10)) AS l, list_transform(regexp_extract_all(html, '[A-Za-z_][A-Za-z0-9_]*'),
+      lambda x: lower(x)) AS w FROM pages),
     f AS (SELECT *, list_transform(list_filter(l, lambda x: regexp_matches(x, '\S')), lambda x: length(x)) AS n FROM w),
     p AS (SELECT page_id, CASE WHEN 4 * len(list_filter(l, lambda x: regexp_matches(x, '^\s*(#|//)'))) > len(l) THEN 25 ELSE 0 END
-      + CASE WHEN len(l) > 15 AND len(n) > 1 AND list_sum(n) > 0 AND 10000 * (len(n) * list_sum(list_transform(n, lambda x: x * x)) - list_sum(n) * list_sum(n)) < 625 * list_sum(n) * list_sum(n) THEN 25 ELSE 0 END
+      + CASE WHEN len(l) > 15 AND len(n) > 1 AND list_sum(n) > 0
+      AND 10000 * (len(n) * list_sum(list_transform(n, lambda x: x * x)) - list_sum(n) * list_sum(n)) < 625 * list_sum(n) * list_sum(n) THEN
+      25 ELSE 0 END
       + CASE WHEN 100 * len(list_filter(w, lambda x: x IN ("""
     + _list(T.GENERIC_NAMES)
     + r"""))) > 8 * len(w) THEN 25 ELSE 0 END
@@ -215,7 +221,8 @@ def bounded_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each text a reader takes with 2,000 characters a file and 20,000 a source, in id order."""
     n = F.length("text").cast("long")
     before = F.sum(n).over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)) - n
-    return table(spark, sf_dir, "documents").select("doc_id", F.greatest(F.lit(0), F.least(n, F.lit(2000), 20000 - before)).cast("long").alias("taken"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.greatest(F.lit(0), F.least(n, F.lit(2000),
+      20000 - before)).cast("long").alias("taken"))
 
 
 @query(f"SELECT doc_id, md5({T.markdown_sql("'# ' || text || ' **bold** [a link](http://x.y) | cell'")}) AS digest FROM documents")

@@ -16,11 +16,16 @@ SQL_CHUNKS = """e AS (SELECT vec_id, label, vec_id // 5 AS owner, vec_id % 3 + 1
     u AS (SELECT vec_id, label, owner, w, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM e)"""
 SQL_PAIRS = (
     SQL_CHUNKS
-    + """, k AS (SELECT owner, arg_min(label, vec_id)::BIGINT AS class FROM u GROUP BY owner), q AS (SELECT x.owner AS a, y.owner AS b, x.class FROM k x JOIN k y ON x.class = y.class AND x.owner < y.owner),
-    d AS (SELECT q.a, q.b, q.class, x.vec_id AS i, y.vec_id AS j, x.w AS wi, y.w AS wj, list_sum(list_transform(list_zip(x.v, y.v), lambda z: z[1] * z[2])) AS s FROM q JOIN u x ON x.owner = q.a JOIN u y ON y.owner = q.b),
-    l AS (SELECT a, b, sum(w * m) / sum(w) AS s FROM (SELECT a, b, i, any_value(wi) AS w, max(s) AS m FROM d GROUP BY a, b, i) GROUP BY a, b),
-    r AS (SELECT a, b, sum(w * m) / sum(w) AS s FROM (SELECT a, b, j, any_value(wj) AS w, max(s) AS m FROM d GROUP BY a, b, j) GROUP BY a, b),
-    p AS (SELECT a, b, class, round(least(1.0, greatest(0.0, (l.s + r.s) / 2)), 4) AS score FROM l JOIN r USING (a, b) JOIN k ON k.owner = a)"""
+    + """, k AS (SELECT owner, arg_min(label, vec_id)::BIGINT AS class FROM u GROUP BY owner), q AS (SELECT x.owner AS a, y.owner AS b, x.class
+      FROM k x JOIN k y ON x.class = y.class AND x.owner < y.owner),
+    d AS (SELECT q.a, q.b, q.class, x.vec_id AS i, y.vec_id AS j, x.w AS wi, y.w AS wj, list_sum(list_transform(list_zip(x.v, y.v),
+      lambda z: z[1] * z[2])) AS s FROM q JOIN u x ON x.owner = q.a JOIN u y ON y.owner = q.b),
+    l AS (SELECT a, b, sum(w * m) / sum(w) AS s FROM (SELECT a, b, i, any_value(wi) AS w, max(s) AS m FROM d GROUP BY a, b, i)
+      GROUP BY a, b),
+    r AS (SELECT a, b, sum(w * m) / sum(w) AS s FROM (SELECT a, b, j, any_value(wj) AS w, max(s) AS m FROM d GROUP BY a, b, j)
+      GROUP BY a, b),
+    p AS (SELECT a, b, class, round(least(1.0, greatest(0.0, (l.s + r.s) / 2)), 4) AS score FROM l JOIN r USING (a, b) JOIN k
+      ON k.owner = a)"""
 )
 
 
@@ -41,8 +46,10 @@ def best_match_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {SQL_PAIRS}, m AS (SELECT class, count(*) AS n, median(score) AS median FROM p GROUP BY class), s AS (SELECT class, median(abs(score - median)) AS mad FROM p JOIN m USING (class) GROUP BY class)
-    SELECT class, n, round(median, 6) AS median, round(mad, 6) AS mad, round(CASE WHEN n >= 10 THEN greatest(0.8, median + 2 * greatest(1.4826 * mad, 0.02)) ELSE 0.8 END, 6) AS bar FROM m JOIN s USING (class)"""
+    f"""WITH {SQL_PAIRS}, m AS (SELECT class, count(*) AS n, median(score) AS median FROM p
+      GROUP BY class), s AS (SELECT class, median(abs(score - median)) AS mad FROM p JOIN m USING (class) GROUP BY class)
+    SELECT class, n, round(median, 6) AS median, round(mad, 6) AS mad, round(CASE
+      WHEN n >= 10 THEN greatest(0.8, median + 2 * greatest(1.4826 * mad, 0.02)) ELSE 0.8 END, 6) AS bar FROM m JOIN s USING (class)"""
 )
 def cohort_bar_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = cohort.robust_bar(_scores(spark, sf_dir), "class", "score")
@@ -50,8 +57,10 @@ def cohort_bar_code(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {SQL_PAIRS}, m AS (SELECT class, count(*) AS n, median(score) AS median FROM p GROUP BY class), s AS (SELECT class, median(abs(score - median)) AS mad FROM p JOIN m USING (class) GROUP BY class)
-    SELECT class, round(CASE WHEN n >= 10 THEN greatest(0.85, median + 2 * 1.4826 * mad) ELSE 0.85 END, 6) AS bar FROM m JOIN s USING (class)"""
+    f"""WITH {SQL_PAIRS}, m AS (SELECT class, count(*) AS n, median(score) AS median FROM p
+      GROUP BY class), s AS (SELECT class, median(abs(score - median)) AS mad FROM p JOIN m USING (class) GROUP BY class)
+    SELECT class, round(CASE WHEN n >= 10 THEN greatest(0.85, median + 2 * 1.4826 * mad) ELSE 0.85 END, 6) AS bar FROM m
+      JOIN s USING (class)"""
 )
 def cohort_bar_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = cohort.robust_bar(_scores(spark, sf_dir), "class", "score", cohort.SEMANTIC_REPORT_REVIEW, 0.0)
@@ -59,8 +68,10 @@ def cohort_bar_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {SQL_PAIRS}, m AS (SELECT class, count(*) AS n, median(score) AS median FROM p GROUP BY class), s AS (SELECT class, median(abs(score - median)) AS mad FROM p JOIN m USING (class) GROUP BY class),
-    c AS (SELECT class, CASE WHEN n >= 10 THEN greatest(0.2, median + 2 * greatest(1.4826 * mad, 0.02)) ELSE 0.2 END AS bar FROM m JOIN s USING (class))
+    f"""WITH {SQL_PAIRS}, m AS (SELECT class, count(*) AS n, median(score) AS median FROM p
+      GROUP BY class), s AS (SELECT class, median(abs(score - median)) AS mad FROM p JOIN m USING (class) GROUP BY class),
+    c AS (SELECT class, CASE WHEN n >= 10 THEN greatest(0.2, median + 2 * greatest(1.4826 * mad, 0.02)) ELSE 0.2 END AS bar FROM m
+      JOIN s USING (class))
     SELECT a, b, CASE WHEN (a + b) % 17 = 0 THEN 'high' WHEN score >= bar THEN 'review' END AS level FROM p JOIN c USING (class)"""
 )
 def semantic_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,12 +82,14 @@ def semantic_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("a", "b", level.alias("level"))
 
 
-@query(f"""WITH {SQL_CHUNKS}, x AS (SELECT owner, w, unnest(range(0, 64)) AS dim, unnest(embedding) AS x FROM e JOIN embeddings USING (vec_id)) SELECT owner, dim::INT AS dim, round(sum(w * x::DOUBLE) / sum(w), 6) + 0.0 AS mean FROM x GROUP BY owner, dim""")
+@query(f"""WITH {SQL_CHUNKS}, x AS (SELECT owner, w, unnest(range(0, 64)) AS dim, unnest(embedding) AS x FROM e JOIN embeddings USING (vec_id))
+      SELECT owner, dim::INT AS dim, round(sum(w * x::DOUBLE) / sum(w), 6) + 0.0 AS mean FROM x GROUP BY owner, dim""")
 def doc_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.document_vector(_chunks(spark, sf_dir), "owner", "embedding", "w").withColumn("mean", F.round("mean", DIGITS) + 0.0)
 
 
-@query("""SELECT vec_id, len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64 AND list_sum(list_transform(embedding, lambda x: x * x)) > 0 AS valid FROM embeddings""")
+@query("""SELECT vec_id, len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64
+      AND list_sum(list_transform(embedding, lambda x: x * x)) > 0 AS valid FROM embeddings""")
 def vector_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", V.valid(F.col("embedding"), 64).alias("valid"))
 
