@@ -33,6 +33,8 @@ def connected_components(links: DataFrame, name: str = "links") -> DataFrame:
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if mark == seen or not mark[0]:
-            return now.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(now.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
+            return now.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(
+                now.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()
+            )
         seen = mark
         now = written(_star(_star(now, True), False), name)

@@ -81,7 +81,11 @@ class Network:
         n = self.weights["fh"].shape[0]
         # sigmoid(a) is (1 + tanh(a / 2)) / 2, so the gates' weights are halved once
         halved = np.repeat(np.array([0.5, 0.5, 1], np.float32), n)
-        parts = [[np.ascontiguousarray(w[:, k * n : (k + 1) * n]) for k in range(3)] for w in (self.weights[f"{side}x"] * halved, self.weights[f"{side}h"] * halved)]
+        parts = [
+            [np.ascontiguousarray(w[:, k * n : (k + 1) * n]) for k in range(3)] for w in (
+                self.weights[f"{side}x"] * halved, self.weights[f"{side}h"] * halved
+            )
+        ]
         (xz, xr, xn), (hz, hr, hn) = parts
         out = np.empty((*x.shape, n), np.float32)
         h = np.zeros((x.shape[1], n), np.float32)
@@ -179,7 +183,9 @@ class Network:
                     first[name] = 0.9 * first[name] + 0.1 * g
                     second[name] = 0.999 * second[name] + 0.001 * g * g
                     pace = rate * 0.5**epoch / (1 - 0.9**step)
-                    self.weights[name] = (self.weights[name] - pace * first[name] / (np.sqrt(second[name] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                    self.weights[name] = (
+                        self.weights[name] - pace * first[name] / (np.sqrt(second[name] / (1 - 0.999**step)) + 1e-8)
+                    ).astype(np.float32)
         return self
 
 
@@ -232,7 +238,9 @@ def fold_of(id_col: str) -> Column:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE) -> Network:
     """Learns from labelled documents outside the held-out fold."""
-    known = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull() & (fold_of(id_col) != 2)).select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(label).alias("label"))
+    known = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull() & (fold_of(id_col) != 2)).select(
+        F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(label).alias("label")
+    )
     counts = known.groupBy("label").agg(F.count("*").alias("n")).orderBy("label").limit(LABELS + 1).collect()
     if len(counts) > LABELS:
         raise ValueError(f"more than {LABELS} labels")
@@ -256,7 +264,9 @@ def predict(docs: DataFrame, network: Network, id_col: str = "doc_id", text: str
             columns = [batch.column(0), batch.column(1), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "lang_pred", "score"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.coalesce(fold_of(id_col), F.lit(0)) == 2).alias("held_out"), F.col(text).alias("text"))
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), (F.coalesce(fold_of(id_col), F.lit(0)) == 2).alias("held_out"), F.col(text).alias("text")
+    )
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 

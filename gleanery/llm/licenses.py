@@ -317,7 +317,10 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", te
                 n.append(len(words))
                 base.append([{"word": w, "label": label} for w, label in base_places(words, folded)])
                 found.append([{"label": label, "start": a, "end": b} for label, a, b in outermost(scanner.accepted(words))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(base, places), pa.array(found, matches)], ["doc_id", "n_words", "places", "matches"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(base, places), pa.array(found, matches)],
+                ["doc_id", "n_words", "places", "matches"]
+            )
 
     schema = "doc_id long, n_words long, places array<struct<word:long,label:string>>, matches array<struct<label:string,start:long,end:long>>"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)

@@ -52,7 +52,9 @@ def pieces(docs: DataFrame, path: str, context: int = CONTEXT, id_col: str = "do
             columns = [batch.column(0).take(pa.array(at)), *(pa.array(x) for x in rest), pa.array(np.full(len(at), run, np.int64))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "nth", "run"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(rows, "doc_id long, piece long, start long, length long, ids_crc32 long, nth long, run long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
+        rows, "doc_id long, piece long, start long, length long, ids_crc32 long, nth long, run long"
+    )
 
 
 def fullest(counts: np.ndarray, context: int) -> dict[int, int]:
@@ -126,8 +128,12 @@ def pack(docs: DataFrame, path: str, context: int = CONTEXT, id_col: str = "doc_
             columns = [*batch.columns[:5], pa.array(bin_ + nth // times), pa.array(at + nth % times * length)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    ranked = made.join(by_run, ["length", "run"]).select("doc_id", F.col("piece"), "start", "length", "ids_crc32", (F.col("first") + F.col("nth")).alias("rank"))
-    return ranked.mapInArrow(place, "doc_id long, piece long, start long, length long, ids_crc32 long, sequence_id long, offset long").withColumn("piece", F.col("piece").cast("int"))
+    ranked = made.join(by_run, ["length", "run"]).select(
+        "doc_id", F.col("piece"), "start", "length", "ids_crc32", (F.col("first") + F.col("nth")).alias("rank")
+    )
+    return ranked.mapInArrow(
+        place, "doc_id long, piece long, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    ).withColumn("piece", F.col("piece").cast("int"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

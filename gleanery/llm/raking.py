@@ -121,7 +121,9 @@ def _drawn(
         raise ValueError(f"targets span more than {CELLS} cells")
     keys = [f"mix_{k}" for k in names]
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    rows = docs.select(F.struct(*keep).alias("row"), *_cells(targets, text), draw.alias("mix_draw"), (F.col(text) if tokens is None else tokens).alias("mix_tokens"))
+    rows = docs.select(
+        F.struct(*keep).alias("row"), *_cells(targets, text), draw.alias("mix_draw"), (F.col(text) if tokens is None else tokens).alias("mix_tokens")
+    )
     marked = written(rows if tokens is not None else _counted(rows, vocabulary_path()), "cells")
     axes = [list(dict.fromkeys([*t, REST])) for t in targets.values()]
     found = np.zeros([len(a) for a in axes])
@@ -129,7 +131,11 @@ def _drawn(
         found[tuple(a.index(x) for a, x in zip(axes, cell, strict=True))] = n or 0
     fitted, gap = fit(found, [np.array([t.get(x, 0.0) for x in a]) for a, t in zip(axes, targets.values(), strict=True)])
     need = fraction * np.divide(fitted, found, out=np.ones_like(found), where=found > 0)
-    rows = [(*(a[i] for a, i in zip(axes, at, strict=True)), max(1.0, float(need[at])), min(1.0, float(need[at]))) for at in np.ndindex(found.shape) if found[at]]
+    rows = [
+        (
+            *(a[i] for a, i in zip(axes, at, strict=True)), max(1.0, float(need[at])), min(1.0, float(need[at]))
+        ) for at in np.ndindex(found.shape) if found[at]
+    ]
     schema = ", ".join([f"{k} string" for k in keys] + ["mix_weight double", "mix_probability double"])
     table = docs.sparkSession.createDataFrame(rows, schema)
     joined = marked.join(F.broadcast(table), keys, "left").fillna({"mix_weight": max(1.0, fraction), "mix_probability": min(1.0, fraction)})
@@ -150,7 +156,10 @@ def calibrated(
     return drawn.drop("mix_draw").select("row.*", *[c for c in drawn.columns[1:] if c != "mix_draw"])
 
 
-def sampled(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGETS, text: str = "text", fraction: float = FRACTION, id_col: str = "doc_id", seed: int = SEED) -> DataFrame:
+def sampled(
+    docs: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGETS, text: str = "text", fraction: float = FRACTION, id_col: str = "doc_id",
+    seed: int = SEED
+) -> DataFrame:
     """The rows of docs as often as their cell needs them, with docs' own columns, whatever their names: the whole part of the need
     for each row, and once more by the row's draw on the rest. So the rows' own tokens meet the margins, without a weight."""
     drawn = _drawn(docs, targets, text, fraction, None, id_col, seed, tuple(docs.columns))

@@ -61,7 +61,9 @@ def word_ranks(path: str) -> dict[str, int]:
     begin with a blank, in the order of their ids."""
     with open(path, encoding="utf-8") as f:
         vocab = json.load(f)["model"]["vocab"]
-    listed = (t[1:].lower() for t in sorted(vocab, key=vocab.__getitem__) if t[0] == "\u0120" and len(t) > LEAST and t[1:].isalpha() and t[1:].isascii())
+    listed = (
+        t[1:].lower() for t in sorted(vocab, key=vocab.__getitem__) if t[0] == "\u0120" and len(t) > LEAST and t[1:].isalpha() and t[1:].isascii()
+    )
     return {w: i + 1 for i, w in enumerate(dict.fromkeys([*PLACEHOLDERS, *listed]))}
 
 
@@ -218,7 +220,10 @@ def _sql() -> str:
     names = "|".join([*map(either, ("password", "passwd", "secret", "token")), f"{either('api')}_?{either('key')}"])
     assign = rf"(?:{names})[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
     counted = {"assign": (assign, 1, 6), "access": ("(AKIA[A-Z0-9]+)", 1, 20), "hex": ("([0-9a-f]+)", 1, 24)}
-    columns = ", ".join(f"len(list_filter(regexp_extract_all(coalesce(text, ''), '{p}', {g}), lambda x: length(x) >= {n}))::BIGINT AS n_{k}" for k, (p, g, n) in counted.items())
+    columns = ", ".join(
+        f"len(list_filter(regexp_extract_all(coalesce(text, ''), '{p}', {g}), lambda x: length(x) >= {n}))::BIGINT AS n_{k}" for k,
+        (p, g, n) in counted.items()
+    )
     return f"SELECT doc_id, {columns} FROM documents"
 
 

@@ -125,11 +125,15 @@ def rest_parts(pair: tuple[int, ...]) -> list[list[tuple[int, int]]]:
 
 def _finer(key: Column, fp: Column) -> Column:
     """The five keys that a fingerprint of a crowded cell has there: the part's number and what it holds."""
-    by_pair = [F.array(*(F.shiftleft(F.lit(i).cast("long"), 10).bitwiseOR(_joined(fp, r)) for i, r in enumerate(rest_parts(pair)))) for pair in BLOCK_PAIRS]
+    by_pair = [
+        F.array(*(F.shiftleft(F.lit(i).cast("long"), 10).bitwiseOR(_joined(fp, r)) for i, r in enumerate(rest_parts(pair)))) for pair in BLOCK_PAIRS
+    ]
     return F.get(F.array(*by_pair), F.shiftrightunsigned(key, 22).cast("int"))
 
 
-def forest(group: np.ndarray, fps: np.ndarray, refs: np.ndarray, max_bits: int = MAX_BITS, cross: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def forest(
+    group: np.ndarray, fps: np.ndarray, refs: np.ndarray, max_bits: int = MAX_BITS, cross: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Links that span what is within max_bits inside each group. group: sorted group numbers; fps: unsigned; returns index pairs.
 
     Rows are sorted by group and first distance. All groups advance together: step s looks at the row s places on, as long as it is in the
@@ -186,7 +190,9 @@ def links(nodes: DataFrame, refs: np.ndarray | None = None, cell: int = CELL) ->
     crowded = met.where(F.col("n") > cell).select("key", F.explode(_finer(F.col("key"), F.col("fp"))).alias("part"), "fp")
     finer = crowded.join(crowded.groupBy("key", "part").agg(F.count("*").alias("n")).where("n > 1"), ["key", "part"])
     placed = met.where(F.col("n") <= cell).select("key", F.lit(-1).cast("long").alias("part"), "fp", "n").unionByName(finer)
-    placed = placed.withColumn("chunks", F.ceil(F.col("n") / cell).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
+    placed = placed.withColumn("chunks", F.ceil(F.col("n") / cell).cast("int")).withColumn(
+        "chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
+    )
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     pairs = placed.select("key", "part", "fp", "chunk", other.alias("other"))
     keys = ["key", "part", "lo", "hi"]
@@ -234,7 +240,9 @@ def _linked(docs: DataFrame, id_col: str, text: str, refs: np.ndarray | None, ce
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", refs: np.ndarray | None = None, cell: int = CELL) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of docs."""
     marked, ids = _linked(docs, id_col, text, refs, cell)
-    return marked.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
+    return marked.join(ids, "fp").select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first.doc_id").alias("component_id")
+    )
 
 
 def unique_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -279,7 +279,10 @@ def tiff_pages(media: DataFrame, id_col: str = "doc_id", content: str = "media",
                 ids = batch.slice(i, 1)
                 many = pa.array(np.zeros(len(rows), np.int64))
                 kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
-                columns = [ids.column(0).take(many), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)), *(ids.column(2 + k).take(many) for k in range(len(carry)))]
+                columns = [
+                    ids.column(0).take(many), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)),
+                    *(ids.column(2 + k).take(many) for k in range(len(carry)))
+                ]
                 yield pa.RecordBatch.from_arrays(columns, [*names, *carry])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,9 +314,13 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text: str = "text", code
             texts = batch.column(1).to_pylist()
             raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
             files = [store(x.ljust(max(64, -(-len(x) // 64) * 64), b"\0"), codec, predictor, tile_rows) for x in raw]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array(files, pa.binary())], ["doc_id", "n_bytes", "media"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array(files, pa.binary())], ["doc_id", "n_bytes", "media"]
+            )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")
+    ).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
 def page_features(pages: DataFrame) -> DataFrame:
@@ -330,16 +337,26 @@ def page_features(pages: DataFrame) -> DataFrame:
                 samples = b"".join(parts)
                 a = np.frombuffer(samples, np.uint8)
                 words = f"pages={r['pages']} rows={len(a) // WIDTH} sum={int(a.sum(dtype=np.int64))} max={int(a.max(initial=0))} zeros={int((a == 0).sum())} step={int(np.abs(np.diff(a.astype(np.int16))).sum(dtype=np.int64))}"
-                out.append((r["doc_id"], r["n_bytes"], len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), r["media_bytes"], r["media_sha256"], r["error"] or words))
+                out.append(
+                    (
+                        r["doc_id"], r["n_bytes"], len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), r["media_bytes"],
+                        r["media_sha256"], r["error"] or words
+                    )
+                )
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names)
 
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    return pages.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return pages.mapInArrow(
+        run,
+        "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    )
 
 
 def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    media = text_media(read(spark, sf_dir, "documents")).select("*", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
+    media = text_media(read(spark, sf_dir, "documents")).select(
+        "*", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256")
+    )
     return page_features(tiff_pages(media, carry=("n_bytes", "media_bytes", "media_sha256")))
 
 

@@ -70,7 +70,9 @@ class Encoder:
         if found := ranks(spec):
             import tiktoken
 
-            self.fast = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=found, special_tokens={a["content"]: a["id"] for a in spec["added_tokens"]})
+            self.fast = tiktoken.Encoding(
+                path, pat_str=PATTERN, mergeable_ranks=found, special_tokens={a["content"]: a["id"] for a in spec["added_tokens"]}
+            )
 
     @property
     def library(self):  # noqa: ANN201  tokenizers is imported only where it is needed
@@ -125,7 +127,10 @@ def length_histogram(docs: DataFrame, path: str, text: str = "text", block: int
     after = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     blocks = lengths.groupBy("block").agg(F.sum("n_docs").alias("n"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("t"))
-    blocks = blocks.select("block", *(F.coalesce(F.sum(x).over(after), F.lit(0)).alias(f"{x}_after") for x in "nt"), *(F.sum(x).over(every).alias(f"{x}_all") for x in "nt"))
+    blocks = blocks.select(
+        "block", *(F.coalesce(F.sum(x).over(after), F.lit(0)).alias(f"{x}_after") for x in "nt"),
+        *(F.sum(x).over(every).alias(f"{x}_all") for x in "nt")
+    )
     inside = Window.partitionBy("block").orderBy(F.desc("n_tokens")).rowsBetween(Window.unboundedPreceding, -1)
     rows = lengths.join(blocks, "block").withColumn("n_longer", F.col("n_after") + F.coalesce(F.sum("n_docs").over(inside), F.lit(0)))
     rows = rows.withColumn("t_longer", F.col("t_after") + F.coalesce(F.sum(F.col("n_docs") * F.col("n_tokens")).over(inside), F.lit(0)))

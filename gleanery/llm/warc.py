@@ -287,7 +287,9 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The capture history of all pages: each capture's place in it, and its record as read back at the index's file and offset."""
     folder = fresh_path(spark, "archives")
     index = merged_index(write_archives(with_capture_time(read(spark, sf_dir, "pages").select("page_id", "url", "html")), folder))
-    records = read_archives(spark, folder, payloads=False).select("file", "offset", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    records = read_archives(spark, folder, payloads=False).select(
+        "file", "offset", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
     found = index.select("file", "offset", "url_key", "captured_at", "capture_no").join(records, ["file", "offset"])
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at", "capture_no")
 

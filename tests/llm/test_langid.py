@@ -63,7 +63,9 @@ def plain_shares(net, text):
                 h = new
                 seen[side, t] = h
         for t in range(first, last):
-            scores = [sum(x * y for x, y in zip(seen["f", t] + seen["b", t], w["out"][:, k], strict=True)) + w["bias"][k] for k in range(len(net.languages))]
+            scores = [
+                sum(x * y for x, y in zip(seen["f", t] + seen["b", t], w["out"][:, k], strict=True)) + w["bias"][k] for k in range(len(net.languages))
+            ]
             e = [math.exp(x - max(scores)) for x in scores]
             total += np.array(e) / sum(e)
     return total / total.sum()

@@ -99,7 +99,9 @@ You should have received a copy of the GNU General Public License along with thi
 
 def test_notices():
     assert labels(GPL_3) == ["gpl-3.0-notice"]
-    assert labels(GPL_3.replace("either version 3 of the License, or (at your option) any later version", "version 2 of the License")) == ["gpl-2.0-notice"]
+    assert labels(
+        GPL_3.replace("either version 3 of the License, or (at your option) any later version", "version 2 of the License")
+    ) == ["gpl-2.0-notice"]
     assert labels(GPL_3.replace("WITHOUT ANY WARRANTY", "WITH A WARRANTY")) == ["gpl-3.0"]
 
 
@@ -146,7 +148,10 @@ def base(text):
 
 
 def test_base_columns(spark, edges, nothing, tmp_path):
-    texts = ["MIT License, mit  license; Apache\nLicense", "general public license general public license", "mitlicense É-license MIT-LICENSE", "the apache license mit"]
+    texts = [
+        "MIT License, mit  license; Apache\nLicense", "general public license general public license", "mitlicense É-license MIT-LICENSE",
+        "the apache license mit"
+    ]
     rows = edge_rows() + [row(100 + i, t) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     got = licenses.op7_license_scan(spark, str(tmp_path)).collect()

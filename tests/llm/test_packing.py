@@ -22,7 +22,10 @@ def whole():
 
 def test_encoder_equals_the_library(whole):
     rng = random.Random(5)
-    parts = ["foo", "Bar", ".", ",", "é", "日本", "x1", "_", '"q"', "it's", "a.\nThe", "b,\nc.", "²", "end.\n", "\n", "--", "Ⅷ", "\t", "\x85", "　", "w..", "<|endoftext|>", "<|endof", "'s", "\r\n", "\x1c", "\u200b", "e\u0301"]
+    parts = [
+        "foo", "Bar", ".", ",", "é", "日本", "x1", "_", '"q"', "it's", "a.\nThe", "b,\nc.", "²", "end.\n", "\n", "--", "Ⅷ", "\t", "\x85", "　", "w..",
+        "<|endoftext|>", "<|endof", "'s", "\r\n", "\x1c", "\u200b", "e\u0301"
+    ]
     encoder = tokens.Encoder(PATH)
     assert encoder.fast is not None
     for _ in range(1500):
@@ -104,7 +107,10 @@ def check(got, rows, whole, context):
     for doc, found in by_row.items():
         copies = [t for i, t in rows if str(i) == doc]
         ids = [*whole(copies[0]), packing.CLOSING]
-        want = sorted((k, s, n, zlib.crc32(np.array(ids[s : s + n], "<u4").tobytes())) for _ in copies for k, (s, n) in enumerate(packing.cut_points(len(ids), context)))
+        want = sorted(
+            (k, s, n, zlib.crc32(np.array(ids[s : s + n], "<u4").tobytes())) for _ in copies for k,
+            (s, n) in enumerate(packing.cut_points(len(ids), context))
+        )
         assert sorted((r.piece, r.start, r.length, r.ids_crc32) for r in found) == want
     assert by_row.keys() == {str(i) for i, _ in rows}
     bins = {}
@@ -139,6 +145,8 @@ def test_histogram(spark, sf, edges, nothing, whole):
         assert sorted(r.context_limit for r in rows) == sorted(set(n.tolist()))
         for r in rows:
             at = r.context_limit
-            assert (r.n_docs, r.n_up_to, r.n_longer, r.tokens_up_to, r.truncated_tokens, r.total_tokens) == ((n == at).sum(), (n <= at).sum(), (n > at).sum(), n[n <= at].sum(), np.minimum(n, at).sum(), n.sum())
+            assert (r.n_docs, r.n_up_to, r.n_longer, r.tokens_up_to, r.truncated_tokens, r.total_tokens) == (
+                (n == at).sum(), (n <= at).sum(), (n > at).sum(), n[n <= at].sum(), np.minimum(n, at).sum(), n.sum()
+            )
             assert r.quantile == (n <= at).sum() / len(n)
     assert tokens.length_histogram(nothing, PATH).count() == 0

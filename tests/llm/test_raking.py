@@ -45,7 +45,11 @@ def test_fit_tells_of_margins_that_no_weights_meet():
 
 
 def test_sampled_margins(spark):
-    rows = [(i, "word " * (i % 7 + 1) + ("license" if i % 5 == 0 else ""), ["en", "de", None][i % 3], "hot" if i // 3 % 4 else "cold") for i in range(6000)]
+    rows = [
+        (
+            i, "word " * (i % 7 + 1) + ("license" if i % 5 == 0 else ""), ["en", "de", None][i % 3], "hot" if i // 3 % 4 else "cold"
+        ) for i in range(6000)
+    ]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     targets = {"source": {"hot": 0.4, "cold": 0.6}, "lang": {"en": 0.5, "de": 0.3, "*": 0.2}, "topic": {"prose": 0.7, "legal": 0.3}}
     got = [r.asDict() for r in raking.calibrated(docs, targets).collect()]
@@ -75,7 +79,9 @@ def test_sampled_margins(spark):
 
 def test_sampled_rows_meet_margins_unweighted(spark):
     """A hot source with two thirds of the rows, and a topic that needs more than it has."""
-    rows = [(i, "word " * (i % 7 + 1) + ("license" if i % 11 == 0 else ""), ["en", "de"][i % 2], "hot" if i // 2 % 3 else "cold") for i in range(12000)]
+    rows = [
+        (i, "word " * (i % 7 + 1) + ("license" if i % 11 == 0 else ""), ["en", "de"][i % 2], "hot" if i // 2 % 3 else "cold") for i in range(12000)
+    ]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     targets = {"source": {"hot": 0.2, "cold": 0.8}, "lang": {"en": 0.6, "de": 0.4}, "topic": {"prose": 0.7, "legal": 0.3}}
     got, encode, spent = raking.sampled(docs, targets).collect(), tokens.encoder(tokens.vocabulary_path()), {"source": {}, "lang": {}, "topic": {}}

@@ -81,7 +81,9 @@ RANKS = S.word_ranks(S.vocabulary_path())
 def test_guess_bits_is_the_cheapest_cut():
     rng = random.Random(4)
     parts = ["aaa", "11", "qwe", "poi", "123", "pass", "P4ss", "the", "20", "2024", "0131", "xX", "é", "-", "love", "7", "Zz", "zzzz"]
-    values = ["".join(rng.choice(parts) for _ in range(4))[:11] for _ in range(60)] + ["a", "aaaapple", "qwertyui", "20240131", "trewq12", "19991231x"]
+    values = [
+        "".join(rng.choice(parts) for _ in range(4))[:11] for _ in range(60)
+    ] + ["a", "aaaapple", "qwertyui", "20240131", "trewq12", "19991231x"]
     for v in values:
         assert abs(S.guess_bits(v) - every_cut(v)) < 1e-9, v
         assert (S.guess_cost(S.vocabulary_path())(v, 20.0) >= 20) == (every_cut(v) >= 20)

@@ -80,7 +80,10 @@ def test_edges(spark, edges, nothing):
 def test_one_row_of_each_group(spark, edges, nothing):
     """Different texts under one id are different documents; equal rows are one; rows without an id stay."""
     other, third = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
-    rows = [(1, other, "a"), (1, third, "b"), (1, third, "c"), (2, other, "d"), (3, other, "e"), (4, None, "f"), (5, "", "g"), (None, other, "h"), (0, third, "i")]
+    rows = [
+        (1, other, "a"), (1, third, "b"), (1, third, "c"), (2, other, "d"), (3, other, "e"), (4, None, "f"), (5, "", "g"), (None, other, "h"),
+        (0, third, "i")
+    ]
     docs = spark.createDataFrame(rows, "doc_id long, text string, digest string")
     got = simhash.unique_rows(docs.repartition(4))
     assert got.columns == docs.columns
@@ -92,7 +95,9 @@ def test_one_row_of_each_group(spark, edges, nothing):
 def test_forest_spans_what_all_pairs_span():
     rng = np.random.default_rng(1)
     centre = rng.integers(0, 2**64, 6, dtype=np.uint64)
-    fps = np.array([c ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), replace=False))) for c in centre for _ in range(20)], np.uint64)
+    fps = np.array(
+        [c ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), replace=False))) for c in centre for _ in range(20)], np.uint64
+    )
     a, b = simhash.forest(np.zeros(len(fps), np.int64), fps, simhash.pivots())
     assert all(int(fps[i] ^ fps[j]).bit_count() <= 4 for i, j in zip(a, b, strict=True))
     want = classes(list(range(len(fps))), [int(x) for x in fps])

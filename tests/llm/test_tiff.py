@@ -62,7 +62,9 @@ def test_lzw_is_that_of_the_format():
 
 
 def test_known_streams():
-    assert tiff.packbits_decode(bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA"), 24) == bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22AAAAAAAAAAAAAAAAAAAA")
+    assert tiff.packbits_decode(
+        bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA"), 24
+    ) == bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22AAAAAAAAAAAAAAAAAAAA")
     # 7 7 7 8 8 7 7 6 6, the example of the format's specification
     assert tiff.lzw_decode(bytes.fromhex("80 01 E0 40 80 44 08 0C 06 80 80"), 9) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
 
@@ -116,7 +118,10 @@ def test_every_codec_on_whole_texts(spark, sf, codec):
 
 def test_query_and_edges(spark, nothing, tmp_path):
     long = "".join(chr(97 + i % 23) for i in range(200_000))  # over one page
-    rows = edge_rows() + [(200, long, "en", "s", 1, *edge_rows()[0][5:]), (201, "x" * 64, "en", "s", 1, *edge_rows()[0][5:]), (202, "y" * 300, "en", "s", 1, *edge_rows()[0][5:])]
+    rows = edge_rows() + [
+        (200, long, "en", "s", 1, *edge_rows()[0][5:]), (201, "x" * 64, "en", "s", 1, *edge_rows()[0][5:]),
+        (202, "y" * 300, "en", "s", 1, *edge_rows()[0][5:])
+    ]
     spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     got = tiff.op10_tiff(spark, str(tmp_path)).collect()
     want = []

@@ -63,7 +63,9 @@ PAGES = [
 
 
 def archive(spark, rows, **more):
-    pages = spark.createDataFrame([(*r, "x", "y", 1) for r in rows], "page_id long, url string, html string, digest string, answer string, offset int")
+    pages = spark.createDataFrame(
+        [(*r, "x", "y", 1) for r in rows], "page_id long, url string, html string, digest string, answer string, offset int"
+    )
     folder = fresh_path(spark, "archives")
     runs = warc.write_archives(warc.with_capture_time(pages.repartition(3)), folder, **more)
     return warc.merged_index(runs, 4), warc.read_archives(spark, folder)
@@ -78,8 +80,17 @@ def test_archives_and_index(spark):
         payload = (html or "").encode()
         answer = max((j for j, _, h in PAGES if j is not None and (h or "") == (html or "")), default=None)
         response = i is None or i == answer
-        want.append((str(i), "response" if response else "revisit", digest(payload), len(payload), None if response else answer, payload if response else None))
-    assert sorted(map(str, want)) == sorted(str((str(r.page_id), r.record_type, r.payload_digest, r.payload_bytes, r.refers_to, None if r.payload is None else bytes(r.payload))) for r in got)
+        want.append(
+            (
+                str(i), "response" if response else "revisit", digest(payload), len(payload), None if response else answer,
+                payload if response else None
+            )
+        )
+    assert sorted(map(str, want)) == sorted(
+        str(
+            (str(r.page_id), r.record_type, r.payload_digest, r.payload_bytes, r.refers_to, None if r.payload is None else bytes(r.payload))
+        ) for r in got
+    )
     rows = sorted(index.collect(), key=lambda r: r.capture_no)
     keys = [(r.url_key, r.captured_at, -1 if r.page_id is None else r.page_id) for r in rows]
     assert keys == sorted(keys) and [r.capture_no for r in rows] == list(range(len(PAGES)))
