@@ -42,7 +42,9 @@ def curvature(c: Column, tokens: Column) -> tuple[Column, Column, Column]:
     """(status, score, signal): the score is 100 / (1 + e^(-2 (c - HIGH)))."""
     enough = tokens >= LEAST_TOKENS
     score = F.round(100 / (1 + F.exp(-2 * (c - HIGH)))).cast("long")
-    return F.when(enough, "ok").otherwise("insufficient_text"), F.when(enough, score), F.when(enough, F.when(c >= HIGH, "high").when(c >= MEDIUM, "medium").otherwise("low"))
+    return F.when(enough, "ok").otherwise("insufficient_text"), F.when(enough, score), F.when(
+        enough, F.when(c >= HIGH, "high").when(c >= MEDIUM, "medium").otherwise("low")
+    )
 
 
 #: The line of an error in a student's own file, by language; the first pattern that finds one counts. Frames of a language's own
@@ -127,15 +129,23 @@ def main_file(files: Column, preferred: Column) -> tuple[Column, Column]:
     exact = F.filter(by_name, lambda p: F.lower(p).endswith(wanted))
     runnable = F.filter(files, lambda p: F.lower(p).rlike("(?:" + "|".join(v.replace(".", r"\.") for v in ENDINGS.values()) + ")$"))
     usual = F.filter(runnable, lambda p: F.regexp_replace(name(p), r"\.[^.]*$", "").isin(*MAIN_STEMS))
-    found = F.when(wanted != "", F.coalesce(F.get(exact, F.lit(0)), F.get(by_name, F.lit(0)))).when(F.size(runnable) == 1, F.get(runnable, F.lit(0))).when(F.size(usual) == 1, F.get(usual, F.lit(0)))
-    error = F.when(wanted != "", F.concat(F.lit("main file not found: "), wanted)).when(F.size(runnable) == 0, "no runnable file").otherwise("several code files")
+    found = F.when(
+        wanted != "", F.coalesce(F.get(exact, F.lit(0)), F.get(by_name, F.lit(0)))
+    ).when(F.size(runnable) == 1, F.get(runnable, F.lit(0))).when(F.size(usual) == 1, F.get(usual, F.lit(0)))
+    error = F.when(
+        wanted != "", F.concat(F.lit("main file not found: "), wanted)
+    ).when(F.size(runnable) == 0, "no runnable file").otherwise("several code files")
     return found, F.when(found.isNull(), error)
 
 
 def run_output(file: Column, status: Column, code: Column, stdout: Column, stderr: Column) -> Column:
     """A run as a block of text; streams are clipped, empty ones left out."""
-    clipped = lambda c: F.when(F.length(F.trim(c)) > RUN_OUTPUT, F.concat(F.substring(F.trim(c), 1, RUN_OUTPUT), F.lit("\n... [truncated]"))).otherwise(F.trim(c))
-    told = F.when(status == "ok", "ran without errors").when(status == "timeout", "did not finish within the time limit").otherwise(F.concat(F.lit("crashed (exit code "), code.cast("string"), F.lit(")")))
+    clipped = lambda c: F.when(
+        F.length(F.trim(c)) > RUN_OUTPUT, F.concat(F.substring(F.trim(c), 1, RUN_OUTPUT), F.lit("\n... [truncated]"))
+    ).otherwise(F.trim(c))
+    told = F.when(status == "ok", "ran without errors").when(status == "timeout", "did not finish within the time limit").otherwise(
+        F.concat(F.lit("crashed (exit code "), code.cast("string"), F.lit(")"))
+    )
     block = lambda name, c: F.when(F.length(F.trim(c)) > 0, F.concat(F.lit(f"{name}:\n"), clipped(c)))
     return F.concat_ws("\n", F.concat(F.lit("--- "), file, F.lit(": "), told, F.lit(" ---")), block("stdout", stdout), block("stderr", stderr))
 

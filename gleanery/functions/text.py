@@ -37,7 +37,9 @@ def gram_hashes(tokens: Column, k: int = GRAM_WORDS) -> Column:
     """A 64-bit hash, as hex, of each run of k tokens; empty below k tokens."""
 
     def run(t: Column) -> Column:  # elements one by one: a slice would copy the whole array for each gram
-        grams = F.transform(F.sequence(F.lit(0), F.size(t) - k), lambda i: F.substring(F.md5(F.concat_ws("\x1f", *(F.get(t, i + j) for j in range(k)))), 1, 16))
+        grams = F.transform(
+            F.sequence(F.lit(0), F.size(t) - k), lambda i: F.substring(F.md5(F.concat_ws("\x1f", *(F.get(t, i + j) for j in range(k)))), 1, 16)
+        )
         return F.when(F.size(t) < k, F.array().cast("array<string>")).otherwise(grams)
 
     return let(tokens, run)

@@ -17,7 +17,9 @@ def best_match(chunks: DataFrame, pairs: DataFrame, owner: str, vector: str, wei
     becomes a row; the double loop runs inside the expression.
     """
     packed = chunks.groupBy(owner).agg(F.array_sort(F.collect_list(F.struct(F.col(weight).alias("w"), V.unit(F.col(vector)).alias("v")))).alias("c"))
-    joined = pairs.join(packed.select(F.col(owner).alias("a"), F.col("c").alias("ca")), "a").join(packed.select(F.col(owner).alias("b"), F.col("c").alias("cb")), "b")
+    joined = pairs.join(
+        packed.select(F.col(owner).alias("a"), F.col("c").alias("ca")), "a"
+    ).join(packed.select(F.col(owner).alias("b"), F.col("c").alias("cb")), "b")
 
     def one_way(x: Column, y: Column) -> Column:
         best = F.transform(x, lambda p: F.struct(p["w"].alias("w"), F.array_max(F.transform(y, lambda q: V.dot(p["v"], q["v"]))).alias("s")))
@@ -40,7 +42,10 @@ def class_scores(chunks: DataFrame, owner: str, klass: str, vector: str, weight:
     import numpy as np
     import pandas as pd
 
-    unit = chunks.select(F.col(klass).cast("long").alias("class"), F.col(owner).alias("id"), F.struct(V.unit(F.col(vector)).alias("v"), F.col(weight).cast("double").alias("w")).alias("c")).where("c.v IS NOT NULL")
+    unit = chunks.select(
+        F.col(klass).cast("long").alias("class"), F.col(owner).alias("id"),
+        F.struct(V.unit(F.col(vector)).alias("v"), F.col(weight).cast("double").alias("w")).alias("c")
+    ).where("c.v IS NOT NULL")
     packed = unit.groupBy("class", "id").agg(F.collect_list("c").alias("c")).select("class", "id", F.col("c.v").alias("v"), F.col("c.w").alias("w"))
     sizes = packed.groupBy("class").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     dealt = packed.join(sizes, "class").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -51,7 +56,11 @@ def class_scores(chunks: DataFrame, owner: str, klass: str, vector: str, weight:
         left, right = rows[rows["mine"] == rows["lo"]], rows[rows["mine"] == rows["hi"]]
         if left.empty or right.empty:
             return pd.DataFrame({"class": [], "a": [], "b": [], "score": []})
-        sides = [(np.array([x for v in side["v"] for x in v]), np.concatenate(list(side["w"])), np.cumsum([0, *map(len, side["w"])])[:-1]) for side in (left, right)]
+        sides = [
+            (
+                np.array([x for v in side["v"] for x in v]), np.concatenate(list(side["w"])), np.cumsum([0, *map(len, side["w"])])[:-1]
+            ) for side in (left, right)
+        ]
         (x, wx, at_x), (y, wy, at_y) = sides
         close = x @ y.T
 

@@ -29,5 +29,7 @@ def part_scores(rows: DataFrame, keys: list[str], part: str, vector: str, thresh
     found = F.array_compact(F.array(*(F.col(f"{a}_{b}") for a, b in PAIRS)))
     overall = F.when(F.size(found) > 0, F.round(F.aggregate(found, F.lit(0.0), lambda s, x: s + x) / F.size(found), 4))
     told = scored.withColumn("overall", overall)
-    status = F.when(F.col("overall").isNull(), "limited_data").when(F.col("overall") < threshold, "review_recommended").when(F.col("parts") == 3, "consistent").otherwise("limited_data")
+    status = F.when(F.col("overall").isNull(), "limited_data").when(
+        F.col("overall") < threshold, "review_recommended"
+    ).when(F.col("parts") == 3, "consistent").otherwise("limited_data")
     return told.select(*keys, *(f"{a}_{b}" for a, b in PAIRS), "overall", status.alias("status"))

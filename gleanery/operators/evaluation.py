@@ -65,7 +65,9 @@ def held_out_errors(rows: DataFrame, x: str, y: str, key: str, order: str) -> Da
     fitted = train.groupBy(key).agg(F.coalesce(F.regr_slope(y, x), F.lit(1.0)).alias("__a"), F.avg(y).alias("__my"), F.avg(x).alias("__mx"))
     line_at = F.greatest(F.lit(0.0), F.col("__a") * F.col(x) + F.col("__my") - F.col("__a") * F.col("__mx"))
     off = lambda c: F.round(F.avg(F.abs(c - F.col(y))), 4)
-    return halves.where(~F.col("__train")).join(fitted, key).groupBy(key).agg(F.count("*").alias("n"), off(F.col(x)).alias("mae_raw"), off(line_at).alias("mae_fitted"))
+    return halves.where(~F.col("__train")).join(fitted, key).groupBy(key).agg(
+        F.count("*").alias("n"), off(F.col(x)).alias("mae_raw"), off(line_at).alias("mae_fitted")
+    )
 
 
 def chunk_budgets(chunks: DataFrame, report: str, place: str, value: str, budgets: tuple[int, ...], tolerance: float) -> DataFrame:
@@ -75,16 +77,27 @@ def chunk_budgets(chunks: DataFrame, report: str, place: str, value: str, budget
 
     def score(budget: int) -> Column:
         n = F.size("v")
-        places = F.transform(F.sequence(F.lit(0), F.least(n, F.lit(budget)) - 1), lambda j: F.when(n <= budget, j).otherwise(F.floor(j * n / budget).cast("int")))
+        places = F.transform(
+            F.sequence(F.lit(0), F.least(n, F.lit(budget)) - 1), lambda j: F.when(n <= budget, j).otherwise(F.floor(j * n / budget).cast("int"))
+        )
         picked = F.transform(places, lambda i: F.get("v", i))
         return F.floor(F.aggregate(picked, F.lit(0).cast("long"), lambda s, x: s + x) / F.size(picked))
 
     last = max(budgets)
-    rows = packed.select(score(last).alias("ref"), F.explode(F.array(*(F.struct(F.lit(b).alias("max_chunks"), score(b).alias("s")) for b in budgets))).alias("b"))
+    rows = packed.select(
+        score(last).alias("ref"), F.explode(F.array(*(F.struct(F.lit(b).alias("max_chunks"), score(b).alias("s")) for b in budgets))).alias("b")
+    )
     gap = F.abs(F.col("b.s") - F.col("ref"))
-    told = rows.groupBy(F.col("b.max_chunks").alias("max_chunks")).agg(F.avg(gap).alias("d"), F.max(gap).alias("max_delta"), F.count_if((F.col("b.s") >= 0) != (F.col("ref") >= 0)).alias("changes"))
-    good = F.min(F.when((F.col("changes") == 0) & (F.col("d") <= tolerance), F.col("max_chunks"))).over(Window.partitionBy(F.lit(0)))  # one row a budget
-    return told.select("max_chunks", F.round("d", 2).alias("mean_delta"), "max_delta", "changes", (F.col("max_chunks") == F.coalesce(good, F.lit(last))).alias("suggested"))
+    told = rows.groupBy(F.col("b.max_chunks").alias("max_chunks")).agg(
+        F.avg(gap).alias("d"), F.max(gap).alias("max_delta"), F.count_if((F.col("b.s") >= 0) != (F.col("ref") >= 0)).alias("changes")
+    )
+    good = F.min(
+        F.when((F.col("changes") == 0) & (F.col("d") <= tolerance), F.col("max_chunks"))
+    ).over(Window.partitionBy(F.lit(0)))  # one row a budget
+    return told.select(
+        "max_chunks", F.round("d", 2).alias("mean_delta"), "max_delta", "changes",
+        (F.col("max_chunks") == F.coalesce(good, F.lit(last))).alias("suggested")
+    )
 
 
 def progress(items: DataFrame, job: str, outcome: str, stop: Column) -> DataFrame:
@@ -92,7 +105,9 @@ def progress(items: DataFrame, job: str, outcome: str, stop: Column) -> DataFram
     count = lambda name: F.count_if(F.col(outcome) == name).alias(name)
     c = items.groupBy(job).agg(F.count("*").alias("total"), count("evaluated"), count("skipped"), count("failed"), F.some(stop).alias("stopped"))
     over = F.col("evaluated") + F.col("skipped") + F.col("failed")
-    state = F.when(over == 0, "queued").when(over < F.col("total"), F.when(F.col("stopped"), "stopped").otherwise("running")).when(F.col("failed") == F.col("total"), "failed").otherwise("done")
+    state = F.when(over == 0, "queued").when(
+        over < F.col("total"), F.when(F.col("stopped"), "stopped").otherwise("running")
+    ).when(F.col("failed") == F.col("total"), "failed").otherwise("done")
     return c.withColumn("state", state)
 
 
@@ -101,9 +116,15 @@ def calibration(rows: DataFrame, score: str, positive: Column, current: float, h
     high), and the shares flagged at the current threshold."""
     keyed = rows.select(F.lit(0).alias("k"), F.col(score).alias("c"), positive.alias("p"))
     at = lambda p: F.round(F.avg(F.when(p, (F.col("c") >= current).cast("double"))), 6)
-    counts = keyed.groupBy("k").agg(F.count_if(~F.col("p")).alias("human"), F.count_if(F.col("p")).alias("ai"), at(~F.col("p")).alias("human_flagged"), at(F.col("p")).alias("ai_flagged"))
+    counts = keyed.groupBy("k").agg(
+        F.count_if(~F.col("p")).alias("human"), F.count_if(F.col("p")).alias("ai"), at(~F.col("p")).alias("human_flagged"),
+        at(F.col("p")).alias("ai_flagged")
+    )
     scored = auc(keyed, "c", F.col("p"), "k").select("k", F.round("auc", 6).alias("auc"))
-    lines = [lowest_threshold(keyed, "c", ~F.col("p"), share, "k").withColumnRenamed("threshold", name) for name, share in (("high", high), ("medium", medium))]
+    lines = [
+        lowest_threshold(keyed, "c", ~F.col("p"), share, "k").withColumnRenamed("threshold", name) for name,
+        share in (("high", high), ("medium", medium))
+    ]
     for part in (scored, *lines):
         counts = counts.join(part, "k", "left")
     return counts.select("human", "ai", "auc", "high", F.least("medium", "high").alias("medium"), "human_flagged", "ai_flagged")

@@ -25,9 +25,14 @@ TOKEN_JACCARD, TOKEN_CONTAINMENT = 0.60, 0.75
 PLACES, LEAST_PASSAGE = 5, 10
 
 
-def fingerprints(docs: DataFrame, cohort: list[str], id_col: str = "doc_id", text: str = "text", k: int = T.GRAM_WORDS, window: int = T.WINNOW_WINDOW, least_words: int = LEAST_WORDS) -> DataFrame:
+def fingerprints(
+    docs: DataFrame, cohort: list[str], id_col: str = "doc_id", text: str = "text", k: int = T.GRAM_WORDS, window: int = T.WINNOW_WINDOW,
+    least_words: int = LEAST_WORDS
+) -> DataFrame:
     """(id, cohort, n_words, fps): the sorted distinct winnowed hashes of each text of at least least_words words. No shuffle."""
-    w = docs.select(F.col(id_col).alias("id"), F.concat_ws("|", *cohort).alias("cohort"), T.words(F.col(text)).alias("w")).where(F.size("w") >= least_words)
+    w = docs.select(
+        F.col(id_col).alias("id"), F.concat_ws("|", *cohort).alias("cohort"), T.words(F.col(text)).alias("w")
+    ).where(F.size("w") >= least_words)
     return w.select("id", "cohort", F.size("w").alias("n_words"), F.array_sort(T.winnow(T.gram_hashes(F.col("w"), k), window)).alias("fps"))
 
 
@@ -40,7 +45,9 @@ def members(prints: DataFrame) -> DataFrame:
 
 def classes(prints: DataFrame) -> DataFrame:
     """(cohort, rep, copies, fps): one row per class."""
-    return prints.groupBy("cohort", F.md5(F.array_join("fps", ",")).alias("set")).agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.min_by("fps", "id").alias("fps")).drop("set")
+    return prints.groupBy("cohort", F.md5(F.array_join("fps", ",")).alias("set")).agg(
+        F.min("id").alias("rep"), F.count("*").alias("copies"), F.min_by("fps", "id").alias("fps")
+    ).drop("set")
 
 
 def common(exploded: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -64,7 +71,10 @@ def pairs(own_prints: DataFrame) -> DataFrame:
     shared = left.join(right.hint("merge"), ["cohort", "h"]).where("a < b").groupBy("cohort", "a", "b").agg(F.count("*").alias("shared"))
     sizes = own_prints.groupBy("cohort", "rep").agg(F.count("*").alias("n"), F.first("copies").alias("copies"))
     for side in "ab":
-        shared = shared.join(sizes.select("cohort", F.col("rep").alias(side), F.col("n").alias(f"n_{side}"), F.col("copies").alias(f"copies_{side}")).hint("merge"), ["cohort", side])
+        shared = shared.join(
+            sizes.select("cohort", F.col("rep").alias(side), F.col("n").alias(f"n_{side}"), F.col("copies").alias(f"copies_{side}")).hint("merge"),
+            ["cohort", side]
+        )
     return _measured(shared)
 
 
@@ -85,7 +95,9 @@ def ranked(own_prints: DataFrame) -> DataFrame:
     """(cohort, rep, copies, n, hs): each class's fingerprints in one array, the cohort's rarest first."""
     often = own_prints.groupBy("cohort", "h").agg(F.count("*").alias("often"))
     with_often = own_prints.join(often.hint("merge"), ["cohort", "h"])
-    packed = with_often.groupBy("cohort", "rep").agg(F.first("copies").alias("copies"), F.array_sort(F.collect_list(F.struct("often", "h"))).alias("s"))
+    packed = with_often.groupBy("cohort", "rep").agg(
+        F.first("copies").alias("copies"), F.array_sort(F.collect_list(F.struct("often", "h"))).alias("s")
+    )
     return packed.select("cohort", "rep", "copies", F.size("s").cast("long").alias("n"), F.transform("s", lambda x: x["h"]).alias("hs"))
 
 
@@ -99,13 +111,18 @@ def near_pairs(rows: DataFrame, jaccard: float = TEXT_JACCARD, containment: floa
     least = line(jaccard - 5e-5, containment - 5e-5)
     need = lambda n: F.ceil(F.lit(least) * n)
     placed = rows.select("cohort", "rep", "n", F.posexplode("hs").alias("at", "h"))
-    small = placed.where(F.col("at") <= F.col("n") - need(F.col("n"))).select("cohort", "h", F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("at").alias("at_x"))
+    small = placed.where(F.col("at") <= F.col("n") - need(F.col("n"))).select(
+        "cohort", "h", F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("at").alias("at_x")
+    )
     large = placed.select("cohort", "h", F.col("rep").alias("y"), F.col("n").alias("n_y"), F.col("at").alias("at_y"))
     order = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("x") < F.col("y")))
     met = small.join(large.hint("merge"), ["cohort", "h"]).where(order & (F.col("at_y") <= F.col("n_y") - need(F.col("n_x"))))
     candidates = met.select("cohort", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     for side in "ab":
-        mine = rows.select("cohort", F.col("rep").alias(side), F.col("n").alias(f"n_{side}"), F.col("copies").alias(f"copies_{side}"), F.col("hs").alias(f"hs_{side}"))
+        mine = rows.select(
+            "cohort", F.col("rep").alias(side), F.col("n").alias(f"n_{side}"), F.col("copies").alias(f"copies_{side}"),
+            F.col("hs").alias(f"hs_{side}")
+        )
         candidates = candidates.join(mine.hint("merge"), ["cohort", side])
     counted = candidates.withColumn("shared", F.size(F.array_intersect("hs_a", "hs_b")).cast("long")).drop("hs_a", "hs_b")
     return flagged(_measured(counted), jaccard, containment).where("flagged").drop("flagged")
@@ -127,7 +144,9 @@ def flagged(pair_rows: DataFrame, jaccard: float = TEXT_JACCARD, containment: fl
     return pair_rows.withColumn("flagged", (F.col("jaccard") >= jaccard) | (F.col("containment") >= containment))
 
 
-def runs(docs: DataFrame, pair_rows: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = T.GRAM_WORDS, least: int = LEAST_PASSAGE) -> DataFrame:
+def runs(
+    docs: DataFrame, pair_rows: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = T.GRAM_WORDS, least: int = LEAST_PASSAGE
+) -> DataFrame:
     """(a, b, start_a, start_b, n_words): maximal runs of equal words of each pair, from the first PLACES places of each gram.
 
     Grams that two texts share lie on one diagonal (place in b minus place in a) for as long as the texts agree: an island of
@@ -141,7 +160,9 @@ def runs(docs: DataFrame, pair_rows: DataFrame, id_col: str = "doc_id", text: st
     right = firsts.select(F.col("id").alias("b"), "h", F.col("at").alias("at_b"))
     met = pair_rows.select("a", "b").join(left, "a").join(right, ["b", "h"]).withColumn("diagonal", F.col("at_b") - F.col("at_a"))
     island = F.col("at_a") - F.row_number().over(Window.partitionBy("a", "b", "diagonal").orderBy("at_a"))
-    found = met.withColumn("island", island).groupBy("a", "b", "diagonal", "island").agg(F.min("at_a").alias("start_a"), F.min("at_b").alias("start_b"), (F.count("*") + k - 1).alias("n_words"))
+    found = met.withColumn("island", island).groupBy("a", "b", "diagonal", "island").agg(
+        F.min("at_a").alias("start_a"), F.min("at_b").alias("start_b"), (F.count("*") + k - 1).alias("n_words")
+    )
     return found.where(F.col("n_words") >= least).select("a", "b", "start_a", "start_b", "n_words")
 
 
@@ -182,5 +203,7 @@ def merged_ranges(ranges: DataFrame, keys: list[str], start: str = "start", end:
     """Ranges that overlap or touch (start at most one past an end) merged, ends inclusive."""
     ordered = Window.partitionBy(*keys).orderBy(start, end)
     before = F.max(end).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
-    numbered = ranges.withColumn("__new", F.when(F.col(start) <= before + 1, 0).otherwise(1)).withColumn("__run", F.sum("__new").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    numbered = ranges.withColumn("__new", F.when(F.col(start) <= before + 1, 0).otherwise(1)).withColumn(
+        "__run", F.sum("__new").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
+    )
     return numbered.groupBy(*keys, "__run").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__run")

@@ -50,7 +50,9 @@ def mismatch(df: DataFrame, keys: list[str], text: str, code_language: str, sour
     flagged = F.coalesce((F.coalesce(*own) == 0) & (every >= LEAST_MENTIONS), F.lit(False))
     all_counts = F.array(*(F.struct((-F.col(c)).alias("less"), F.lit(i).alias("i"), F.lit(SHOWN[c]).alias("name")) for i, c in enumerate(PATTERNS)))
     found = F.filter(F.array_sort(all_counts), lambda x: x["less"] < 0)
-    times = lambda x: F.concat(x["name"], F.lit(" ("), (-x["less"]).cast("string"), F.when(x["less"] == -1, " mention)").otherwise(" mentions)"))
+    times = lambda x: F.concat(
+        x["name"], F.lit(" ("), (-x["less"]).cast("string"), F.when(x["less"] == -1, " mention)").otherwise(" mentions)")
+    )
     shown = F.coalesce(*(F.when(F.col(code_language) == c, SHOWN[c]) for c in PATTERNS))
     sentence = F.concat(
         F.lit(f"language mismatch: the {source} talks about "), F.array_join(F.transform(found, times), ", "), F.lit(" but the submitted code is "), shown,

@@ -56,7 +56,9 @@ def snippet(text: Column, start: Column, end: Column) -> Column:
 def hits(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """keys, n_places (distinct starts over all patterns), and of the first match (least start, then end, then reason) reason, start and
     snippet; null where nothing matches."""
-    found = df.select(*keys, F.col(text).alias("__text"), F.array_sort(F.concat(*(places(F.col(text), p, reason) for reason, p in PATTERNS.items()))).alias("p"))
+    found = df.select(
+        *keys, F.col(text).alias("__text"), F.array_sort(F.concat(*(places(F.col(text), p, reason) for reason, p in PATTERNS.items()))).alias("p")
+    )
     first = F.get("p", F.lit(0))
     return found.select(
         *keys,

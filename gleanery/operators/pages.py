@@ -16,7 +16,9 @@ def running_lines(pages: DataFrame, report: list[str], page: str, text: str, lea
     """(report, key, n): lines within EDGE of a page's top or bottom, digits folded, on at least two and a share of the pages."""
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
     cut = pages.select(*report, page, lines.alias("l"))
-    edges = F.array_distinct(F.transform(F.concat(F.slice("l", 1, EDGE), F.slice(F.reverse("l"), 1, EDGE)), lambda x: F.regexp_replace(F.lower(x), "[0-9]+", "#")))
+    edges = F.array_distinct(
+        F.transform(F.concat(F.slice("l", 1, EDGE), F.slice(F.reverse("l"), 1, EDGE)), lambda x: F.regexp_replace(F.lower(x), "[0-9]+", "#"))
+    )
     counted = cut.select(*report, F.explode(edges).alias("key")).groupBy(*report, "key").agg(F.count("*").alias("n"))
     sizes = pages.groupBy(*report).agg(F.count("*").alias("pages"))
     return counted.join(sizes, report).where(F.col("n") >= F.greatest(F.lit(2), F.ceil(F.col("pages") * least_share))).select(*report, "key", "n")

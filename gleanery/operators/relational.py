@@ -62,4 +62,6 @@ def placed(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     counts = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     first = counts.select("__part", before.alias("__before"))
-    return dealt.withColumn("__nth", inside).join(first, "__part").withColumn(name, (F.col("__before") + F.col("__nth")).cast("long")).select(*df.columns, name)
+    return dealt.withColumn("__nth", inside).join(first, "__part").withColumn(
+        name, (F.col("__before") + F.col("__nth")).cast("long")
+    ).select(*df.columns, name)

@@ -40,7 +40,9 @@ def heuristic(docs: DataFrame, keys: list[str], text: str, quality: Column, crit
         words = words_of(name, description)
         matched = sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0))
         share = matched / len(words) if words else F.lit(NEUTRAL)
-        told = F.concat(F.lit("keyword coverage "), matched.cast("string"), F.lit(f"/{len(words)}")) if words else F.lit("criterion has no distinguishing keywords; used a neutral baseline")
+        told = F.concat(
+            F.lit("keyword coverage "), matched.cast("string"), F.lit(f"/{len(words)}")
+        ) if words else F.lit("criterion has no distinguishing keywords; used a neutral baseline")
         if any(term in f"{name} {description}".lower() for term in QUALITY_TERMS):
             share = (share + quality / 100) / 2
             told = F.concat(told, F.lit("; blended with code quality score "), F.round(quality).cast("int").cast("string"), F.lit("/100"))
@@ -58,7 +60,9 @@ def heuristic_sql(table: str, keys: str, text: str, quality: str, criteria: list
         told = f"'keyword coverage ' || ({n}) || '/{len(words)}'" if words else "'criterion has no distinguishing keywords; used a neutral baseline'"
         if any(term in f"{name} {description}".lower() for term in QUALITY_TERMS):
             share, told = f"(({share}) + q / 100.0) / 2", f"{told} || '; blended with code quality score ' || round(q)::INT || '/100'"
-        parts.append(f"SELECT {keys}, '{name}' AS criterion, round(greatest(0.0, least(1.0, ({share})::DOUBLE)) * {points}, 2)::DOUBLE AS score, {told} AS justification FROM t")
+        parts.append(
+            f"SELECT {keys}, '{name}' AS criterion, round(greatest(0.0, least(1.0, ({share})::DOUBLE)) * {points}, 2)::DOUBLE AS score, {told} AS justification FROM t"
+        )
     return f"WITH t AS (SELECT {keys}, lower(coalesce({text}, '')) AS low, {quality} AS q FROM {table}) " + " UNION ALL ".join(parts)
 
 
@@ -87,4 +91,7 @@ def claims_missing(text: Column, kinds: dict[str, Column]) -> Column:
 
 def claims_sql(text: str, kinds: dict[str, str]) -> str:
     quoted = lambda p: p.replace("'", "''")
-    return "coalesce(" + " OR ".join(f"(({there}) AND ({' OR '.join(f"regexp_matches({text}, '(?i){quoted(p)}')" for p in claim_patterns(NOUNS[kind]))}))" for kind, there in kinds.items()) + ", false)"
+    return "coalesce(" + " OR ".join(
+        f"(({there}) AND ({' OR '.join(f"regexp_matches({text}, '(?i){quoted(p)}')" for p in claim_patterns(NOUNS[kind]))}))" for kind,
+        there in kinds.items()
+    ) + ", false)"

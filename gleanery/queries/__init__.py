@@ -3,4 +3,6 @@
 from . import courses, events, grading, metrics, nested, pairs, relational, rules, summaries, text, vectors, whole
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "courses", "events", "grading", "metrics", "nested", "pairs", "relational", "rules", "summaries", "text", "vectors", "whole"]
+__all__ = [
+    "QUERIES", "SQL", "courses", "events", "grading", "metrics", "nested", "pairs", "relational", "rules", "summaries", "text", "vectors", "whole"
+]

@@ -19,7 +19,9 @@ def due_soon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open work that falls due within a week."""
     at = F.col("o_orderdate").cast("timestamp")
     now = F.lit(NOW).cast("timestamp")
-    rows = table(spark, sf_dir, "orders").where((F.col("o_orderdate") > F.lit(NOW).cast("timestamp_ntz")) & (at <= now + F.expr("INTERVAL 7 DAYS")) & (F.col("o_orderstatus") != "F"))
+    rows = table(spark, sf_dir, "orders").where(
+        (F.col("o_orderdate") > F.lit(NOW).cast("timestamp_ntz")) & (at <= now + F.expr("INTERVAL 7 DAYS")) & (F.col("o_orderstatus") != "F")
+    )
     return rows.select("o_orderkey", F.unix_timestamp(at).alias("due"))
 
 
@@ -37,8 +39,13 @@ def derived_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
       regexp_matches('REG/' || s_nationkey || '/' || lpad(CAST(s_suppkey AS VARCHAR), 4, '0'), '^[A-Z]+/[0-9]{2}/[0-9]{4}$') AS valid,
       lpad(CAST(s_suppkey AS VARCHAR), 4, '0') AS last_part FROM supplier""")
 def register_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", C.register_number(F.lit("REG"), F.col("s_nationkey"), F.col("s_suppkey")).alias("number"))
-    return s.select("s_suppkey", "number", F.col("number").rlike("^[A-Z]+/[0-9]{2}/[0-9]{4}$").alias("valid"), F.substring_index("number", "/", -1).alias("last_part"))
+    s = table(spark, sf_dir, "supplier").select(
+        "s_suppkey", C.register_number(F.lit("REG"), F.col("s_nationkey"), F.col("s_suppkey")).alias("number")
+    )
+    return s.select(
+        "s_suppkey", "number", F.col("number").rlike("^[A-Z]+/[0-9]{2}/[0-9]{4}$").alias("valid"),
+        F.substring_index("number", "/", -1).alias("last_part")
+    )
 
 
 @query(r"""WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE lower(c_mktsegment) || '!' END AS w FROM customer)
@@ -73,7 +80,10 @@ def error_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
       contains(l_returnflag || l_linestatus, 'NO') AS holds FROM lineitem""")
 def output_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     printed = F.concat("l_returnflag", F.lit("  "))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", C.matches(printed, F.col("l_linestatus"), "exact").alias("exact"), C.matches(F.concat("l_returnflag", "l_linestatus"), F.lit("NO"), "contains").alias("holds"))
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", C.matches(printed, F.col("l_linestatus"), "exact").alias("exact"),
+        C.matches(F.concat("l_returnflag", "l_linestatus"), F.lit("NO"), "contains").alias("holds")
+    )
 
 
 @query("""WITH f AS (SELECT user_id, event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before
@@ -84,7 +94,10 @@ def frame_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Differences of consecutive frames of a recording: events stand for frames, a user for a recording."""
     before = F.lag("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     d = table(spark, sf_dir, "events").select("user_id", F.abs(F.col("value") - before).alias("d"))
-    return d.groupBy("user_id").agg(F.count("d").alias("n_diffs"), F.sum(F.round(F.col("d") * 100).cast("long")).alias("total_diff_hundredths"), F.count_if(F.col("d") > 20).alias("scene_changes"))
+    return d.groupBy("user_id").agg(
+        F.count("d").alias("n_diffs"), F.sum(F.round(F.col("d") * 100).cast("long")).alias("total_diff_hundredths"),
+        F.count_if(F.col("d") > 20).alias("scene_changes")
+    )
 
 
 @query("""WITH n AS (SELECT page_id, length(html) AS total FROM pages)
@@ -100,7 +113,9 @@ def frame_places(spark: SparkSession, sf_dir: str) -> DataFrame:
       CASE WHEN tokens >= 120 THEN CASE WHEN c >= 2 THEN 'high' WHEN c >= 1 THEN 'medium' ELSE 'low' END END AS signal FROM c""")
 def curvature_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A curvature and its number of tokens to a displayed score and a band; too little text gives neither."""
-    c = table(spark, sf_dir, "events").select("event_id", (F.col("value") / 40.0 - 1).alias("c"), (F.col("value") * 7).cast("decimal(18,6)").alias("raw"))
+    c = table(spark, sf_dir, "events").select(
+        "event_id", (F.col("value") / 40.0 - 1).alias("c"), (F.col("value") * 7).cast("decimal(18,6)").alias("raw")
+    )
     c = c.withColumn("tokens", F.round("raw").cast("long"))
     status, score, signal = C.curvature(F.col("c"), F.col("tokens"))
     return c.select("event_id", status.alias("status"), score.alias("score"), signal.alias("signal"))
@@ -114,7 +129,10 @@ def timed_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The end of a timed task is its own limit or the assignment's, whichever is first; it has expired 15 seconds after."""
     start = F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))
     end = F.least(start + 60 * 30 * (1 + F.col("o_custkey") % 5), start + 3600)
-    return table(spark, sf_dir, "orders").select("o_orderkey", (end - start).alias("allowed_seconds"), F.greatest(F.lit(0).cast("long"), end - start - 2000).alias("seconds_left"), (start + 2000 > end + 15).alias("expired"))
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", (end - start).alias("allowed_seconds"), F.greatest(F.lit(0).cast("long"), end - start - 2000).alias("seconds_left"),
+        (start + 2000 > end + 15).alias("expired")
+    )
 
 
 @query("""WITH t AS (SELECT l_orderkey, l_linenumber, bool_and(l_linestatus = 'F') AS done FROM lineitem GROUP BY 1, 2), g AS (SELECT *, min(CASE
@@ -156,8 +174,14 @@ def first_appearance(spark: SparkSession, sf_dir: str) -> DataFrame:
       style) * 10000 + 0.5) / 10000 AS score FROM e""")
 def method_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The model's score where it has one, else the style score, and which of them it is."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_custkey") % 4 != 0, F.col("o_totalprice") / 6000.0).alias("model"), (F.col("o_totalprice") / 9000.0).alias("style"))
-    return o.select("o_orderkey", F.when(F.col("model").isNull(), "style").otherwise("model").alias("method"), (F.floor(F.coalesce("model", "style") * 10000 + 0.5) / 10000).alias("score"))
+    o = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.when(F.col("o_custkey") % 4 != 0, F.col("o_totalprice") / 6000.0).alias("model"),
+        (F.col("o_totalprice") / 9000.0).alias("style")
+    )
+    return o.select(
+        "o_orderkey", F.when(F.col("model").isNull(), "style").otherwise("model").alias("method"),
+        (F.floor(F.coalesce("model", "style") * 10000 + 0.5) / 10000).alias("score")
+    )
 
 
 TERMS_SQL = (

@@ -35,16 +35,22 @@ def next_available(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.next_available(_events(spark, sf_dir), ["user_id", "event_type"], 86400, 3).select("event_id", "free_at")
 
 
-@query(f"WITH {SECONDS}, s AS (SELECT *, CASE WHEN event_id % 5 = 0 THEN 'running' ELSE 'done' END AS status FROM e) SELECT event_id, CASE WHEN status = 'running' AND t < 1705000000 - 900 THEN 'failed' ELSE status END AS status FROM s")
+@query(
+    f"WITH {SECONDS}, s AS (SELECT *, CASE WHEN event_id % 5 = 0 THEN 'running' ELSE 'done' END AS status FROM e) SELECT event_id, CASE WHEN status = 'running' AND t < 1705000000 - 900 THEN 'failed' ELSE status END AS status FROM s"
+)
 def stale_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("event_id") % 5 == 0, "running").otherwise("done")
     return _events(spark, sf_dir).select("event_id", L.shown_status(status, F.col("t"), F.lit(1705000000)).alias("status"))
 
 
-@query("SELECT epoch(time_bucket(INTERVAL 1 DAY, ts))::BIGINT AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
+@query(
+    "SELECT epoch(time_bucket(INTERVAL 1 DAY, ts))::BIGINT AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2"
+)
 def daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return e.groupBy(F.unix_timestamp(F.window("ts", "1 day").start).alias("day"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    return e.groupBy(
+        F.unix_timestamp(F.window("ts", "1 day").start).alias("day"), "event_type"
+    ).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +66,9 @@ def _run(stream: DataFrame, mode: str) -> DataFrame:
 
 @query("SELECT epoch(time_bucket(INTERVAL 6 HOUR, ts))::BIGINT AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(S.tumbling(_stream(spark, sf_dir), ["event_type"], "6 hours"), "complete").select(F.unix_timestamp("start").alias("start"), "event_type", "n")
+    return _run(
+        S.tumbling(_stream(spark, sf_dir), ["event_type"], "6 hours"), "complete"
+    ).select(F.unix_timestamp("start").alias("start"), "event_type", "n")
 
 
 @query(
@@ -71,7 +79,9 @@ def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
       count(*) AS n FROM s GROUP BY user_id, nth"""
 )
 def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(S.sessions(_stream(spark, sf_dir), ["user_id"], "3 hours"), "complete").select("user_id", F.unix_timestamp("start").alias("start"), F.unix_timestamp("end").alias("end"), "n")
+    return _run(S.sessions(_stream(spark, sf_dir), ["user_id"], "3 hours"), "complete").select(
+        "user_id", F.unix_timestamp("start").alias("start"), F.unix_timestamp("end").alias("end"), "n"
+    )
 
 
 @query("SELECT count(DISTINCT (user_id, event_type)) AS n FROM events")

@@ -35,7 +35,12 @@ def _late(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _submitted(spark, sf_dir)
     percent = F.col("rank") % 2 == 0
     unit = F.when(percent, "percent").otherwise("marks")
-    return o.withColumns(M.lateness(F.col("at"), F.col("deadline"), 720 * F.col("rank"), unit, F.when(percent, 7.5).otherwise(1000.0), F.when(percent, 60.0).otherwise(15000.0)))
+    return o.withColumns(
+        M.lateness(
+            F.col("at"), F.col("deadline"), 720 * F.col("rank"), unit, F.when(percent, 7.5).otherwise(1000.0),
+            F.when(percent, 60.0).otherwise(15000.0)
+        )
+    )
 
 
 @query(LATE_SQL + " SELECT o_orderkey, late_seconds, percent::DOUBLE AS percent, marks::DOUBLE AS marks FROM l")
@@ -43,7 +48,9 @@ def lateness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _late(spark, sf_dir).select("o_orderkey", "late_seconds", "percent", "marks")
 
 
-@query(LATE_SQL + " SELECT o_orderkey, CASE WHEN percent = 0 AND marks = 0 THEN o_totalprice ELSE floor(greatest(o_totalprice * (1 - percent::DOUBLE / 100) - marks::DOUBLE, 0) * 100 + 0.5) / 100 END AS final_mark FROM l")
+@query(
+    LATE_SQL + " SELECT o_orderkey, CASE WHEN percent = 0 AND marks = 0 THEN o_totalprice ELSE floor(greatest(o_totalprice * (1 - percent::DOUBLE / 100) - marks::DOUBLE, 0) * 100 + 0.5) / 100 END AS final_mark FROM l"
+)
 def final_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _late(spark, sf_dir).select("o_orderkey", M.final_mark(F.col("o_totalprice"), F.col("percent"), F.col("marks")).alias("final_mark"))
 
@@ -62,7 +69,10 @@ def accept_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.col("deadline") - F.expr("INTERVAL 7 DAYS")
     late_until = F.when(F.col("rank") > 3, F.col("deadline") + F.expr("INTERVAL 5 DAYS"))
     until = M.accept_until(F.col("deadline"), 720 * F.col("rank"), late_until)
-    return o.select("o_orderkey", M.status_at(F.col("at"), start, F.col("deadline")).alias("status"), ((F.col("at") >= start) & (F.col("at") <= until)).alias("accepted"))
+    return o.select(
+        "o_orderkey", M.status_at(F.col("at"), start, F.col("deadline")).alias("status"),
+        ((F.col("at") >= start) & (F.col("at") <= until)).alias("accepted")
+    )
 
 
 @query("""SELECT l_orderkey, round(sum(CASE WHEN l_returnflag <> 'R' THEN l_quantity
@@ -70,7 +80,10 @@ def accept_status(spark: SparkSession, sf_dir: str) -> DataFrame:
       FROM lineitem GROUP BY 1""")
 def test_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     passed = F.col("l_returnflag") != "R"
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.round(F.sum(F.when(passed, F.col("l_quantity")).otherwise(0.0)), 2).alias("earned"), F.round(F.sum("l_quantity"), 2).alias("total"), F.count_if(passed).alias("passed"), F.count("*").alias("n"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.round(F.sum(F.when(passed, F.col("l_quantity")).otherwise(0.0)), 2).alias("earned"), F.round(F.sum("l_quantity"), 2).alias("total"),
+        F.count_if(passed).alias("passed"), F.count("*").alias("n")
+    )
 
 
 @query("""SELECT l_orderkey, l_linestatus, round(sum(CASE WHEN l_returnflag <> 'R' THEN l_quantity
@@ -78,7 +91,9 @@ def test_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def task_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each task's tests scaled to ten marks."""
     earned = F.sum(F.when(F.col("l_returnflag") != "R", F.col("l_quantity")).otherwise(0.0))
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linestatus").agg(F.round(earned / F.sum("l_quantity") * 10, 2).alias("mark_of_ten"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linestatus").agg(
+        F.round(earned / F.sum("l_quantity") * 10, 2).alias("mark_of_ten")
+    )
 
 
 @query("""WITH t AS (SELECT l_orderkey, sum(l_quantity) AS total FROM lineitem GROUP BY 1), e AS (SELECT l_orderkey, sum(l_quantity) AS earned
@@ -88,9 +103,13 @@ def task_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def submission_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Earned from answers that are marked, total from all tests: one aggregate of line items, one join."""
     marked = (F.col("l_linestatus") == "F") & (F.col("l_returnflag") != "R")
-    t = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum(F.when(marked, F.col("l_quantity"))).alias("e"), F.sum("l_quantity").alias("t"))
+    t = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.sum(F.when(marked, F.col("l_quantity"))).alias("e"), F.sum("l_quantity").alias("t")
+    )
     zero = F.lit(0.0)
-    return table(spark, sf_dir, "orders").select("o_orderkey").join(t, "o_orderkey", "left").select("o_orderkey", F.round(F.coalesce("e", zero), 2).alias("earned"), F.round(F.coalesce("t", zero), 2).alias("total"))
+    return table(spark, sf_dir, "orders").select("o_orderkey").join(t, "o_orderkey", "left").select(
+        "o_orderkey", F.round(F.coalesce("e", zero), 2).alias("earned"), F.round(F.coalesce("t", zero), 2).alias("total")
+    )
 
 
 @query("""SELECT l_orderkey, l_linestatus, coalesce(min(l_linenumber) FILTER (WHERE l_returnflag = 'R'), 0) AS first_failed,
@@ -99,7 +118,10 @@ def submission_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
 def failed_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = F.col("l_returnflag") == "R"
     shown = F.col("l_tax") < 0.04
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linestatus").agg(F.coalesce(F.min(F.when(failed, F.col("l_linenumber"))), F.lit(0)).alias("first_failed"), F.count_if(failed & shown).alias("visible_failed"), F.count_if(failed & ~shown).alias("hidden_failed"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linestatus").agg(
+        F.coalesce(F.min(F.when(failed, F.col("l_linenumber"))), F.lit(0)).alias("first_failed"), F.count_if(failed & shown).alias("visible_failed"),
+        F.count_if(failed & ~shown).alias("hidden_failed")
+    )
 
 
 @query("""WITH q AS (SELECT DISTINCT l_linenumber AS test FROM lineitem), r AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS flag
@@ -115,7 +137,10 @@ def skipped_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = r.groupBy("o_orderkey").agg(F.count_if(F.col("flag") == "R").alias("failed"), F.count_if(F.col("flag") != "R").alias("passed"))
     zero = F.lit(0)
     joined = table(spark, sf_dir, "orders").select("o_orderkey").join(counts, "o_orderkey", "left").crossJoin(F.broadcast(tests))  # one row
-    return joined.select("o_orderkey", (F.col("tests") - F.coalesce("failed", zero) - F.coalesce("passed", zero)).alias("skipped"), F.coalesce("failed", zero).alias("failed"), F.coalesce("passed", zero).alias("passed"))
+    return joined.select(
+        "o_orderkey", (F.col("tests") - F.coalesce("failed", zero) - F.coalesce("passed", zero)).alias("skipped"),
+        F.coalesce("failed", zero).alias("failed"), F.coalesce("passed", zero).alias("passed")
+    )
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE CAST(l_discount * 100 AS INT) WHEN 0 THEN 'ok' WHEN 1 THEN 'timeout'
@@ -132,7 +157,9 @@ def check_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checks met and partly met, to marks; and a duration as minutes and seconds."""
     n = F.col("l_linenumber")
     score = M.check_score(F.lit(10.0), F.least(n, F.lit(4)), n / 2, F.lit(7))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", score.alias("score"), M.clock((F.col("l_quantity") * 7).cast("long")).alias("clock"))
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", score.alias("score"), M.clock((F.col("l_quantity") * 7).cast("long")).alias("clock")
+    )
 
 
 KEYWORDS_SQL = (
@@ -152,9 +179,13 @@ def rubric_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Criteria (benchmark items) of which a document names at least half of the keywords, as whole words, and the score out of ten."""
     k = table(spark, sf_dir, "benchmark").select("item_id", T.keywords(F.col("text")).alias("k"))
     sizes = k.select("item_id", F.size("k").cast("long").alias("n"))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0)))).alias("word"))
+    d = table(spark, sf_dir, "documents").select(
+        "doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0)))).alias("word")
+    )
     m = d.join(k.select("item_id", F.explode("k").alias("word")), "word").groupBy("doc_id", "item_id").agg(F.count("*").alias("matched"))
-    return m.join(sizes, "item_id").where("2 * matched >= n").select("doc_id", "item_id", "matched", F.round(10.0 * F.col("matched") / F.col("n"), 2).alias("score"))
+    return m.join(sizes, "item_id").where("2 * matched >= n").select(
+        "doc_id", "item_id", "matched", F.round(10.0 * F.col("matched") / F.col("n"), 2).alias("score")
+    )
 
 
 @query(
@@ -169,11 +200,18 @@ def term_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the assistant's turns name the terms of the user's."""
     c = table(spark, sf_dir, "conversations")
     said = F.array_sort(F.collect_list(F.when(F.col("role") == "assistant", F.struct("turn", F.lower("text").alias("t")))))
-    terms = F.array_distinct(F.flatten(F.collect_list(F.when(F.col("role") == "user", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))))))
+    terms = F.array_distinct(
+        F.flatten(F.collect_list(F.when(F.col("role") == "user", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0)))))
+    )
     t = c.groupBy("conv_id").agg(said.alias("said"), terms.alias("terms")).where((F.size("said") > 0) & (F.size("terms") > 0))
     t = t.select("conv_id", "terms", F.array_join(F.transform("said", lambda x: x["t"]), " ").alias("report"))
-    m = t.select("conv_id", F.size("terms").cast("long").alias("n"), F.size(F.filter("terms", lambda w: F.contains(F.col("report"), w))).cast("long").alias("mentioned"))
-    return m.select("*", F.round(100.0 * F.col("mentioned") / F.col("n")).cast("long").alias("score"), (10 * F.col("mentioned") < 3 * F.col("n")).alias("flagged"))
+    m = t.select(
+        "conv_id", F.size("terms").cast("long").alias("n"),
+        F.size(F.filter("terms", lambda w: F.contains(F.col("report"), w))).cast("long").alias("mentioned")
+    )
+    return m.select(
+        "*", F.round(100.0 * F.col("mentioned") / F.col("n")).cast("long").alias("score"), (10 * F.col("mentioned") < 3 * F.col("n")).alias("flagged")
+    )
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey

@@ -69,8 +69,13 @@ def linear_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def band_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signal bands by label, and over all of them."""
-    b = _scored(spark, sf_dir).select(F.when(F.col("bad"), "bad").otherwise("good").alias("label"), F.when(F.col("score") >= 400, "high").when(F.col("score") >= 230, "medium").otherwise("low").alias("signal"))
-    return b.groupingSets([["label", "signal"], ["signal"]], "label", "signal").agg(F.count("*").alias("n")).select(F.coalesce("label", F.lit("ALL")).alias("label"), "signal", "n")
+    b = _scored(spark, sf_dir).select(
+        F.when(F.col("bad"), "bad").otherwise("good").alias("label"),
+        F.when(F.col("score") >= 400, "high").when(F.col("score") >= 230, "medium").otherwise("low").alias("signal")
+    )
+    return b.groupingSets([["label", "signal"], ["signal"]], "label", "signal").agg(F.count("*").alias("n")).select(
+        F.coalesce("label", F.lit("ALL")).alias("label"), "signal", "n"
+    )
 
 
 @query(
@@ -97,8 +102,13 @@ def flag_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 def predicted_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted against true pairs, by a full outer join."""
     t = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    p = t.select(F.col("vec_id").alias("a"), F.col("label").alias("la")).join(t.select((F.col("vec_id") - 1).alias("a"), F.col("label").alias("lb")), "a")
+    p = t.select(F.col("vec_id").alias("a"), F.col("label").alias("la")).join(
+        t.select((F.col("vec_id") - 1).alias("a"), F.col("label").alias("lb")), "a"
+    )
     predicted = p.where("a % 3 = 0").select("a", F.lit(True).alias("predicted"))
     actual = p.where("la % 2 = lb % 2").select("a", F.lit(True).alias("actual"))
     q = predicted.join(actual, "a", "full_outer").na.fill(False)
-    return q.agg(F.count_if(F.col("predicted") & F.col("actual")).alias("tp"), F.count_if(F.col("predicted") & ~F.col("actual")).alias("fp"), F.count_if(~F.col("predicted") & F.col("actual")).alias("fn"))
+    return q.agg(
+        F.count_if(F.col("predicted") & F.col("actual")).alias("tp"), F.count_if(F.col("predicted") & ~F.col("actual")).alias("fp"),
+        F.count_if(~F.col("predicted") & F.col("actual")).alias("fn")
+    )

@@ -18,7 +18,9 @@ from .registry import query, table
       y % 1000) || chr(10) || text || chr(10) AS block FROM m)
     SELECT conv_id, string_agg(block, chr(10) ORDER BY n) AS srt FROM t GROUP BY conv_id""")
 def subtitles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") * 7.5).alias("a"), (F.col("turn") * 7.5 + F.length("text") / 16.0).alias("b"), "text")
+    c = table(spark, sf_dir, "conversations").select(
+        "conv_id", (F.col("turn") * 7.5).alias("a"), (F.col("turn") * 7.5 + F.length("text") / 16.0).alias("b"), "text"
+    )
     return files.srt(c, ["conv_id"], "a", "b", "text")
 
 
@@ -32,8 +34,16 @@ def criteria_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").cast("int").alias("q"))
     c = one.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), "q"))).alias("c"))
     points = lambda x: F.when(x["n"] == 2, 99).otherwise(x["q"])
-    named = F.transform("c", lambda x, i: F.concat(F.when(x["n"] % 3 == 0, F.concat(F.lit("c"), (i + 1).cast("string"))).otherwise(F.concat(F.lit("id"), x["n"].cast("string"))), F.lit(":"), points(x).cast("string")))
-    return c.select("l_orderkey", F.array_join(named, ",").alias("criteria"), F.aggregate("c", F.lit(0).cast("long"), lambda s, x: s + points(x)).alias("total"))
+    named = F.transform(
+        "c", lambda x,
+        i: F.concat(
+            F.when(x["n"] % 3 == 0, F.concat(F.lit("c"), (i + 1).cast("string"))).otherwise(F.concat(F.lit("id"), x["n"].cast("string"))), F.lit(":"),
+            points(x).cast("string")
+        )
+    )
+    return c.select(
+        "l_orderkey", F.array_join(named, ",").alias("criteria"), F.aggregate("c", F.lit(0).cast("long"), lambda s, x: s + points(x)).alias("total")
+    )
 
 
 @query("""WITH r AS (SELECT vec_id // 20 AS report, vec_id % 20 AS i, CAST(floor(CAST(embedding[1] AS DOUBLE) * 1000000) AS BIGINT) AS v
@@ -50,7 +60,10 @@ def chunk_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 20).alias("report"), (F.col("vec_id") % 20).alias("i"), v.alias("v"))
     packed = r.groupBy("report").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("v"))
     each = packed.select("report", "v", F.size("v").alias("n"), F.explode(F.array(*map(F.lit, (2, 4, 8)))).alias("max_chunks"))
-    places = F.transform(F.sequence(F.lit(0), F.least("n", "max_chunks") - 1), lambda j: F.when(F.col("n") <= F.col("max_chunks"), j).otherwise(F.floor(j * F.col("n") / F.col("max_chunks")).cast("int")))
+    places = F.transform(
+        F.sequence(F.lit(0), F.least("n", "max_chunks") - 1),
+        lambda j: F.when(F.col("n") <= F.col("max_chunks"), j).otherwise(F.floor(j * F.col("n") / F.col("max_chunks")).cast("int"))
+    )
     picked = F.transform(places, lambda i: F.get("v", i))
     gap = total(picked) * F.size("v") - total(F.col("v")) * F.size(picked)  # of whole numbers, so the quotient's floor is exact
     d = each.select("max_chunks", F.floor(F.abs(gap) / (F.size("v") * F.size(picked))).alias("delta"))
@@ -76,7 +89,9 @@ def merged_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     empty = F.create_map().cast("map<string,bigint>")
     kept = F.map_filter(F.coalesce("old", empty), lambda k, _: ~F.coalesce(F.map_contains_key("new", k), F.lit(False)))
     merged = F.array_sort(F.map_entries(F.map_concat(kept, F.coalesce("new", empty))))
-    return both.select("user_id", F.array_join(F.transform(merged, lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ",").alias("merged"))
+    return both.select(
+        "user_id", F.array_join(F.transform(merged, lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ",").alias("merged")
+    )
 
 
 @query(r"""WITH g AS (SELECT page_id, len(regexp_extract_all(html, '(TODO|FIXME)\b')) AS todo, len(list_filter(string_split(html, chr(10)),
@@ -98,6 +113,11 @@ def criterion_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A grader's entries to criteria by name; by position where all are there but one is reworded. Entries ride in one array."""
     pos = F.col("l_linenumber")
     name = F.when(pos % 4 == 0, "reworded").otherwise(F.concat(F.lit("crit"), pos.cast("string")))
-    e = table(spark, sf_dir, "lineitem").select("l_orderkey", pos.alias("pos"), name.alias("name")).distinct().groupBy("l_orderkey").agg(F.collect_set("name").alias("names"), F.count("*").alias("n"))
+    e = table(spark, sf_dir, "lineitem").select("l_orderkey", pos.alias("pos"), name.alias("name")).distinct().groupBy("l_orderkey").agg(
+        F.collect_set("name").alias("names"), F.count("*").alias("n")
+    )
     c = e.select("l_orderkey", "names", "n", F.explode(F.array(*(F.lit(f"crit{i}") for i in range(1, 8)))).alias("name"))
-    return c.select("l_orderkey", "name", F.when(F.array_contains("names", F.col("name")), "name").when(F.col("n") == 7, "position").otherwise("missing").alias("found_by"))
+    return c.select(
+        "l_orderkey", "name",
+        F.when(F.array_contains("names", F.col("name")), "name").when(F.col("n") == 7, "position").otherwise("missing").alias("found_by")
+    )

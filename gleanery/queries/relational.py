@@ -14,7 +14,10 @@ from .registry import query, table
       count(*) FILTER (WHERE o_orderpriority LIKE '5%') AS n_late FROM orders GROUP BY o_custkey""")
 def submission_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
-    return o.groupBy("o_custkey").agg(F.count("*").alias("n_total"), F.count_if(F.col("o_orderstatus") == "F").alias("n_graded"), F.count_if(F.col("o_orderpriority").startswith("5")).alias("n_late"))
+    return o.groupBy("o_custkey").agg(
+        F.count("*").alias("n_total"), F.count_if(F.col("o_orderstatus") == "F").alias("n_graded"),
+        F.count_if(F.col("o_orderpriority").startswith("5")).alias("n_late")
+    )
 
 
 @query("""SELECT c_custkey, c_name, coalesce(n, 0) AS n_orders FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)
@@ -74,14 +77,20 @@ def search_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def release_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Marks and status of work whose release date has not come yet stay hidden."""
     released = F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz")
-    return table(spark, sf_dir, "orders").select("o_orderkey", R.masked(F.col("o_totalprice"), released).alias("mark"), F.coalesce(R.masked(F.col("o_orderstatus"), released), F.lit("submitted")).alias("status"))
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", R.masked(F.col("o_totalprice"), released).alias("mark"),
+        F.coalesce(R.masked(F.col("o_orderstatus"), released), F.lit("submitted")).alias("status")
+    )
 
 
 @query("""SELECT c_custkey, lower(trim(regexp_replace(c_mktsegment || '  ' || c_name, '\\s+', ' ', 'g'))) AS name, trim(regexp_replace(lower(c_name),
       '[^a-z0-9]+', '-', 'g'), '-') AS slug,
     CASE WHEN length(c_name) > 12 THEN substr(c_name, 1, 11) || '…' ELSE c_name END AS short FROM customer""".replace("\\\\", "\\"))
 def normal_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_custkey", normal_name(F.concat("c_mktsegment", F.lit("  "), "c_name")).alias("name"), slug(F.col("c_name")).alias("slug"), clip(F.col("c_name"), 12).alias("short"))
+    return table(spark, sf_dir, "customer").select(
+        "c_custkey", normal_name(F.concat("c_mktsegment", F.lit("  "), "c_name")).alias("name"), slug(F.col("c_name")).alias("slug"),
+        clip(F.col("c_name"), 12).alias("short")
+    )
 
 
 @query("""SELECT p_partkey, p_name, CASE WHEN p_partkey > f THEN f END AS same_as
@@ -94,14 +103,18 @@ def dup_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
       ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)::INT AS nth FROM lineitem""")
 def numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    return R.numbered(rows, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"], "nth").drop("l_quantity", "l_extendedprice")
+    return R.numbered(
+        rows, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"], "nth"
+    ).drop("l_quantity", "l_extendedprice")
 
 
 @query("""SELECT event_id, coalesce(CAST(json_extract_string(props, '$.k') AS INT), 0) AS k, coalesce(json_extract_string(props, '$.mode'),
       'default') AS mode FROM events""")
 def json_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     options = F.from_json("props", "k INT, mode STRING")
-    return table(spark, sf_dir, "events").select("event_id", options.alias("o")).select("event_id", F.coalesce("o.k", F.lit(0)).alias("k"), F.coalesce("o.mode", F.lit("default")).alias("mode"))
+    return table(spark, sf_dir, "events").select("event_id", options.alias("o")).select(
+        "event_id", F.coalesce("o.k", F.lit(0)).alias("k"), F.coalesce("o.mode", F.lit("default")).alias("mode")
+    )
 
 
 @query("""WITH l AS (SELECT o_custkey, max(o_orderdate) AS last FROM orders GROUP BY 1), j AS (SELECT c_custkey, last FROM customer LEFT JOIN l
@@ -121,7 +134,10 @@ SUBMITTED_SQL = """s AS (SELECT o_orderkey, o_custkey AS student, o_orderdate AS
 def _submitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as submissions: open ones have no mark."""
     o = table(spark, sf_dir, "orders")
-    return o.select("o_orderkey", F.col("o_custkey").alias("student"), F.col("o_orderdate").alias("handed"), F.when(F.col("o_orderstatus") != "O", F.col("o_totalprice") / 600000).alias("share"))
+    return o.select(
+        "o_orderkey", F.col("o_custkey").alias("student"), F.col("o_orderdate").alias("handed"),
+        F.when(F.col("o_orderstatus") != "O", F.col("o_totalprice") / 600000).alias("share")
+    )
 
 
 @query(f"""WITH {SUBMITTED_SQL} SELECT o_orderkey, row_number() OVER (ORDER BY handed DESC, o_orderkey) AS newest, row_number() OVER (ORDER BY handed,
@@ -133,7 +149,10 @@ def submission_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     (unmarked ones last, then newest)."""
     rows = _submitted(spark, sf_dir)
     newest = F.col("handed").desc()
-    orders = {"newest": [newest], "oldest": [F.col("handed").asc()], "by_student": [F.col("student"), newest], "by_mark": [F.coalesce("share", F.lit(-1.0)).desc(), newest]}
+    orders = {
+        "newest": [newest], "oldest": [F.col("handed").asc()], "by_student": [F.col("student"), newest],
+        "by_mark": [F.coalesce("share", F.lit(-1.0)).desc(), newest]
+    }
     out = None
     for name, order in orders.items():
         one = R.placed(rows, [*order, F.col("o_orderkey")], name).select("o_orderkey", name)
@@ -192,4 +211,6 @@ def guarded_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
       FROM (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer) GROUP BY c_nationkey""")
 def collected_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment").distinct()
-    return c.groupBy("c_nationkey").agg(F.array_join(F.array_sort(F.collect_list("c_mktsegment")), ",").alias("segments"), F.count("*").alias("n_segments"))
+    return c.groupBy("c_nationkey").agg(
+        F.array_join(F.array_sort(F.collect_list("c_mktsegment")), ",").alias("segments"), F.count("*").alias("n_segments")
+    )

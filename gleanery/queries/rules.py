@@ -20,7 +20,12 @@ def _named(index: F.Column) -> F.Column:
     return F.element_at(F.array(*map(F.lit, NAMES)), (index % len(NAMES) + 1).cast("int"))
 
 
-@query(languages.mismatch_sql(f"(SELECT conv_id, turn, text || ' java, Java and c++' AS text, {NAMES_SQL}[(conv_id % {len(NAMES)} + 1)::INT] AS lang FROM conversations)", "conv_id, turn", "text", "lang"))
+@query(
+    languages.mismatch_sql(
+        f"(SELECT conv_id, turn, text || ' java, Java and c++' AS text, {NAMES_SQL}[(conv_id % {len(NAMES)} + 1)::INT] AS lang FROM conversations)",
+        "conv_id, turn", "text", "lang"
+    )
+)
 def language_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as reports on code of some language; each ends with a mention of three."""
     text = F.concat("text", F.lit(" java, Java and c++"))
@@ -42,7 +47,10 @@ def rubric_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rubric.heuristic(table(spark, sf_dir, "documents"), ["doc_id"], "text", F.col("n_chars") % 101, CRITERIA)
 
 
-CLAIMS = ["No answer was provided.", "the report was never submitted", "does not include the key idea", "did not submit a report or transcript.", "No evidence for the style criterion was provided", "good work"]
+CLAIMS = [
+    "No answer was provided.", "the report was never submitted", "does not include the key idea", "did not submit a report or transcript.",
+    "No evidence for the style criterion was provided", "good work"
+]
 
 
 @query(f"""WITH j AS (SELECT conv_id, turn, text || ' ' ||
@@ -82,7 +90,9 @@ def _cosine_sql(a: str, b: str) -> str:
 def semantic_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors in threes as a submission's parts, some of them missing; every fifth report names another language than its code."""
     part = F.element_at(F.array(*map(F.lit, K.PARTS)), (F.col("vec_id") % 3 + 1).cast("int"))
-    rows = table(spark, sf_dir, "embeddings").where("vec_id % 7 <> 3").select(F.floor(F.col("vec_id") / 3).alias("doc"), part.alias("part"), "embedding")
+    rows = table(spark, sf_dir, "embeddings").where("vec_id % 7 <> 3").select(
+        F.floor(F.col("vec_id") / 3).alias("doc"), part.alias("part"), "embedding"
+    )
     scored = K.part_scores(rows, ["doc"], "part", "embedding", 0.02)
     status, reason = languages.downgraded(F.col("status"), F.col("overall"), F.when(F.col("doc") % 5 == 0, "Java"), F.lit("Go"))
     return scored.select("doc", "code_report", "code_transcript", "report_transcript", "overall", status.alias("status"), reason.alias("reason"))
@@ -94,7 +104,9 @@ STDERR = {
     "cpp": "Segmentation fault", "php": "PHP Parse error: bad in /run/main.php on line {n}", "go": "panic: x\\n\\t/run/main.go:{n} +0x1d",
 }
 _LANGS = list(STDERR)
-_STDERR_SQL = "CASE lang " + " ".join(f"WHEN '{k}' THEN replace(replace('{v.replace(chr(39), chr(39) * 2)}', '\\n', chr(10)), '{{n}}', n)" for k, v in STDERR.items()) + " END"
+_STDERR_SQL = "CASE lang " + " ".join(
+    f"WHEN '{k}' THEN replace(replace('{v.replace(chr(39), chr(39) * 2)}', '\\n', chr(10)), '{{n}}', n)" for k, v in STDERR.items()
+) + " END"
 
 
 @query(
@@ -140,10 +152,16 @@ def stored_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers as stored, in question order, or from the files that are there where nothing was stored; and how many."""
     kind = "array<struct<question:long,file:string>>"
     stored = F.when(F.col("event_id") % 4 > 0, F.lit('[{"question":2,"file":"q2.py"},{"question":1,"file":"q1.rb"}]'))
-    files = F.transform(F.filter(F.sequence(F.lit(1).cast("long"), F.lit(3).cast("long")), lambda q: q <= F.col("event_id") % 3), lambda q: F.struct(q.alias("question"), F.concat(F.lit("q"), q.cast("string"), F.lit(".py")).alias("file")))
+    files = F.transform(
+        F.filter(F.sequence(F.lit(1).cast("long"), F.lit(3).cast("long")), lambda q: q <= F.col("event_id") % 3),
+        lambda q: F.struct(q.alias("question"), F.concat(F.lit("q"), q.cast("string"), F.lit(".py")).alias("file"))
+    )
     answers = F.array_sort(F.coalesce(F.from_json(stored, kind), files))
     rows = table(spark, sf_dir, "events").select("event_id", answers.alias("a"))
-    return rows.select("event_id", F.array_join(F.transform("a", lambda x: F.concat_ws(":", x["question"].cast("string"), x["file"])), ",").alias("answers"), F.size("a").alias("n"))
+    return rows.select(
+        "event_id", F.array_join(F.transform("a", lambda x: F.concat_ws(":", x["question"].cast("string"), x["file"])), ",").alias("answers"),
+        F.size("a").alias("n")
+    )
 
 
 @query(
@@ -163,7 +181,9 @@ def main_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = F.coalesce(*(F.when(F.col("o_orderstatus") == k, F.array(*map(F.lit, v))) for k, v in lists.items()))
     wanted = F.element_at(F.array(*map(F.lit, ("", "MAIN.py", "src/util.py", "none.c"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
     file, error = C.main_file(F.col("files"), F.col("wanted"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", files.alias("files"), wanted.alias("wanted")).select("o_orderkey", file.alias("file"), error.alias("error"))
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", files.alias("files"), wanted.alias("wanted")
+    ).select("o_orderkey", file.alias("file"), error.alias("error"))
 
 
 @query(
@@ -186,7 +206,9 @@ def run_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def utc_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Times as text, some with an offset, as UTC."""
     offset = F.element_at(F.array(*map(F.lit, ("", "+05:30", "-08:00"))), (F.col("event_id") % 3 + 1).cast("int"))
-    return table(spark, sf_dir, "events").select("event_id", C.utc(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), offset)).alias("utc_seconds"))
+    return table(spark, sf_dir, "events").select(
+        "event_id", C.utc(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), offset)).alias("utc_seconds")
+    )
 
 
 @query("""SELECT o_orderkey, o_orderstatus = 'O' AND o_orderkey % 5 > 0 AND (o_orderkey % 7 = 0
@@ -208,7 +230,9 @@ def open_registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def lockouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wrong tries: the misses of the two days before each, whether that locks, and the minutes until the oldest is forgotten."""
-    e = table(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", "user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t"))
+    e = table(spark, sf_dir, "events").where("event_type = 'error'").select(
+        "event_id", "user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t")
+    )
     seconds, most = 172800, 2
     back = Window.partitionBy("user_id").orderBy("t").rangeBetween(1 - seconds, 0)
     rows = e.select("event_id", "t", (F.count("*").over(back) - 1).alias("misses"), F.min("t").over(back).alias("oldest"))
@@ -226,7 +250,9 @@ def lockouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def fit_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A line fitted on the first half of each group, and how far marks and fitted marks lie off on the other."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("k"), (F.col("o_custkey") % 100).alias("x"), (F.col("o_totalprice") / 1000).alias("y"))
+    o = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.col("o_orderpriority").alias("k"), (F.col("o_custkey") % 100).alias("x"), (F.col("o_totalprice") / 1000).alias("y")
+    )
     return E.held_out_errors(o, "x", "y", "k", "o_orderkey")
 
 
@@ -258,8 +284,12 @@ def budget_suggestion(spark: SparkSession, sf_dir: str) -> DataFrame:
       WHEN stopped THEN 'stopped' ELSE 'running' END WHEN failed = total THEN 'failed' ELSE 'done' END AS state FROM c""")
 def job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch's counters and state from its items."""
-    outcome = F.when(F.col("o_orderpriority") == "1-URGENT", "waiting").when(F.col("o_orderpriority") == "2-HIGH", "failed").when(F.col("o_orderpriority") == "3-MEDIUM", "skipped").otherwise("evaluated")
-    items = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("job"), outcome.alias("outcome"), (F.col("o_orderstatus") == "P").alias("stop"))
+    outcome = F.when(
+        F.col("o_orderpriority") == "1-URGENT", "waiting"
+    ).when(F.col("o_orderpriority") == "2-HIGH", "failed").when(F.col("o_orderpriority") == "3-MEDIUM", "skipped").otherwise("evaluated")
+    items = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("job"), outcome.alias("outcome"), (F.col("o_orderstatus") == "P").alias("stop")
+    )
     return E.progress(items, "job", "outcome", F.col("stop"))
 
 
@@ -286,7 +316,9 @@ def calibration_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def report_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports of two sources, each with the label of its group."""
     docs = table(spark, sf_dir, "documents").select(F.lit("corpus").alias("part"), F.coalesce("source", F.lit("")).alias("grp"))
-    pages = table(spark, sf_dir, "pages").select(F.lit("pages").alias("part"), F.split_part(F.split_part("url", F.lit("//"), F.lit(2)), F.lit("/"), F.lit(1)).alias("grp"))
+    pages = table(spark, sf_dir, "pages").select(
+        F.lit("pages").alias("part"), F.split_part(F.split_part("url", F.lit("//"), F.lit(2)), F.lit("/"), F.lit(1)).alias("grp")
+    )
     return docs.unionByName(pages).groupBy("part", "grp").agg(F.count("*").alias("n"))
 
 
@@ -309,8 +341,13 @@ def recording_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's events as a video of a frame a second: mean difference, scene changes, and how still it is."""
     gap = F.abs(F.col("value") - F.lag("value").over(Window.partitionBy("user_id").orderBy("event_id"))) / 10
     f = table(spark, sf_dir, "events").select("user_id", gap.alias("d"))
-    a = f.groupBy("user_id").agg(F.count("*").alias("frames"), F.coalesce(F.avg("d"), F.lit(0.0)).alias("m"), F.count_if(F.col("d") > C.SCENE).alias("scenes"))
-    return a.select("user_id", "frames", F.round("m", 2).alias("average"), "scenes", C.recording_score(F.col("m"), F.col("frames")).alias("score"), ((F.col("scenes") == 0) & (F.col("frames") > 30)).alias("no_scene"))
+    a = f.groupBy("user_id").agg(
+        F.count("*").alias("frames"), F.coalesce(F.avg("d"), F.lit(0.0)).alias("m"), F.count_if(F.col("d") > C.SCENE).alias("scenes")
+    )
+    return a.select(
+        "user_id", "frames", F.round("m", 2).alias("average"), "scenes", C.recording_score(F.col("m"), F.col("frames")).alias("score"),
+        ((F.col("scenes") == 0) & (F.col("frames") > 30)).alias("no_scene")
+    )
 
 
 @query("""WITH s AS (SELECT s_suppkey, CASE WHEN s_nationkey % 5 > 0 THEN 'batch ' || s_nationkey END AS batch FROM supplier)

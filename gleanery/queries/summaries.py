@@ -15,7 +15,10 @@ from .registry import query, table
 def export_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The average share over evaluated rows whose maximum isn't zero; others count but don't weigh."""
     counts = (F.col("o_orderstatus") != "P") & (F.col("o_custkey") % 10 > 0)
-    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.count_if(counts).alias("evaluated"), F.round(F.avg(F.when(counts, F.floor("o_totalprice") / (F.col("o_custkey") % 10))), 3).alias("average"))
+    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(
+        F.count("*").alias("n"), F.count_if(counts).alias("evaluated"),
+        F.round(F.avg(F.when(counts, F.floor("o_totalprice") / (F.col("o_custkey") % 10))), 3).alias("average")
+    )
 
 
 @query("""WITH p AS (SELECT quality = 0 AS copy, n_chars > 2000 AS old, n_chars > 2500 AS new FROM labels JOIN documents USING (doc_id))
@@ -25,7 +28,10 @@ def rule_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What an old and a new rule catch of copies and of honest work."""
     old, new = F.col("n_chars") > 2000, F.col("n_chars") > 2500
     p = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
-    return p.groupBy((F.col("quality") == 0).alias("copy")).agg(F.count("*").alias("n"), F.count_if(old).alias("old_caught"), F.count_if(new).alias("new_caught"), F.count_if(old & ~new).alias("only_old"), F.count_if(new & ~old).alias("only_new"))
+    return p.groupBy((F.col("quality") == 0).alias("copy")).agg(
+        F.count("*").alias("n"), F.count_if(old).alias("old_caught"), F.count_if(new).alias("new_caught"), F.count_if(old & ~new).alias("only_old"),
+        F.count_if(new & ~old).alias("only_new")
+    )
 
 
 @query("""WITH b AS (SELECT o_custkey, CASE WHEN o_totalprice > 450000 THEN 2 WHEN o_totalprice > 300000 THEN 1 ELSE 0 END AS rank FROM orders)
@@ -54,9 +60,13 @@ def natural_page(spark: SparkSession, sf_dir: str) -> DataFrame:
       JOIN n USING (conv_id, name) GROUP BY 1, 2""")
 def other_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of a file (turn) that its submission's other files use too, from counts, without joining files with each other."""
-    w = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{8,}"), F.lit(0)))).alias("name"))
+    w = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{8,}"), F.lit(0)))).alias("name")
+    )
     n = w.groupBy("conv_id", "name").agg(F.count("*").alias("turns"))
-    return w.join(n, ["conv_id", "name"]).groupBy("conv_id", "turn").agg(F.count_if(F.col("turns") > 1).alias("named_elsewhere"), F.count_if(F.col("turns") == 1).alias("own"))
+    return w.join(n, ["conv_id", "name"]).groupBy("conv_id", "turn").agg(
+        F.count_if(F.col("turns") > 1).alias("named_elsewhere"), F.count_if(F.col("turns") == 1).alias("own")
+    )
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice >= 0 AND l_extendedprice <= 90000
@@ -67,14 +77,19 @@ def mark_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.col("l_extendedprice")
     known = F.array(*map(F.lit, range(1, 6)))
     unknown = F.size(F.array_except(F.array("l_linenumber"), known)) > 0
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", ((price >= 0) & (price <= 90000) & (F.abs(F.round(price, 2) - price) < 1e-9)).alias("valid"), F.when(unknown, "unknown").alias("problem"))
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+        ((price >= 0) & (price <= 90000) & (F.abs(F.round(price, 2) - price) < 1e-9)).alias("valid"), F.when(unknown, "unknown").alias("problem")
+    )
 
 
 @query("""WITH n AS (SELECT c_nationkey, list(lower(trim(c_mktsegment))) AS s FROM customer GROUP BY 1)
       SELECT c_nationkey, len(s) <> len(list_distinct(s)) AS repeated FROM n""")
 def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.collect_list(F.lower(F.trim("c_mktsegment")))
-    return table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(names.alias("s")).select("c_nationkey", (F.size("s") != F.size(F.array_distinct("s"))).alias("repeated"))
+    return table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(names.alias("s")).select(
+        "c_nationkey", (F.size("s") != F.size(F.array_distinct("s"))).alias("repeated")
+    )
 
 
 @query("""SELECT event_id, '{"kind":"' || event_type || '","value":' || CAST(value * 100 AS BIGINT) || '}' AS result FROM events""".replace("CAST(value * 100 AS BIGINT)", "CAST(round(value * 100) AS BIGINT)"))
@@ -105,7 +120,10 @@ def consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     mean = F.coalesce((F.col("ua") + F.col("us") + F.col("sa")) / 3, F.col("ua"))
     low = sum((F.coalesce((F.col(c) < 0.25).cast("int"), F.lit(0)) for c in ("ua", "us", "sa")), F.lit(0))
     reason = F.when(low == 1, "one pair differs").when(low == 2, "one part differs from two").when(low == 3, "all parts differ")
-    return p.select("conv_id", F.round(mean, 4).alias("overall"), F.when(mean.isNull(), "not_run").when(low > 0, "review").otherwise("consistent").alias("status"), reason.alias("reason"))
+    return p.select(
+        "conv_id", F.round(mean, 4).alias("overall"),
+        F.when(mean.isNull(), "not_run").when(low > 0, "review").otherwise("consistent").alias("status"), reason.alias("reason")
+    )
 
 
 @query("""WITH e AS (SELECT l_orderkey, count(*) AS n, round(coalesce(avg(CASE
@@ -115,7 +133,10 @@ def consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A submission's evidence in one row: files, their average quality (50 without any), kinds, and whether it needs review."""
     quality = F.round(F.coalesce(F.avg(F.when(F.col("l_tax") > 0.02, F.col("l_linenumber") * 10)), F.lit(50.0)), 4)
-    e = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), quality.alias("quality"), F.array_join(F.array_sort(F.collect_set("l_linestatus")), ",").alias("kinds"), F.some(F.col("l_returnflag") == "R").alias("flagged"))
+    e = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.count("*").alias("n"), quality.alias("quality"), F.array_join(F.array_sort(F.collect_set("l_linestatus")), ",").alias("kinds"),
+        F.some(F.col("l_returnflag") == "R").alias("flagged")
+    )
     return e.select("l_orderkey", "n", "quality", "kinds", (F.col("flagged") | (F.col("quality") < 20)).alias("needs_review"))
 
 

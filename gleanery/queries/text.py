@@ -69,7 +69,9 @@ def style_score_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT *, (mentions >= 2 AND images = 0) OR (images >= 3 AND mentions = 0) AS flagged FROM m"""
 )
 def figure_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = table(spark, sf_dir, "pages").select("page_id", T.figure_mentions(F.col("html")).alias("mentions"), F.regexp_count("html", F.lit(r"(?i)<img\b")).alias("images"))
+    m = table(spark, sf_dir, "pages").select(
+        "page_id", T.figure_mentions(F.col("html")).alias("mentions"), F.regexp_count("html", F.lit(r"(?i)<img\b")).alias("images")
+    )
     return m.withColumn("flagged", ((F.col("mentions") >= 2) & (F.col("images") == 0)) | ((F.col("images") >= 3) & (F.col("mentions") == 0)))
 
 
@@ -88,7 +90,9 @@ def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heading-like lines that a document repeats; short lines only, so rows stay small."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", F.trim("line").alias("line"))
+    lines = table(spark, sf_dir, "documents").select(
+        "doc_id", F.explode(F.split("text", "\n")).alias("line")
+    ).select("doc_id", F.trim("line").alias("line"))
     return lines.where(F.length("line").between(1, 80)).groupBy("doc_id", "line").agg(F.count("*").alias("times")).where("times >= 3")
 
 
@@ -101,7 +105,9 @@ def clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page-number lines go, words hyphenated across lines are rejoined, white space collapses."""
     number = r"(?i)^((page\s*)?[0-9]{1,4}(\s*(of|/)\s*[0-9]{1,4})?|[-–—]\s*[0-9]{1,4}\s*[-–—]|[ivxlcdm]{1,6})$"
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
-    kept = table(spark, sf_dir, "documents").select("doc_id", let(lines, lambda x: F.struct(F.size(x).alias("n"), F.filter(x, lambda y: ~y.rlike(number)).alias("k"))).alias("l"))
+    kept = table(spark, sf_dir, "documents").select(
+        "doc_id", let(lines, lambda x: F.struct(F.size(x).alias("n"), F.filter(x, lambda y: ~y.rlike(number)).alias("k"))).alias("l")
+    )
     joined = F.regexp_replace(F.array_join("l.k", "\n"), r"([\p{L}\p{N}_])-\n([\p{L}\p{N}_])", "$1$2")
     return kept.select("doc_id", (F.col("l.n") - F.size("l.k")).alias("n_removed"), F.regexp_replace(joined, r"\s+", " ").alias("cleaned"))
 
@@ -131,7 +137,10 @@ def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = w.select("doc_id", "n", F.explode(F.sequence(F.lit(0), last - 1)).alias("chunk_no"))
     start = F.col("chunk_no") * step
     end = F.least(F.col("n"), start + size)
-    return c.select("doc_id", "chunk_no", start.alias("first_word"), end.alias("end_word"), (end - F.when(F.col("chunk_no") == 0, 0).otherwise(start + overlap)).alias("weight"))
+    return c.select(
+        "doc_id", "chunk_no", start.alias("first_word"), end.alias("end_word"),
+        (end - F.when(F.col("chunk_no") == 0, 0).otherwise(start + overlap)).alias("weight")
+    )
 
 
 @query(
@@ -142,8 +151,13 @@ def sampled_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most eight chunks of 128 words spread evenly over each document; a tail of under half a chunk is none, unless it is all there is."""
     m = F.size(T.words(F.col("text")))
     short = F.when((F.col("m") > 128) & (F.col("m") % 128).between(1, 63), 1).otherwise(0)
-    w = table(spark, sf_dir, "documents").select("doc_id", m.alias("m")).select("doc_id", (F.ceil(F.col("m") / 128) - short).cast("int").alias("n_chunks")).where("n_chunks > 0")
-    picked = F.transform(F.sequence(F.lit(0), F.least("n_chunks", F.lit(8)) - 1), lambda i: F.when(F.col("n_chunks") <= 8, i).otherwise(F.floor(i * F.col("n_chunks") / 8).cast("int")).cast("string"))
+    w = table(spark, sf_dir, "documents").select("doc_id", m.alias("m")).select(
+        "doc_id", (F.ceil(F.col("m") / 128) - short).cast("int").alias("n_chunks")
+    ).where("n_chunks > 0")
+    picked = F.transform(
+        F.sequence(F.lit(0), F.least("n_chunks", F.lit(8)) - 1),
+        lambda i: F.when(F.col("n_chunks") <= 8, i).otherwise(F.floor(i * F.col("n_chunks") / 8).cast("int")).cast("string")
+    )
     return w.select("doc_id", "n_chunks", F.array_join(picked, ",").alias("sampled"))
 
 
@@ -192,7 +206,10 @@ def line_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) > 0)
     n = F.transform(lines, lambda x: F.regexp_count(x, F.lit(T.WORD)).cast("long"))
     p = table(spark, sf_dir, "documents").select("doc_id", n.alias("n")).where(F.size("n") > 0)
-    return p.select("doc_id", F.size("n").cast("long").alias("n_lines"), total(F.col("n")).alias("n_words"), F.array_max("n").alias("longest_line"), F.size(F.filter("n", lambda x: x == 1)).cast("long").alias("single_word_lines"))
+    return p.select(
+        "doc_id", F.size("n").cast("long").alias("n_lines"), total(F.col("n")).alias("n_words"), F.array_max("n").alias("longest_line"),
+        F.size(F.filter("n", lambda x: x == 1)).cast("long").alias("single_word_lines")
+    )
 
 
 @query(
@@ -243,5 +260,7 @@ STEM_SQL = (
 )
 def stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of the benchmark with the form in which they are matched."""
-    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0))).alias("w")).distinct()
+    words = table(spark, sf_dir, "benchmark").select(
+        F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0))).alias("w")
+    ).distinct()
     return words.where(F.length("w") > 2).select("w", T.stem(F.col("w")).alias("stem"))

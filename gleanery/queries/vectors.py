@@ -30,7 +30,9 @@ SQL_PAIRS = (
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 5).alias("owner"), (F.col("vec_id") % 3 + 1).alias("w"), "embedding", "label")
+    return table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.floor(F.col("vec_id") / 5).alias("owner"), (F.col("vec_id") % 3 + 1).alias("w"), "embedding", "label"
+    )
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,8 +96,12 @@ def vector_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", V.valid(F.col("embedding"), 64).alias("valid"))
 
 
-@query(f"WITH {SQL_CHUNKS} SELECT x.vec_id AS a, y.vec_id AS b, round(list_sum(list_transform(list_zip(x.v, y.v), lambda z: z[1] * z[2])), 6) + 0.0 AS cosine FROM u x JOIN u y ON x.owner = y.owner AND x.vec_id < y.vec_id")
+@query(
+    f"WITH {SQL_CHUNKS} SELECT x.vec_id AS a, y.vec_id AS b, round(list_sum(list_transform(list_zip(x.v, y.v), lambda z: z[1] * z[2])), 6) + 0.0 AS cosine FROM u x JOIN u y ON x.owner = y.owner AND x.vec_id < y.vec_id"
+)
 def chunk_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = _chunks(spark, sf_dir).select("owner", "vec_id", V.unit(F.col("embedding")).alias("v"))
-    left, right = u.select("owner", F.col("vec_id").alias("a"), F.col("v").alias("va")), u.select("owner", F.col("vec_id").alias("b"), F.col("v").alias("vb"))
+    left, right = u.select(
+        "owner", F.col("vec_id").alias("a"), F.col("v").alias("va")
+    ), u.select("owner", F.col("vec_id").alias("b"), F.col("v").alias("vb"))
     return left.join(right, "owner").where("a < b").select("a", "b", (F.round(V.dot(F.col("va"), F.col("vb")), DIGITS) + 0.0).alias("cosine"))

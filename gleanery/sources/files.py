@@ -46,7 +46,11 @@ def xlsx_rows(content: bytes) -> list[list[str]]:
     """The cells of a workbook's first sheet as text; whole numbers lose their point."""
     with _opened(content) as archive:
         names = archive.namelist()
-        shared = [] if "xl/sharedStrings.xml" not in names else ["".join(t.text or "" for t in si.iter(f"{SHEET}t")) for si in ElementTree.fromstring(archive.read("xl/sharedStrings.xml")).iter(f"{SHEET}si")]  # noqa: S314
+        shared = [] if "xl/sharedStrings.xml" not in names else [
+            "".join(
+                t.text or "" for t in si.iter(f"{SHEET}t")
+            ) for si in ElementTree.fromstring(archive.read("xl/sharedStrings.xml")).iter(f"{SHEET}si")
+        ]  # noqa: S314
         sheet = ElementTree.fromstring(archive.read(min(n for n in names if n.startswith("xl/worksheets/sheet"))))  # noqa: S314
     rows = []
     for row in sheet.iter(f"{SHEET}row"):
@@ -107,7 +111,9 @@ def extracted(files: DataFrame, path: str = "path", content: str = "content") ->
                 rows.append((p, status, text, len((text or "").split()), error))
             yield pd.DataFrame(rows, columns=["path", "status", "text", "words", "error"])
 
-    return files.select(F.col(path).alias("p"), F.col(content).alias("c")).mapInPandas(run, "path string, status string, text string, words int, error string")
+    return files.select(F.col(path).alias("p"), F.col(content).alias("c")).mapInPandas(
+        run, "path string, status string, text string, words int, error string"
+    )
 
 
 def srt(segments: DataFrame, keys: list[str], start: str, end: str, text: str) -> DataFrame:
@@ -117,15 +123,21 @@ def srt(segments: DataFrame, keys: list[str], start: str, end: str, text: str) -
         ms = F.round(c * 1000).cast("long")
         return F.format_string("%02d:%02d:%02d,%03d", F.floor(ms / 3_600_000), F.floor(ms / 60_000) % 60, F.floor(ms / 1000) % 60, ms % 1000)
 
-    rows = F.array_sort(F.collect_list(F.struct(F.col(start).alias("s"), clock(F.col(start)).alias("a"), clock(F.col(end)).alias("b"), F.col(text).alias("t"))))
-    blocks = F.transform(F.col("r"), lambda x, i: F.concat((i + 1).cast("string"), F.lit("\n"), x["a"], F.lit(" --> "), x["b"], F.lit("\n"), x["t"], F.lit("\n")))
+    rows = F.array_sort(
+        F.collect_list(F.struct(F.col(start).alias("s"), clock(F.col(start)).alias("a"), clock(F.col(end)).alias("b"), F.col(text).alias("t")))
+    )
+    blocks = F.transform(
+        F.col("r"), lambda x, i: F.concat((i + 1).cast("string"), F.lit("\n"), x["a"], F.lit(" --> "), x["b"], F.lit("\n"), x["t"], F.lit("\n"))
+    )
     return segments.groupBy(*keys).agg(rows.alias("r")).select(*keys, F.array_join(blocks, "\n").alias("srt"))
 
 
 def html_report(pairs: DataFrame, most: int = 200, note: str = "") -> str:
     """A page with the first pairs by the greater of both measures: only these come to the driver."""
     top = pairs.orderBy(F.greatest("jaccard", "containment").desc(), "a", "b").limit(most).collect()
-    cells = "".join(f"<tr class='{'flag' if r.flagged else ''}'><td>{escape(str(r.a))}</td><td>{escape(str(r.b))}</td><td>{r.jaccard:.0%}</td><td>{r.containment:.0%}</td></tr>" for r in top)
+    cells = "".join(
+        f"<tr class='{'flag' if r.flagged else ''}'><td>{escape(str(r.a))}</td><td>{escape(str(r.b))}</td><td>{r.jaccard:.0%}</td><td>{r.containment:.0%}</td></tr>" for r in top
+    )
     return f"<!doctype html><meta charset='utf-8'><title>Pairs</title><p>{escape(note)}</p><table><tr><th>A</th><th>B</th><th>Jaccard</th><th>Containment</th></tr>{cells}</table>"
 
 

@@ -32,29 +32,49 @@ def code_folder(spark: SparkSession, path: str, extensions: tuple[str, ...] = CO
     """(submission, file, extension, source): every code file below path, one folder for each submission; notebooks as their code."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
     inside = F.regexp_replace("path", r"^.*?" + path.rstrip("/").removeprefix("file://").replace(".", r"\.") + "/", "")
-    named = files.select(F.split_part(inside, F.lit("/"), F.lit(1)).alias("submission"), F.regexp_replace(inside, "^[^/]*/", "").alias("file"), extension(F.col("path")).alias("extension"), F.decode("content", "UTF-8").alias("text"))
+    named = files.select(
+        F.split_part(inside, F.lit("/"), F.lit(1)).alias("submission"), F.regexp_replace(inside, "^[^/]*/", "").alias("file"),
+        extension(F.col("path")).alias("extension"), F.decode("content", "UTF-8").alias("text")
+    )
     wanted = named.where(F.col("extension").isin(*extensions))
-    return wanted.select("submission", "file", "extension", F.when(F.col("extension") == "ipynb", notebook_code(F.col("text"))).otherwise(F.col("text")).alias("source"))
+    return wanted.select(
+        "submission", "file", "extension",
+        F.when(F.col("extension") == "ipynb", notebook_code(F.col("text"))).otherwise(F.col("text")).alias("source")
+    )
 
 
 def _cells(text: Column) -> Column:
     """(kind, text) of a notebook's cells, format 4 or 3; a source given as a list of lines is joined."""
     book = F.from_json(text, NOTEBOOK)
-    older = F.flatten(F.transform(F.coalesce(book["worksheets"], F.array()), lambda s: F.transform(s["cells"], lambda c: F.struct(c["cell_type"].alias("cell_type"), F.coalesce(c["source"], c["input"]).alias("source")))))
+    older = F.flatten(
+        F.transform(
+            F.coalesce(book["worksheets"], F.array()),
+            lambda s: F.transform(
+                s["cells"], lambda c: F.struct(c["cell_type"].alias("cell_type"), F.coalesce(c["source"], c["input"]).alias("source"))
+            )
+        )
+    )
     cells = F.coalesce(book["cells"], older)
     lines = lambda s: F.coalesce(F.array_join(F.from_json(s, "array<string>"), ""), s)
-    return F.transform(cells, lambda c: F.struct(c["cell_type"].alias("kind"), F.when(c["source"].startswith("["), lines(c["source"])).otherwise(c["source"]).alias("text")))
+    return F.transform(
+        cells,
+        lambda c: F.struct(c["cell_type"].alias("kind"), F.when(c["source"].startswith("["), lines(c["source"])).otherwise(c["source"]).alias("text"))
+    )
 
 
 def notebook_code(text: Column) -> Column:
     """The code cells of a notebook, a blank line between; shell lines and magics are blanked, cells of another language left out."""
     code = F.filter(_cells(text), lambda c: (c["kind"] == "code") & ~(c["text"].rlike(r"^\s*%%") & ~c["text"].rlike(r"^\s*%%(time|timeit|capture)")))
-    plain = F.transform(code, lambda c: F.regexp_replace(F.regexp_replace(c["text"], r"^\s*%%(time|timeit|capture)[^\n]*\n?", ""), r"(?m)^[ \t]*[%!][^\n]*", ""))
+    plain = F.transform(
+        code, lambda c: F.regexp_replace(F.regexp_replace(c["text"], r"^\s*%%(time|timeit|capture)[^\n]*\n?", ""), r"(?m)^[ \t]*[%!][^\n]*", "")
+    )
     return F.coalesce(F.array_join(F.filter(plain, lambda s: s.rlike(r"\S")), "\n\n"), F.lit(""))
 
 
 def notebook_markdown(text: Column) -> Column:
-    return F.coalesce(F.trim(F.array_join(F.transform(F.filter(_cells(text), lambda c: c["kind"] == "markdown"), lambda c: c["text"]), "\n\n")), F.lit(""))
+    return F.coalesce(
+        F.trim(F.array_join(F.transform(F.filter(_cells(text), lambda c: c["kind"] == "markdown"), lambda c: c["text"]), "\n\n")), F.lit("")
+    )
 
 
 #: Bounds of a class list: bytes, rows and columns. It is one person's file; more is a mistake.

@@ -34,16 +34,22 @@ def deduplicated(events: DataFrame, keys: list[str], ts: str = "ts", late: str =
 
 def tumbling(events: DataFrame, keys: list[str], width: str, ts: str = "ts", late: str = "1 hour") -> DataFrame:
     """(start, keys, n) of each window."""
-    return events.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), *keys, "n")
+    return events.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), *keys).agg(F.count("*").alias("n")).select(
+        F.col("w.start").alias("start"), *keys, "n"
+    )
 
 
 def sliding(events: DataFrame, keys: list[str], width: str, step: str, ts: str = "ts", late: str = "1 hour") -> DataFrame:
-    return events.withWatermark(ts, late).groupBy(F.window(ts, width, step).alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), *keys, "n")
+    return events.withWatermark(ts, late).groupBy(
+        F.window(ts, width, step).alias("w"), *keys
+    ).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), *keys, "n")
 
 
 def sessions(events: DataFrame, keys: list[str], gap: str, ts: str = "ts", late: str = "1 hour") -> DataFrame:
     """(start, end, keys, n) of each run of events no further apart than gap."""
-    return events.withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "n")
+    return events.withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("w"), *keys).agg(F.count("*").alias("n")).select(
+        F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "n"
+    )
 
 
 def in_order(batches: Iterator, columns: list[str], size: int = RUN) -> Iterator[tuple[int, ...]]:
@@ -57,7 +63,9 @@ def in_order(batches: Iterator, columns: list[str], size: int = RUN) -> Iterator
 
     def read(path: str, n: int) -> Iterator[tuple[int, ...]]:
         for at in range(0, n, GIVEN):  # a read of its own each time: no run keeps a file open
-            yield from map(tuple, np.fromfile(path, np.int64, min(GIVEN, n - at) * len(columns), offset=at * 8 * len(columns)).reshape(-1, len(columns)).tolist())
+            yield from map(
+                tuple, np.fromfile(path, np.int64, min(GIVEN, n - at) * len(columns), offset=at * 8 * len(columns)).reshape(-1, len(columns)).tolist()
+            )
 
     with tempfile.TemporaryDirectory() as folder:
         runs, parts, held = [], [], 0
@@ -99,8 +107,12 @@ def rate_limited(events: DataFrame, key: str, most: int, seconds: int, event_id:
         if times:
             state.setTimeoutTimestamp(max((times[-1] + seconds) * 1000, state.getCurrentWatermarkMs() + 1))
 
-    marked = events.withWatermark(ts, late).select(key, F.coalesce(F.col(event_id), F.lit(NO_ID)).alias(event_id), ts, F.unix_timestamp(ts).alias("t"))
-    decided = marked.groupBy(key).applyInPandasWithState(decide, f"{event_id} long, {key} long, allowed boolean", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    marked = events.withWatermark(ts, late).select(
+        key, F.coalesce(F.col(event_id), F.lit(NO_ID)).alias(event_id), ts, F.unix_timestamp(ts).alias("t")
+    )
+    decided = marked.groupBy(key).applyInPandasWithState(
+        decide, f"{event_id} long, {key} long, allowed boolean", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout
+    )
     return decided.withColumn(event_id, F.nullif(F.col(event_id), F.lit(NO_ID)))
 
 

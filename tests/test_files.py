@@ -14,7 +14,11 @@ def zipped(entries: dict[str, str]) -> bytes:
     return out.getvalue()
 
 
-DOCX = zipped({"word/document.xml": '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:p><w:t>One </w:t><w:t>two</w:t></w:p><w:p><w:t>three</w:t></w:p></w:document>'})
+DOCX = zipped(
+    {
+        "word/document.xml": '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:p><w:t>One </w:t><w:t>two</w:t></w:p><w:p><w:t>three</w:t></w:p></w:document>'
+    }
+)
 XLSX = zipped(
     {
         "xl/sharedStrings.xml": '<sst xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><si><t>Name</t></si><si><t>Ann</t></si></sst>',
@@ -28,11 +32,18 @@ def test_workbook():
 
 
 def test_kinds_and_archives(spark):
-    rows = [("a.zip", zipped({"x.py": "1", "../out.py": "2", "/abs": "3", "d/y.py": "4"})), ("b.zip", b"PK\x03\x04broken"), ("c.pdf", b"junk %PDF-1.4"), ("d", b"")]
+    rows = [
+        ("a.zip", zipped({"x.py": "1", "../out.py": "2", "/abs": "3", "d/y.py": "4"})), ("b.zip", b"PK\x03\x04broken"), ("c.pdf", b"junk %PDF-1.4"),
+        ("d", b"")
+    ]
     df = spark.createDataFrame(rows, "path string, content binary")
-    assert {r.path: r.k for r in df.select("path", files.kind(df.content).alias("k")).collect()} == {"a.zip": "zip", "b.zip": "zip", "c.pdf": "pdf", "d": None}
+    assert {
+        r.path: r.k for r in df.select("path", files.kind(df.content).alias("k")).collect()
+    } == {"a.zip": "zip", "b.zip": "zip", "c.pdf": "pdf", "d": None}
     got = files.unpacked(df.where("path LIKE '%.zip'")).collect()
-    assert sorted((r.path, r.name or "", bytes(r.data or b"")) for r in got) == [("a.zip", "d/y.py", b"4"), ("a.zip", "x.py", b"1"), ("b.zip", "", b"")]
+    assert sorted((r.path, r.name or "", bytes(r.data or b"")) for r in got) == [
+        ("a.zip", "d/y.py", b"4"), ("a.zip", "x.py", b"1"), ("b.zip", "", b"")
+    ]
     assert [r.error for r in got if r.path == "b.zip"] == ["not a zip file"]
 
 
@@ -43,7 +54,9 @@ def test_extraction(spark):
 
 
 def test_reports(spark, tmp_path):
-    pairs = spark.createDataFrame([(1, 2, 0.5, 0.9, True), (1, 3, 0.1, 0.2, False)], "a long, b long, jaccard double, containment double, flagged boolean")
+    pairs = spark.createDataFrame(
+        [(1, 2, 0.5, 0.9, True), (1, 3, 0.1, 0.2, False)], "a long, b long, jaccard double, containment double, flagged boolean"
+    )
     page = files.html_report(pairs, note="<b>")
     assert page.index("90%") < page.index("20%") and "&lt;b&gt;" in page
     files.json_report(pairs, pairs, str(tmp_path))

@@ -26,7 +26,9 @@ def test_winnow_is_the_set_of_window_minima(spark):
 
         grams = [hashlib.md5("\x1f".join(tokens[i : i + 5]).encode()).hexdigest()[:16] for i in range(len(tokens) - 4)]  # noqa: S324
         want = {min(grams[i : i + 4]) for i in range(len(grams) - 3)}
-        row = spark.createDataFrame([(tokens,)], "t array<string>").select(T.winnow(T.gram_hashes(F.col("t"), 5), 4, short=False).alias("w"), T.winnow(T.gram_hashes(F.col("t"), 5), 4).alias("s")).first()
+        row = spark.createDataFrame([(tokens,)], "t array<string>").select(
+            T.winnow(T.gram_hashes(F.col("t"), 5), 4, short=False).alias("w"), T.winnow(T.gram_hashes(F.col("t"), 5), 4).alias("s")
+        ).first()
         assert set(row.w) == want
         assert set(row.s) == (want or ({min(grams)} if grams else set()))
 
@@ -93,7 +95,9 @@ def test_marks(spark):
 def test_vectors(spark):
     rows = [(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [1.0]), (5, None), (6, [float("inf"), 1.0])]
     df = spark.createDataFrame(rows, "id long, v array<double>")
-    assert {r.id: r.ok for r in df.select("id", V.valid(F.col("v"), 2).alias("ok")).collect()} == {1: True, 2: False, 3: False, 4: False, 5: False, 6: False}
+    assert {
+        r.id: r.ok for r in df.select("id", V.valid(F.col("v"), 2).alias("ok")).collect()
+    } == {1: True, 2: False, 3: False, 4: False, 5: False, 6: False}
     assert df.where("id = 1").select(V.unit(F.col("v")).alias("u")).first().u == [0.6, 0.8]
 
 
@@ -114,7 +118,9 @@ def test_code_tokens(spark):
     source = 'def f(a, b):  # note\n    return a + 3.5 - len("x#y")\n'
     row = spark.createDataFrame([(source,)], "s string").select(code.generic_tokens(F.col("s")).alias("t")).first()
     assert row.t == ["def", "ID", "(", "ID", ",", "ID", ")", ":", "return", "ID", "+", "NUM", "-", "ID", "(", "STR", ")"]
-    assert [t for t, _ in code.python_tokens(source)] == ["def", "ID", "(", "ID", ",", "ID", ")", ":", "return", "ID", "+", "NUM", "-", "ID", "(", "STR", ")"]
+    assert [t for t, _ in code.python_tokens(source)] == [
+        "def", "ID", "(", "ID", ",", "ID", ")", ":", "return", "ID", "+", "NUM", "-", "ID", "(", "STR", ")"
+    ]
     assert code.python_tokens("(") is None
 
 
@@ -142,7 +148,10 @@ def test_template_removal(spark):
 
 
 def test_language_mismatch(spark):
-    rows = [(1, "written in Java, and Java again", "python"), (2, "Python and Java, Java", "python"), (3, "JavaScript once", "c"), (4, "the C++ language c++", "c"), (5, None, "c")]
+    rows = [
+        (1, "written in Java, and Java again", "python"), (2, "Python and Java, Java", "python"), (3, "JavaScript once", "c"),
+        (4, "the C++ language c++", "c"), (5, None, "c")
+    ]
     got = {r.id: r.flagged for r in languages.mismatch(spark.createDataFrame(rows, "id long, t string, lang string"), ["id"], "t", "lang").collect()}
     assert got == {1: True, 2: False, 3: False, 4: False, 5: False}
 
@@ -168,12 +177,18 @@ def test_manipulation(spark):
         return (len({s for s, _, _ in found}), reason, start, ("…" if a else "") + piece + ("…" if b < len(text) else ""))
 
     rows = list(enumerate(texts))
-    got = {r.id: (r.n_places, r.reason, r.start, r.snippet) for r in manipulation.hits(spark.createDataFrame(rows, "id long, t string"), ["id"], "t").collect()}
+    got = {
+        r.id: (r.n_places, r.reason, r.start, r.snippet) for r in manipulation.hits(
+            spark.createDataFrame(rows, "id long, t string"), ["id"], "t"
+        ).collect()
+    }
     assert got == {i: plain(t) for i, t in rows} and got[0][0] == 2
     con = duckdb.connect()
     con.execute("CREATE TABLE d (id BIGINT, t VARCHAR)")
     con.executemany("INSERT INTO d VALUES (?, ?)", rows)
-    assert {r[0]: r[1:] for r in con.execute("SELECT id, n_places, reason, start, snippet FROM (" + manipulation.sql("d", "id", "t") + ")").fetchall()} == got
+    assert {
+        r[0]: r[1:] for r in con.execute("SELECT id, n_places, reason, start, snippet FROM (" + manipulation.sql("d", "id", "t") + ")").fetchall()
+    } == got
 
 
 def test_class_scores_are_best_match(spark):
@@ -181,7 +196,9 @@ def test_class_scores_are_best_match(spark):
     import random
 
     rng = random.Random(2)
-    rows = [(o, o % 2, [rng.gauss(0, 1) for _ in range(4)], rng.randint(1, 3)) for o in range(15) for _ in range(rng.randint(1, 4))] + [(20, 0, [0.0] * 4, 1)]
+    rows = [
+        (o, o % 2, [rng.gauss(0, 1) for _ in range(4)], rng.randint(1, 3)) for o in range(15) for _ in range(rng.randint(1, 4))
+    ] + [(20, 0, [0.0] * 4, 1)]
     c = spark.createDataFrame(rows, "o long, k long, v array<double>, w int")
     ids = [o for o in range(15)]
     pairs = spark.createDataFrame([(a, b) for a in ids for b in ids if a < b and a % 2 == b % 2], "a long, b long")
@@ -208,7 +225,11 @@ def test_near_pairs_are_all_over_the_lines(spark):
     sets = [{f"h{int(rng.random() ** 3 * 60)}" for _ in range(rng.randint(1, 25))} for _ in range(60)]
     own = spark.createDataFrame([("c", i, 1, h) for i, s in enumerate(sets) for h in s], "cohort string, rep long, copies long, h string")
     for jaccard, containment in ((0.3, 0.4), (0.6, 0.75), (0.3, 0.95)):
-        got = {(r.a, r.b): (r.shared, r.jaccard, r.containment) for r in fingerprints.near_pairs(fingerprints.ranked(own), jaccard, containment).collect()}
+        got = {
+            (r.a, r.b): (r.shared, r.jaccard, r.containment) for r in fingerprints.near_pairs(
+                fingerprints.ranked(own), jaccard, containment
+            ).collect()
+        }
         want = {}
         for a in range(60):
             for b in range(a + 1, 60):
@@ -236,7 +257,12 @@ def test_relational(spark):
 
 
 def test_folder_and_notebook(spark, tmp_path):
-    book = {"cells": [{"cell_type": "code", "source": ["%time\n", "x = 1\n", "!ls"]}, {"cell_type": "markdown", "source": "Why"}, {"cell_type": "code", "source": "%%bash\nrm x"}, {"cell_type": "code", "source": "%%time\ny = 2"}]}
+    book = {
+        "cells": [
+            {"cell_type": "code", "source": ["%time\n", "x = 1\n", "!ls"]}, {"cell_type": "markdown", "source": "Why"},
+            {"cell_type": "code", "source": "%%bash\nrm x"}, {"cell_type": "code", "source": "%%time\ny = 2"}
+        ]
+    }
     for name, text in {"ann/a.py": "x = 1", "ann/sub/b.ipynb": json.dumps(book), "bob/c.txt": "no", "bob/d.JAVA": "class D {}"}.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text(text)
@@ -247,7 +273,9 @@ def test_folder_and_notebook(spark, tmp_path):
 
 
 def test_class_list(spark, tmp_path):
-    (tmp_path / "c.csv").write_text("Full Name;E-mail Address;Reg. No\nAnn;ann@x.org;1\n;;\nBob;ANN@x.org;2\nCy;bad;3\n".replace("E-mail Address", "Email Address"))
+    (tmp_path / "c.csv").write_text(
+        "Full Name;E-mail Address;Reg. No\nAnn;ann@x.org;1\n;;\nBob;ANN@x.org;2\nCy;bad;3\n".replace("E-mail Address", "Email Address")
+    )
     rows = tables.list_problems(tables.class_list(spark, str(tmp_path / "c.csv"))).collect()
     assert {r.full_name: r.problems for r in rows} == {"Ann": [], "Bob": ["Same email as row 2."], "Cy": ["Email is not valid."]}
     (tmp_path / "d.csv").write_text("Foo,Bar\n1,2\n")
@@ -274,7 +302,10 @@ def test_manifest_and_sinks(spark, tmp_path):
 def test_greedy_passages_fill_the_budget(spark):
     from gleanery.operators import pages
 
-    docs = spark.createDataFrame([(1, "no term\nat all"), (2, "\n".join(["aaaa " * 4, "bbbb " * 4, "Rare word", "x" * 99])), (2, "short"), (None, None)], "doc_id long, text string")
+    docs = spark.createDataFrame(
+        [(1, "no term\nat all"), (2, "\n".join(["aaaa " * 4, "bbbb " * 4, "Rare word", "x" * 99])), (2, "short"), (None, None)],
+        "doc_id long, text string"
+    )
     terms = spark.createDataFrame([("rare",), ("bbbb",), ("bbb",), ("rare",)], "w string")
     got = sorted((str(r.doc_id), r.n_passages, r.chosen, r.n_chars) for r in pages.greedy_passages(docs, "doc_id", "text", terms, 60).collect())
     assert got == [("1", 2, "0,1", 13), ("2", 1, "0", 5), ("2", 4, "0,1,2", 49), ("None", 0, "", 0)]
@@ -290,7 +321,9 @@ def test_pruned_cache(spark):
 def test_rate_limit_equals_plain_python(spark, sf):
     got = {r.event_id: r.allowed for r in QUERIES["stream_rate_limit"](spark, sf).collect()}
     state, want = {}, {}
-    rows = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t")).collect()
+    rows = spark.read.parquet(f"{sf}/events.parquet").select(
+        "event_id", "user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t")
+    ).collect()
     for r in sorted(rows, key=lambda r: (r.t, r.event_id)):
         times = [x for x in state.get(r.user_id, []) if r.t - x < 86400]
         want[r.event_id] = len(times) < 3
@@ -310,7 +343,9 @@ def test_rate_limit_holds_one_run_of_a_key():
 def test_stream_rows_are_written_not_gathered(spark, tmp_path):
     src, schema = str(tmp_path / "in"), "event_id long, ts timestamp"
     for part in range(2):
-        spark.createDataFrame([(i, dt.datetime(2024, 1, 1, i % 5)) for i in range(part * 10, part * 10 + 10)], schema).coalesce(1).write.mode("append").parquet(src)
+        spark.createDataFrame(
+            [(i, dt.datetime(2024, 1, 1, i % 5)) for i in range(part * 10, part * 10 + 10)], schema
+        ).coalesce(1).write.mode("append").parquet(src)
         stream = spark.readStream.schema(schema).parquet(src)
         plain = S.finished(stream, "plain_rows", str(tmp_path / "cp1"))
         counts = S.finished(S.tumbling(stream, [], "1 hour"), "counted", str(tmp_path / "cp2"), "complete")

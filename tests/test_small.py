@@ -21,7 +21,9 @@ def test_settings(spark):
 
 def test_seeded(spark, tmp_path):
     (tmp_path / "seed.json").write_text(json.dumps({"users": [{"id": 1, "name": "a"}, {"id": 2, "name": None}], "other": 3}))
-    assert sorted(map(tuple, settings.seeded(spark, str(tmp_path / "seed.json"), "id: long, name: string", "users").collect())) == [(1, "a"), (2, None)]
+    assert sorted(
+        map(tuple, settings.seeded(spark, str(tmp_path / "seed.json"), "id: long, name: string", "users").collect())
+    ) == [(1, "a"), (2, None)]
 
 
 def test_class_list_encodings_and_bounds(spark, tmp_path):
@@ -61,7 +63,9 @@ def test_file_quality(spark):
 def test_stems(spark):
     words = ["tests", "tested", "testing", "test", "codes", "bus", "sing", "larger", "these"]
     got = {r.w: r.s for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", T.stem(F.col("w")).alias("s")).collect()}
-    assert {got[w] for w in ("tests", "tested", "testing", "test")} == {"test"} and got["bus"] == "bus" and got["sing"] == "sing" and got["codes"] == "code"
+    assert {
+        got[w] for w in ("tests", "tested", "testing", "test")
+    } == {"test"} and got["bus"] == "bus" and got["sing"] == "sing" and got["codes"] == "code"
 
 
 def test_markdown(spark):
