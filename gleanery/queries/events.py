@@ -84,11 +84,11 @@ def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT count(DISTINCT (user_id, event_type)) AS n FROM events")
+@query("SELECT user_id, event_type, 1::BIGINT AS n FROM events GROUP BY ALL")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct (user, type) of a stream whose state covers it whole: the first of each passes."""
+    """Every (user, type) of a stream whose state covers it whole, with how many of its rows have passed: the first alone."""
     first = _run(S.deduplicated(_stream(spark, sf_dir), ["user_id", "event_type"], late="365 days"), "append")
-    return first.agg(F.count("*").alias("n"))
+    return first.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
 @query(

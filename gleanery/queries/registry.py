@@ -32,4 +32,5 @@ TEXTS = ("documents", "pages")
 def spread(df: DataFrame) -> DataFrame:
     """A table that is one small file would be one task: its rows are dealt out to all cores. Tables of more files stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) == 1 and df.rdd.getNumPartitions() < cores else df
+    few = df.rdd.getNumPartitions() < min(cores, 8)  # only then are its files listed
+    return df.repartition(cores) if few and len(df.inputFiles()) == 1 else df

@@ -90,30 +90,63 @@ def unpacked(files: DataFrame, path: str = "path", content: str = "content") ->
     return files.select(F.col(path).alias("p"), F.col(content).alias("c")).mapInPandas(run, "path string, name string, data binary, error string")
 
 
-def extracted(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """(path, status, text, words, error): plain text and Word files to text; others are unsupported, unreadable ones failed."""
+#: Bytes beyond which a report isn't read.
+REPORT_BYTES = 50 << 20
+
+
+def images(content: bytes) -> int:
+    """Pictures in a Word file."""
+    with _opened(content) as archive:
+        return sum(i.filename.startswith("word/media/") and not i.is_dir() for i in archive.infolist())
+
+
+def extracted(files: DataFrame, path: str = "path", content: str = "content", most: int = REPORT_BYTES) -> DataFrame:
+    """(path, status, text, chars, words, units, images, error): plain text and Word files to text, with their paragraphs and pictures counted;
+    others and files over ``most`` bytes are unsupported, unreadable ones failed."""
     import pandas as pd
 
+    names = ["path", "status", "text", "chars", "words", "units", "images", "error"]
+
+    def one(p: str, raw: bytes) -> tuple:
+        text, error, status, pictures = None, None, "unsupported", 0
+        try:
+            if len(raw) > most:
+                error = f"more than {most} bytes"
+            elif p.lower().endswith(".docx"):
+                text, pictures = docx_text(raw), images(raw)
+            elif p.lower().endswith((".txt", ".md")):
+                text = raw.decode("utf-8", "replace")
+            if text is not None:
+                status = "ok" if text.strip() else "empty"
+        except (ValueError, KeyError, OSError, RuntimeError, zipfile.BadZipFile, ElementTree.ParseError) as e:
+            status, error = "failed", str(e)
+        said = text or ""
+        return p, status, text, len(said), len(said.split()), sum(bool(x.strip()) for x in said.split("\n")), pictures, error
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
+            yield pd.DataFrame([one(p, bytes(c or b"")) for p, c in zip(batch["p"], batch["c"], strict=True)], columns=names)
+
+    schema = "path string, status string, text string, chars int, words int, units int, images int, error string"
+    return files.select(F.col(path).alias("p"), F.col(content).alias("c")).mapInPandas(run, schema)
+
+
+def workbook_rows(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """(path, row, cells, error): the rows of each workbook's first sheet, from 1; one row with the error of a workbook that can't be read."""
+    import pandas as pd
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out: list[tuple] = []
             for p, c in zip(batch["p"], batch["c"], strict=True):
-                text, error, status = None, None, "unsupported"
                 try:
-                    if p.lower().endswith(".docx"):
-                        text = docx_text(bytes(c))
-                    elif p.lower().endswith((".txt", ".md")):
-                        text = bytes(c).decode("utf-8", "replace")
-                    if text is not None:
-                        status = "ok" if text.strip() else "empty"
-                except (ValueError, KeyError, ElementTree.ParseError) as e:
-                    status, error = "failed", str(e)
-                rows.append((p, status, text, len((text or "").split()), error))
-            yield pd.DataFrame(rows, columns=["path", "status", "text", "words", "error"])
-
-    return files.select(F.col(path).alias("p"), F.col(content).alias("c")).mapInPandas(
-        run, "path string, status string, text string, words int, error string"
-    )
+                    out += [(p, i, cells, None) for i, cells in enumerate(xlsx_rows(bytes(c)), 1)]
+                except (ValueError, KeyError, OSError, RuntimeError, zipfile.BadZipFile, ElementTree.ParseError) as e:
+                    out.append((p, 0, [], str(e)))
+            yield pd.DataFrame(out, columns=["path", "row", "cells", "error"])
+
+    rows = files.select(F.col(path).alias("p"), F.col(content).alias("c"))
+    return rows.mapInPandas(run, "path string, row int, cells array<string>, error string")
 
 
 def srt(segments: DataFrame, keys: list[str], start: str, end: str, text: str) -> DataFrame:

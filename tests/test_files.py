@@ -61,3 +61,18 @@ def test_reports(spark, tmp_path):
     assert page.index("90%") < page.index("20%") and "&lt;b&gt;" in page
     files.json_report(pairs, pairs, str(tmp_path))
     assert spark.read.json(f"{tmp_path}/pairs").count() == 2
+
+
+def test_workbooks_and_counts(spark):
+    pictured = io.BytesIO(DOCX)
+    with zipfile.ZipFile(pictured, "a") as z:
+        z.writestr("word/media/image1.png", b"x")
+    rows = [("a.docx", pictured.getvalue()), ("b.docx", DOCX[:50]), ("c.txt", b"one\n\ntwo"), ("d.txt", b"x" * 101)]
+    got = {r.path: r for r in files.extracted(spark.createDataFrame(rows, "path string, content binary"), most=5000).collect()}
+    assert (got["a.docx"].images, got["a.docx"].status) == (1, "ok") and got["b.docx"].status == "failed"
+    assert (got["c.txt"].units, got["c.txt"].words, got["c.txt"].chars) == (2, 2, 8)
+    small = files.extracted(spark.createDataFrame(rows[3:], "path string, content binary"), most=100).first()
+    assert (small.status, small.error, small.text) == ("unsupported", "more than 100 bytes", None)
+    books = files.workbook_rows(spark.createDataFrame([("x.xlsx", XLSX), ("y.xlsx", b"no")], "path string, content binary")).collect()
+    assert [(r.row, list(r.cells)) for r in books if r.path == "x.xlsx"] == [(1, ["Name", "", "No"]), (2, ["Ann", "", "7"])]
+    assert [r.row for r in books if r.path == "y.xlsx"] == [0]
