@@ -101,6 +101,21 @@ def ranked(own_prints: DataFrame) -> DataFrame:
     return packed.select("cohort", "rep", "copies", F.size("s").cast("long").alias("n"), F.transform("s", lambda x: x["h"]).alias("hs"))
 
 
+def ranked_prints(prints: DataFrame) -> DataFrame:
+    """``ranked`` of what ``own`` leaves of prints, in one go: a fingerprint's classes and submissions are counted once, and the count tells
+    both whether most share it and where it stands."""
+    grouped = classes(prints)
+    exploded = grouped.select("cohort", "rep", "copies", F.explode("fps").alias("h"))
+    sizes = grouped.groupBy("cohort").agg(F.sum("copies").alias("m"))
+    counted = exploded.groupBy("cohort", "h").agg(F.sum("copies").alias("c"), F.count("*").alias("often")).join(sizes, "cohort")
+    most = (F.col("c") > COMMON_SHARE * F.col("m")) & (F.col("c") >= COMMON_LEAST) & (F.col("m") >= COMMON_LEAST)
+    kept = exploded.join(counted.where(~most).select("cohort", "h", "often").hint("merge"), ["cohort", "h"])
+    packed = kept.groupBy("cohort", "rep").agg(
+        F.first("copies").alias("copies"), F.array_sort(F.collect_list(F.struct("often", "h"))).alias("s")
+    )
+    return packed.select("cohort", "rep", "copies", F.size("s").cast("long").alias("n"), F.transform("s", lambda x: x["h"]).alias("hs"))
+
+
 def near_pairs(rows: DataFrame, jaccard: float = TEXT_JACCARD, containment: float = TEXT_CONTAINMENT) -> DataFrame:
     """What ``pairs`` gives of the pairs over either line. rows: of ``ranked``.
 

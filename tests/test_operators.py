@@ -217,6 +217,13 @@ def test_placed_is_a_window_over_all(spark):
     assert relational.placed(df.where("i < 0"), [F.col("i")], "n").count() == 0
 
 
+def test_ranked_in_one_go(spark):
+    rows = [(i, "c" if i < 8 else "d", 9, [f"h{k}" for k in range(6) if (i >> k) & 1 or k == 0]) for i in [*range(12), 3, 3]]
+    prints = spark.createDataFrame([(n, *r[1:]) for n, r in enumerate(rows)], "id long, cohort string, n_words int, fps array<string>")
+    one, two = (sorted(map(tuple, df.collect())) for df in (fingerprints.ranked_prints(prints), fingerprints.ranked(fingerprints.own(prints))))
+    assert one == two and one and not any("h0" in r[4] for r in one if r[0] == "c")
+
+
 def test_near_pairs_are_all_over_the_lines(spark):
     """Against every pair: sets with rare and common members, equal sizes, subsets."""
     import random
