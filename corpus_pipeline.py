@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a table; run writes it as Parquet into the shared folder and reads it again as the
 next one's docs. All stages but the last return the columns of documents.
+
+Defined results: a null or empty text fails the quality rules and goes there; very long texts pass through every stage whole; of equal
+rows, and of near copies, the one with the least doc_id stays, different texts under one id both do, and rows without an id do as they
+are; a row that the mixing stage repeats is packed each time; an empty table gives no row; extra columns, whatever their names, are
+carried up to the last stage.
 """
 
 from __future__ import annotations

@@ -4,9 +4,9 @@ Every figure is a DataFrame expression over the row's own text, so the job is on
 executors. A rule is a row (name, part, whole, least, most): the document passes if ``least <= part / whole <= most``, tested in
 whole numbers as ``1000 * part`` against ``least * whole``, so that any engine gives the same verdict.
 
-Defined results: a null or wordless text has zero counts and fails the base rule (fewer than 10 words); repeated rows are judged
-alike, one result each; an empty table gives an empty result. Other columns of the input are carried in a struct
-and clash with nothing, whatever their names.
+Defined results: a null or wordless text has zero counts and fails the base rule (fewer than 10 words); very long texts are judged
+whole; a figure on a bound passes; repeated rows are judged alike, one result each; an empty table gives an empty result. Other columns
+of the input are carried in a struct and clash with nothing, whatever their names.
 """
 
 from __future__ import annotations
