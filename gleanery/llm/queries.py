@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, langid, licenses, packing, quality, raking, repair, secret_scan, simhash, tiff, tokens, warc
+from . import chat, langid, licenses, merkle, packing, quality, raking, repair, secret_scan, simhash, tiff, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_tiff": tiff.op10_tiff,
     "op11_chat_parts": chat.op11_chat_parts,
     "op12_turn_repair": repair.op12_turn_repair,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
     # what of three of them SQL can express
     "license_places": licenses.license_places,
     "secret_counts": secret_scan.secret_counts,
@@ -32,6 +33,7 @@ ORACLE_SQL: dict[str, str] = {
     "op4_warc": warc.ORACLE_SQL,
     "op11_chat_parts": chat.ORACLE_SQL,
     "op12_turn_repair": repair.ORACLE_SQL,
+    "op13_merkle_manifest": merkle.ORACLE_SQL,
     "license_places": licenses.PLACES_SQL,
     "secret_counts": secret_scan.COUNTS_SQL,
     "tiff_payloads": tiff.PAYLOADS_SQL,
