@@ -37,6 +37,20 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/gleanery/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of rows that Spark hands to a worker at once.
+BATCH_BYTES = 8 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, its session set to cut Arrow batches by bytes: rows of long texts are never built into one batch of ten thousand, neither in
+    the executor's process nor in its workers. A session that asks for less keeps that."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = df.sparkSession._jsparkSession.sessionState().conf()
+    if not 0 < conf.arrowMaxBytesPerBatch() <= BATCH_BYTES:
+        df.sparkSession.conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: cuts the lineage, and outlives lost executors."""
     path = fresh_path(df.sparkSession, name)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_slices, read
+from .common import bounded, in_slices, read
 
 HIDDEN, CORE, MARGIN = 16, 448, 32
 #: Windows that advance together.
@@ -267,7 +267,7 @@ def predict(docs: DataFrame, network: Network, id_col: str = "doc_id", text: str
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), (F.coalesce(fold_of(id_col), F.lit(0)) == 2).alias("held_out"), F.col(text).alias("text")
     )
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.transform(bounded).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_slices, read
+from .common import bounded, in_slices, read
 
 #: A-Z become lower case; all but letters, digits and what isn't ASCII becomes a blank. Works on UTF-8 bytes.
 FOLD = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)).lower()
@@ -323,7 +323,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", te
             )
 
     schema = "doc_id long, n_words long, places array<struct<word:long,label:string>>, matches array<struct<label:string,start:long,end:long>>"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).transform(bounded).mapInArrow(run, schema)
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import in_slices, read, written
+from .common import bounded, in_slices, read, written
 from .tokens import encoder, vocabulary_path
 
 CONTEXT, CLOSING = 1024, 2
@@ -52,7 +52,7 @@ def pieces(docs: DataFrame, path: str, context: int = CONTEXT, id_col: str = "do
             columns = [batch.column(0).take(pa.array(at)), *(pa.array(x) for x in rest), pa.array(np.full(len(at), run, np.int64))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "nth", "run"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).transform(bounded).mapInArrow(
         rows, "doc_id long, piece long, start long, length long, ids_crc32 long, nth long, run long"
     )
 
@@ -131,7 +131,7 @@ def pack(docs: DataFrame, path: str, context: int = CONTEXT, id_col: str = "doc_
     ranked = made.join(by_run, ["length", "run"]).select(
         "doc_id", F.col("piece"), "start", "length", "ids_crc32", (F.col("first") + F.col("nth")).alias("rank")
     )
-    return ranked.mapInArrow(
+    return ranked.transform(bounded).mapInArrow(
         place, "doc_id long, piece long, start long, length long, ids_crc32 long, sequence_id long, offset long"
     ).withColumn("piece", F.col("piece").cast("int"))
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_slices, let, read, written
+from .common import bounded, in_slices, let, read, written
 from .tokens import encoder, vocabulary_path
 
 REST = "*"
@@ -108,7 +108,7 @@ def _counted(rows: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], count], [*batch.schema.names[:-1], "mix_tokens"])
 
     kept = rows.drop(rows.columns[-1])
-    return rows.mapInArrow(run, kept.withColumn("mix_tokens", F.lit(0).cast("long")).schema)
+    return rows.transform(bounded).mapInArrow(run, kept.withColumn("mix_tokens", F.lit(0).cast("long")).schema)
 
 
 def _drawn(

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_slices, read
+from .common import bounded, in_slices, read
 from .tokens import vocabulary_path
 
 KINDS = ("assign", "access", "hex", "guess")
@@ -157,7 +157,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", le
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], ["doc_id", "spans"])
 
     schema = "doc_id long, spans array<struct<kind:string,start:long,end:long>>"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).transform(bounded).mapInArrow(run, schema)
 
 
 def redacted(value: str | None, mark: str = MARK, least_bits: float = GUESS_BITS, path: str | None = None) -> str | None:
@@ -182,7 +182,7 @@ def redact(docs: DataFrame, text: str = "text", mark: str = MARK, least_bits: fl
             clean = pa.array((redacted(t, mark, least_bits, path) for t in batch.column(place).to_pylist()), batch.schema.field(place).type)
             yield pa.RecordBatch.from_arrays([clean if i == place else c for i, c in enumerate(batch.columns)], schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(bounded).mapInArrow(run, docs.schema)
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

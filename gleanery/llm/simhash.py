@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_slices, read, written
+from .common import bounded, in_slices, read, written
 from .components import connected_components
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
@@ -80,7 +80,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], ["doc_id", "digest", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _digest(text).alias("digest"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, digest long, fp long")
+    return rows.transform(bounded).mapInArrow(run, "doc_id long, digest long, fp long")
 
 
 def _digest(text: str) -> Column:
@@ -219,7 +219,7 @@ def links(nodes: DataFrame, refs: np.ndarray | None = None, cell: int = CELL) ->
         if len(held):
             yield solve(held)
 
-    found = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "v long, u long")
+    found = dealt.repartition(*keys).sortWithinPartitions(*keys).transform(bounded).mapInArrow(run, "v long, u long")
     return found.distinct()
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_slices, read
+from .common import bounded, in_slices, read
 
 WIDTH, PAGE_ROWS, STRIP_ROWS = 64, 1024, 256
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
@@ -297,7 +297,7 @@ def tiff_pages(media: DataFrame, id_col: str = "doc_id", content: str = "media",
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
     rows = media.select(F.col(id_col).cast("long").alias("doc_id"), F.col(content).alias("content"), *carry)
-    return rows.mapInArrow(packed, ", ".join([PAGES, *types]))
+    return rows.transform(bounded).mapInArrow(packed, ", ".join([PAGES, *types]))
 
 
 def store(payload: bytes, codec: int = CODEC, predictor: int = 1, tile_rows: int = 0) -> bytes:
@@ -320,7 +320,7 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text: str = "text", code
 
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")
-    ).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    ).transform(bounded).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
 def page_features(pages: DataFrame) -> DataFrame:
@@ -347,7 +347,7 @@ def page_features(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names)
 
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    return pages.mapInArrow(
+    return pages.transform(bounded).mapInArrow(
         run,
         "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     )

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import in_slices, read, written
+from .common import bounded, in_slices, read, written
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Fixed value: how a byte-level pre-tokenizer cuts a text.
@@ -108,7 +108,7 @@ def token_lengths(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         for part in in_slices(batches, 0):
             yield pa.RecordBatch.from_arrays([pa.array((len(encode(t)) for t in part.column(0).to_pylist()), pa.int64())], ["n_tokens"])
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "n_tokens long")
+    return docs.select(F.col(text).alias("text")).transform(bounded).mapInArrow(run, "n_tokens long")
 
 
 def length_histogram(docs: DataFrame, path: str, text: str = "text", block: int = 1024) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, in_slices, read, written
+from .common import bounded, fresh_path, in_slices, read, written
 
 FILE_BYTES = 16 << 20
 #: Captures of a run, which is sorted in a task's memory, and about as many as a range has.
@@ -223,7 +223,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, file_byt
         if captures:
             yield from as_run(captures)
 
-    return written(dealt.mapInArrow(write, f"run string, {RUN}"), "runs")
+    return written(dealt.transform(bounded).mapInArrow(write, f"run string, {RUN}"), "runs")
 
 
 def merged_index(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -246,7 +246,7 @@ def merged_index(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*held, strict=True)], ["range", "nth", *_NAMES])
 
-    merged = written(dealt.mapInArrow(merge, f"range long, nth long, {RUN}"), "index")
+    merged = written(dealt.transform(bounded).mapInArrow(merge, f"range long, nth long, {RUN}"), "index")
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
     first = merged.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     return merged.join(first, "range").select((F.col("first") + F.col("nth")).alias("capture_no"), *_NAMES)
@@ -274,7 +274,7 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
                     yield pa.RecordBatch.from_pylist(held, arrow)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path", "content")
-    return files.mapInArrow(run, schema)
+    return files.transform(bounded).mapInArrow(run, schema)
 
 
 def with_capture_time(pages: DataFrame) -> DataFrame:
