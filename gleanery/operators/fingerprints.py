@@ -3,19 +3,28 @@
 Submissions of a cohort with the same fingerprint set form a class. Classes are compared, not submissions: a set that thousands hand in
 costs one row per fingerprint, and ``members`` tells who belongs to which class.
 
-``near_pairs`` finds the pairs over a line without meeting the others: a set's fingerprints are ordered from the cohort's rarest to its
-most frequent, and two sets that share enough must meet in their rare prefixes, so what many hold in common is hardly ever joined on.
-``pairs`` makes every pair that shares anything, which only cohorts need that mostly do. Joins whose sides grow with the corpus ask for a
-merge, since sizes guessed before an explode are far too small for a broadcast, and Spark splits their large keys.
+Pairs are found in two ways, which agree. ``near_pairs`` takes those over a line without meeting the others: a set's fingerprints are
+ordered from the cohort's rarest to its most frequent, and two sets that share enough must meet in their rare prefixes, so what many hold
+in common is hardly ever joined on. ``products`` takes every pair that shares anything: a cohort's classes are dealt into blocks of bounded
+size, each pair of blocks is one group, and its shared counts are a product of sparse matrices made in one task. No pair candidate is
+shuffled; what leaves a group is up to the caller: the pairs (``pairs``), how often each value occurs (``value_counts``), or how many each
+class is linked with (``links``), so a cohort's pairs needn't be written down to be counted.
+
+Joins whose sides grow with the corpus ask for a merge, since sizes guessed before an explode are far too small for a broadcast, and Spark
+splits their large keys. Fingerprints may be hashes in hex, or numbers (``numbered``), which pairs use.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
 from ..functions.columns import share
+from ..sources.shared import written
 
 LEAST_WORDS = 50
 #: What more than half of a cohort of four or more shares is the task's, not copied.
@@ -23,6 +32,8 @@ COMMON_LEAST, COMMON_SHARE = 4, 0.5
 TEXT_JACCARD, TEXT_CONTAINMENT = 0.30, 0.40
 TOKEN_JACCARD, TOKEN_CONTAINMENT = 0.60, 0.75
 PLACES, LEAST_PASSAGE = 5, 10
+#: Bounds of a block: classes, and fingerprints on average.
+BLOCK_CLASSES, BLOCK_PRINTS = 1024, 1 << 18
 
 
 def fingerprints(
@@ -36,16 +47,25 @@ def fingerprints(
     return w.select("id", "cohort", F.size("w").alias("n_words"), F.array_sort(T.winnow(T.gram_hashes(F.col("w"), k), window)).alias("fps"))
 
 
+def numbered(prints: DataFrame) -> DataFrame:
+    """prints with their hex hashes as 64-bit numbers: half the bytes, and faster to sort and compare."""
+    return prints.withColumn("fps", F.transform("fps", lambda h: F.xxhash64(h)))
+
+
+def _same_set() -> Column:
+    return F.md5(F.array_join(F.col("fps").cast("array<string>"), ","))
+
+
 def members(prints: DataFrame) -> DataFrame:
     """(id, cohort, rep): the least id of the submissions with the same fingerprints in the cohort."""
-    keyed = prints.select("id", "cohort", F.md5(F.array_join("fps", ",")).alias("set"))
+    keyed = prints.select("id", "cohort", _same_set().alias("set"))
     reps = keyed.groupBy("cohort", "set").agg(F.min("id").alias("rep"))
     return keyed.join(reps, ["cohort", "set"]).select("id", "cohort", "rep")
 
 
 def classes(prints: DataFrame) -> DataFrame:
     """(cohort, rep, copies, fps): one row per class."""
-    return prints.groupBy("cohort", F.md5(F.array_join("fps", ",")).alias("set")).agg(
+    return prints.groupBy("cohort", _same_set().alias("set")).agg(
         F.min("id").alias("rep"), F.count("*").alias("copies"), F.min_by("fps", "id").alias("fps")
     ).drop("set")
 
@@ -64,18 +84,127 @@ def own(prints: DataFrame) -> DataFrame:
     return exploded.join(common(exploded, sizes).hint("merge"), ["cohort", "h"], "left_anti")
 
 
-def pairs(own_prints: DataFrame) -> DataFrame:
-    """(cohort, a, b, copies_a, copies_b, n_a, n_b, shared, jaccard, containment) of the class pairs a < b that share a fingerprint."""
-    left = own_prints.select("cohort", "h", F.col("rep").alias("a"))
-    right = own_prints.select("cohort", "h", F.col("rep").alias("b"))
-    shared = left.join(right.hint("merge"), ["cohort", "h"]).where("a < b").groupBy("cohort", "a", "b").agg(F.count("*").alias("shared"))
-    sizes = own_prints.groupBy("cohort", "rep").agg(F.count("*").alias("n"), F.first("copies").alias("copies"))
-    for side in "ab":
-        shared = shared.join(
-            sizes.select("cohort", F.col("rep").alias(side), F.col("n").alias(f"n_{side}"), F.col("copies").alias(f"copies_{side}")).hint("merge"),
-            ["cohort", side]
-        )
-    return _measured(shared)
+def products(rows: DataFrame, emit: Callable, schema: str) -> DataFrame:
+    """emit's rows of every pair of blocks of a cohort. rows: of ``ranked``.
+
+    emit(cohort, left, right, i, j, shared) takes two dicts of arrays (rep, copies, n), and for each pair that shares anything, once, its
+    places in them and what it shares; it returns columns. A block's classes are at most about BLOCK_CLASSES and its fingerprints about
+    BLOCK_PRINTS, so a group is a few MB whatever the cohort's size, and a class is sent to as many groups as its cohort has blocks.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    sizes = rows.groupBy("cohort").agg(
+        F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_PRINTS)).cast("int").alias("blocks")
+    )
+    mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    dealt = rows.join(sizes, "cohort").select("cohort", "rep", "copies", "n", "hs", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("*", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi")).drop("other")
+    names = StructType.fromDDL(schema).names
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        lo, hi = group["lo"][0].as_py(), group["hi"][0].as_py()
+        at = group["mine"].to_numpy()
+        sides = []
+        for which in (lo, hi):
+            part = group.filter(pa.array(at == which))
+            hs = part["hs"].combine_chunks()
+            hs = hs.chunk(0) if isinstance(hs, pa.ChunkedArray) and hs.num_chunks else hs
+            lengths = np.diff(hs.offsets.to_numpy()) if part.num_rows else np.zeros(0, np.int64)
+            h = hs.flatten().to_numpy(zero_copy_only=False) if part.num_rows else np.zeros(0, np.int64)
+            own = np.repeat(np.arange(part.num_rows), lengths)
+            order = np.argsort(h, kind="stable")
+            sides.append((h[order], own[order], {k: part[k].to_numpy() for k in ("rep", "copies", "n")}))
+        (h_left, i_left, left), (h_right, i_right, right) = sides
+        width = len(right["rep"])
+        shared = np.zeros(len(left["rep"]) * width, np.int32)
+        if len(h_left) and len(h_right):
+            first, last = np.searchsorted(h_right, h_left, "left"), np.searchsorted(h_right, h_left, "right")
+            met = np.concatenate([[0], np.cumsum(last - first)])
+            start = 0
+            while start < len(h_left):  # some millions of meetings at a time
+                stop = max(start + 1, int(np.searchsorted(met, met[start] + (1 << 22), "right")) - 1)
+                count = last[start:stop] - first[start:stop]
+                place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first[start:stop], count)
+                key = np.repeat(i_left[start:stop], count) * width + i_right[place]
+                shared += np.bincount(key, minlength=len(shared)).astype(np.int32)
+                start = stop
+        i, j = np.divmod(np.flatnonzero(shared), max(width, 1))
+        if lo == hi:
+            once = left["rep"][i] < right["rep"][j]
+            i, j = i[once], j[once]
+        columns = emit(group["cohort"][0].as_py(), left, right, i, j, shared[i * width + j].astype(np.int64))
+        return pa.table(dict(zip(names, columns, strict=True)))
+
+    return dealt.groupBy("cohort", "lo", "hi").applyInArrow(run, schema)
+
+
+def pairs(rows: DataFrame) -> DataFrame:
+    """(cohort, a, b, copies_a, copies_b, n_a, n_b, shared, jaccard, containment) of the class pairs a < b that share a fingerprint. rows: of
+    ``ranked``, with numbers for ids and fingerprints."""
+    import numpy as np
+
+    def emit(cohort, left, right, i, j, shared):  # noqa: ANN001, ANN202
+        turned = left["rep"][i] > right["rep"][j]
+        both = {k: (left[k][i], right[k][j]) for k in ("rep", "copies", "n")}
+        sides = [np.where(turned, both[k][1 - s], both[k][s]) for k in ("rep", "copies", "n") for s in (0, 1)]
+        return [[cohort] * len(i), *sides, shared]
+
+    return _measured(products(rows, emit, "cohort string, a long, b long, copies_a long, copies_b long, n_a long, n_b long, shared long"))
+
+
+def value_counts(rows: DataFrame) -> DataFrame:
+    """(cohort, jaccard, containment, w): how many submission pairs of different classes that share something have each two values. Counted
+    inside each pair of blocks first."""
+    import numpy as np
+
+    def emit(cohort, left, right, i, j, shared):  # noqa: ANN001, ANN202
+        n_a, n_b = left["n"][i], right["n"][j]
+        facts, at = np.unique(np.stack([shared, n_a + n_b - shared, np.minimum(n_a, n_b)]), axis=1, return_inverse=True)
+        weight = np.bincount(at.ravel(), (left["copies"][i] * right["copies"][j]).astype(float), minlength=facts.shape[1]).astype(np.int64)
+        return [[cohort] * facts.shape[1], *facts, weight]
+
+    counted = products(rows, emit, "cohort string, shared long, together long, smaller long, w long")
+    return counted.groupBy(
+        "cohort", share(F.col("shared"), F.col("together")).alias("jaccard"), share(F.col("shared"), F.col("smaller")).alias("containment")
+    ).agg(F.sum("w").alias("w"))
+
+
+def links(rows: DataFrame) -> DataFrame:
+    """(cohort, rep, links, linked): with how many other classes each class shares something, and how many submissions those are. No pair
+    leaves its group."""
+    import numpy as np
+
+    def emit(cohort, left, right, i, j, shared):  # noqa: ANN001, ANN202
+        out = []
+        for own, other, x, y in ((left, right, i, j), (right, left, j, i)):
+            n = len(own["rep"])
+            count, copies = np.bincount(x, minlength=n), np.bincount(x, other["copies"][y].astype(float), minlength=n).astype(np.int64)
+            some = np.flatnonzero(count)
+            out.append((own["rep"][some], count[some], copies[some]))
+        reps, counts, copies = (np.concatenate(c) for c in zip(*out, strict=True))
+        return [[cohort] * len(reps), reps, counts, copies]
+
+    counted = products(rows, emit, "cohort string, rep long, links long, linked long")
+    return counted.groupBy("cohort", "rep").agg(F.sum("links").alias("links"), F.sum("linked").alias("linked"))
+
+
+def unlike(prints: DataFrame, near: DataFrame) -> DataFrame:
+    """(id): the submissions that stand in some pair of their cohort that near (class pairs over a line) doesn't hold. Only counts are made:
+    how many others a cohort has, and how many of them are near. prints: with every submission of the cohort."""
+    reps = members(prints)
+    sides = near.select("cohort", F.col("a").alias("rep"), F.col("copies_b").alias("c")).unionByName(
+        near.select("cohort", F.col("b").alias("rep"), F.col("copies_a").alias("c"))
+    )
+    others = sides.groupBy("cohort", "rep").agg(F.sum("c").alias("near"))
+    classes_ = reps.groupBy("cohort", "rep").agg(F.count("*").alias("copies"))
+    sizes = reps.groupBy("cohort").agg(F.count("*").alias("m"))
+    # what is left of a copy's own fingerprints is what its class has: none if all of them are common
+    some = own(prints).select("cohort", "rep").distinct().withColumn("some", F.lit(True))
+    alike = F.coalesce("near", F.lit(0)) + F.when(F.col("some"), F.col("copies") - 1).otherwise(0)
+    gated = classes_.join(others, ["cohort", "rep"], "left").join(some, ["cohort", "rep"], "left").join(sizes, "cohort").where(alike < F.col("m") - 1)
+    return reps.join(gated.select("cohort", "rep"), ["cohort", "rep"], "left_semi").select("id")
 
 
 def _measured(shared: DataFrame) -> DataFrame:
@@ -169,7 +298,11 @@ def runs(
     """
     endpoints = pair_rows.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     used = docs.withColumnRenamed(id_col, "id").join(endpoints, "id", "left_semi")
-    placed = used.select("id", F.posexplode(T.gram_hashes(T.words(F.col(text)), k)).alias("at", "h"))
+    grams = F.transform(T.gram_hashes(T.words(F.col(text)), k), lambda h: F.xxhash64(h))
+    placed = written(used.select("id", F.posexplode(grams).alias("at", "h")), "grams")
+    # most grams stand in one text alone and meet nothing
+    twice = placed.groupBy("h").agg((F.min("id") < F.max("id")).alias("met")).where("met").select("h")
+    placed = placed.join(twice.hint("merge"), "h", "left_semi")
     firsts = placed.withColumn("nth", F.row_number().over(Window.partitionBy("id", "h").orderBy("at"))).where(F.col("nth") <= PLACES)
     left = firsts.select(F.col("id").alias("a"), "h", F.col("at").alias("at_a"))
     right = firsts.select(F.col("id").alias("b"), "h", F.col("at").alias("at_b"))
