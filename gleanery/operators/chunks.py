@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import vectors as V
+from ..sources.shared import written
 
 
 def best_match(chunks: DataFrame, pairs: DataFrame, owner: str, vector: str, weight: str) -> DataFrame:
@@ -31,31 +33,31 @@ def best_match(chunks: DataFrame, pairs: DataFrame, owner: str, vector: str, wei
 
 
 BLOCK = 64
+#: Scores are counted in this many steps; submissions of a class are gathered around so many of their own.
+STEPS, PIVOTS = 10_000, 16
 
 
-def class_scores(chunks: DataFrame, owner: str, klass: str, vector: str, weight: str, block: int = BLOCK) -> DataFrame:
-    """(class, a, b, score) of all pairs a < b of a class, as ``best_match`` scores them.
-
-    A class's submissions are dealt into blocks of about ``block``; each pair of blocks is one group, whose scores are two products of
-    matrices, so a class of any size is groups of bounded size. Vectors that aren't valid directions are left out.
-    """
-    import numpy as np
-    import pandas as pd
-
+def packed(chunks: DataFrame, owner: str, klass: str, vector: str, weight: str) -> DataFrame:
+    """(class, id, v, w): each submission's unit vectors and weights. Vectors that aren't valid directions are left out."""
     unit = chunks.select(
         F.col(klass).cast("long").alias("class"), F.col(owner).alias("id"),
         F.struct(V.unit(F.col(vector)).alias("v"), F.col(weight).cast("double").alias("w")).alias("c")
     ).where("c.v IS NOT NULL")
-    packed = unit.groupBy("class", "id").agg(F.collect_list("c").alias("c")).select("class", "id", F.col("c.v").alias("v"), F.col("c.w").alias("w"))
-    sizes = packed.groupBy("class").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = packed.join(sizes, "class").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = dealt.select("class", "id", "v", "w", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("class", "id", "v", "w", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+    return unit.groupBy("class", "id").agg(F.collect_list("c").alias("c")).select("class", "id", F.col("c.v").alias("v"), F.col("c.w").alias("w"))
+
 
-    def score(rows: pd.DataFrame) -> pd.DataFrame:
+def _blocked(dealt: DataFrame, emit: Callable, schema: str) -> DataFrame:
+    """emit(class, a, b, scores, rows) of each pair of blocks: scores of all pairs a < b, once each, as two products of matrices. dealt: of
+    ``packed``, with lo and hi (the pair of blocks) and mine (the row's own)."""
+    import numpy as np
+    import pandas as pd
+
+    names = [f.name for f in StructType.fromDDL(schema)]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
         left, right = rows[rows["mine"] == rows["lo"]], rows[rows["mine"] == rows["hi"]]
         if left.empty or right.empty:
-            return pd.DataFrame({"class": [], "a": [], "b": [], "score": []})
+            return pd.DataFrame({n: [] for n in names})
         sides = [
             (
                 np.array([x for v in side["v"] for x in v]), np.concatenate(list(side["w"])), np.cumsum([0, *map(len, side["w"])])[:-1]
@@ -72,9 +74,104 @@ def class_scores(chunks: DataFrame, owner: str, klass: str, vector: str, weight:
         a, b = (side["id"].to_numpy() for side in (left, right))
         same = rows["lo"].iloc[0] == rows["hi"].iloc[0]
         i, j = np.nonzero(a[:, None] < b[None, :] if same else a[:, None] != b[None, :])
-        return pd.DataFrame({"class": rows["class"].iloc[0], "a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j]), "score": both[i, j]})
+        return emit(rows["class"].iloc[0], np.minimum(a[i], b[j]), np.maximum(a[i], b[j]), both[i, j], rows)
+
+    return dealt.groupBy("class", "lo", "hi").applyInPandas(run, schema)
+
+
+def _every_block(rows: DataFrame, block: int) -> DataFrame:
+    """rows of ``packed`` dealt into blocks of about ``block``, each to all pairs that its block is in."""
+    sizes = rows.groupBy("class").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, "class").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("class", "id", "v", "w", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return dealt.select("class", "id", "v", "w", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+
+
+def class_scores(chunks: DataFrame, owner: str, klass: str, vector: str, weight: str, block: int = BLOCK) -> DataFrame:
+    """(class, a, b, score) of all pairs a < b of a class, as ``best_match`` scores them.
+
+    A class's submissions are dealt into blocks of about ``block``; each pair of blocks is one group, so a class of any size is groups of
+    bounded size.
+    """
+    import pandas as pd
+
+    def emit(klass, a, b, score, rows):  # noqa: ANN001, ANN202
+        return pd.DataFrame({"class": klass, "a": a, "b": b, "score": score})
+
+    return _blocked(_every_block(packed(chunks, owner, klass, vector, weight), block), emit, "class long, a long, b long, score double")
+
+
+def score_counts(chunks: DataFrame, owner: str, klass: str, vector: str, weight: str, block: int = BLOCK) -> DataFrame:
+    """(class, v, w): how many pairs of a class have each score, rounded to a STEPSth: counted inside each pair of blocks, so that no pair
+    leaves it and a class is at most STEPS + 1 rows."""
+    import numpy as np
+    import pandas as pd
+
+    def emit(klass, a, b, score, rows):  # noqa: ANN001, ANN202
+        step, count = np.unique(np.floor(score * STEPS + 0.5).astype(np.int64), return_counts=True)
+        return pd.DataFrame({"class": klass, "step": step, "w": count})
+
+    counted = _blocked(_every_block(packed(chunks, owner, klass, vector, weight), block), emit, "class long, step long, w long")
+    return counted.groupBy("class", (F.col("step") / F.lit(float(STEPS))).alias("v")).agg(F.sum("w").alias("w"))
+
+
+def gathered(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """rows of ``packed`` with mine, a block of about ``block`` submissions that are near to one of PIVOTS of their class, and mean, the
+    submission's mean vector."""
+    dims = F.size(F.get("v", F.lit(0)))
+    mean = F.transform(F.sequence(F.lit(0), dims - 1), lambda k: F.aggregate("v", F.lit(0.0), lambda s, x: s + F.get(x, k)) / F.size("v"))
+    centred = rows.withColumn("mean", mean)
+    order = F.xxhash64("id")
+    # the least of a class by hash: Spark cuts each task's rows to so many before it shuffles them
+    nth = F.row_number().over(Window.partitionBy("class").orderBy(order, "id"))
+    first = centred.select("class", "mean", nth.alias("nth")).where(F.col("nth") <= PIVOTS)
+    pivots = first.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("nth", "mean"))).alias("p"))
+    near = F.transform(F.col("p.mean"), lambda m: V.dot(F.col("mean"), m))
+    celled = centred.join(pivots, "class").withColumn("near", near)
+    celled = celled.select("class", "id", "v", "w", "mean", F.array_position("near", F.array_max("near")).cast("long").alias("cell"))
+    sizes = celled.groupBy("class", "cell").agg(F.ceil(F.count("*") / block).alias("parts"))
+    part = F.pmod(F.xxhash64("id"), F.col("parts"))
+    return celled.join(sizes, ["class", "cell"]).select("class", "id", "v", "w", "mean", (F.col("cell") * (1 << 40) + part).alias("mine"))
+
+
+def block_pairs(rows: DataFrame, bars: DataFrame) -> DataFrame:
+    """(class, lo, hi) of the pairs of blocks that may hold a score at their class's bar (class, bar). rows: of ``gathered``.
+
+    All vectors of a block lie within its radius, an angle, of its centre. So no cosine of two blocks' vectors, and no mean of best ones,
+    is over the cosine of the angle between their centres less both radii.
+    """
+    dims = rows.select("class", "mine", F.posexplode("mean").alias("dim", "x"))
+    mean = dims.groupBy("class", "mine", "dim").agg(F.avg("x").alias("x"))
+    centres = mean.groupBy("class", "mine").agg(F.sort_array(F.collect_list(F.struct("dim", "x"))).alias("c")).select("class", "mine", V.unit(F.col("c.x")).alias("centre"))
+    angle = lambda x, y: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), V.dot(x, y))))
+    far = F.array_max(F.transform("v", lambda x: angle(x, F.col("centre"))))
+    # a block whose vectors cancel out has no direction: it may be near to anything
+    away = rows.join(centres, ["class", "mine"]).select("class", "mine", "centre", far.alias("far"))
+    known = away.groupBy("class", "mine").agg(F.first("centre").alias("centre"), F.coalesce(F.max("far"), F.lit(4.0)).alias("radius"))
+    x, y = (known.select("class", *(F.col(c).alias(f"{c}_{side}") for c in ("mine", "centre", "radius"))) for side in "xy")
+    between = F.coalesce(angle(F.col("centre_x"), F.col("centre_y")), F.lit(0.0)) - F.col("radius_x") - F.col("radius_y")
+    bound = F.when(F.col("mine_x") == F.col("mine_y"), 1.0).otherwise(F.cos(F.greatest(F.lit(0.0), between)))
+    met = x.join(y, "class").where("mine_x <= mine_y").join(bars.select("class", "bar"), "class")
+    return met.where(bound >= F.col("bar") - 1e-4).select("class", F.col("mine_x").alias("lo"), F.col("mine_y").alias("hi"))
+
+
+def scores_over(chunks: DataFrame, bars: DataFrame, owner: str, klass: str, vector: str, weight: str, block: int = BLOCK) -> DataFrame:
+    """(class, a, b, score) of the pairs of ``class_scores`` whose score, rounded to a STEPSth, is at their class's bar or over it. Pairs of
+    blocks that can't hold one are never sent anywhere."""
+    import numpy as np
+    import pandas as pd
+
+    rows = written(gathered(packed(chunks, owner, klass, vector, weight), block), "gathered")
+    met = written(block_pairs(rows, bars), "block-pairs")
+    sides = met.select("class", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("mine"), "lo", "hi")
+    dealt = rows.drop("mean").join(sides, ["class", "mine"]).join(bars.select("class", "bar"), "class")
+
+    def emit(klass, a, b, score, rows):  # noqa: ANN001, ANN202
+        score = np.floor(score * STEPS + 0.5) / STEPS
+        over = score >= rows["bar"].iloc[0]
+        return pd.DataFrame({"class": klass, "a": a[over], "b": b[over], "score": score[over]})
 
-    return dealt.groupBy("class", "lo", "hi").applyInPandas(score, "class long, a long, b long, score double")
+    return _blocked(dealt, emit, "class long, a long, b long, score double")
 
 
 def document_vector(chunks: DataFrame, owner: str, vector: str, weight: str) -> DataFrame:

@@ -135,7 +135,8 @@ def products(rows: DataFrame, emit: Callable, schema: str) -> DataFrame:
             once = left["rep"][i] < right["rep"][j]
             i, j = i[once], j[once]
         columns = emit(group["cohort"][0].as_py(), left, right, i, j, shared[i * width + j].astype(np.int64))
-        return pa.table(dict(zip(names, columns, strict=True)))
+        kinds = [pa.string() if n == "cohort" else pa.int64() for n in names]
+        return pa.table({n: pa.array(c, kind) for n, c, kind in zip(names, columns, kinds, strict=True)})
 
     return dealt.groupBy("cohort", "lo", "hi").applyInArrow(run, schema)
 

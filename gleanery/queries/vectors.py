@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..operators import chunks as C
 from ..operators import cohort
+from ..sources.shared import written
 from .registry import query, table
 
 #: Sums of 64 products, rounded so that the order of summation doesn't show.
@@ -35,11 +36,23 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of submissions of a class, which is the label of a submission's first vector."""
+WHO = ("owner", "class", "embedding", "w")
+
+
+def _classed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks with the class of their submission, which is the label of its first vector."""
     c = _chunks(spark, sf_dir)
     classes = c.groupBy("owner").agg(F.min_by("label", "vec_id").alias("class"))
-    return C.class_scores(c.drop("label").join(classes, "owner"), "owner", "class", "embedding", "w").withColumn("score", F.round("score", 4))
+    return c.drop("label").join(classes, "owner")
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of submissions of a class."""
+    return C.class_scores(_classed(spark, sf_dir), *WHO).withColumn("score", F.round("score", 4))
+
+
+def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(C.score_counts(_classed(spark, sf_dir), *WHO), "scores")
 
 
 @query(f"WITH {SQL_PAIRS} SELECT a, b, class, score FROM p")
@@ -54,7 +67,7 @@ def best_match_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
       WHEN n >= 10 THEN greatest(0.8, median + 2 * greatest(1.4826 * mad, 0.02)) ELSE 0.8 END, 6) AS bar FROM m JOIN s USING (class)"""
 )
 def cohort_bar_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars = cohort.robust_bar(_scores(spark, sf_dir), "class", "score")
+    bars = cohort.robust_bar(_counts(spark, sf_dir), "class")
     return bars.select("class", "n", *(F.round(c, DIGITS).alias(c) for c in ("median", "mad", "bar")))
 
 
@@ -65,7 +78,7 @@ def cohort_bar_code(spark: SparkSession, sf_dir: str) -> DataFrame:
       JOIN s USING (class)"""
 )
 def cohort_bar_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars = cohort.robust_bar(_scores(spark, sf_dir), "class", "score", cohort.SEMANTIC_REPORT_REVIEW, 0.0)
+    bars = cohort.robust_bar(_counts(spark, sf_dir), "class", cohort.SEMANTIC_REPORT_REVIEW, 0.0)
     return bars.select("class", F.round("bar", DIGITS).alias("bar"))
 
 
@@ -78,12 +91,26 @@ def cohort_bar_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def semantic_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores against their cohort's bar; every 17th pair stands for one that the tokens flag."""
-    p = _scores(spark, sf_dir)
-    joined = p.join(cohort.robust_bar(p, "class", "score", 0.2).select("class", "bar"), "class")
+    bars = cohort.robust_bar(_counts(spark, sf_dir), "class", 0.2).select("class", "bar")
+    joined = _scores(spark, sf_dir).join(bars, "class")
     level, _ = cohort.combined_flag((F.col("a") + F.col("b")) % 17 == 0, F.col("score"), F.col("bar"))
     return joined.select("a", "b", level.alias("level"))
 
 
+@query(
+    f"""WITH {SQL_PAIRS}, m AS (SELECT class, count(*) AS n, median(score) AS median FROM p
+      GROUP BY class), s AS (SELECT class, median(abs(score - median)) AS mad FROM p JOIN m USING (class) GROUP BY class),
+    c AS (SELECT class, CASE WHEN n >= 10 THEN greatest(0.2, median + 2 * greatest(1.4826 * mad, 0.02)) ELSE 0.2 END AS bar FROM m
+      JOIN s USING (class))
+    SELECT class, a, b, score FROM p JOIN c USING (class) WHERE score >= bar"""
+)
+def semantic_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs at their class's bar or over it, with no list of the others: the bar comes from counts, and pairs of blocks that can't
+    reach it are never compared."""
+    bars = written(cohort.robust_bar(_counts(spark, sf_dir), "class", 0.2), "bars")
+    return C.scores_over(_classed(spark, sf_dir), bars, *WHO)
+
+
 @query(f"""WITH {SQL_CHUNKS}, x AS (SELECT owner, w, unnest(range(0, 64)) AS dim, unnest(embedding) AS x FROM e JOIN embeddings USING (vec_id))
       SELECT owner, dim::INT AS dim, round(sum(w * x::DOUBLE) / sum(w), 6) + 0.0 AS mean FROM x GROUP BY owner, dim""")
 def doc_vector(spark: SparkSession, sf_dir: str) -> DataFrame:

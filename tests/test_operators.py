@@ -56,12 +56,14 @@ def test_weighted_median(spark, n):
 
 def test_robust_bar(spark):
     scores = [0.5 + 0.01 * i for i in range(12)] + [0.99]
-    got = cohort.robust_bar(spark.createDataFrame([("x", s) for s in scores], "k string, s double"), "k", "s").first()
+    scores += scores[:3]
+    counts = spark.createDataFrame([("x", s, 1 + (i < 3)) for i, s in enumerate(scores[:-3])], "k string, v double, w int")
+    got = cohort.robust_bar(counts, "k").first()
     median = statistics.median(scores)
     mad = statistics.median(abs(s - median) for s in scores)
     assert got.median == pytest.approx(median) and got.mad == pytest.approx(mad)
     assert got.bar == pytest.approx(max(0.8, median + 2 * max(1.4826 * mad, 0.02)))
-    few = cohort.robust_bar(spark.createDataFrame([("x", 0.9)], "k string, s double"), "k", "s").first()
+    few = cohort.robust_bar(spark.createDataFrame([("x", 0.9, 1)], "k string, v double, w int"), "k").first()
     assert few.bar == 0.8
 
 
@@ -208,6 +210,58 @@ def test_class_scores_are_best_match(spark):
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_scores_over_a_bar_and_their_counts(spark):
+    """The same pairs as all pairs with a bar, with fewer pairs of blocks compared; counts are those of all pairs."""
+    import random
+
+    rng = random.Random(2)
+    centres = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(6)]
+    rows = [
+        (o, 1 + o % 2, [x + rng.gauss(0, 0.15) for x in centres[o % 6]], 1 + k) for o in range(90) for k in range(3)
+    ] + [(200, 1, [0.0] * 8, 1), (201, 1, [1.0] + [0.0] * 7, 1), (201, 1, [-1.0] + [0.0] * 7, 1)]
+    c = spark.createDataFrame(rows, "o long, k long, v array<double>, w int")
+    every = [(r["class"], r.a, r.b, int(r.score * 10_000 + 0.5) / 10_000) for r in chunks.class_scores(c, "o", "k", "v", "w", 8).collect()]
+    bars = spark.createDataFrame([(1, 0.9), (2, 0.95)], "class long, bar double")
+    got = {tuple(r) for r in chunks.scores_over(c, bars, "o", "k", "v", "w", 8).collect()}
+    assert got == {(k, a, b, s) for k, a, b, s in every if s >= {1: 0.9, 2: 0.95}[k]} and got
+    gathered = chunks.gathered(chunks.packed(c, "o", "k", "v", "w"), 8)
+    blocks = {r["class"]: r.n for r in gathered.select("class", "mine").distinct().groupBy("class").agg(F.count("*").alias("n")).collect()}
+    compared = chunks.block_pairs(gathered, bars).count()
+    assert compared < 0.6 * sum(n * (n + 1) // 2 for n in blocks.values())
+    counted = {(r["class"], round(r.v, 4)): r.w for r in chunks.score_counts(c, "o", "k", "v", "w", 8).collect()}
+    assert counted == {(k, s): sum((x[0], x[3]) == (k, s) for x in every) for k, _, _, s in every}
+
+
+def test_products_count_what_every_pair_shares(spark, monkeypatch):
+    """Pairs, links and value counts against every pair, with blocks of a few classes."""
+    import random
+    from collections import Counter
+
+    monkeypatch.setattr(fingerprints, "BLOCK_CLASSES", 5)
+    rng = random.Random(9)
+    sets = [(c, {int(rng.random() ** 2 * 300) for _ in range(rng.randint(1, 20))}) for c in "xy" for _ in range(30)]
+    own = spark.createDataFrame([(c, i, 1 + i % 3, h) for i, (c, s) in enumerate(sets) for h in s], "cohort string, rep long, copies long, h long")
+    ranked = fingerprints.ranked(own)
+    want = {}
+    for a, (c, s) in enumerate(sets):
+        for b in range(a + 1, len(sets)):
+            if sets[b][0] == c and (n := len(s & sets[b][1])):
+                want[c, a, b] = (1 + a % 3, 1 + b % 3, len(s), len(sets[b][1]), n)
+    got = fingerprints.pairs(ranked).collect()
+    assert {(r.cohort, r.a, r.b): (r.copies_a, r.copies_b, r.n_a, r.n_b, r.shared) for r in got} == want and len(got) == len(want) < 870
+    links, linked = Counter(), Counter()
+    for (_, a, b), (ca, cb, *_) in want.items():
+        links[a] += 1
+        links[b] += 1
+        linked[a] += cb
+        linked[b] += ca
+    assert {r.rep: (r.links, r.linked) for r in fingerprints.links(ranked).collect()} == {i: (links[i], linked[i]) for i in links}
+    values = Counter()
+    for r in got:
+        values[r.cohort, r.jaccard, r.containment] += r.copies_a * r.copies_b
+    assert {(r.cohort, r.jaccard, r.containment): r.w for r in fingerprints.value_counts(ranked).collect()} == values
+
+
 def test_placed_is_a_window_over_all(spark):
     rows = [(i, i * 37 % 11) for i in range(200)] + [(500, None)]
     df = spark.createDataFrame(rows, "i long, v long")
