@@ -47,12 +47,17 @@ PLACEHOLDERS = (
     "redacted placeholder insert here value string"
 ).split()
 LEET = str.maketrans("013457@$", "oleastas")
-#: Rows of a keyboard, and the alphabet; neighbours in a row, in either direction, make a walk.
-ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz")
-NEXT = {(a, b) for row in ROWS for x in (row, row[::-1]) for a, b in zip(x, x[1:], strict=False)}
+#: Rows of a keyboard, and the alphabet.
+KEYS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
+ROWS = (*KEYS, "abcdefghijklmnopqrstuvwxyz")
+#: A key touches the one right of it, the one below it, and the one below and to the left; neighbours in any direction make a walk.
+LINES = [*ROWS, *(a + b for up, down in zip(KEYS, KEYS[1:], strict=False) for k in range(len(up)) for a, b in zip(up[k] * 2, down[max(0, k - 1) : k + 1], strict=False))]
+NEXT = {(a, b) for line in LINES for x in (line, line[::-1]) for a, b in zip(x, x[1:], strict=False)}
 DATE = re.compile(r"(?:19|20)\d\d([-/.]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/.]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d")
 YEAR = re.compile(r"(?:19|20)\d\d")
 DATE_BITS, YEAR_BITS, WALK_BITS, LEAST = 1 + log2(365 * 130), 1 + log2(130), 1 + log2(47), 3
+#: The longest block of which repeats are known.
+PERIOD = 16
 
 
 @lru_cache(4)
@@ -71,10 +76,28 @@ def _char_bits(c: str) -> float:
     return log2(10 if c.isdigit() else 26 if c.isalpha() and c.isascii() else 33 if c.isascii() else 100)
 
 
+def repeats(value: str) -> list[tuple[int, int, int]]:
+    """(start, end, period) of the longest stretches that hold a block of 2 to PERIOD characters twice or more, the block being no repeat
+    itself. For each period one pass over what agrees with itself so far on."""
+    n, out = len(value), []
+    same: dict[int, list[int]] = {}  # by period: how many characters from each on agree with those a period later
+    for p in range(1, min(PERIOD, n // 2) + 1):
+        upto = same[p] = [0] * (n + 1)
+        for i in range(n - p - 1, -1, -1):
+            upto[i] = upto[i + 1] + 1 if value[i] == value[i + p] else 0
+        if p > 1:
+            out += [
+                (i, i + p + upto[i], p) for i in range(n - 2 * p + 1)
+                if upto[i] >= p and not (i and value[i - 1] == value[i - 1 + p]) and all(p % d or same[d][i] < p - d for d in range(1, p))
+            ]
+    return sorted(out)
+
+
 class GuessCost:
     """Bits of guesses of a value: the sum over the cheapest segmentation's parts. A part is a brute-force character, or for one bit more
     a common word (also with capitals or digits for letters, a bit each), a date or year, three or more equal characters (as a whole
-    run's character and length), or a walk of three or more neighbouring keys (half a bit a key)."""
+    run's character and length), a block of up to PERIOD characters twice or more in a row (as the block and how often the whole stretch
+    holds it), or a walk of three or more neighbouring keys (half a bit a key)."""
 
     def __init__(self, path: str):
         self.ranks = word_ranks(path)
@@ -84,12 +107,15 @@ class GuessCost:
         bits = min((log2(rank + 1) + extra for form, extra in ((low, 0), (plain, 1)) if (rank := self.ranks.get(form[i:j]))), default=float("inf"))
         return 1 + bits + (value[i:j] != low[i:j])
 
-    def __call__(self, value: str, enough: float = float("inf")) -> float:
-        """The bits, or some number of ``enough`` or more as soon as it is sure that they are that many."""
+    def __call__(self, value: str, enough: float = float("inf"), blocks: bool = True) -> float:
+        """The bits, or some number of ``enough`` or more as soon as it is sure that they are that many. blocks: whether blocks may repeat."""
         n, low = len(value), "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
         plain = low.translate(LEET)
         best = [0.0]
         dates: dict[int, list[tuple[int, float]]] = {}  # by end: (start, bits)
+        stretches = repeats(value) if blocks else []
+        ahead, known = [(a, b, p, [float("inf")] * p) for a, b, p in reversed(stretches)], {}  # known: bits of a block
+        open_: list[tuple[int, int, int, list[float]]] = []  # stretches that have begun, with the cheapest start for each rotation of the block
         runs, run = [0] * n, 0  # where the run that a character belongs to ends
         for i in range(n - 1, -1, -1):
             runs[i] = run = run if i + 1 < n and value[i] == value[i + 1] else i + 1
@@ -115,9 +141,19 @@ class GuessCost:
             if j - LEAST >= walk_from:
                 in_walk = min(in_walk, best[j - LEAST] - 0.5 * (j - LEAST))
                 cost = min(cost, in_walk + WALK_BITS + 0.5 * j)
+            while ahead and ahead[-1][0] < j:
+                open_.append(ahead.pop())
+            open_ = [x for x in open_ if x[1] >= j]
+            for a, b, p, starts in open_:
+                if (k := j - 2 * p) >= a:
+                    if (block := value[k : k + p]) not in known:
+                        known[block] = self(block, blocks=False)
+                    starts[k % p] = min(starts[k % p], best[k] + known[block])
+                    cost = min(cost, starts[k % p] + 1 + log2((b - a) // p))
             best.append(cost)
-            if min(in_run, in_walk + 0.5 * j, *best[-self.longest :]) >= enough:  # all that a later part can start from
-                return enough
+            later = (min(starts) + 1 + log2((b - a) // p) for a, b, p, starts in open_)
+            if min(in_run, in_walk + 0.5 * j, *best[-max(self.longest, 2 * PERIOD) :], *later) >= enough:
+                return enough  # all that a later part can start from costs as much
         return best[n]
 
 

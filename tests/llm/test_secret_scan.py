@@ -36,12 +36,12 @@ def test_base_spans(text):
 
 def test_guess_bits():
     assert S.guess_bits("") == 0
-    weak = ["changeme", "password123", "qwertyuiop", "aaaaaaaaaaaa", "20240131", "Admin2023", "p@ssw0rd", "abcdefghij"]
+    weak = ["xk9qxk9qxk9q", "1qaz2wsx3edc", "ab12ab12ab12ab12", "zaq1xsw2cde3", "changeme", "password123", "qwertyuiop", "aaaaaaaaaaaa", "20240131", "Admin2023", "p@ssw0rd", "abcdefghij"]
     strong = ["x9f8K2mQw7Lp", "04dbebab91ab85687d33", "kQ!27zz(w)v", "correcthorsebattery"]
     assert max(map(S.guess_bits, weak)) < S.GUESS_BITS < min(map(S.guess_bits, strong))
 
 
-def part_bits(value, low, i, j):
+def part_bits(value, low, i, j, blocks=True):
     """Bits of one part value[i:j], by trying every kind; infinite if it is none."""
     part, found = value[i:j], [float("inf")]
     if j - i == 1:
@@ -60,18 +60,26 @@ def part_bits(value, low, i, j):
         while b < len(value) and value[b] == part[0]:
             b += 1
         found.append(1 + part_bits(part[0], part[0].lower(), 0, 1) + log2(b - a))
+    for p in range(2, min(S.PERIOD, (j - i) // 2) + 1):
+        if blocks and (j - i) % p == 0 and part == part[:p] * ((j - i) // p) and not any(part[:p] == part[:d] * (p // d) for d in range(1, p) if p % d == 0):
+            a, b = i, j
+            while a and value[a - 1] == value[a - 1 + p]:
+                a -= 1
+            while b < len(value) and value[b] == value[b - p]:
+                b += 1
+            found.append(1 + every_cut(part[:p], False) + log2((b - a) // p))
     if j - i >= 3 and all(x in S.NEXT for x in zip(low[i:j], low[i + 1 : j], strict=False)):
         found.append(1 + log2(47) + 0.5 * (j - i))
     return min(found)
 
 
-def every_cut(value):
+def every_cut(value, blocks=True):
     """The cheapest of all segmentations, by trying each way to cut."""
     low, best = value.lower(), float("inf")
     n = len(value)
     for cuts in range(1 << max(0, n - 1)):
         edges = [0, *(i + 1 for i in range(n - 1) if cuts >> i & 1), n]
-        best = min(best, sum(part_bits(value, low, a, b) for a, b in zip(edges, edges[1:], strict=False)))
+        best = min(best, sum(part_bits(value, low, a, b, blocks) for a, b in zip(edges, edges[1:], strict=False)))
     return best
 
 
@@ -84,6 +92,8 @@ def test_guess_bits_is_the_cheapest_cut():
     values = [
         "".join(rng.choice(parts) for _ in range(4))[:11] for _ in range(60)
     ] + ["a", "aaaapple", "qwertyui", "20240131", "trewq12", "19991231x"]
+    values += [rng.choice("xk9") + "".join(rng.choices("xk9", k=rng.randint(1, 3))) * rng.randint(2, 4) for _ in range(25)]
+    values = [v[:12] for v in values] + ["xk9qxk9qxk9q", "ababcbcb", "abaabaab", "1qaz2wsx"]
     for v in values:
         assert abs(S.guess_bits(v) - every_cut(v)) < 1e-9, v
         assert (S.guess_cost(S.vocabulary_path())(v, 20.0) >= 20) == (every_cut(v) >= 20)
@@ -94,7 +104,7 @@ def test_long_values_take_linear_time():
     for v in ("a" * 100_000, "qwertyuiop" * 10_000, "asdfdsa" * 15_000, "aB3" * 30_000):
         S.guess_bits(v)
     assert time.process_time() - begin < 60
-    assert S.find_spans("password=" + "x9Kq" * 50_000)[-1] == (9, 3, 200_009)
+    assert S.find_spans("password=" + "x9Kq7w" * 50_000)[-1] == (9, 3, 300_009)
 
 
 def test_word_ranks():
