@@ -6,7 +6,8 @@ word, empty moves around optional regions, and counted loops for replaceable one
 reaches its end, so each mandatory word must be there, exactly and in order; punctuation, case and line breaks don't count.
 
 TEMPLATES holds short licenses and the standard notices of long ones in full, and names of licenses with their versions, which are labels
-of their own worth. ``from_folder`` compiles license texts of any length that lie in a folder.
+of their own worth. The whole texts of long licenses (Apache-2.0, the GNU licenses, MPL) aren't in the table: a document that has one is
+found by its name, notice or base phrases, with a lower score. ``from_folder`` compiles texts of any length that lie in a folder.
 
 Defined results: a null or empty text has no words and no label; very long texts are scanned whole, a few MB of texts at a time;
 first_word and last_word are null without a base place; of accepted places inside a longer one of their family only the longer counts,
@@ -139,16 +140,17 @@ WHOLE = {
     ],
 }
 FSF = "<<optional>>as published by the free software foundation either<</optional>>"
+GNU_SHORT = ("gpl <<optional>>version<</optional>> {}", "gpl v{}", "gplv{}")
 #: Names of licenses with what tells their version, by label: they mention a license and aren't one.
 NAMES = {
     "apache-2.0": ["licensed under the apache license version 2 0", "apache license <<optional>>version<</optional>> 2 0"],
-    "gpl-2.0": [f"gnu general public license {FSF} version 2"],
-    "gpl-3.0": [f"gnu general public license {FSF} version 3"],
+    "gpl-2.0": [f"gnu general public license {FSF} version 2", *(x.format(2) for x in GNU_SHORT)],
+    "gpl-3.0": [f"gnu general public license {FSF} version 3", *(x.format(3) for x in GNU_SHORT)],
     "lgpl": ["gnu lesser general public license", "gnu library general public license"],
     "agpl-3.0": [f"gnu affero general public license {FSF} version 3"],
     "mit-notice": ["<<optional>>released<</optional>><<optional>>licensed<</optional>> under the <<optional>>terms of the<</optional>> mit license"],
     "bsd": [f"{n} clause bsd license" for n in "234"] + [f"bsd {n} clause license" for n in "234"] + ["bsd license"],
-    "mpl-2.0": ["mozilla public license <<optional>>version<</optional><<optional>>v<</optional>> 2 0"],
+    "mpl-2.0": ["mozilla public license <<optional>>version<</optional>> <<optional>>v<</optional>> 2 0", "mpl <<optional>>version<</optional>> <<optional>>v<</optional>> 2 0"],
     "cc0-1.0": ["cc0 1 0", "creative commons <<optional>>cc0<</optional>><<optional>>zero<</optional>> <<optional>>v1 0<</optional>><<optional>>1 0<</optional>> universal"],
     "cc-by": [f"cc by {v} 0" for v in "234"] + ["creative commons attribution <<optional>>4 0<</optional>> <<optional>>international<</optional>> license"],
     "cc-by-nc": [f"cc by nc {v} 0" for v in "234"] + ["creative commons attribution noncommercial <<optional>>4 0<</optional>> <<optional>>international<</optional>> license"],
@@ -227,19 +229,28 @@ class Automaton:
 
 
 def compile_template(markup: str) -> Automaton:
+    """The automaton of a template. Regions that aren't closed, or closed twice, unknown marks and templates that need no word are errors."""
     out, open_ = Automaton(), []
-    for part in re.findall(r"<<[^>]*>>|[^<\s]+", markup):
+    for part in re.findall(r"<<(?:/?optional|var:\d+)>>|[^<\s]+|<", markup):
         if part == "<<optional>>":
             open_.append(len(out.words))
         elif part == "<</optional>>":
+            if not open_:
+                raise ValueError(f"a region is closed that wasn't open: {markup}")
             out.skips.setdefault(open_.pop(), []).append(len(out.words))
         elif m := re.fullmatch(r"<<var:(\d+)>>", part):
             here = len(out.words)
             out.words.append(None)
             out.room[here] = int(m[1])
             out.skips.setdefault(here, []).append(here + 1)
+        elif part.encode().translate(FOLD) != part.encode().lower() or not part.strip():
+            raise ValueError(f"no word and no mark: {part} in {markup}")
         else:
             out.words.append(part.encode().lower())
+    if open_:
+        raise ValueError(f"a region isn't closed: {markup}")
+    if any(s == len(out.words) for s, _ in out.closed({(0, 0)})):
+        raise ValueError(f"no word is mandatory: {markup}")
     return out
 
 

@@ -42,6 +42,11 @@ def labels(text):
         ("GNU General Public License version 2, 1 June 1991", ["gpl-2.0"]),
         ("GNU Lesser General Public License version 2.1", ["lgpl"]),
         ("CC0 1.0", ["cc0-1.0"]),
+        ("Mozilla Public License 2.0", ["mpl-2.0"]),
+        ("Mozilla Public License, version 2.0", ["mpl-2.0"]),
+        ("the Mozilla Public License, v. 2.0", ["mpl-2.0"]),
+        ("under the GNU GPL v3 or later", ["gpl-3.0"]),
+        ("GPLv2", ["gpl-2.0"]),
         ("Creative Commons Zero v1.0 Universal", ["cc0-1.0"]),
     ],
 )
@@ -66,6 +71,60 @@ ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
 THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
 
 
+def expansions(markup, room=1):
+    """Every text of a short template, with up to ``room`` words in a replaceable place."""
+
+    def read(parts):
+        """([texts of what stands before the region's end], the rest)."""
+        texts = [""]
+        while parts:
+            part, *parts = parts
+            if part == "<</optional>>":
+                return texts, parts
+            if part == "<<optional>>":
+                inner, parts = read(parts)
+                options = ["", *inner]
+            elif m := re.fullmatch(r"<<var:(\d+)>>", part):
+                options = [" ".join(["filler"] * k) for k in range(min(room, int(m[1])) + 1)]
+            else:
+                options = [part]
+            texts = [f"{t} {o}".strip() for t in texts for o in options]
+        return texts, parts
+
+    return set(read(re.findall(r"<<[^>]*>>|[^<\s]+", markup))[0])
+
+
+@pytest.mark.parametrize("label", sorted(licenses.TEMPLATES))
+def test_every_label_has_texts(label):
+    """Each form's texts are accepted from their first word to their last; for names, every expansion is, and none without a word of it."""
+    for form in licenses.TEMPLATES[label]:
+        whole = re.sub(r"<<var:\d+>>", "filler", re.sub(r"<</?optional>>", " ", form))
+        bare = form
+        while (less := re.sub(r"<<optional>>(?:(?!<</?optional>>).)*<</optional>>", " ", bare)) != bare:
+            bare = less
+        texts = {" ".join(whole.split()), " ".join(re.sub(r"<<var:\d+>>", " ", bare).split())}
+        texts |= expansions(form) if label in licenses.NAMES else set()
+        automaton = licenses.compile_template(form)
+        for text in texts:
+            words = text.encode().split()
+            assert automaton.run(words, 0) == len(words), text
+            assert words[0] in automaton.starts()
+            assert (label, 0, len(words)) in licenses.Scanner({label: [form]}).accepted(words)
+            if len(words) < 12:
+                for k in range(len(words)):
+                    cut = words[:k] + words[k + 1 :]
+                    inside = any(" ".join(x.decode() for x in cut[:n]) in texts for n in range(len(cut) + 1))
+                    assert inside == (automaton.run(cut, 0) is not None) or "var" in form, (text, k)
+
+
+@pytest.mark.parametrize(
+    "markup", ["a <<optional>> b", "a <</optional>> b", "a <<optional> b <</optional>>", "a <</optional><<optional>> b", "a <<var:x>> b", "", "<<var:3>>", "<<optional>>a<</optional>>", "a,b"]
+)
+def test_malformed_markup(markup):
+    with pytest.raises(ValueError):
+        licenses.compile_template(markup)
+
+
 def test_whole_wording(spark, tmp_path):
     head, tail = MIT_WHOLE.split(", subject to")
     warranty = tail[tail.index("THE SOFTWARE IS") :]
