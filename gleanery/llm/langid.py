@@ -5,10 +5,11 @@ document's probabilities are the mean over all its positions. Texts are read in
 neighbours on either side, cut at characters: a state starts anew only at a window's edge, so each counted position has seen at least
 MARGIN bytes (or the text's edge) on both sides, across blanks and marks. Windows of a few MB of texts advance together, position by
 position. Training is plain numpy: backpropagation through time with Adam, on the whole texts of a bounded sample of labelled documents
-(about DOCS_PER_LANGUAGE of each language), chosen by a hash of the id, so a re-run learns the same weights.
+(DOCS_PER_LANGUAGE of each label, fewer where there are so many labels that they would be more than SAMPLE, but one at least), those with
+the least hashes of id and text, so a re-run learns the same weights, and a row that is there a million times is one document.
 
 Defined results: a null text or one without a letter is ``und`` with score 0, and so is every text where nothing can be learned; every
-label of a usable document is learned, and more than LABELS of them are an error; equal probabilities go to the first label in order; very
+label of a usable document is learned, however many there are; equal probabilities go to the first label in order; very
 long texts are read whole, in windows; equal texts get equal predictions, and repeated rows are predicted each; an empty table gives no
 row. Only the id, the text and, for learning, the label are read, so other columns may have any name.
 """
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bounded, in_slices, read
@@ -28,8 +29,10 @@ from .common import bounded, in_slices, read
 HIDDEN, CORE, MARGIN = 16, 448, 32
 #: Windows that advance together.
 TOGETHER = 1024
-#: Bound of the training sample, in documents of a language, and of what may be a label.
-DOCS_PER_LANGUAGE, LABELS = 50, 1000
+#: Bounds of the training sample, in documents of a label and in all.
+DOCS_PER_LANGUAGE, SAMPLE = 50, 20_000
+#: Bound of the probabilities that are held at once, in windows times labels.
+PROBABILITIES = 1 << 15
 #: Training reads shorter windows.
 TRAIN_CORE, EPOCHS, BATCH, RATE, SEED = 96, 4, 64, 0.01, 5
 UNKNOWN = "und"
@@ -212,8 +215,9 @@ class Predictor:
         cut = np.concatenate([np.zeros((0, 4), np.int64), *places])
         out = np.zeros((len(texts), len(self.network.languages)))
         order = np.argsort(cut[:, 3] - cut[:, 0], kind="stable")
-        for at in range(0, len(order), TOGETHER):
-            mine = order[at : at + TOGETHER]
+        together = max(1, min(TOGETHER, PROBABILITIES // len(self.network.languages)))
+        for at in range(0, len(order), together):
+            mine = order[at : at + together]
             x, there = laid_out([raws[doc[i]][cut[i, 0] : cut[i, 3]] for i in mine])
             step = np.arange(len(x))[:, None]
             counted = (step >= cut[mine, 1] - cut[mine, 0]) & (step < cut[mine, 2] - cut[mine, 0])
@@ -241,17 +245,19 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", label: str
     known = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull() & (fold_of(id_col) != 2)).select(
         F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(label).alias("label")
     )
-    counts = known.groupBy("label").agg(F.count("*").alias("n")).orderBy("label").limit(LABELS + 1).collect()
-    if len(counts) > LABELS:
-        raise ValueError(f"more than {LABELS} labels")
-    if not counts:
+    keyed = known.select("label", "text", F.xxhash64(F.lit(SEED), "id", "text").alias("h"))
+    labels = known.select("label").distinct().count()
+    most = max(1, min(docs_per_language, SAMPLE // max(labels, 1)))
+    # equal rows have one rank; Spark cuts each task's rows to the least of each label before it shuffles them
+    rank = F.dense_rank().over(Window.partitionBy("label").orderBy("h"))
+    least = keyed.select("label", "h", rank.alias("rank")).where(F.col("rank") <= most).select("label", "h").distinct()
+    chosen = keyed.join(F.broadcast(least), ["label", "h"]).groupBy("label", "h").agg(F.min("text").alias("text"))
+    sample = sorted((r["label"], r["text"]) for r in chosen.collect())  # at most SAMPLE documents, or one a label
+    languages = sorted({label for label, _ in sample})
+    if not languages:
         return Network([], {})
-    span = 1 << 40
-    share = F.coalesce(*(F.when(F.col("label") == r["label"], F.lit(min(span, int(docs_per_language / r["n"] * span)))) for r in counts))
-    chosen = known.where(F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(span)) < share)
-    sample = sorted((r["label"], r["text"]) for r in chosen.select("label", "text").collect())  # about docs_per_language rows of each label
-    languages = [r["label"] for r in counts]
-    return Network.fresh(languages).train([t for _, t in sample], [languages.index(x) for x, _ in sample])
+    place = {x: i for i, x in enumerate(languages)}
+    return Network.fresh(languages).train([t for _, t in sample], [place[x] for x, _ in sample])
 
 
 def predict(docs: DataFrame, network: Network, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -119,3 +119,19 @@ def test_nothing_to_learn(edges, nothing):
     net = langid.fit(nothing)
     assert net.languages == []
     assert {r.lang_pred for r in langid.predict(edges, net).collect()} == {"und"}
+
+
+def test_many_labels_and_one_repeated_document(spark, monkeypatch):
+    """1,500 labels are all learned; an id that is there a thousand times is one document of the sample."""
+    seen = []
+    monkeypatch.setattr(langid.Network, "train", lambda self, texts, labels: seen.append((texts, labels)) or self)
+    docs = spark.range(6_000).selectExpr("id AS doc_id", "concat('text ', id % 1500) AS text", "concat('l', id % 1500) AS lang")
+    net = langid.fit(docs, docs_per_language=2)
+    assert len(net.languages) == 1_500 and 1_500 <= len(seen[0][0]) <= 3_000
+    rows = langid.predict(docs.where("doc_id < 20"), net).collect()
+    assert len(rows) == 20 and all(r.lang_pred in net.languages for r in rows)
+    same = spark.range(1_000).selectExpr("4L AS doc_id", "'again and again' AS text", "'x' AS lang")
+    other = spark.range(30).selectExpr("id + 100 AS doc_id", "concat('new ', id) AS text", "'x' AS lang")
+    langid.fit(same.unionByName(other), docs_per_language=50)
+    texts = seen[1][0]
+    assert texts.count("again and again") == 1 and len(texts) == len(set(texts)) > 15

@@ -44,6 +44,46 @@ def test_fit_tells_of_margins_that_no_weights_meet():
     assert gap > 0.1
 
 
+def test_spread_fit_is_the_same(spark, monkeypatch):
+    """Cells that stay a table give the weights of cells in one array."""
+    rng = np.random.default_rng(7)
+    cells = [(f"s{a}", f"l{b}", "t" if c else "*", float(rng.integers(1, 90))) for a in range(4) for b in range(3) for c in range(2) if rng.random() < 0.9]
+    targets = [{"s0": 1.0, "s1": 2.0, "s2": 1.0, "s3": 1.0, "none": 5.0}, {"l0": 1.0, "l1": 1.0, "l2": 3.0}, {"t": 0.3, "*": 0.7}]
+    table = spark.createDataFrame(cells, "a string, b string, c string, found double")
+    factors, gap = raking.fit_spread(table, ["a", "b", "c"], targets)
+    want = plain_fit({c[:3]: c[3] for c in cells}, [{**t, **{x: t.get(x, 0.0) for x in ("none",)}} for t in targets])
+    assert gap < 1e-6
+    for a, b, c, n in cells:
+        assert abs(n * factors[0][a] * factors[1][b] * factors[2][c] - want[a, b, c]) < 1e-3
+    docs = spark.createDataFrame([(i, "word " * (i % 9), "en" if i % 3 else "de", f"s{i % 5 % 3}") for i in range(500)], "doc_id long, text string, lang string, source string")
+    dense = {r.doc_id: r.mix_weight * r.mix_probability for r in raking.calibrated(docs).collect()}
+    monkeypatch.setattr(raking, "CELLS", 1)
+    spread = {r.doc_id: r.mix_weight * r.mix_probability for r in raking.calibrated(docs).collect()}
+    assert dense.keys() == spread.keys() and all(abs(dense[k] - spread[k]) < 1e-4 for k in dense)
+
+
+def test_one_sparse_cell(spark):
+    """A cell of a single document is taken MOST_TIMES at most, and the margins tell what is missed."""
+    rows = [(i, "some words here", "en", "big") for i in range(400)] + [(1_000, "some words here", "en", "tiny")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    targets = {"source": {"big": 0.5, "tiny": 0.5}}
+    got = [r.doc_id for r in raking.sampled(docs, targets).collect()]
+    assert got.count(1_000) == raking.MOST_TIMES and len(got) > 150
+    told = {r.value: (r.found, r.weighted, r.repeated) for r in raking.margins(docs, targets).collect()}
+    assert abs(told["tiny"][1] - 0.5) < 1e-6 and told["tiny"][2] == raking.MOST_TIMES / len(got) and abs(told["tiny"][0] - 1 / 401) < 1e-9
+
+
+def test_tempered_targets(spark):
+    rows = [(i, "a b c d", "en", "hot" if i < 800 else f"s{i % 4}" if i < 999 else "rare" if i < 1_000 else None) for i in range(1_004)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = raking.calibrated(docs, {"source": raking.Tempered(0.5, 0.01)}, tokens=F.lit(4)).collect()
+    assert {r.mix_source for r in got} == {"hot", "s0", "s1", "s2", "s3", "*"}
+    shares = {"hot": 800 / 1004, "*": 5 / 1004} | {f"s{k}": sum(f"s{k}" == r[3] for r in rows) / 1004 for k in range(4)}
+    whole = sum(v**0.5 for v in shares.values())
+    for r in got:
+        assert abs(r.mix_weight * r.mix_probability - shares[r.mix_source] ** 0.5 / whole / shares[r.mix_source]) < 1e-6
+
+
 def test_sampled_margins(spark):
     rows = [
         (
@@ -106,6 +146,7 @@ def test_edges(edges, nothing):
     assert times and set(times) <= set(rows)
     for r in set(rows):  # each row as often as its cell needs it, and once more or not by the draw
         cell = [n for k, n in need.items() if k[0] == r[0]]
+        cell = [min(n, raking.MOST_TIMES) for n in cell]
         assert any(int(n) * rows.count(r) <= times.count(r) <= (int(n) + 1) * rows.count(r) for n in cell)
     assert raking.sampled(nothing).count() == 0 and raking.calibrated(nothing).count() == 0
 
