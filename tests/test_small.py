@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
-from gleanery.operators import code
+from gleanery.operators import code, python_code
 from gleanery.sources import settings, tables
 
 
@@ -36,28 +36,54 @@ def test_class_list_encodings_and_bounds(spark, tmp_path):
         tables.class_list(spark, str(tmp_path / "c.csv"))
 
 
-def test_quality():
-    good = '"""A module."""\n\n\ndef area(w, h):\n    """The area."""\n    size = w * h\n    return size\n'
-    assert code.quality(good)["quality"] == 100 and code.quality(good)["docstring_coverage"] == 1
-    bad = "def Bad():\n    x = 1  # TODO later\n    return x\n" + "y = 1  " + "#" * 120 + "\n"
-    found = code.quality(bad)
-    assert (found["names"], found["reminders"], found["long_lines"], found["functions"]) == (1, 1, 1, 1)
-    assert found["quality"] == 100 - 5 - 5 - 1 - 15
-    assert code.quality("import os\n")["quality"] == 10 and code.quality("(") is None
-    busy = "def f(x):\n" + "".join(f"    if x == {i}:\n        x += 1\n" for i in range(11)) + "    return x\n"
-    assert code.quality(busy)["complex"] == 1
+def judged(spark, sources):
+    files = spark.createDataFrame([(k, f"{k}.py", s) for k, s in enumerate(sources)], "k long, n string, s string")
+    return [r for _, r in sorted((r.k, r) for r in python_code.file_quality(files, "k", "s", "n").collect())]
 
 
-def test_documentation():
+def test_quality(spark):
+    good = '"""A module."""\n\n\ndef area(w, h):\n    """The area."""\n    size = w * h\n    return size\n'
+    bad = "class thing_: pass\nclass _X: pass\ndef Bad():\n    x = 1  # TODO later\n    return x\n" + "y = 1  " + "#" * 120 + "\n"
+    busy = "def f(x):\n" + "".join(f"    if x == {i}:\n        x += 1\n" for i in range(11)) + "    return x\n"
+    paths = "def f(x):\n" + "    return [i for i in x if i] if x and x > 1 or 0 else None\n" + "async def g():\n    def h(y):\n        while y: y -= 1\n"
+    idle = 'import os\n"text"\ndef f():\n    return None\nif __name__ == "__main__":\n    f()\n'
+    a, b, c, d, e, f, g = judged(spark, [good, bad, busy, paths, idle, "(", None])
+    assert (a.quality, a.docstring_coverage, a.functions, a.classes) == (100, 1.0, 1, 0)
+    assert (b.names, b.reminders, b.long_lines, b.functions, b.classes, b.quality) == (2, 1, 1, 1, 2, 100 - 10 - 5 - 1 - 15)
+    assert c.complex == 1 and d.complex == 0 and d.functions == 3
+    assert (e.real_logic, e.quality) == (False, 10) and f.quality is None and f.functions == 0 and (g.quality, g.documentation) == (10, "")
+    nodes = python_code.parsed(spark.createDataFrame([(1, paths)], "k long, s string"), "k", "s")
+    assert [tuple(x)[:2] for x in nodes.select(python_code.functions(F.col("nodes"))).first()[0]] == [("f", 5), ("g", 2), ("h", 2)]
+
+
+def test_documentation(spark):
     source = '#!/usr/bin/env python\n"""Counts words."""\n# TODO no\n# says something here\nx = "# not this one"\n'
-    assert code.documentation(source) == "Counts words.\nsays something here"
-    assert code.documentation("(") == ""
+    assert [r.documentation for r in judged(spark, [source, "("])] == ["Counts words.\nsays something here", ""]
 
 
 def test_file_quality(spark):
-    rows = [(1, "a.py", "x = 1\ny = 2\n"), (2, "b.js", "// TODO\n" + "z" * 130), (3, "c.py", "("), (4, "d.c", None)]
-    got = {r.k: r.quality for r in code.file_quality(spark.createDataFrame(rows, "k long, n string, s string"), "k", "s", "n").collect()}
-    assert got == {1: 100, 2: 94, 3: None, 4: 100}
+    rows = [(1, "a.py", "x = 1\ny = 2\n"), (2, "b.js", "// TODO\n" + "z" * 130), (3, "c.py", "("), (4, "d.c", None), (5, None, "x")]
+    got = {r.k: r.quality for r in python_code.file_quality(spark.createDataFrame(rows, "k long, n string, s string"), "k", "s", "n").collect()}
+    assert got == {1: 100, 2: 94, 3: None, 4: 100, 5: 100}
+
+
+RENAMED = {
+    "c": "int add(int a, int b) {{ return a + {0} * 2; /* {0} */ }}", "java": "class T {{ int {0}; void run() {{ this.{0}.go({0}); }} }}",
+    "js": "let {0} = 'x'; const f = ({0}) => {0}.length;", "go": "func g({0} int) int {{ return {0} + 1 }}", "rb": "def m({0}); {0}.each {{ |q| q }} end",
+    "php": "$ {0} = \"s\"; echo $ {0}; // {0}",
+}
+
+
+def test_renamed_copies_read_the_same(spark):
+    rows = [(lang, name, text.format(name)) for lang, text in RENAMED.items() for name in ("count", "n", "_tmp9")]
+    df = spark.createDataFrame(rows, "lang string, name string, s string").select("lang", "name", code.numbered_tokens(F.col("s")).alias("t"))
+    seen = {}
+    for r in df.where("lang <> 'java'").collect():
+        seen.setdefault(r.lang, set()).add(tuple(r.t))
+    assert all(len(v) == 1 for v in seen.values()) and len(seen) == 5
+    (java,) = {tuple(r.t) for r in df.where("lang = 'java' AND name = 'n'").collect()}
+    assert "n" in java and "v1" in java  # the member keeps its name, the variable doesn't
+    assert spark.createDataFrame([(None,)], "s string").select(code.numbered_tokens(F.col("s"))).first()[0] == []
 
 
 def test_stems(spark):
