@@ -11,6 +11,7 @@ from ..operators import code as C
 from ..operators import limits as L
 from ..sources.shared import shared_dir
 from ..streaming import events as S
+from ..streaming import timers as TM
 from .registry import query, table
 
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -91,8 +92,7 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
-@query(
-    """WITH RECURSIVE e AS (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS t
+LIMITED = """WITH RECURSIVE e AS (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS t
       FROM events), o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS k FROM e),
     r AS (SELECT event_id, user_id, k, true AS allowed, [t] AS times FROM o WHERE k = 1
       UNION ALL SELECT o.event_id, o.user_id, o.k, len(list_filter(times, lambda x: o.t - x < 86400)) < 3,
@@ -100,26 +100,45 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
       o.t) ELSE list_filter(times, lambda x: o.t - x < 86400) END
       FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1)
     SELECT event_id, user_id, allowed FROM r"""
-)
+
+
+@query(LIMITED)
 def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three allowed events of a user in a day."""
     return _run(S.rate_limited(_stream(spark, sf_dir), "user_id", 3, 86400), "append")
 
 
-@query()
-def python_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as if they were source files, by the generic tokenizer; tested against plain Python."""
-    return C.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
+@query(LIMITED)
+def rate_limit_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same decisions over a table, where a hot user's events are spread over tasks."""
+    return L.rate_limited(_events(spark, sf_dir), "user_id", "event_id", "t", 3, 86400)
 
 
-@query(C.sql("pages", "page_id", "html"))
-def generic_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Folded code tokens of pages, as counts and a digest of their order."""
-    t = table(spark, sf_dir, "pages").select("page_id", C.generic_tokens(F.col("html")).alias("t"))
-    return t.select("page_id", F.size("t").alias("n_tokens"), F.md5(F.array_join("t", "\x1f")).alias("digest"))
+TASK_SECONDS, LATE_MS = 21_600, 3_600_000
 
 
-@query(C.sentences_sql("documents", "doc_id", "text"))
-def sentence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences packed greedily into chunks of at most 120 words."""
-    return C.sentence_chunks(table(spark, sf_dir, "documents"), "doc_id", "text")
+@query(
+    f"""WITH RECURSIVE m AS (SELECT event_id, user_id, event_type = 'signup' AS opens, floor(epoch_us(ts) / 1000)::BIGINT AS t, event_type FROM events),
+    w AS (SELECT max(t) - {LATE_MS} AS mark FROM m),
+    o AS (SELECT user_id, opens, t, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS k FROM m, w WHERE t <= mark
+      AND event_type IN ('signup', 'purchase')),
+    r AS (SELECT user_id, 0::BIGINT AS k, NULL::BIGINT AS since, NULL::BIGINT AS opened, NULL::BIGINT AS closed, NULL::VARCHAR AS how FROM (SELECT DISTINCT user_id FROM o)
+      UNION ALL SELECT o.user_id, o.k,
+        CASE WHEN since IS NULL OR since + {1000 * TASK_SECONDS} <= o.t THEN CASE WHEN opens THEN o.t END WHEN opens THEN since END,
+        CASE WHEN since + {1000 * TASK_SECONDS} <= o.t OR NOT opens THEN since END,
+        CASE WHEN since + {1000 * TASK_SECONDS} <= o.t THEN since + {1000 * TASK_SECONDS} WHEN NOT opens AND since IS NOT NULL THEN o.t END,
+        CASE WHEN since + {1000 * TASK_SECONDS} <= o.t THEN 'time_up' WHEN NOT opens AND since IS NOT NULL THEN 'handed_in' END
+      FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1),
+    l AS (SELECT user_id, since FROM r QUALIFY k = max(k) OVER (PARTITION BY user_id))
+    SELECT user_id, opened, closed, how FROM r WHERE how IS NOT NULL
+    UNION ALL SELECT user_id, since, since + {1000 * TASK_SECONDS}, 'time_up' FROM l, w WHERE since + {1000 * TASK_SECONDS} <= mark"""
+)
+def stream_timed_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks of six hours that a signup opens and a purchase hands in; a timer closes those whose time is up, without a further event."""
+    events = _stream(spark, sf_dir).where(F.col("event_type").isin("signup", "purchase")).withColumn("opens", F.col("event_type") == "signup")
+    name, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(name, TM.ROCKS)
+    try:
+        return _run(TM.closed_tasks(events, "user_id", TASK_SECONDS), "append")
+    finally:
+        spark.conf.set(name, before)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import chunks as C
 from ..operators import cohort
-from ..sources.shared import written
+from ..sources.shared import shared_dir, written
+from ..sources.store import VectorStore
 from .registry import query, table
 
 #: Sums of 64 products, rounded so that the order of summation doesn't show.
@@ -132,3 +135,15 @@ def chunk_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
         "owner", F.col("vec_id").alias("a"), F.col("v").alias("va")
     ), u.select("owner", F.col("vec_id").alias("b"), F.col("v").alias("vb"))
     return left.join(right, "owner").where("a < b").select("a", "b", (F.round(V.dot(F.col("va"), F.col("vb")), DIGITS) + 0.0).alias("cosine"))
+
+
+@query(
+    """WITH e AS (SELECT vec_id, md5('v1|' || vec_id) AS key, label FROM embeddings)
+    SELECT vec_id, label % 2 = 0 AS hit FROM e"""
+)
+def stored_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store that was given the vectors of every other label, and which of all vectors it holds."""
+    e = table(spark, sf_dir, "embeddings").withColumn("key", F.md5(F.concat(F.lit("v1|"), F.col("vec_id").cast("string"))))
+    store = VectorStore(spark, f"{shared_dir(spark)}/vector-stores/{uuid.uuid4().hex}")
+    store.put(e.where("label % 2 = 0").select("key", F.col("embedding").alias("vec")))
+    return e.select("vec_id", "key").join(store.look_up(e), "key").select("vec_id", F.col("vec").isNotNull().alias("hit"))

@@ -28,9 +28,8 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
 
 
-def code_folder(spark: SparkSession, path: str, extensions: tuple[str, ...] = CODE_EXTENSIONS) -> DataFrame:
-    """(submission, file, extension, source): every code file below path, one folder for each submission; notebooks as their code."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+def _submitted(files: DataFrame, path: str, extensions: tuple[str, ...]) -> DataFrame:
+    """(submission, file, extension, source) of binary files below path."""
     inside = F.regexp_replace("path", r"^.*?" + path.rstrip("/").removeprefix("file://").replace(".", r"\.") + "/", "")
     named = files.select(
         F.split_part(inside, F.lit("/"), F.lit(1)).alias("submission"), F.regexp_replace(inside, "^[^/]*/", "").alias("file"),
@@ -43,6 +42,26 @@ def code_folder(spark: SparkSession, path: str, extensions: tuple[str, ...] = CO
     )
 
 
+def code_folder(spark: SparkSession, path: str, extensions: tuple[str, ...] = CODE_EXTENSIONS) -> DataFrame:
+    """(submission, file, extension, source): every code file below path, one folder for each submission; notebooks as their code."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+    return _submitted(files, path, extensions)
+
+
+#: What the file source gives of a file.
+BINARY = "path string, modificationTime timestamp, length long, content binary"
+
+
+def walked(spark: SparkSession, path: str, into: str, checkpoint: str, extensions: tuple[str, ...] = CODE_EXTENSIONS, at_once: int = 10_000) -> DataFrame:
+    """``code_folder`` of a cohort's folder that grows: files that an earlier walk has seen aren't read again. The file stream keeps what it
+    has seen in checkpoint; what was read stays as a table in into, at_once files a batch. Returns all that has been read."""
+    files = spark.readStream.schema(BINARY).format("binaryFile").option("recursiveFileLookup", True).option("maxFilesPerTrigger", at_once).load(path)
+    found = _submitted(files.select("path", "content"), path, extensions)
+    writer = found.writeStream.format("parquet").option("path", into).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    writer.start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(into)
+
+
 def _cells(text: Column) -> Column:
     """(kind, text) of a notebook's cells, format 4 or 3; a source given as a list of lines is joined."""
     book = F.from_json(text, NOTEBOOK)

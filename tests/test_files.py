@@ -1,9 +1,13 @@
 from __future__ import annotations
 
+import hashlib
 import io
 import zipfile
 
-from gleanery.sources import files
+from pyspark.sql import functions as F
+
+from gleanery.sources import files, tables
+from gleanery.sources.store import VectorStore
 
 
 def zipped(entries: dict[str, str]) -> bytes:
@@ -76,3 +80,36 @@ def test_workbooks_and_counts(spark):
     books = files.workbook_rows(spark.createDataFrame([("x.xlsx", XLSX), ("y.xlsx", b"no")], "path string, content binary")).collect()
     assert [(r.row, list(r.cells)) for r in books if r.path == "x.xlsx"] == [(1, ["Name", "", "No"]), (2, ["Ann", "", "7"])]
     assert [r.row for r in books if r.path == "y.xlsx"] == [0]
+
+
+def test_walk_reads_only_new_files(spark, tmp_path):
+    root, into, check = tmp_path / "cohort", str(tmp_path / "into"), str(tmp_path / "check")
+    for name, text in (("ann/a.py", "x = 1"), ("ann/sub/b.js", "y"), ("bob/c.txt", "no code")):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    first = sorted(map(tuple, tables.walked(spark, str(root), into, check).collect()))
+    assert first == [("ann", "a.py", "py", "x = 1"), ("ann", "sub/b.js", "js", "y")] == sorted(map(tuple, tables.code_folder(spark, str(root)).collect()))
+    (root / "ann/a.py").unlink()  # what has been read stays read
+    (root / "cat").mkdir()
+    (root / "cat/d.go").write_text("z")
+    assert sorted(map(tuple, tables.walked(spark, str(root), into, check).collect())) == sorted([*first, ("cat", "d.go", "go", "z")])
+    assert tables.walked(spark, str(root), into, check).count() == 3
+
+
+def test_vector_store(spark, tmp_path):
+    store = VectorStore(spark, str(tmp_path))
+    keyed = lambda ids: spark.createDataFrame([(hashlib.md5(str(i).encode()).hexdigest(), [float(i), 1.0]) for i in ids], "key string, vec array<double>")  # noqa: E731, S324
+    assert {r.vec for r in store.look_up(keyed(range(3))).collect()} == {None}
+    store.put(keyed(range(0, 40)))
+    store.put(keyed(range(30, 60)))
+    store.put(keyed(range(5)).withColumn("vec", F.array(F.lit(9.0))))  # what is there stays
+    keys = {hashlib.md5(str(i).encode()).hexdigest(): i for i in range(80)}  # noqa: S324
+    assert store.entries().count() == 60
+    got = {keys[r.key]: r.vec for r in store.look_up(keyed([1, 35, 59, 70, 70])).collect()}
+    assert got == {1: [1.0, 1.0], 35: [35.0, 1.0], 59: [59.0, 1.0], 70: None}
+    read = store.entries(keyed([1])).select(F.input_file_name()).distinct().collect()
+    assert read and all(f"bucket={hashlib.md5(b'1').hexdigest()[:2]}" in r[0] for r in read)  # noqa: S324
+    store.compact(16 * 3)  # the three that were looked up last
+    assert {keys[r.key] for r in store.entries().collect()} == {1, 35, 59}
+    store.put(keyed([70]))
+    assert {keys[r.key] for r in store.look_up(keyed(range(80))).where("vec IS NOT NULL").collect()} == {1, 35, 59, 70}

@@ -431,3 +431,60 @@ def test_plan_of_whole_checks(spark, sf):
     got = checks.report_check(docs, ["lang", "source"])
     assert got.pairs.columns[:3] == ["cohort", "a", "b"] and got.pairs.count() >= 0
     assert got.skipped.count() + got.compared.count() == docs.count()
+
+
+def walked(rows, most, seconds):
+    """(id: allowed), event by event."""
+    out, times = {}, {}
+    for key, t, i in sorted(rows, key=lambda r: (r[1], r[2])):
+        mine = [x for x in times.get(key, []) if t - x < seconds]
+        out[i] = len(mine) < most
+        times[key] = [*mine, t] if out[i] else mine
+    return out
+
+
+@pytest.mark.parametrize(("most", "seconds"), [(1, 50), (3, 400), (5, 90)])
+def test_rate_limits_of_a_hot_key_over_ranges(spark, most, seconds):
+    """A third of all events under one key, without a gap that forgets; ties of time, a null key; many ranges."""
+    import random
+
+    from gleanery.operators import limits
+
+    rng = random.Random(seconds)
+    rows = [(7 if i % 3 == 0 else None if i % 50 == 1 else i % 40, rng.randrange(9_000) if i % 5 else 100 * (i % 90), i) for i in range(3_000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = limits.rate_limited(spark.createDataFrame(rows, "u long, t long, i long"), "u", "i", "t", most, seconds).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r.i: r.allowed for r in got} == walked(rows, most, seconds) and len(got) == len(rows)
+    assert limits.rate_limited(spark.createDataFrame([], "u long, t long, i long"), "u", "i", "t", 3, 10).count() == 0
+
+
+def test_timed_tasks_close_by_themselves(spark, tmp_path):
+    """No further event of the student is needed, only that time goes on; state outlives the run."""
+    from gleanery.streaming import events as S
+    from gleanery.streaming import timers
+
+    schema = "event_id long, ts timestamp, u long, opens boolean"
+    at = lambda minute: dt.datetime(2024, 1, 1, tzinfo=dt.UTC) + dt.timedelta(minutes=minute)
+    ms = lambda minute: int(at(minute).timestamp() * 1000)
+    folder, name = str(tmp_path / "in"), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, timers.ROCKS)
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(schema).parquet(folder)
+        out = S.finished(timers.closed_tasks(stream, "u", 1800, late="0 seconds"), "tasks", str(tmp_path / "check"))
+        return sorted(map(tuple, out.collect()))
+
+    try:
+        first = run([(3, at(20), 1, True), (1, at(0), 1, True), (2, at(10), 2, True), (4, at(15), 2, False), (5, at(25), 3, True)])
+        assert first == [(2, ms(10), ms(15), "handed_in")]
+        second = run([(6, at(50), 9, True)])  # only another student goes on
+        assert second == [(1, ms(0), ms(30), "time_up"), (2, ms(10), ms(15), "handed_in")]
+        third = run([(7, at(56), 3, False), (8, at(58), 9, False), (9, at(70), 9, False)])
+        assert third == sorted([*second, (3, ms(25), ms(55), "time_up"), (9, ms(50), ms(58), "handed_in")])
+    finally:
+        spark.conf.set(name, before)
