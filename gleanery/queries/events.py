@@ -136,9 +136,36 @@ TASK_SECONDS, LATE_MS = 21_600, 3_600_000
 def stream_timed_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tasks of six hours that a signup opens and a purchase hands in; a timer closes those whose time is up, without a further event."""
     events = _stream(spark, sf_dir).where(F.col("event_type").isin("signup", "purchase")).withColumn("opens", F.col("event_type") == "signup")
-    name, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    return _timed(TM.closed_tasks(events, "user_id", TASK_SECONDS))
+
+
+def _timed(stream: DataFrame) -> DataFrame:
+    """A stream with timers, run with state in RocksDB."""
+    spark, name = stream.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
     spark.conf.set(name, TM.ROCKS)
     try:
-        return _run(TM.closed_tasks(events, "user_id", TASK_SECONDS), "append")
+        return _run(stream, "append")
     finally:
         spark.conf.set(name, before)
+
+
+HOUR_MS = 3_600_000
+
+
+@query(
+    f"""WITH m AS (SELECT event_id, user_id % 20 AS assignment, event_type = 'error' AS line, floor(epoch_us(ts) / 1000)::BIGINT AS t FROM events),
+    d AS (SELECT assignment, t, t + {HOUR_MS} * 2 * (1 + assignment % 3) AS due, t + {HOUR_MS} * (2 * (1 + assignment % 3) + assignment % 4) AS cutoff,
+      lead(t) OVER (PARTITION BY assignment ORDER BY t) AS next FROM m WHERE line),
+    c AS (SELECT assignment, arg_min(due, t) AS due, arg_min(cutoff, t) AS cutoff FROM d WHERE next IS NULL OR next > cutoff GROUP BY assignment)
+    SELECT c.assignment, due, cutoff, count(*) FILTER (WHERE NOT line AND t <= due) AS on_time, count(*) FILTER (WHERE NOT line AND t > due AND t <= cutoff) AS late
+    FROM c JOIN m USING (assignment) WHERE cutoff <= (SELECT max(t) - {HOUR_MS} FROM m) GROUP BY ALL"""
+)
+def stream_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty assignments, each with due times and cutoffs of its own that later events move; each is counted when its own cutoff passes."""
+    e = _stream(spark, sf_dir).withColumn("assignment", F.col("user_id") % 20)
+    due = F.unix_millis("ts") + HOUR_MS * 2 * (1 + F.col("assignment") % 3)
+    line = F.col("event_type") == "error"
+    rows = e.withColumn("due", F.when(line, due)).withColumn("cutoff", F.when(line, due + HOUR_MS * (F.col("assignment") % 4)))
+    parts = _timed(TM.cut_off(rows, "assignment"))
+    return parts.groupBy("assignment", "due", "cutoff").agg(F.sum("on_time").alias("on_time"), F.sum("late").alias("late"))

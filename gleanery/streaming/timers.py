@@ -83,3 +83,65 @@ def closed_tasks(events: DataFrame, key: str, seconds: int, event_id: str = "eve
     return rows.groupBy(key).transformWithStateInPandas(
         _Closing(key, 1000 * seconds), f"{key} {kind}, opened long, closed long, how string", "Append", "EventTime"
     )
+
+
+class _Cutoffs(StatefulProcessor):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.lines = handle.getListState("lines", "set_at long, due long, cutoff long")
+        self.times = handle.getListState("times", "t long")
+        self.closed = handle.getValueState("closed", "at long")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: ANN001, ANN201, N802, N803
+        open_ = not self.closed.exists()
+        for batch in rows:
+            lines = batch[batch["cutoff"].notna()]
+            if open_ and len(lines):
+                self.lines.appendList([tuple(int(x) for x in r) for r in lines[["t", "due", "cutoff"]].to_numpy()])
+                self.handle.registerTimer(max(int(lines["cutoff"].min()), timerValues.getCurrentWatermarkInMs() + 1))
+            times = batch[batch["cutoff"].isna()]["t"].tolist()
+            if open_ and times:
+                self.times.appendList([(int(t),) for t in times])
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: ANN001, ANN201, N802, N803
+        import pandas as pd
+
+        if self.closed.exists():
+            return
+        lines = sorted(tuple(x) for x in self.lines.get())
+        # the first cutoff that no later line came in time to move
+        due, cutoff = next((x[1:] for x, y in zip(lines, [*lines[1:], None], strict=True) if y is None or y[0] > x[2]))
+        if cutoff > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(cutoff)
+            return
+        times = [t for (t,) in self.times.get()]
+        on_time, late = sum(t <= due for t in times), sum(due < t <= cutoff for t in times)
+        self.closed.update((cutoff,))
+        self.lines.clear()
+        self.times.clear()
+        yield pd.DataFrame({"key": [key[0]], "due": [due], "cutoff": [cutoff], "on_time": [on_time], "late": [late]})
+
+    def close(self) -> None:
+        pass
+
+
+def cut_off(rows: DataFrame, key: str, event_id: str = "event_id", ts: str = "ts", late: str = "1 hour", parts: int = 8) -> DataFrame:
+    """(key, due, cutoff, on_time, late) of each assignment once its own cutoff has passed, in up to ``parts`` rows that add up.
+
+    rows: a stream of submissions, and of lines, which carry due and cutoff (milliseconds) and hold from their own time on; a line that comes
+    before the cutoff moves it. Submissions are held until then, so one that comes late counts as long as its own assignment is open,
+    whatever others' cutoffs are. An assignment's submissions are dealt into parts by their id and lines go to all of them, so that one
+    with a third of all rows isn't one task. The session must keep state in RocksDB (``ROCKS``).
+    """
+    kind = dict(rows.dtypes)[key]
+    every = F.sequence(F.lit(0), F.lit(parts - 1))
+    own = F.array(F.pmod(F.xxhash64(event_id), F.lit(parts)).cast("int"))
+    dealt = rows.withWatermark(ts, late).select(
+        F.col(key).alias("key"), F.explode(F.when(F.col("cutoff").isNull(), own).otherwise(every)).alias("part"), ts, F.unix_millis(ts).alias("t"),
+        F.col("due").cast("long").alias("due"), F.col("cutoff").cast("long").alias("cutoff")
+    )
+    found = dealt.groupBy("key", "part").transformWithStateInPandas(
+        _Cutoffs(), f"key {kind}, due long, cutoff long, on_time long, late long", "Append", "EventTime"
+    )
+    return found.withColumnRenamed("key", key)

@@ -488,3 +488,32 @@ def test_timed_tasks_close_by_themselves(spark, tmp_path):
         assert third == sorted([*second, (3, ms(25), ms(55), "time_up"), (9, ms(50), ms(58), "handed_in")])
     finally:
         spark.conf.set(name, before)
+
+
+def test_assignments_close_at_their_own_cutoffs(spark, tmp_path):
+    """Two cutoffs in one trigger; a line that moves one; a submission far behind the watermark counts while its assignment is open."""
+    from gleanery.streaming import events as S
+    from gleanery.streaming import timers
+
+    schema = "event_id long, ts timestamp, a long, due long, cutoff long"
+    at = lambda minute: dt.datetime(2024, 1, 1, tzinfo=dt.UTC) + dt.timedelta(minutes=minute)
+    ms = lambda minute: int(at(minute).timestamp() * 1000)
+    line = lambda i, minute, a, due, cutoff: (i, at(minute), a, ms(due), ms(cutoff))
+    sent = lambda i, minute, a: (i, at(minute), a, None, None)
+    folder, name = str(tmp_path / "in"), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, timers.ROCKS)
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(schema).parquet(folder)
+        out = S.finished(timers.cut_off(stream, "a", late="0 seconds", parts=3), "cutoffs", str(tmp_path / "check"))
+        return {tuple(r) for r in out.groupBy("a", "due", "cutoff").agg(F.sum("on_time"), F.sum("late")).collect()}
+
+    try:
+        first = run([line(0, 0, 1, 30, 40), line(1, 0, 2, 20, 25), sent(2, 10, 1), sent(3, 22, 2), sent(4, 5, 2), sent(5, 26, 2)])
+        assert first == {(2, ms(20), ms(25), 1, 1)}
+        second = run([line(6, 35, 1, 60, 90), *(sent(i, 50 + i % 7, 1) for i in range(100, 140)), sent(7, 95, 2), sent(8, 61, 1)])
+        assert second == {(2, ms(20), ms(25), 1, 1), (1, ms(60), ms(90), 41, 1)}
+    finally:
+        spark.conf.set(name, before)
