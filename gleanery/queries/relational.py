@@ -214,3 +214,35 @@ def collected_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("c_nationkey").agg(
         F.array_join(F.array_sort(F.collect_list("c_mktsegment")), ",").alias("segments"), F.count("*").alias("n_segments")
     )
+
+
+@query(
+    """WITH s AS (SELECT *, row_number() OVER (ORDER BY s_acctbal < 0 DESC, s_acctbal DESC, s_suppkey) - 1 AS n FROM supplier),
+    r AS (SELECT '02-results-' || lpad((n // 40)::VARCHAR, 5, '0') || '.xlsx' AS file, n % 40 + 2 AS row,
+      s_suppkey || '|' || s_name || '|' || round(s_acctbal * 100)::BIGINT || '|' || CASE WHEN s_acctbal < 0 THEN chr(39) || '=flagged' ELSE chr(39) || '-' END AS cells FROM s)
+    SELECT file, row::INT AS row, cells FROM r UNION ALL SELECT DISTINCT file, 1, 'Supplier|Name|Cents|Flag' FROM r
+    UNION ALL SELECT '01-summary-00000.xlsx', 1, 'Field|Value'
+    UNION ALL SELECT '01-summary-00000.xlsx', 2, 'Suppliers|' || count(*) FROM supplier
+    UNION ALL SELECT '01-summary-00000.xlsx', 3, 'Below zero|' || count(*) FILTER (WHERE s_acctbal < 0) FROM supplier"""
+)
+def result_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A summary and results in order, flagged ones first, as workbooks of forty rows a part, read back as cells."""
+    import uuid
+
+    from ..sources import files, workbooks
+    from ..sources.shared import shared_dir, written
+
+    s = table(spark, sf_dir, "supplier")
+    below = F.col("s_acctbal") < 0
+    rows = s.select(
+        F.col("s_suppkey").alias("Supplier"), F.col("s_name").alias("Name"), F.round(F.col("s_acctbal") * 100).cast("long").alias("Cents"),
+        F.when(below, "=flagged").otherwise("-").alias("Flag"),
+    )
+    fact = lambda name, value: F.struct(F.lit(name).alias("Field"), F.col(value).alias("Value"))
+    facts = s.agg(F.count("*").alias("a"), F.count(F.when(below, 1)).alias("b")).select(F.inline(F.array(fact("Suppliers", "a"), fact("Below zero", "b"))))
+    folder = f"{shared_dir(spark)}/workbooks/{uuid.uuid4().hex}"
+    order = [F.desc(F.col("Cents") < 0), F.desc("Cents"), F.asc("Supplier")]
+    done = written(workbooks.write_workbooks([("Summary", facts, [F.desc("Field")]), ("Results", rows, order)], folder, 40), "workbooks")
+    read = files.workbook_rows(spark.read.format("binaryFile").load(f"{folder}/*.xlsx"))
+    cells = read.select(F.substring_index("path", "/", -1).alias("file"), "row", F.array_join("cells", "|").alias("cells"))
+    return cells.join(done.select("file"), "file")

@@ -6,7 +6,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from gleanery.sources import files, tables
+from gleanery.sources import files, tables, workbooks
 from gleanery.sources.store import VectorStore
 
 
@@ -113,3 +113,14 @@ def test_vector_store(spark, tmp_path):
     assert {keys[r.key] for r in store.entries().collect()} == {1, 35, 59}
     store.put(keyed([70]))
     assert {keys[r.key] for r in store.look_up(keyed(range(80))).where("vec IS NOT NULL").collect()} == {1, 35, 59, 70}
+
+
+def test_workbooks_round_trip(spark, tmp_path):
+    rows = [(3, "<a> & \u00e9", 1.5), (1, "=1+1", None), (2, None, -2.0), (4, "\x01ctl", 0.25)]
+    df = spark.createDataFrame(rows, "k long, t string, x double")
+    folder = f"file://{tmp_path}/books"
+    done = workbooks.write_workbooks([("One", df, [F.col("k")]), ("No rows", df.where("k > 9"), [F.col("k")])], folder, 3).collect()
+    assert sorted((r.file, r.n_rows) for r in done) == [("01-one-00000.xlsx", 3), ("01-one-00001.xlsx", 1), ("02-no-rows-00000.xlsx", 0)]
+    read = lambda name: files.xlsx_rows((tmp_path / "books" / name).read_bytes())
+    assert read("01-one-00000.xlsx") == [["k", "t", "x"], ["1", "'=1+1", ""], ["2", "", "-2"], ["3", "<a> & \u00e9", "1.5"]]
+    assert read("01-one-00001.xlsx") == [["k", "t", "x"], ["4", "ctl", "0.25"]] and read("02-no-rows-00000.xlsx") == [["k", "t", "x"]]
