@@ -11,7 +11,7 @@ sort of each conversation's messages; reading back is linear in its length.
 
 Defined results: messages of a conversation stand by turn, nulls first, ties by role and marked text; a null role or text is empty; line ends in a
 role are escaped; a null conversation id is a conversation; long texts stay whole; repeated rows are repeated messages; an empty text has
-no part; a part of another kind counts as a document; an empty table gives no row (the query adds conversation -1); other columns, whatever
+no part, and null parts are none; a part of another kind counts as a document; an empty table gives no row (the query adds conversation -1); other columns, whatever
 their names, aren't read. A conversation is one row of the result, so its texts meet in one task by the result's own form.
 """
 
@@ -75,7 +75,10 @@ def _visit(kind: Column, text: Column, attachment: dict[str, Column | str]) -> C
 def parts_of(text: Column) -> Column:
     """A text's parts: links to files of known kinds are attachments of one unit, what stands between them is text. Joining the parts' texts
     gives the text."""
-    plain = lambda t: F.struct(F.lit("text").alias("kind"), t.alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("long").alias("units"))
+
+    def plain(t: Column) -> Column:
+        none = F.lit(None)
+        return F.struct(F.lit("text").alias("kind"), t.alias("text"), none.cast("string").alias("ref"), none.cast("long").alias("units"))
 
     def link(m: Column) -> Column:
         ref = F.regexp_extract(m, r"\(([^()]*)\)$", 1)
@@ -121,7 +124,10 @@ def flattened(parts: Column) -> Column:
         )
 
     filled = F.transform(
-        parts, lambda x: F.struct(F.coalesce(x["kind"], F.lit("text")).alias("kind"), F.coalesce(x["text"], F.lit("")).alias("text"), x["ref"].alias("ref"), x["units"].alias("units"))
+        F.coalesce(parts, F.array().cast(f"array<{PART}>")), lambda x: F.struct(
+            F.coalesce(x["kind"], F.lit("text")).alias("kind"), F.coalesce(x["text"], F.lit("")).alias("text"), x["ref"].alias("ref"),
+            x["units"].alias("units")
+        )
     )
     return let(F.filter(filled, lambda x: (x["kind"] != "text") | (x["text"] != "")), whole)
 

@@ -12,7 +12,10 @@ import pytest
 from gleanery.llm import chat
 
 MESSAGE = "conv_id long, turn long, role string, text string"
-BITS = ["<|", "<", "|", "<||", "<|im_end|>", "<|im_start|>", "<|nl|>", "<|image|>", "image|>", "im_end|>", "\n", "a", "é", "\\", "[x](a.png)", "![](b.pdf)", "](", "[y](c.mp3)", " ", "12345"]
+BITS = [
+    "<|", "<", "|", "<||", "<|im_end|>", "<|im_start|>", "<|nl|>", "<|image|>", "image|>", "im_end|>", "\n", "a", "é", "\\", "[x](a.png)", "![](b.pdf)",
+    "](", "[y](c.mp3)", " ", "12345",
+]
 
 
 def marked(text):
@@ -72,7 +75,7 @@ def test_typed_parts(spark):
         ("audio", None, "mew.wav", None), ("video", "v", "cat.mp4", 2), (None, " and <|image|>", None, None),
     ]
     df = spark.createDataFrame(
-        [(1, 0, "user", parts), (1, 1, "assistant", [("document", "d", "d.pdf", 3)]), (1, 2, "assistant", [])],
+        [(1, 0, "user", parts), (1, 1, "assistant", [("document", "d", "d.pdf", 3)]), (1, 2, "assistant", None)],
         f"conv_id long, turn long, role string, parts array<{chat.PART}>",
     )
     row = chat.read_back(chat.formatted(df)).first()
