@@ -85,7 +85,7 @@ def own(prints: DataFrame) -> DataFrame:
 
 
 def products(rows: DataFrame, emit: Callable, schema: str) -> DataFrame:
-    """emit's rows of every pair of blocks of a cohort. rows: of ``ranked``.
+    """emit's rows of every pair of blocks of a cohort. rows: of ``own_sets`` or ``ranked``.
 
     emit(cohort, left, right, i, j, shared) takes two dicts of arrays (rep, copies, n), and for each pair that shares anything, once, its
     places in them and what it shares; it returns columns. A block's classes are at most about BLOCK_CLASSES and its fingerprints about
@@ -143,7 +143,7 @@ def products(rows: DataFrame, emit: Callable, schema: str) -> DataFrame:
 
 def pairs(rows: DataFrame) -> DataFrame:
     """(cohort, a, b, copies_a, copies_b, n_a, n_b, shared, jaccard, containment) of the class pairs a < b that share a fingerprint. rows: of
-    ``ranked``, with numbers for ids and fingerprints."""
+    ``own_sets`` or ``ranked``, with numbers for ids and fingerprints."""
     import numpy as np
 
     def emit(cohort, left, right, i, j, shared):  # noqa: ANN001, ANN202
@@ -246,6 +246,18 @@ def ranked_prints(prints: DataFrame) -> DataFrame:
     return packed.select("cohort", "rep", "copies", F.size("s").cast("long").alias("n"), F.transform("s", lambda x: x["h"]).alias("hs"))
 
 
+def own_sets(prints: DataFrame) -> DataFrame:
+    """(cohort, rep, copies, n, hs): what ``ranked_prints`` gives, in no order, for ``products``. What most of a cohort shares is at most twice
+    the mean set's size, so it is taken out of each set as one array: no set is taken apart and put together again."""
+    grouped = written(classes(prints), "classes")
+    sizes = grouped.groupBy("cohort").agg(F.sum("copies").alias("n"))
+    shared = common(grouped.select("cohort", "rep", "copies", F.explode("fps").alias("h")), sizes)
+    given = written(shared.groupBy("cohort").agg(F.collect_list("h").alias("given")), "common")
+    left = F.when(F.col("given").isNull(), F.col("fps")).otherwise(F.array_except("fps", "given"))
+    sets = grouped.join(given, "cohort", "left").select("cohort", "rep", "copies", left.alias("hs")).where(F.size("hs") > 0)
+    return sets.select("cohort", "rep", "copies", F.size("hs").cast("long").alias("n"), "hs")
+
+
 def near_pairs(rows: DataFrame, jaccard: float = TEXT_JACCARD, containment: float = TEXT_CONTAINMENT) -> DataFrame:
     """What ``pairs`` gives of the pairs over either line. rows: of ``ranked``.
 

@@ -276,6 +276,8 @@ def test_ranked_in_one_go(spark):
     prints = spark.createDataFrame([(n, *r[1:]) for n, r in enumerate(rows)], "id long, cohort string, n_words int, fps array<string>")
     one, two = (sorted(map(tuple, df.collect())) for df in (fingerprints.ranked_prints(prints), fingerprints.ranked(fingerprints.own(prints))))
     assert one == two and one and not any("h0" in r[4] for r in one if r[0] == "c")
+    sets = fingerprints.own_sets(prints).collect()
+    assert sorted((*r[:4], sorted(r[4])) for r in sets) == sorted((*r[:4], sorted(r[4])) for r in one)
 
 
 def test_near_pairs_are_all_over_the_lines(spark):
