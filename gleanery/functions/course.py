@@ -57,7 +57,10 @@ ERROR_LINES = {
     "php": (r"\bin /run/\S*?\.php on line (\d+)",),
     "go": (r"(?m)^(?:\./)?[^\s:]*\.go:(\d+):(?:\d+:)? ", r"(?m)^\s+/run/\S*?\.go:(\d+)"),
 }
+#: A frame of a Python trace, and what tells a library's own frames in Java and in Python. The Java one is a look-ahead taken
+#: out of its pattern, since the SQL engine's patterns have none.
 PYTHON_FRAME, JAVA_FOREIGN, PYTHON_FOREIGN = r'File "[^"]*", line \d+', r"^\s*at (?:java\.|jdk\.|sun\.|javax\.)", r'"[^"]*(?:/usr/|/lib/)[^"]*"'
+#: Fixed value: what a C compiler says when it fails.
 GCC_FAILURE = r"(?m)^[^\s:]+\.(?:c|cc|cpp|cxx):\d+:(?:\d+:)? (?:fatal )?error|collect2: error|undefined reference to"
 #: What tells a program that never started from one that crashed.
 NEVER_STARTED = {

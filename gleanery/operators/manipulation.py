@@ -45,12 +45,15 @@ def places(text: Column, pattern: str, reason: str) -> Column:
 
 
 def snippet(text: Column, start: Column, end: Column) -> Column:
-    """The match and what stands around it, on one line."""
-    pad = F.greatest(F.lit(0), F.floor((SNIPPET - (end - start)) / 2)).cast("int")
-    a, b = F.greatest(F.lit(0), start - pad), F.least(F.length(text), end + pad)
-    line = F.trim(F.regexp_replace(F.substring(text, a + 1, b - a), r"\s+", " "))
-    line = F.when(F.length(line) > SNIPPET, F.concat(F.rtrim(F.substring(line, 1, SNIPPET - 1)), F.lit("…"))).otherwise(line)
-    return F.concat(F.when(a > 0, "…").otherwise(""), line, F.when(b < F.length(text), "…").otherwise(""))
+    """What a reader sees of a match: it and as much on either side as SNIPPET characters leave room for, on one line, with an ellipsis
+    wherever something was left out."""
+    room = F.floor(F.greatest(F.lit(0), SNIPPET - end + start) / 2).cast("int")
+    before, behind = F.substring(text, F.lit(1), start), F.substring(text, end + 1, F.length(text))
+    shown = F.concat(F.right(before, room), F.substring(text, start + 1, end - start), F.left(behind, room))
+    line = F.trim(F.regexp_replace(shown, r"\s+", " "))
+    fitted = F.when(F.length(line) <= SNIPPET, line).otherwise(F.concat(F.rtrim(F.left(line, F.lit(SNIPPET - 1))), F.lit("…")))
+    left_out = lambda side: F.when(F.length(side) > room, "…").otherwise("")
+    return F.concat(left_out(before), fitted, left_out(behind))
 
 
 def hits(df: DataFrame, keys: list[str], text: str) -> DataFrame:

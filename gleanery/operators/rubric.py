@@ -11,10 +11,10 @@ QUALITY_TERMS = ("quality", "style", "structure", "clean", "readab")
 NEUTRAL = 0.5
 #: By kind of evidence, the nouns by which a grader speaks of it.
 NOUNS = {
-    "report": r"answer|report|text|submission|response|evidence|work",
-    "code": r"code|program|solution|answer|submission|response|evidence|work",
-    "transcript": r"transcript|video|answer|submission|response|evidence",
-    "frames": r"frames?|video|answer|submission|response|evidence",
+    "report text (words)": r"answer|report|text|submission|response|evidence|work",
+    "source code (files)": r"code|program|solution|answer|submission|response|evidence|work",
+    "video transcript (words)": r"transcript|video|answer|submission|response|evidence",
+    "video frame descriptions": r"frames?|video|answer|submission|response|evidence",
 }
 
 

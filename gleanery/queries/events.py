@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import code as C
 from ..operators import limits as L
 from ..sources.shared import shared_dir
 from ..streaming import events as S

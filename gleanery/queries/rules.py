@@ -55,11 +55,12 @@ CLAIMS = [
 
 @query(f"""WITH j AS (SELECT conv_id, turn, text || ' ' ||
       [{", ".join("'" + c.replace("'", "''") + "'" for c in CLAIMS)}][(conv_id % {len(CLAIMS)} + 1)::INT] AS said, turn % 2 = 0 AS report, turn % 3 = 0 AS code FROM conversations)
-    SELECT conv_id, turn, {rubric.claims_sql("said", {"report": "report", "code": "code"})} AS wrong FROM j""")
+    SELECT conv_id, turn, {rubric.claims_sql("said", {"report text (words)": "report", "source code (files)": "code"})} AS wrong FROM j""")
 def missing_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Justifications that say work is missing which was handed in."""
     claim = F.element_at(F.array(*map(F.lit, CLAIMS)), (F.col("conv_id") % len(CLAIMS) + 1).cast("int"))
-    wrong = rubric.claims_missing(F.concat("text", F.lit(" "), claim), {"report": F.col("turn") % 2 == 0, "code": F.col("turn") % 3 == 0})
+    given = {"report text (words)": F.col("turn") % 2 == 0, "source code (files)": F.col("turn") % 3 == 0}
+    wrong = rubric.claims_missing(F.concat("text", F.lit(" "), claim), given)
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", wrong.alias("wrong"))
 
 
