@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import bounded, in_slices
 from ..functions.columns import let, total
 
 NODE = "struct<kind:string,name:string,last:int,extra:int,holds:string,doc:string,statement:boolean>"
@@ -75,7 +76,7 @@ def parsed(files: DataFrame, key: str, source: str) -> DataFrame:
     facts = [("kind", pa.string()), ("name", pa.string()), ("last", pa.int32()), ("extra", pa.int32()), ("holds", pa.string()), ("doc", pa.string()), ("statement", pa.bool_())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches, 1):
             sources = batch.column(1).to_pylist()
             found = [nodes_of(s) for s in sources]
             columns = list(zip(*(x for n in found if n for x in n), strict=True)) or [[]] * len(facts)
@@ -89,7 +90,7 @@ def parsed(files: DataFrame, key: str, source: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), nodes, comments], [key, "source", "nodes", "comments"])
 
     rows = files.select(F.col(key).alias("k"), F.coalesce(F.col(source), F.lit("")).alias("s"))
-    return rows.mapInArrow(run, f"{key} {dict(files.dtypes)[key]}, source string, nodes array<{NODE}>, comments array<string>")
+    return bounded(rows).mapInArrow(run, f"{key} {dict(files.dtypes)[key]}, source string, nodes array<{NODE}>, comments array<string>")
 
 
 def _own(nodes: Column, at: Column) -> Column:
