@@ -135,3 +135,34 @@ def test_many_labels_and_one_repeated_document(spark, monkeypatch):
     langid.fit(same.unionByName(other), docs_per_language=50)
     texts = seen[1][0]
     assert texts.count("again and again") == 1 and len(texts) == len(set(texts)) > 15
+
+
+def test_states_take_no_tanh_and_large_scores_stay_whole(monkeypatch):
+    """tanh is most of a position's time: the gates are made of exponentials. Where scores are large, exp doesn't run over."""
+    net = langid.Network.fresh(["x", "y"], 5, seed=3)
+    net.weights["out"] *= 300
+    net.weights["fx"] *= 200
+    text = "Straße und noch viel weiter " * 30
+    want = plain_shares_of_large(net, text)
+    monkeypatch.setattr(np, "tanh", None)
+    sums = langid.Predictor(net).sums([text])[0]
+    assert np.isfinite(sums).all() and np.allclose(sums / sums.sum(), want, atol=1e-4)
+
+
+def plain_shares_of_large(net, text):
+    """Shares by the written formula, tanh and all, in 64 bits."""
+    raw, w = langid.bytes_of(text), {k: v.astype(np.float64) for k, v in net.weights.items()}
+    n, total = len(w["fh"]), 0.0
+    for a, first, last, b in langid.windows(raw).tolist():
+        states = {}
+        for side, order in (("f", range(a, b)), ("b", range(b - 1, a - 1, -1))):
+            h = np.zeros(n)
+            for t in order:
+                x, y = w[f"{side}x"][raw[t]], h @ w[f"{side}h"]
+                z, r = ((1 + np.tanh((x + y)[k * n : (k + 1) * n] / 2)) / 2 for k in (0, 1))
+                h = (1 - z) * np.tanh(x[2 * n :] + r * y[2 * n :]) + z * h
+                states[side, t] = h
+        for t in range(first, last):
+            s = np.concatenate([states["f", t], states["b", t]]) @ w["out"] + w["bias"]
+            total = total + np.exp(s - s.max()) / np.exp(s - s.max()).sum()
+    return total / total.sum()
