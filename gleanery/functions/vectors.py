@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import let
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -15,8 +17,8 @@ def norm(a: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    """a over its norm; null for a zero vector."""
-    return F.when(norm(a) > 0, F.transform(a, lambda x: x.cast("double") / norm(a)))
+    """a over its norm; null for a zero vector. The norm is computed once, not for each place."""
+    return let(norm(a), lambda n: F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)))
 
 
 def valid(a: Column, dims: int) -> Column:

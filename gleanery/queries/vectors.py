@@ -95,9 +95,9 @@ def cohort_bar_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def semantic_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores against their cohort's bar; every 17th pair stands for one that the tokens flag."""
     bars = cohort.robust_bar(_counts(spark, sf_dir), "class", 0.2).select("class", "bar")
-    joined = _scores(spark, sf_dir).join(bars, "class")
-    level, _ = cohort.combined_flag((F.col("a") + F.col("b")) % 17 == 0, F.col("score"), F.col("bar"))
-    return joined.select("a", "b", level.alias("level"))
+    scored = C.class_scores(_classed(spark, sf_dir), *WHO, bars=bars)
+    level, _ = cohort.combined_flag((F.col("a") + F.col("b")) % 17 == 0, F.round("score", 4), F.col("bar"))
+    return scored.select("a", "b", level.alias("level"))
 
 
 @query(
