@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Times in one row of state.
+HELD = 4096
 HANDED_IN, TIME_UP = "handed_in", "time_up"
 
 
@@ -89,7 +91,7 @@ class _Cutoffs(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.lines = handle.getListState("lines", "set_at long, due long, cutoff long")
-        self.times = handle.getListState("times", "t long")
+        self.times = handle.getListState("times", "t array<long>")
         self.closed = handle.getValueState("closed", "at long")
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: ANN001, ANN201, N802, N803
@@ -101,7 +103,8 @@ class _Cutoffs(StatefulProcessor):
                 self.handle.registerTimer(max(int(lines["cutoff"].min()), timerValues.getCurrentWatermarkInMs() + 1))
             times = batch[batch["cutoff"].isna()]["t"].tolist()
             if open_ and times:
-                self.times.appendList([(int(t),) for t in times])
+                # a batch's times are a few rows of state, not one each: what a row costs is the way to the store and back
+                self.times.appendList([([int(t) for t in times[at : at + HELD]],) for at in range(0, len(times), HELD)])
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: ANN001, ANN201, N802, N803
@@ -115,8 +118,10 @@ class _Cutoffs(StatefulProcessor):
         if cutoff > timerValues.getCurrentWatermarkInMs():
             self.handle.registerTimer(cutoff)
             return
-        times = [t for (t,) in self.times.get()]
-        on_time, late = sum(t <= due for t in times), sum(due < t <= cutoff for t in times)
+        on_time = late = 0
+        for (times,) in self.times.get():
+            on_time += sum(t <= due for t in times)
+            late += sum(due < t <= cutoff for t in times)
         self.closed.update((cutoff,))
         self.lines.clear()
         self.times.clear()
