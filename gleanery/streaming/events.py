@@ -17,6 +17,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Events of a key that a task sorts at once, and that it gives back at once.
 RUN, GIVEN = 1 << 20, 10_000
+#: Groups that the keys of a rate limit are dealt into.
+BUCKETS = 2048
 #: Stands for a null id where rows are numbers.
 NO_ID = (1 << 63) - 1
 
@@ -84,35 +86,61 @@ def in_order(batches: Iterator, columns: list[str], size: int = RUN) -> Iterator
 def rate_limited(events: DataFrame, key: str, most: int, seconds: int, event_id: str = "event_id", ts: str = "ts", late: str = "1 hour") -> DataFrame:
     """(event_id, key, allowed): whether the key had fewer than ``most`` allowed events in the ``seconds`` before, as events come.
 
-    State: the times of the allowed events that still count, at most ``most`` numbers a key; it is dropped when they have expired. A key's
-    events are walked in order of time and id, never held at once; one key is one task, since each decision needs those before.
+    Keys are dealt into BUCKETS by their hash, rows without a key into one of their own, and a bucket is one group, so what a group costs isn't
+    paid for each key. State: a bucket's keys and the times of their allowed events that still count, at most ``most`` numbers a key; a key's
+    are dropped when they have expired. A bucket's events are walked in order of key, time and id, never held at once; one key is one task,
+    since each decision needs those before.
     """
     import pandas as pd
 
+    kind = dict(events.select(key).dtypes)[key]
+
     def decide(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        times = list(state.get[0]) if state.exists else []
-        rows = in_order(batches, ["t", event_id])
+        codes: dict = {}
+        held: dict = {}
+        if state.exists:
+            keys, counts, times = state.get
+            flat = iter(times)
+            held = {x: list(islice(flat, n)) for x, n in zip(keys, counts, strict=True)}
+
+        def coded() -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                found = [None] * len(batch) if k[0] < 0 else batch[key].tolist()
+                yield batch.assign(code=[codes.setdefault(x, len(codes)) for x in found])
+
+        rows, now, times = in_order(coded(), ["code", "t", event_id]), None, []
         while part := list(islice(rows, GIVEN)):
-            allowed = []
-            for t, _ in part:
-                times = [x for x in times if t - x < seconds]
+            names, allowed, whose = list(codes), [], []
+            for code, t, _ in part:
+                if code != now:
+                    now, name = code, names[code]
+                    times = held.setdefault(name, [])
+                if times:  # events of an earlier batch may be later ones
+                    times[:] = [x for x in times if t - x < seconds]
                 allowed.append(len(times) < most)
+                whose.append(name)
                 if allowed[-1]:
                     times.append(t)
-            yield pd.DataFrame({event_id: [i for _, i in part], key: k[0], "allowed": allowed})
-        state.update((times,))
-        if times:
-            state.setTimeoutTimestamp(max((times[-1] + seconds) * 1000, state.getCurrentWatermarkMs() + 1))
+            yield pd.DataFrame({event_id: [i for _, _, i in part], key: whose, "allowed": allowed})
+        mark = state.getCurrentWatermarkMs()
+        held = {x: times for x, times in held.items() if times and (max(times) + seconds) * 1000 > mark}
+        if held:
+            state.update((list(held), [len(times) for times in held.values()], [t for times in held.values() for t in times]))
+            state.setTimeoutTimestamp(max(max((max(times) + seconds) * 1000 for times in held.values()), mark + 1))
+        elif state.exists:
+            state.remove()
 
+    bucket = F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(BUCKETS))).cast("long").alias("rate_bucket")
     marked = events.withWatermark(ts, late).select(
-        key, F.coalesce(F.col(event_id), F.lit(NO_ID)).alias(event_id), ts, F.unix_timestamp(ts).alias("t")
-    )
-    decided = marked.groupBy(key).applyInPandasWithState(
-        decide, f"{event_id} long, {key} long, allowed boolean", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout
+        bucket, key, F.coalesce(F.col(event_id), F.lit(NO_ID)).alias(event_id), ts, F.unix_timestamp(ts).alias("t")
     )
+    decided = marked.groupBy("rate_bucket").applyInPandasWithState(
+        decide, f"{event_id} long, {key} {kind}, allowed boolean", f"keys array<{kind}>, counts array<int>, times array<long>", "append",
+        GroupStateTimeout.EventTimeTimeout
+    )
     return decided.withColumn(event_id, F.nullif(F.col(event_id), F.lit(NO_ID)))
 
 
