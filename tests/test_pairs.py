@@ -51,3 +51,16 @@ def test_endpoints_come_together(spark, monkeypatch):
         assert {(r.id, r.other, r.jaccard) for r in rows} == want and len(rows) == len(want)
         if classes == 1024:
             assert sum(x.id != y.id for x, y in zip(rows, rows[1:], strict=False)) <= 2 * sets.count()
+
+
+def test_best_pairs_stop_at_a_line(spark, monkeypatch):
+    """The first n of all pairs, whether they are found at a line or among all; where a line has n, no pair below it is made."""
+    sets = P.written(made_sets(spark, 80, 5, 60, 12), "sets")
+    want = P.flagged(P.pairs(sets)).orderBy(F.desc("flagged"), F.greatest("jaccard", "containment").desc(), "a", "b").collect()
+    at_line = sum(r.containment >= 0.5 for r in want)
+    assert 0 < at_line < sum(r.flagged for r in want) < len(want)
+    for n, lines in ((at_line, (0.9, 0.5)), (at_line + 1, (0.5, 0.4)), (len(want) - 1, (0.8, 0.4)), (len(want) + 5, ())):
+        assert sorted(P.best_pairs(sets, n, lines).collect()) == sorted(want[:n])
+    monkeypatch.setattr(P, "products", None)
+    monkeypatch.setattr(P, "CROWD", 1000)
+    assert sorted(P.best_pairs(sets, at_line, (0.5,)).collect()) == sorted(want[:at_line])
