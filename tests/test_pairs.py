@@ -64,3 +64,16 @@ def test_best_pairs_stop_at_a_line(spark, monkeypatch):
     monkeypatch.setattr(P, "products", None)
     monkeypatch.setattr(P, "CROWD", 1000)
     assert sorted(P.best_pairs(sets, at_line, (0.5,)).collect()) == sorted(want[:at_line])
+
+
+def test_links_are_counted_without_pairs(spark, monkeypatch):
+    """Links of classes and copies, whatever few or many share, in one group or in blocks; no pair is made."""
+    monkeypatch.setattr(P, "_strips", None)
+    for vocabulary, most, classes in ((300, 9, 1024), (15, 9, 1024), (15, 9, 8), (60, 20, 8)):
+        monkeypatch.setattr(P, "BLOCK_CLASSES", classes)
+        sets, want = made_sets(spark, 150, 2, vocabulary, most), {}
+        for a, b, _ in by_hand(sets).values():
+            for x, y in ((a, b), (b, a)):
+                old = want.get(x[:2], (0, 0))
+                want[x[:2]] = (old[0] + 1, old[1] + y[2])
+        assert {(r.cohort, r.rep): (r.links, r.linked) for r in P.links(sets).collect()} == want
