@@ -7,13 +7,15 @@ is closed with no further event.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Times in one row of state.
-HELD = 4096
+#: Rows that a task folds at once.
+AT_ONCE = 1 << 20
 HANDED_IN, TIME_UP = "handed_in", "time_up"
 
 
@@ -88,40 +90,53 @@ def closed_tasks(events: DataFrame, key: str, seconds: int, event_id: str = "eve
 
 
 class _Cutoffs(StatefulProcessor):
+    """State is a key's lines and times as rows of packed numbers, one for each that ``_packed`` made: what a row costs is the way to the store
+    and back."""
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.lines = handle.getListState("lines", "set_at long, due long, cutoff long")
-        self.times = handle.getListState("times", "t array<long>")
+        self.lines = handle.getListState("lines", "packed binary")
+        self.times = handle.getListState("times", "packed binary")
         self.closed = handle.getValueState("closed", "at long")
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: ANN001, ANN201, N802, N803
+        import numpy as np
+
         open_ = not self.closed.exists()
         for batch in rows:
-            lines = batch[batch["cutoff"].notna()]
-            if open_ and len(lines):
-                self.lines.appendList([tuple(int(x) for x in r) for r in lines[["t", "due", "cutoff"]].to_numpy()])
-                self.handle.registerTimer(max(int(lines["cutoff"].min()), timerValues.getCurrentWatermarkInMs() + 1))
-            times = batch[batch["cutoff"].isna()]["t"].tolist()
+            if "t" in batch:  # rows as they come, not folded before
+                line = batch["cutoff"].notna()
+                found = batch[line][["t", "due", "cutoff"]].to_numpy(np.int64), batch[~line]["t"].to_numpy(np.int64)
+                lines, times = ([(x.tobytes(),)] if len(x) else [] for x in found)
+            else:
+                lines, times = ([(bytes(x),) for x in batch[c] if x is not None] for c in ("lines", "times"))
+            if open_ and lines:
+                self.lines.appendList(lines)
+                first = min(int(np.frombuffer(x, np.int64).reshape(-1, 3)[:, 2].min()) for x, in lines)
+                self.handle.registerTimer(max(first, timerValues.getCurrentWatermarkInMs() + 1))
             if open_ and times:
-                # a batch's times are a few rows of state, not one each: what a row costs is the way to the store and back
-                self.times.appendList([([int(t) for t in times[at : at + HELD]],) for at in range(0, len(times), HELD)])
+                self.times.appendList(times)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: ANN001, ANN201, N802, N803
+        import numpy as np
         import pandas as pd
 
         if self.closed.exists():
             return
-        lines = sorted(tuple(x) for x in self.lines.get())
+        lines = np.concatenate([np.frombuffer(x, np.int64) for x, in self.lines.get()]).reshape(-1, 3)
+        lines = lines[np.lexsort(lines.T[::-1])]
         # the first cutoff that no later line came in time to move
-        due, cutoff = next((x[1:] for x, y in zip(lines, [*lines[1:], None], strict=True) if y is None or y[0] > x[2]))
+        final = np.append(lines[1:, 0] > lines[:-1, 2], True)
+        _, due, cutoff = (int(x) for x in lines[np.argmax(final)])
         if cutoff > timerValues.getCurrentWatermarkInMs():
             self.handle.registerTimer(cutoff)
             return
         on_time = late = 0
-        for (times,) in self.times.get():
-            on_time += sum(t <= due for t in times)
-            late += sum(due < t <= cutoff for t in times)
+        for (packed,) in self.times.get():
+            t = np.frombuffer(packed, np.int64)
+            on_time += int((t <= due).sum())
+            late += int(((due < t) & (t <= cutoff)).sum())
         self.closed.update((cutoff,))
         self.lines.clear()
         self.times.clear()
@@ -131,22 +146,64 @@ class _Cutoffs(StatefulProcessor):
         pass
 
 
+def _packed(rows: DataFrame, parts: int, kind: str) -> DataFrame:
+    """(key, part, ts, lines, times) of rows (key, part, ts, t, due, cutoff): up to AT_ONCE rows of a task folded into one for each key and part,
+    its times as packed numbers, and one for each key's lines, in every part. ts is the latest of what was folded."""
+    import numpy as np
+    import pyarrow as pa
+
+    def folded(held: list) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        table = table.filter(table["t"].is_valid())
+        if not table.num_rows:
+            return
+        keys = table["key"].combine_chunks().dictionary_encode(null_encoding="encode")
+        line, t = table["cutoff"].is_valid().to_numpy(), table["t"].to_numpy()
+        three = np.stack([t, *(table[c].fill_null(0).to_numpy() for c in ("due", "cutoff"))], axis=1)
+        group = keys.indices.to_numpy().astype(np.int64) * (parts + 1) + np.where(line, parts, table["part"].to_numpy())
+        order = np.lexsort((t, group))
+        begin = np.flatnonzero(np.concatenate([[True], group[order][1:] != group[order][:-1]]))
+        latest, code, part, lines, times = [], [], [], [], []
+        for own in np.split(order, begin[1:]):
+            at, mine = divmod(int(group[own[0]]), parts + 1)
+            to = range(parts) if mine == parts else [mine]
+            latest += [own[-1]] * len(to)
+            code += [at] * len(to)
+            part += to
+            lines += [three[own].tobytes() if mine == parts else None] * len(to)
+            times += [None if mine == parts else t[own].tobytes()] * len(to)
+        columns = [keys.dictionary.take(pa.array(code)), pa.array(part, pa.int32()), table["ts"].combine_chunks().take(pa.array(latest)), pa.array(lines, pa.binary()), pa.array(times, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["key", "part", "ts", "lines", "times"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= AT_ONCE:
+                yield from folded(held)
+                held, n = [], 0
+        if held:
+            yield from folded(held)
+
+    return rows.mapInArrow(pack, f"key {kind}, part int, ts timestamp, lines binary, times binary")
+
+
 def cut_off(rows: DataFrame, key: str, event_id: str = "event_id", ts: str = "ts", late: str = "1 hour", parts: int = 8) -> DataFrame:
     """(key, due, cutoff, on_time, late) of each assignment once its own cutoff has passed, in up to ``parts`` rows that add up.
 
     rows: a stream of submissions, and of lines, which carry due and cutoff (milliseconds) and hold from their own time on; a line that comes
     before the cutoff moves it. Submissions are held until then, so one that comes late counts as long as its own assignment is open,
     whatever others' cutoffs are. An assignment's submissions are dealt into parts by their id and lines go to all of them, so that one
-    with a third of all rows isn't one task. The session must keep state in RocksDB (``ROCKS``).
+    with a third of all rows isn't one task. What a task reads is folded first (``_packed``); a row behind the watermark that is folded with
+    later ones is held like these. The session must keep state in RocksDB (``ROCKS``).
     """
     kind = dict(rows.dtypes)[key]
-    every = F.sequence(F.lit(0), F.lit(parts - 1))
-    own = F.array(F.pmod(F.xxhash64(event_id), F.lit(parts)).cast("int"))
-    dealt = rows.withWatermark(ts, late).select(
-        F.col(key).alias("key"), F.explode(F.when(F.col("cutoff").isNull(), own).otherwise(every)).alias("part"), ts, F.unix_millis(ts).alias("t"),
-        F.col("due").cast("long").alias("due"), F.col("cutoff").cast("long").alias("cutoff")
+    dealt = rows.select(
+        F.col(key).alias("key"), F.pmod(F.xxhash64(event_id), F.lit(parts)).cast("int").alias("part"), F.col(ts).alias("ts"),
+        F.unix_millis(ts).alias("t"), F.col("due").cast("long").alias("due"), F.col("cutoff").cast("long").alias("cutoff")
     )
-    found = dealt.groupBy("key", "part").transformWithStateInPandas(
+    found = _packed(dealt, parts, kind).withWatermark("ts", late).groupBy("key", "part").transformWithStateInPandas(
         _Cutoffs(), f"key {kind}, due long, cutoff long, on_time long, late long", "Append", "EventTime"
     )
     return found.withColumnRenamed("key", key)
